@@ -7,18 +7,25 @@ to their weights, and what is left is written as token ids. ORACLE_SQL is None:
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from skyloom.llm.common import NULL_ID, staged, table
-from skyloom.llm.mixing import mix_sources
+from skyloom.llm.common import staged, table
+from skyloom.llm.decontamination import keep_unleaked
+from skyloom.llm.mixing import mixed
 from skyloom.llm.queries import tokenizer_path
-from skyloom.llm.simhash import simhash_dedup
+from skyloom.llm.simhash import keep_one
 from skyloom.llm.token_output import token_output
+from skyloom.llm.toxicity import keep_clean
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", lambda spark, docs, sf_dir: keep_clean(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))),
+    ("near_dedup", lambda spark, docs, sf_dir: keep_one(docs)),
+    ("decontamination", lambda spark, docs, sf_dir: keep_unleaked(docs, table(spark, sf_dir, "benchmark"))),
+    ("mixing", lambda spark, docs, sf_dir: mixed(docs)),
+    ("token_output", lambda spark, docs, sf_dir: token_output(docs, tokenizer_path())),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,10 +13,10 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import id_in, id_out, staged
+from skyloom.llm.common import NULL_ID, id_in, id_out, staged
 
 #: Rows of a partition in flight, and documents that stay open in it by source; both fix the result, whatever the cluster.
 FLIGHT_ROWS = 50_000
@@ -26,6 +26,10 @@ _EPS = 1e-9
 _FIELDS = "row_id long, doc_id long, source string, size long, base int, pi double, order long"
 
 
+def words() -> Column:
+    return F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """source, source_size, target for sizes (source, source_size).
 
@@ -110,13 +114,13 @@ def _dealt(rows: DataFrame, n: int) -> DataFrame:
     return rows.repartition(n, "order").sortWithinPartitions("order", "doc_id", "size", "row_id")
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """doc_id, source, size (words), source_size, target (its source's), copies (times the mix takes it), taken (words).
 
     Null texts have size 0; null sources are one source, last in order. Repeated rows are documents of their own. Reruns agree: the
     draws come from doc_id and size. An empty table gives an empty result.
     """
-    sized = docs.select(id_in("doc_id").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"), *keep)
+    sized = docs.select(id_in("doc_id").alias("doc_id"), F.col("source").cast("string").alias("source"), words().alias("size"))
     sized = staged(sized.withColumn("row_id", F.monotonically_increasing_id()), "sizes")
     by_source = staged(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -138,3 +142,13 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: floa
     out = out.join(by_source.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
     copies = F.col("base") + F.col("pi").cast("int")
     return out.select(id_out("doc_id").alias("doc_id"), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "row_id")
+
+
+def mixed(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The rows of docs as often as the mix takes them, with all their columns."""
+    turn = Window.partitionBy("_id").orderBy("_size")  # tells rows of one doc_id apart
+    took = mix_sources(docs, weights, share, most).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.col("size").alias("_size"), "copies")
+    took = staged(took.withColumn("_turn", F.row_number().over(turn)).drop("_size"), "mix")
+    rows = docs.withColumn("_id", id_in("doc_id")).withColumn("_size", words()).withColumn("_turn", F.row_number().over(turn))
+    both = rows.join(took.hint("merge"), ["_id", "_turn"]).where("copies > 0")
+    return both.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*docs.columns)

@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skyloom.llm.common import table
+from skyloom.llm.decontamination import decontaminate
+from skyloom.llm.html_text import extract_pages
+from skyloom.llm.license_scan import license_scan
 from skyloom.llm.mixing import mix_sources
+from skyloom.llm.secrets_scan import secret_scan
 from skyloom.llm.simhash import simhash_dedup
 from skyloom.llm.substring_dedup import substring_dedup
 from skyloom.llm.token_output import token_output
+from skyloom.llm.topk import top_k
+from skyloom.llm.toxicity import toxicity
 
 #: The tokenizer of op10 and of the pipeline, by its name in the installed package of public tokenizers.
 TOKENIZER = "word_bpe_49k.json"
@@ -32,9 +38,49 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents")).drop("found")
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_substring_dedup, op3_simhash_dedup, op10_token_output)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_mix_sources, op2_substring_dedup, op3_simhash_dedup, op4_toxicity, op5_secret_scan, op6_license_scan, op7_html_text, op8_top_k, op9_decontaminate, op10_token_output)
+}
+#: Exact scores of all pairs of a query and a candidate, as integers; the operator gets the same rows by the threshold algorithm.
+ORACLE_SQL: dict[str, str] = {
+    "op8_top_k": """
+with v as (
+  select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id as vec_id,
+    cast(list_sum(list_transform(range(1, len(q.e) + 1), i -> q.e[i] * c.e[i])) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5
+""",
+}

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import id_out, staged, texts
+from skyloom.llm.common import NULL_ID, id_out, staged, texts
 from skyloom.llm.components import smallest_reachable
 
 WIDTHS = (13, 13, 13, 13, 12)
@@ -141,3 +141,16 @@ def simhash_dedup(docs: DataFrame, shingle: int = 4) -> DataFrame:
     known = classes.join(reached.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "class_id", F.coalesce("label", "class_id").alias("component_id"))
     out = fps.join(known.hint("merge"), "fp")
     return out.select(id_out("doc_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), id_out("class_id").alias("class_id"), id_out("component_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """The rows of docs less all but the smallest doc_id of each component, with all their columns; repeated rows of a doc_id become one.
+
+    Five-word shingles; four of 64 bits stand for a similarity well above 0.8.
+    """
+    same = lambda ids: F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == ids["id"]
+    found = staged(simhash_dedup(docs, shingle).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.coalesce("component_id", F.lit(NULL_ID)).alias("first")), "found")
+    gone = staged(found.where("id <> first").select("id").distinct(), "gone")
+    twice = staged(found.where("id = first").groupBy("id").count().where("count > 1").select("id"), "twice")
+    rest = docs.join(gone, same(gone), "left_anti")
+    return rest.join(twice, same(twice), "left_anti").unionByName(rest.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id"]))

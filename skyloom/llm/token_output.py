@@ -22,7 +22,7 @@ from skyloom.llm.simple8b import decode, encode
 END_ID = 1
 BLOCK_IDS = 65_536
 #: Words whose ids a worker remembers; beyond them it starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 #: What str.split takes for white space and the tokenizer does not.
 _NO_SPACE = "\x1c\x1d\x1e\x1f"
 _SPACE = re.compile(r"[ \t\n\v\f\r]+")

@@ -73,7 +73,8 @@ def test_substring_dedup(spark, batch):
 def test_intervals():
     import numpy as np
 
-    assert merged(np.array([5, 6, 19, 40, 5]), 13) == [(5, 32), (40, 53)]
+    at = lambda start, n=1: start << 24 | n
+    assert merged(np.array([at(5, 2), at(19), at(40), at(5), at(33), at(41, 3)]), 13) == [(5, 32), (33, 56)]
     assert merged(np.array([], int), 13) == []
 
 
