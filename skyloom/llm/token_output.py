@@ -21,7 +21,7 @@ from skyloom.llm.simple8b import decode, encode
 
 END_ID = 1
 BLOCK_IDS = 65_536
-#: Words whose ids a worker remembers; beyond them it starts anew.
+#: Words whose ids a worker remembers; beyond them it keeps those at hand.
 CACHE_WORDS = 400_000
 #: What str.split takes for white space and the tokenizer does not.
 _NO_SPACE = "\x1c\x1d\x1e\x1f"
@@ -55,45 +55,49 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _add_cores(self, cores: list[str]) -> None:
-        for i in range(0, len(cores), 2000):
-            some = cores[i : i + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, self.kind)
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) == len(some) and cut[-1] == len(ids):
-                at = 0
-                for w, z in zip(some, (cut * ids.itemsize).tolist()):
-                    self.cores[w] = ids[at // ids.itemsize : z // ids.itemsize].tobytes()
-                    at = z
-            else:
-                self.cores.update((w, self._plain(w)) for w in some)
+        chunks = [cores[i : i + 500] for i in range(0, len(cores), 500)]
+        for i in range(0, len(chunks), 20):
+            coded = self.tokenizer.encode_batch_fast([" ".join(c) for c in chunks[i : i + 20]], add_special_tokens=False)
+            for some, e in zip(chunks[i : i + 20], coded):
+                ids = np.array(e.ids, self.kind)
+                cut = np.flatnonzero(self.ends[ids]) + 1
+                if len(cut) == len(some) and cut[-1] == len(ids):
+                    raw, at = ids.tobytes(), 0
+                    for w, z in zip(some, (cut * ids.itemsize).tolist()):
+                        self.cores[w] = raw[at:z]
+                        at = z
+                else:
+                    self.cores.update((w, self._plain(w)) for w in some)
 
     def _add(self, words: set[str]) -> None:
         """A word of letters and the marks after it are pieces apart; all other words go to the tokenizer whole."""
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-            self.cores.clear()
-        parts = {}
+        plain, parts = {}, []
         for w in words:
             core = w.rstrip(_MARKS)
             if core.isalpha():
-                parts[w] = (core.lower() if core.isascii() else core, w[len(core) :])
+                parts.append((w, core, w[len(core) :]))
             else:
-                self.known[w] = self._plain(w)
-        self._add_cores(list({c for c, _ in parts.values()} - self.cores.keys()))
-        for m in {m for _, m in parts.values()} - self.cores.keys():
+                plain[w] = self._plain(w)
+        self._add_cores(list({c for _, c, _ in parts} - self.cores.keys()))
+        for m in {m for _, _, m in parts} - self.cores.keys():
             self.cores[m] = self._plain(m) if m else b""
-        cores = self.cores
-        self.known.update((w, cores[c] + cores[m]) for w, (c, m) in parts.items())
+        cores, known = self.cores, self.known
+        known.update(plain)
+        for w, c, m in parts:
+            known[w] = cores[c] + cores[m] if m else cores[c]
+        if len(cores) > 2 * CACHE_WORDS:
+            self.cores = {x: cores[x] for p in parts for x in p[1:]}
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = [[w for w in _SPACE.split(t) if w] if any(c in t for c in _NO_SPACE) else t.split() for t in texts]
-        known = self.known
-        new = {w for words in split for w in words if w not in known}
-        if new:
+        # the tokenizer lowers each character by itself; str.lower does, but for sigma at an end; special tokens are told by their case
+        low = [t if "<|" in t or "Σ" in t else t.lower() for t in texts]
+        split = [[w for w in _SPACE.split(t) if w] if any(c in t for c in _NO_SPACE) else t.split() for t in low]
+        words = set().union(*split)
+        if len(self.known) > CACHE_WORDS:  # what is at hand stays
+            self.known = {w: self.known[w] for w in words & self.known.keys()}
+        if new := words - self.known.keys():
             self._add(new)
-            if any(w not in known for w in set().union(*split) - new):  # what was remembered has gone
-                self._add(set().union(*split))
-        get = known.__getitem__
+        get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, words)), self.kind) for words in split]
 
 

@@ -20,7 +20,7 @@ from skyloom.llm.common import id_in, id_out, ship
 
 #: Labelled documents of each class that the fit may take, and landmarks: from words that tell toxic documents, and common ones.
 FIT_TOXIC, FIT_CLEAN = 1200, 2000
-TELLING, COMMON = 112, 16
+TELLING, COMMON = 64, 8
 #: Kernel values below this count as none.
 ALIKE = 0.4
 #: Weight of a subsequence: DECAY to the power of the characters it spans, at most SPAN.
@@ -76,8 +76,10 @@ class Landmarks:
         self.row[own] = np.arange(len(own))
         self.weight = np.zeros((len(own), len(words)), np.float32)
         self.weight[self.row[u], w] = x / norm[w]
+        self.most = self.weight.max(axis=1, initial=0)
 
-    def __call__(self, words: list[str]) -> np.ndarray:
+    def __call__(self, words: list[str], least: float = 0.0) -> np.ndarray:
+        """Words by landmarks. Words that can't reach `least` with any, by the sum of each subsequence's largest share, stay zero."""
         out = np.zeros((len(words), len(self.words)), np.float32)
         for i in range(0, len(words), 4096):
             some = words[i : i + 4096]
@@ -86,6 +88,9 @@ class Landmarks:
             row = self.row[u]
             known = row >= 0
             w, row, x = w[known], row[known], (x[known] / norm[w[known]]).astype(np.float32)
+            if least > 0 and len(w):
+                may = np.bincount(w, x * self.most[row], len(some))[w] >= least
+                w, row, x = w[may], row[may], x[may]
             if len(w):
                 first = np.flatnonzero(np.diff(w, prepend=-1))
                 out[i + w[first]] = np.add.reduceat(self.weight[row] * x[:, None], first, axis=0)
@@ -157,7 +162,7 @@ class Model:
         telling, held = [], None
         alike = Landmarks(best)(best) if best else None
         for i in range(len(best)):  # the most telling that are not near one taken already
-            if len(telling) < TELLING and (held is None or held[i] < 0.85):
+            if len(telling) < TELLING and (held is None or held[i] < 0.75):
                 telling.append(i)
                 held = alike[:, i] if held is None else np.maximum(held, alike[:, i])
         common = sorted(count[0], key=lambda w: (-count[0][w], w))[:COMMON]
@@ -193,14 +198,15 @@ class Model:
         at = len(self.values)
         for i in range(0, len(new), 50_000):
             some = new[i : i + 50_000]
-            forms = [plain(w) for w in some]
-            k = self.marks(forms)
+            place: dict[str, int] = {}
+            form = [place.setdefault(plain(w), len(place)) for w in some]
+            k = self.marks(list(place), ALIKE)
             near = np.flatnonzero(k.max(axis=1) >= ALIKE)
-            index = np.full(len(some), -1)
+            index = np.full(len(place), -1)
             index[near] = np.arange(at, at + len(near))
             at += len(near)
             rows.append(np.where(k[near] >= ALIKE, k[near], 0).astype(np.float32))
-            self.known.update(zip(some, index.tolist()))
+            self.known.update(zip(some, index[form].tolist()))
         if new:
             self.values = np.concatenate(rows)
         get = self.known.__getitem__
