@@ -18,7 +18,7 @@ GRAM = 3
 #: Diagonals this near are one span; share of a template's grams, or number of them, that makes a label; grams a word of span.
 NEAR = 2
 SHARE = 0.6
-VOTES = 40
+VOTES = 12
 DENSITY = 0.5
 
 # The phrases that every scan reports, with their labels.
