@@ -48,6 +48,10 @@ LABELLED = [
     '<html y="0"><body><div class="banner notice"><p>This page will be down on Monday for some hours.</p></div><div id="content" y="1"><h1>Name</h1><p>Plain text on a plain page, in a division that says content.</p><dl><dt>Term</dt><dd>What the term means, in a sentence.</dd></dl><div class="share" y="0"><p>Share this</p></div><div class="promo" y="0"><p>Get a month for free if you come today and not tomorrow</p></div></div><div id="sidebar" class="widget"><ul><li><a href="t">Tag</a></li></ul></div><div class="comments"><ol><li><p>First! This is what a reader wrote under the page.</p></li></ol></div></body></html>',
     '<html y="0"><body><header><nav><a href="h">Home</a></nav></header><article y="1"><h1>Report</h1><p>It began with <b>bold</b> words and ended with plain ones, after a while.</p><div><p>A paragraph within a division.</p></div><h3>Small heading</h3><p>The end.</p><section class="comments" y="0"><h2>Replies</h2><article><p>A reply of a reader which is long enough to look like text of a page.</p></article></section></article><aside><div class="ad">Advert</div></aside><footer><ul><li><a href="i">Imprint</a></li></ul><p>More words in the footer of the page that nobody reads.</p></footer></body></html>',
     '<html y="0"><body><div y="1"><h2>Only a division</h2><p>No names anywhere, but long paragraphs of text that plainly are what the page is about.</p><p>A second one of the same kind follows it, as long as the first one was.</p></div><div><a href="1">One</a> | <a href="2">Two</a></div><form><p>Your name</p></form></body></html>',
+    '<article y="1"><p>Few words.</p></article>',
+    '<nav y="0"><a href="1">One</a></nav><article y="1"><h1>Name</h1><p>Two words</p><p>Of.</p></article><footer y="0">Us</footer>',
+    '<article y="1"><h1>A name</h1><p>So it goes.</p></article><aside y="0"><p>Also here</p></aside>',
+    '<p y="1">Only a paragraph.</p>',
 ]
 
 
