@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from skyloom.llm.common import NULL_ID, id_out, staged, texts
 from skyloom.llm.components import smallest_reachable
+from skyloom.llm.similar import similar_components
 
 WIDTHS = (13, 13, 13, 13, 12)
 MAX_BITS = 4
@@ -25,25 +26,34 @@ _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _SPREAD = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
 
 
-def fingerprint(text: str, shingle: int) -> int:
+def shingle_hashes(text: str, shingle: int) -> tuple[bytes, np.ndarray]:
+    """The lower-cased words joined by spaces, and the hash of each shingle of them."""
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return 0
     joined = b" ".join(words)
+    if not words:
+        return joined, np.zeros(0, np.uint64)
     n = len(words) - shingle + 1
     digest = xxhash.xxh64_intdigest
     if n <= 1:
-        return digest(joined, 42)
+        return joined, np.array([digest(joined, 42)], np.uint64)
     gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     begin = np.concatenate(([0], gaps + 1))[:n].tolist()
     end = np.append(gaps, len(joined))[shingle - 1 :].tolist()
-    h = np.fromiter((digest(joined[a:z], 42) for a, z in zip(begin, end)), np.uint64, n)
+    return joined, np.fromiter((digest(joined[a:z], 42) for a, z in zip(begin, end)), np.uint64, n)
+
+
+def majority(h: np.ndarray) -> int:
+    """Bits set in over half of the hashes."""
     total = np.zeros(64, np.int64)
-    for i in range(0, n, 255 * 256):  # lanes of a byte hold 255 hashes
+    for i in range(0, len(h), 255 * 256):  # lanes of a byte hold 255 hashes
         lanes = _SPREAD[h[i : i + 255 * 256].view(np.uint8)].reshape(-1, 8)
         sums = np.add.reduceat(lanes, np.arange(0, len(lanes), 255), axis=0)
         total += sums.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > n, bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(2 * total > len(h), bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: str, shingle: int) -> int:
+    return majority(shingle_hashes(text, shingle)[1])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -143,13 +153,14 @@ def simhash_dedup(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return out.select(id_out("doc_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), id_out("class_id").alias("class_id"), id_out("component_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """The rows of docs less all but the smallest doc_id of each component, with all their columns; repeated rows of a doc_id become one.
+def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of docs less all but the smallest doc_id of each group of near copies, with all their columns; repeated rows of a doc_id become one.
 
-    Five-word shingles; four of 64 bits stand for a similarity well above 0.8.
+    Near copies are texts that links of a similarity (Jaccard, of sets of five-word shingles) of at least `least` join. Chains of
+    fingerprints alone would miss most of those under 0.95, so bands add candidates; see similar_components.
     """
     same = lambda ids: F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == ids["id"]
-    found = staged(simhash_dedup(docs, shingle).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.coalesce("component_id", F.lit(NULL_ID)).alias("first")), "found")
+    found = staged(similar_components(docs, shingle, least).select(F.col("doc_id").alias("id"), F.col("component_id").alias("first")), "found")
     gone = staged(found.where("id <> first").select("id").distinct(), "gone")
     twice = staged(found.where("id = first").groupBy("id").count().where("count > 1").select("id"), "twice")
     rest = docs.join(gone, same(gone), "left_anti")
