@@ -13,14 +13,19 @@ BITS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 ESCAPE = 15
 
 
-def encode(ids: np.ndarray) -> np.ndarray:
-    """The words of these ids (unsigned 64-bit)."""
-    ids = np.asarray(ids, np.uint64)
+def encode_many(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words (unsigned 64-bit) of sequences that lie one after another in ids, and how many words each has.
+
+    Every sequence starts a new word and gets the words it would get alone.
+    """
+    ids, sizes = np.asarray(ids, np.uint64), np.asarray(sizes, np.int64)
     n = len(ids)
     if not n:
-        return np.zeros(0, np.uint64)
-    # the largest count that fits at each position: sliding maxima of doubled spans
+        return np.zeros(0, np.uint64), np.zeros(len(sizes), np.int64)
+    ends = np.cumsum(sizes)
+    # the largest count that fits at each position: sliding maxima of doubled spans, within the sequence
     bits = np.frexp(ids.astype(np.float64))[1].astype(np.uint8) if ids.max() < 1 << 52 else np.array([int(x).bit_length() for x in ids], np.uint8)
+    room = np.repeat(ends, sizes) - np.arange(n)
     choice = np.full(n, ESCAPE, np.uint8)
     choice[bits <= 60] = 13
     spans = {1: bits}
@@ -35,7 +40,7 @@ def encode(ids: np.ndarray) -> np.ndarray:
         top = spans[half][: n - count + 1]
         if half < count:
             top = np.maximum(top, spans[half][count - half :])
-        fits = top <= width
+        fits = (top <= width) & (room[: n - count + 1] >= count)
         if not fits.any():
             break
         choice[: n - count + 1][fits] = s
@@ -50,17 +55,24 @@ def encode(ids: np.ndarray) -> np.ndarray:
     size = 1 + (kind == ESCAPE)
     to = np.cumsum(size) - size
     out = np.zeros(int(size.sum()), np.uint64)
-    for s in np.unique(kind).tolist():
+    for s in np.flatnonzero(np.bincount(kind)).tolist():
         rows = np.flatnonzero(kind == s)
+        first = starts[rows]
         if s == ESCAPE:
             out[to[rows]] = np.uint64(ESCAPE)
-            out[to[rows] + 1] = ids[starts[rows]]
+            out[to[rows] + 1] = ids[first]
             continue
         word = np.full(len(rows), s, np.uint64)
         for j in range(COUNTS[s]):
-            word |= ids[starts[rows] + j] << np.uint64(4 + j * BITS[s])
+            word |= ids[first + j] << np.uint64(4 + j * BITS[s])
         out[to[rows]] = word
-    return out
+    before = np.append(to, len(out))[np.searchsorted(starts, np.concatenate(([0], ends)))]
+    return out, np.diff(before)
+
+
+def encode(ids: np.ndarray) -> np.ndarray:
+    """The words of these ids (unsigned 64-bit)."""
+    return encode_many(ids, np.array([len(ids)]))[0]
 
 
 def decode(words: np.ndarray) -> np.ndarray:

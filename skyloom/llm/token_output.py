@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.llm.common import id_out, partitions, shared_dir, ship, staged, texts
-from skyloom.llm.simple8b import decode, encode
+from skyloom.llm.simple8b import decode, encode_many
 
 END_ID = 1
 BLOCK_IDS = 65_536
@@ -115,11 +115,16 @@ def _encode(batches, path: str, end_id: int):
     for batch in batches:
         for i in range(0, batch.num_rows, 512):
             some = batch.slice(i, 512)
-            payload, n = [], []
-            for ids in get(some["text"].to_pylist()):
-                ids = np.append(ids.astype(np.uint32), np.uint32(end_id))
-                n.append(len(ids))
-                payload.append(encode(ids).tobytes())
+            parts = get(some["text"].to_pylist())
+            n = np.array([len(p) for p in parts]) + 1
+            ids = np.full(n.sum(), end_id, np.uint64)
+            last = np.cumsum(n) - 1
+            inner = np.ones(len(ids), bool)
+            inner[last] = False
+            ids[inner] = np.concatenate(parts)
+            words, sizes = encode_many(ids, n)
+            raw, cut = words.tobytes(), (8 * np.concatenate(([0], np.cumsum(sizes)))).tolist()
+            payload = [raw[a:z] for a, z in zip(cut, cut[1:])]
             yield pa.RecordBatch.from_arrays([some["doc_id"], some["bucket"], pa.array(n, pa.int64()), pa.array(payload, pa.binary())], schema=_ENCODED)
 
 

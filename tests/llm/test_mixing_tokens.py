@@ -100,3 +100,17 @@ def test_tokens(spark):
         at += len(ids)
     assert sorted(map(tuple, got)) == sorted(want)
     assert token_output(spark.createDataFrame([], "doc_id long, text string"), path).count() == 0
+
+
+def test_simple8b_of_many():
+    """Sequences side by side get the words that each gets alone."""
+    import numpy as np
+
+    from skyloom.llm.simple8b import decode, encode, encode_many
+
+    rng = np.random.default_rng(8)
+    parts = [rng.integers(0, 1 << int(rng.integers(1, 62)), int(rng.integers(0, 300)), dtype=np.uint64) for _ in range(60)] + [np.ones(200, np.uint64)] * 3
+    words, sizes = encode_many(np.concatenate(parts), np.array([len(p) for p in parts]))
+    assert [w.tolist() for w in np.split(words, np.cumsum(sizes)[:-1])] == [encode(p).tolist() for p in parts]
+    assert decode(words).tolist() == np.concatenate(parts).tolist()
+    assert [len(x) for x in encode_many(np.zeros(0), np.zeros(3, int))] == [0, 3]
