@@ -22,7 +22,7 @@ from skyloom.llm.simple8b import decode, encode_many
 END_ID = 1
 BLOCK_IDS = 65_536
 #: Words whose ids a worker remembers; beyond them it keeps those at hand.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 #: What str.split takes for white space and the tokenizer does not.
 _NO_SPACE = "\x1c\x1d\x1e\x1f"
 _SPACE = re.compile(r"[ \t\n\v\f\r]+")
@@ -49,12 +49,11 @@ class WordEncoder:
         for piece, i in self.tokenizer.get_vocab().items():
             self.ends[i] = piece.endswith("</w>")
         self.known: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _add_cores(self, cores: list[str]) -> None:
+    def _add_letters(self, cores: list[str]) -> None:
         chunks = [cores[i : i + 500] for i in range(0, len(cores), 500)]
         for i in range(0, len(chunks), 20):
             coded = self.tokenizer.encode_batch_fast([" ".join(c) for c in chunks[i : i + 20]], add_special_tokens=False)
@@ -64,38 +63,41 @@ class WordEncoder:
                 if len(cut) == len(some) and cut[-1] == len(ids):
                     raw, at = ids.tobytes(), 0
                     for w, z in zip(some, (cut * ids.itemsize).tolist()):
-                        self.cores[w] = raw[at:z]
+                        self.known[w] = raw[at:z]
                         at = z
                 else:
-                    self.cores.update((w, self._plain(w)) for w in some)
+                    self.known.update((w, self._plain(w)) for w in some)
 
     def _add(self, words: set[str]) -> None:
         """A word of letters and the marks after it are pieces apart; all other words go to the tokenizer whole."""
-        plain, parts = {}, []
+        known, letters, marked = self.known, set(), []
         for w in words:
             core = w.rstrip(_MARKS)
-            if core.isalpha():
-                parts.append((w, core, w[len(core) :]))
-            else:
-                plain[w] = self._plain(w)
-        self._add_cores(list({c for _, c, _ in parts} - self.cores.keys()))
-        for m in {m for _, _, m in parts} - self.cores.keys():
-            self.cores[m] = self._plain(m) if m else b""
-        cores, known = self.cores, self.known
-        known.update(plain)
-        for w, c, m in parts:
-            known[w] = cores[c] + cores[m] if m else cores[c]
-        if len(cores) > 2 * CACHE_WORDS:
-            self.cores = {x: cores[x] for p in parts for x in p[1:]}
+            if not core.isalpha():
+                known[w] = self._plain(w)
+                continue
+            if core not in known:
+                letters.add(core)
+            if len(core) < len(w):
+                marked.append(w)
+        self._add_letters(list(letters))
+        for w in marked:
+            core = w.rstrip(_MARKS)
+            marks = w[len(core) :]
+            if marks not in known:
+                known[marks] = self._plain(marks)
+            known[w] = known[core] + known[marks]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         # the tokenizer lowers each character by itself; str.lower does, but for sigma at an end; special tokens are told by their case
         low = [t if "<|" in t or "Σ" in t else t.lower() for t in texts]
         split = [[w for w in _SPACE.split(t) if w] if any(c in t for c in _NO_SPACE) else t.split() for t in low]
-        words = set().union(*split)
         if len(self.known) > CACHE_WORDS:  # what is at hand stays
-            self.known = {w: self.known[w] for w in words & self.known.keys()}
-        if new := words - self.known.keys():
+            known = self.known
+            self.known = {w: known[w] for w in set().union(*split) if w in known}
+        # not the view of the keys: a set less a dict costs what the set holds
+        new = set().union(*(set(words).difference(self.known) for words in split))
+        if new:
             self._add(new)
         get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, words)), self.kind) for words in split]
