@@ -129,8 +129,11 @@ def chain_marginal(blocks, phi: float, q: float, m0: float, s0: float) -> tuple[
     return marginalise(order, z, offset, 1)
 
 
-def kalman(series: DataFrame, by: str, order: str, value: str, phi: float, q: float, s0: float, sigma: float) -> DataFrame:
-    """by, order, mean, var: the filtered state of a scalar chain along each series, which one task takes in order (a recording's length)."""
+def kalman(series: DataFrame, by: str, order: str, value: str, phi: float, q: float, s0: float, sigma: float, smooth: bool = False) -> DataFrame:
+    """by, order, mean, var: the state of a scalar chain along each series, which one task takes in order (a recording's length).
+
+    Filtered on the values so far, or, smoothed, on all of them.
+    """
     slim = series.select(by, order, F.col(value).cast("double").alias("value"))
     schema = f"{by} {slim.schema[by].dataType.simpleString()}, {order} {slim.schema[order].dataType.simpleString()}, mean double, var double"
 
@@ -143,6 +146,11 @@ def kalman(series: DataFrame, by: str, order: str, value: str, phi: float, q: fl
             k = v / (v + sigma * sigma)
             m, v = m + k * (y - m), (1 - k) * v
             out.append((m, v))
+        for i in range(len(out) - 2, -1, -1) if smooth else ():
+            (m, v), (after, spread) = out[i], out[i + 1]
+            ahead = phi * phi * v + q * q
+            g = phi * v / ahead
+            out[i] = m + g * (after - phi * m), v + g * g * (spread - ahead)
         pdf[["mean", "var"]] = out
         return pdf[[by, order, "mean", "var"]]
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.functions.random import normal, uniform
-from skyloom.operators import evidence, inference, processing, projection, sources, transforms
+from skyloom.operators import diagnostics, evidence, inference, processing, projection, sources, transforms
 from skyloom.operators.base import KEYS, Param
 from skyloom.plans.signal_path import At, assemble
 from skyloom.sources.joins import as_of, interpolate, observe
@@ -358,6 +358,44 @@ add(
 union all select w.freq_idx, w.time_idx, 0.8 * k.m + (0.64 * k.v + 25) / (0.64 * k.v + 425) * (w.data - 0.8 * k.m), (1 - (0.64 * k.v + 25) / (0.64 * k.v + 425)) * (0.64 * k.v + 25) from k join w on w.freq_idx = k.freq_idx and w.time_idx = k.time_idx + 1)
 select freq_idx, time_idx, round(m, 5) as mean, round(v, 5) as var from k""",
 )
+_K = f"""{W}, k as (select freq_idx, time_idx, data * 100 / (100 + 400) as m, 100 - 100 * 100.0::double / 500 as v from w where time_idx = 0
+union all select w.freq_idx, w.time_idx, 0.8 * k.m + (0.64 * k.v + 25) / (0.64 * k.v + 425) * (w.data - 0.8 * k.m), (1 - (0.64 * k.v + 25) / (0.64 * k.v + 425)) * (0.64 * k.v + 25) from k join w on w.freq_idx = k.freq_idx and w.time_idx = k.time_idx + 1)"""
+add(
+    "chain_smooth",
+    lambda s, d: evidence.kalman(waterfall(s, d), "freq_idx", "time_idx", "data", 0.8, 5.0, 10.0, 20.0, smooth=True).select("freq_idx", "time_idx", F.round("mean", 5).alias("mean"), F.round("var", 5).alias("var")),
+    f"""with recursive {_K}, kk as materialized (select *, 0.64 * v + 25 as p from k), b as (select freq_idx, time_idx, m, v from kk where time_idx = 719
+union all select kk.freq_idx, kk.time_idx, kk.m + 0.8 * kk.v / p * (b.m - 0.8 * kk.m), kk.v + pow(0.8 * kk.v / p, 2) * (b.v - p) from b join kk on kk.freq_idx = b.freq_idx and kk.time_idx = b.time_idx - 1)
+select freq_idx, time_idx, round(m, 5) as mean, round(v, 5) as var from b""",
+)
+
+
+def _identifiable(spark, sf_dir):
+    found = diagnostics.identifiability(_lines(spark, sf_dir), ["one", "qty"], 0.5)
+    return spark.createDataFrame([(i, round(float(x), 6), found.rank) for i, x in enumerate(found.singular)], "i int, singular double, rank int")
+
+
+# the two singular values of columns of length one are sqrt(1 + c) and sqrt(1 - c), with c the cosine between them
+_COS = "c as (select abs(sum(x0 * x1)) / sqrt(sum(x0 * x0) * sum(x1 * x1)) as c from l)"
+add("identifiability", _identifiable, f"with {_L}, {_COS} select 0 as i, round(sqrt(1 + c), 6) as singular, 2 as rank from c union all select 1, round(sqrt(1 - c), 6), 2 from c")
+add(
+    "jeffreys_prior",
+    lambda s, d: s.createDataFrame([(round(diagnostics.jeffreys_half_log_det(_lines(s, d), ["one", "qty"], 0.5), 6),)], "half_log_det double"),
+    f"with {_L} select round(0.5 * ln(16 * (sum(x0 * x0) * sum(x1 * x1) - pow(sum(x0 * x1), 2))), 6) as half_log_det from l",
+)
+
+
+def _bank(spark, sf_dir):
+    w = waterfall(spark, sf_dir).where("freq_idx < 2")
+    return w.groupBy("time_idx").pivot("freq_idx", [0, 1]).agg(F.sum("data")).select("time_idx", F.col("0").alias("a"), F.col("1").alias("b"))
+
+
+def _lost(spark, sf_dir):
+    basis = diagnostics.reduced_basis(_bank(spark, sf_dir), ["a", "b"], 1, [1.0, 2.0])
+    return spark.createDataFrame([(round(basis.lost, 6),)], "lost double")
+
+
+_G2 = "p as (select time_idx, sum(data) filter (where freq_idx = 0) as a, sum(data) filter (where freq_idx = 1) / 2 as b from w where freq_idx < 2 group by 1), g2 as (select sum(a * a) as a, sum(a * b) as b, sum(b * b) as c from p)"
+add("reduced_basis", _lost, f"with {W}, {_G2} select round(1 - ((a + c) + sqrt(pow(a - c, 2) + 4 * b * b)) / 2 / (a + c), 6) as lost from g2")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
