@@ -2,8 +2,8 @@
 
 A window goes to the task of its anchor, the smallest hash among the 5-word grams it holds: equal windows have equal anchors, and
 neighbouring windows mostly share one, so a run of windows costs one anchor and four bytes a window. Before the shuffle each batch
-of documents settles what repeats inside it and sends a window once, from its smallest document; a passage that every
-document holds therefore reaches a task once a batch, not once a document.
+of documents settles what repeats inside it and sends a window from its smallest document only, with all its places there; a passage that every
+document holds therefore reaches a task from one document of a batch, not from each.
 """
 
 from __future__ import annotations
@@ -41,7 +41,8 @@ def _joined_keys(anchor: np.ndarray, low: np.ndarray) -> np.ndarray:
 
 
 def _repeats(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which entries have an equal key in a smaller document; and one entry of each key's smallest document."""
+    """Which entries have an equal key in a smaller document; and which a smaller document elsewhere may still hold: all places of
+    each key in its smallest document, or one of them if that has a null id, as nothing is smaller."""
     order = np.argsort(key, kind="stable")
     k = key[order]
     first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
@@ -49,12 +50,12 @@ def _repeats(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     least = np.repeat(np.minimum.reduceat(d, first), np.diff(np.append(first, len(k))))
     later = np.zeros(len(key), bool)
     later[order] = d > least
-    own = d == least  # one entry of those is enough
+    own = d == least
     seen = np.cumsum(own)
     begin = np.repeat(seen[first] - own[first], np.diff(np.append(first, len(k))))
-    one = np.zeros(len(key), bool)
-    one[order] = own & (seen - begin == 1)
-    return later, one
+    open_ = np.zeros(len(key), bool)
+    open_[order] = own & ((d != NULL_ID) | (seen - begin == 1))
+    return later, open_
 
 
 def _settle(docs: list[tuple], parts: list[tuple], buckets: int, window: int) -> Iterator[dict]:
@@ -106,7 +107,7 @@ _SENT = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("row_key", p
 
 
 def _windows(batches, buckets: int, window: int):
-    docs, parts, words = [], [], 0
+    docs, parts, words, known = [], [], 0, set()
 
     def out():
         for rows in _chunks(_settle(docs, parts, buckets, window), 512):
@@ -114,14 +115,18 @@ def _windows(batches, buckets: int, window: int):
 
     for batch in batches:
         for d, row, text in zip(batch["doc_id"].to_pylist(), batch["row_key"].to_pylist(), batch["text"]):
+            if (d, row) in known:  # a repeated row: what is found for the first holds for it too
+                continue
             h, _ = word_hashes(b" ".join(_split(text.as_py())))
             if len(h) >= window:
+                known.add((d, row))
                 docs.append((d, row))
                 parts.append((grams(h, window), sliding_min(grams(h, _ANCHOR), window - _ANCHOR + 1)))
                 words += len(h)
             if words >= _BATCH_WORDS:
                 yield from out()
                 docs, parts, words = [], [], 0
+                known.clear()
     yield from out()
 
 

@@ -70,6 +70,35 @@ def test_substring_dedup(spark, batch):
     assert sum(r[2] for r in want) > 500
 
 
+def test_substring_dedup_repeats_within_a_text(spark, monkeypatch):
+    """Texts that repeat a window within themselves, under one id too, while its smaller holder lies in another partition or batch."""
+    import pyarrow as pa
+
+    from skyloom.llm import substring_dedup as module
+
+    rnd = random.Random(11)
+    say = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    passage = say(20)
+    rows = []
+    for i in range(24):
+        text = " ".join(say(rnd.randrange(3)) + passage + say(rnd.randrange(4)) + passage[: rnd.randrange(13, 21)] + say(2) + passage)
+        rows += [(100 + i, text), (100 + i, text + " " + " ".join(passage))][: 1 + i % 2]
+    rows += [(5, " ".join(passage)), (200, rows[3][1]), (200, rows[3][1]), (300, "a " * 40), (301, "a " * 50), (None, " ".join(passage[:14] * 2))]
+    got = substring_dedup(frame(spark, rows).repartition(len(rows))).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert ordered(map(tuple, got)) == ordered(brute_windows(rows))
+
+    monkeypatch.setattr(module, "_BATCH_WORDS", 100)
+    batch = pa.RecordBatch.from_pylist([{"doc_id": d, "row_key": i, "text": t} for i, (d, t) in enumerate(rows) if d is not None])
+    sent = list(module._windows([batch], 1, 13))
+    assert len(sent) > 5
+    spans = {}
+    for b in module._count(iter(sent)):
+        for r in b.to_pylist():
+            spans.setdefault(r["row_key"], []).append(r["span"])
+    for i, (want, (d, t)) in enumerate(zip(brute_windows([r for r in rows if r[0] is not None]), [r for r in rows if r[0] is not None])):
+        assert sum(z - a for a, z in module.merged(spans.get(i, []), 13)) == want[2]
+
+
 def test_intervals():
     import numpy as np
 
