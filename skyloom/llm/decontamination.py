@@ -1,15 +1,16 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units become typed placeholders; windows of eight words of the template are hash-joined with those of the
-benchmark, and what stood in the placeholders is compared: one value of the item must always meet one value of the document. So
-a question with other numbers or names is caught, while an accidental likeness is not.
+benchmark, and what stood in the placeholders is compared. Matches are judged by alignment, document position less item position, so
+that other variants of an item in the same document, or windows alike by accident, don't count against one: a place of the item must
+meet one value in an alignment of neighbouring differences. Over the whole document one value of the item must always meet one value.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.llm.common import _BYTE, NULL_ID, _pow, grams, id_in, id_out, mix, ship, staged, texts, word_hashes
@@ -19,6 +20,8 @@ WINDOW = 8
 LITERALS = 4
 MATCHED = 6
 CONSISTENT = 0.8
+#: Differences of position between an item and a document that lie so near are one alignment: a word more or less within the item.
+NEAR = 3
 #: Bits by which windows of documents are sifted before the join: 512 KB, whatever the size of the benchmark.
 SIEVE_BITS = 22
 
@@ -105,7 +108,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ship(spark)
     items = benchmark.select(id_in("item_id").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     items = items.groupBy("text").agg(F.min("doc_id").alias("doc_id")).withColumn("row_key", F.lit(0).cast("long"))
-    known = staged(items.mapInArrow(lambda b: _hits(b, None), _HITS_DDL), "benchmark").select(F.col("doc_id").alias("item_id"), F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"), F.col("n").alias("n_windows"))
+    known = staged(items.mapInArrow(lambda b: _hits(b, None), _HITS_DDL), "benchmark").select(F.col("doc_id").alias("item_id"), F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"), F.col("n").alias("n_windows"), F.least(F.lit(MATCHED), "n").alias("need"))
     bit = F.shiftrightunsigned("hash", 64 - SIEVE_BITS)
     width = 8 * 4096  # bits of a part that bitmap_construct_agg makes
     parts = known.groupBy((bit / width).cast("long").alias("part")).agg(F.bitmap_construct_agg(F.pmod(bit, F.lit(width))).alias("bits"))
@@ -116,12 +119,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = texts(docs).withColumn("row_key", F.xxhash64("text"))
     hits = rows.mapInArrow(lambda b: _hits(b, sieve), _HITS_DDL).drop("n").distinct()
     key = ["doc_id", "row_key", "item_id"]
-    both = staged(hits.join(known, "hash").select(*key, "item_pos", "n_windows", F.arrays_zip("item_slots", "slots").alias("s")), "matches")
-    matched = both.groupBy(*key).agg(F.count_distinct("item_pos").alias("matched"), F.first("n_windows").alias("n_windows"))
+    counts = [F.first(c).alias(c) for c in ("n_windows", "need")]
+    both = hits.join(known, "hash").select(*key, "item_pos", "n_windows", "need", (F.col("pos") - F.col("item_pos")).alias("shift"), F.arrays_zip("item_slots", "slots").alias("s"))
+    both = staged(both, "matches")
+    share = lambda name: F.avg((F.col(name) == 1).cast("double")).alias("consistency")
+    # an alignment by a single difference: each place of the item meets one place of the document
+    by_shift = both.groupBy(*key, "shift").agg(F.count_distinct("item_pos").alias("matched"), *counts).withColumn("consistency", F.lit(1.0))
+    # neighbouring differences as one alignment: each place meets one value
+    order = Window.partitionBy(*key).orderBy("shift")
+    group = by_shift.select(*key, "shift", (F.col("shift") - F.lag("shift").over(order) <= NEAR).alias("near"))
+    group = group.select(*key, "shift", F.sum(F.when(F.col("near"), 0).otherwise(1)).over(order).alias("group"))
+    grouped = both.join(group, [*key, "shift"])
+    near = grouped.groupBy(*key, "group").agg(F.count_distinct("item_pos").alias("matched"), *counts)
+    values = grouped.select(*key, "group", "item_pos", F.posexplode("s").alias("k", "s")).where("s.item_slots <> 0")
+    values = values.groupBy(*key, "group", (F.col("item_pos") + F.col("k")).alias("place")).agg(F.count_distinct("s.slots").alias("values"))
+    near = near.join(values.groupBy(*key, "group").agg(share("values")), [*key, "group"], "left")
+    # the whole document: each value meets one value
+    matched = both.groupBy(*key).agg(F.count_distinct("item_pos").alias("matched"), *counts)
     slots = both.select(*key, F.explode("s").alias("s")).where("s.item_slots <> 0").groupBy(*key, "s.item_slots").agg(F.count_distinct("s.slots").alias("values"))
-    slots = slots.groupBy(*key).agg(F.avg((F.col("values") == 1).cast("double")).alias("consistency"))
-    found = matched.join(slots, key, "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0)))
-    found = found.where((F.col("matched") >= F.least(F.lit(MATCHED), "n_windows")) & (F.col("consistency") >= CONSISTENT))
+    whole = matched.join(slots.groupBy(*key).agg(share("values")), key, "left")
+    found = by_shift.drop("shift").unionByName(near.drop("group")).unionByName(whole).withColumn("consistency", F.coalesce("consistency", F.lit(1.0)))
+    found = found.where((F.col("matched") >= F.col("need")) & (F.col("consistency") >= CONSISTENT))
     coverage = F.col("matched") / F.col("n_windows")
     found = found.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max(coverage).alias("coverage"), F.max_by("consistency", coverage).alias("consistency"))
     return found

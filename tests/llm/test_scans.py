@@ -94,6 +94,21 @@ def test_decontaminate(spark):
     assert decontaminate(docs(spark, texts), bench.limit(0)).where("contaminated").count() == 0
 
 
+ITEM = "if Alice buys 12 apples and gives 5 km of rope to Bob then how many apples does Alice have when 12 are left at the end of it"
+
+
+def test_decontaminate_variants_in_one_text(spark):
+    """Copy and variant, two variants, a window alike by accident, and a value in two roles: an alignment alone decides."""
+    one, two = (ITEM.replace("12", a).replace("5 km", f"{b} km").replace("Alice", c).replace("Bob", d) for a, b, c, d in (("31", "7", "Carol", "Dan"), ("44", "9", "Eve", "Frank")))
+    fill = "and so the lesson went on with other things that day until noon came around again "
+    accident = "gives 8 km of rope to Hugo then how many and then nothing of the kind"
+    roles = ITEM.replace("buys 12", "buys 3").replace("when 12", "when 7")
+    texts = [f"{fill}{ITEM} {fill}{one}", f"{one} {fill}{two}", f"{one} {fill}{accident} {fill}", f"{fill}{roles} {fill}", one.replace("then how", "then say how"), fill + accident]
+    bench = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate(docs(spark, texts), bench).collect()}
+    assert [got[i].contaminated for i in range(6)] == [True] * 5 + [False]
+
+
 def test_toxicity_model():
     rnd = random.Random(8)
     syllables = "ha re ti on the an st en er nd".split()
