@@ -4,10 +4,16 @@ Numbers, names and units become typed placeholders; windows of eight words of th
 benchmark, and what stood in the placeholders is compared. Matches are judged by alignment, document position less item position, so
 that other variants of an item in the same document, or windows alike by accident, don't count against one: a place of the item must
 meet one value in an alignment of neighbouring differences. Over the whole document one value of the item must always meet one value.
+
+Whether a capitalised word is a name depends on context, and lower-case or upper-case copies show no names. So windows of documents
+come in three forms: names but at sentence starts, every capitalised word a name, and no names; windows of items come with each
+choice for the words at sentence starts. Items under eight words are one window of their own length.
 """
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -41,11 +47,12 @@ _END[[33, 46, 63]] = True
 _NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0x9D3C0B6C1F2E7A55, 0x3B4F90D2A86E1C77, 0x71C6E5A3D9084B2F))
 
 
-def template(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """By word: the hash of its template form, and of what fills a placeholder (0 where there is none). Punctuation and case don't count."""
+def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By word: its hash, that of its form where numbers and units are placeholders (names are not), and whether it is a name or, at
+    the start of a sentence, may be one. Punctuation and, but for names, case don't count."""
     joined = b" ".join(text.encode("utf-8", "surrogatepass").split())
     if not joined:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool)
     raw = np.frombuffer(joined, np.uint8)
     gaps = np.flatnonzero(raw == 32)
     starts, ends = np.concatenate(([0], gaps + 1)), np.append(gaps, len(raw))
@@ -60,46 +67,114 @@ def template(text: str) -> tuple[np.ndarray, np.ndarray]:
     some = long > 0
     number = np.add.reduceat(_DIGIT[raw], starts, dtype=np.int64) > 0
     upper = np.add.reduceat(_UPPER[raw], starts, dtype=np.int64) > 0
-    new = np.concatenate(([True], _END[raw[ends - 1]][:-1]))  # the first word of a sentence may be a name or not: it stays
-    word, number, upper, new = word[some], number[some], upper[some] & ~new[some], new[some]
+    new = np.concatenate(([True], _END[raw[ends - 1]][:-1]))
+    word, number, upper, new = word[some], number[some], upper[some], new[some]
     unit = np.concatenate(([False], number[:-1])) & np.isin(word, _UNITS) if number.any() else np.zeros(len(word), bool)
     form = word.copy()
-    form[upper] = _NAME
     form[unit] = _UNIT
     form[number] = _NUMBER
-    return form, np.where(form != word, word, np.uint64(0))
+    upper &= form == word
+    return word, form, upper & ~new, upper & new
 
 
 _UNITS = np.sort(word_hashes(UNITS.encode())[0])
 
 
-def _windows(text: str):
-    form, slot = template(text)
-    h = grams(form, WINDOW)
-    literal = np.concatenate(([0], np.cumsum(slot == 0)))
-    return h, np.flatnonzero(literal[WINDOW:] - literal[:-WINDOW] >= LITERALS) if len(h) else np.zeros(0, int), slot
-
-
-_HITS = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("pos", pa.int64()), ("hash", pa.int64()), ("slots", pa.list_(pa.int64())), ("n", pa.int64())])
-_HITS_DDL = "doc_id long, row_key long, pos long, hash long, slots array<long>, n long"
-
-
-def _hits(batches, sieve):
+def _grams(form: np.ndarray, size: int) -> np.ndarray:
+    return grams(form, WINDOW) if size == WINDOW else mix(grams(form, size) + np.uint64(size))
+
+
+def _usable(word: np.ndarray, form: np.ndarray, size: int) -> np.ndarray:
+    literal = np.concatenate(([0], np.cumsum(form == word)))
+    return literal[size:] - literal[:-size] >= LITERALS
+
+
+def _slots(word: np.ndarray, form: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros((len(at), WINDOW), np.uint64)
+    out[:, :size] = np.where(form != word, word, np.uint64(0))[at[:, None] + np.arange(size)]
+    return out
+
+
+def _whole(word: np.ndarray) -> tuple:
+    """A text of few words, to be met by a text of the same words only."""
+    return np.zeros(1, np.int64), mix(grams(word, len(word)) + np.uint64(WINDOW + len(word))), np.zeros((1, WINDOW), np.uint64)
+
+
+def _named(form: np.ndarray, names: np.ndarray) -> np.ndarray:
+    return np.where(names, _NAME, form)
+
+
+def _of_text(text: str, sizes: tuple[int, ...]) -> list[tuple]:
+    """Position, hash and slots of the windows of a document, for each form."""
+    word, plain, name, maybe = template(text)
+    out = [_whole(word)] if 0 < len(word) < WINDOW else []
+    for size in sizes:
+        if len(word) < size:
+            continue
+        seen = []
+        for form in (_named(plain, name), _named(plain, name | maybe), plain):
+            h = _grams(form, size)
+            new = _usable(word, form, size)
+            for other in seen:
+                new = new & (h != other)
+            seen.append(h)
+            at = np.flatnonzero(new)
+            out.append((at, h[at], (word, form, size)))
+    return out
+
+
+def _of_item(text: str) -> tuple[list[tuple], int, int]:
+    """Position, hash and slots of the windows of an item, the number of windows, and how many of them a document must hold."""
+    word, plain, name, maybe = template(text)
+    size = min(WINDOW, len(word))
+    if not size:
+        return [], 0, 0
+    forms = [_named(plain, name), plain]
+    if size < WINDOW and not _usable(word, plain, size).any():
+        return [_whole(word)], 1, 1
+    ok = [_usable(word, f, size) for f in forms]
+    found = {(int(i), int(h)): (f, i) for f, u in zip(forms, ok) for i, h in zip(np.flatnonzero(u), _grams(f, size)[u])}
+    touched = np.concatenate(([0], np.cumsum(maybe)))
+    for i in np.flatnonzero(touched[size:] > touched[:-size]):
+        which = i + np.flatnonzero(maybe[i : i + size])
+        for choice in product((False, True), repeat=len(which)):
+            form = forms[0].copy()
+            form[which[list(choice)]] = _NAME
+            w = slice(i, i + size)
+            if (form[w] == word[w]).sum() >= LITERALS:
+                found.setdefault((int(i), int(_grams(form[w], size)[0])), (form, i))
+    if not found:
+        return [], 0, 0
+    usual, sure = int(ok[0].sum()), int(_usable(word, _named(plain, name | maybe), size).sum())
+    # an item of few windows may miss those that are none once the words at sentence starts are names
+    need = MATCHED if usual > MATCHED else max(1, sure)
+    out = [(np.array([i]), np.array([h], np.uint64), _slots(word, f, np.array([i]), size)) for (i, h), (f, _) in found.items()]
+    return out, len({i for i, _ in found}), min(need, len({i for i, _ in found}))
+
+
+_HITS = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("pos", pa.int64()), ("hash", pa.int64()), ("slots", pa.list_(pa.int64())), ("n", pa.int64()), ("need", pa.int64()), ("size", pa.int64())])
+_HITS_DDL = "doc_id long, row_key long, pos long, hash long, slots array<long>, n long, need long, size long"
+
+
+def _hits(batches, sieve, sizes=()):
+    """Windows of documents that pass the sieve; without one, those of items."""
     bits = None if sieve is None else np.unpackbits(np.frombuffer(sieve.value, np.uint8), bitorder="little").astype(bool)
     for batch in batches:
-        cols = [[] for _ in range(6)]
+        cols = [[] for _ in range(8)]
         for d, row, text in zip(batch["doc_id"].to_pylist(), batch["row_key"].to_pylist(), batch["text"]):
-            h, at, slot = _windows(text.as_py())
-            n = len(at)
-            if bits is not None and n:
-                at = at[bits[(h[at] >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)]]
-            if len(at):
-                for c, x in zip(cols, (np.full(len(at), d), np.full(len(at), row), at, h[at].view(np.int64), slot[at[:, None] + np.arange(WINDOW)].view(np.int64), np.full(len(at), n))):
+            some, n, need = _of_item(text.as_py()) if bits is None else (_of_text(text.as_py(), sizes), 0, 0)
+            size = min(WINDOW, len(template(text.as_py())[0])) if bits is None else 0
+            for at, h, slots in some:
+                if bits is not None:
+                    ok = bits[(h >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)]
+                    at, h = at[ok], h[ok]
+                    slots = slots[ok] if isinstance(slots, np.ndarray) else _slots(*slots[:2], at, slots[2])
+                for c, x in zip(cols, (np.full(len(at), d), np.full(len(at), row), at, h.view(np.int64), slots.view(np.int64), *(np.full(len(at), v) for v in (n, need, size)))):
                     c.append(x)
         if cols[0]:
-            d, row, at, h, slots, n = map(np.concatenate, cols)
+            d, row, at, h, slots, *more = map(np.concatenate, cols)
             slots = pa.ListArray.from_arrays(pa.array(np.arange(0, slots.size + 1, WINDOW), pa.int32()), pa.array(slots.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(row), pa.array(at.astype(np.int64)), pa.array(h), slots, pa.array(n)], schema=_HITS)
+            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(row), pa.array(at.astype(np.int64)), pa.array(h), slots, *(pa.array(x) for x in more)], schema=_HITS)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -108,7 +183,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ship(spark)
     items = benchmark.select(id_in("item_id").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     items = items.groupBy("text").agg(F.min("doc_id").alias("doc_id")).withColumn("row_key", F.lit(0).cast("long"))
-    known = staged(items.mapInArrow(lambda b: _hits(b, None), _HITS_DDL), "benchmark").select(F.col("doc_id").alias("item_id"), F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"), F.col("n").alias("n_windows"), F.least(F.lit(MATCHED), "n").alias("need"))
+    known = staged(items.mapInArrow(lambda b: _hits(b, None), _HITS_DDL), "benchmark").select(F.col("doc_id").alias("item_id"), F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"), F.col("n").alias("n_windows"), "need", "size")
+    sizes = tuple(sorted({WINDOW} | {r.size for r in known.select("size").distinct().collect() if r.size >= LITERALS}))  # five at most
     bit = F.shiftrightunsigned("hash", 64 - SIEVE_BITS)
     width = 8 * 4096  # bits of a part that bitmap_construct_agg makes
     parts = known.groupBy((bit / width).cast("long").alias("part")).agg(F.bitmap_construct_agg(F.pmod(bit, F.lit(width))).alias("bits"))
@@ -117,7 +193,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         sieve[r.part * 4096 : r.part * 4096 + 4096] = r.bits
     sieve = spark.sparkContext.broadcast(bytes(sieve))
     rows = texts(docs).withColumn("row_key", F.xxhash64("text"))
-    hits = rows.mapInArrow(lambda b: _hits(b, sieve), _HITS_DDL).drop("n").distinct()
+    hits = rows.mapInArrow(lambda b: _hits(b, sieve, sizes), _HITS_DDL).drop("n", "need", "size").distinct()
     key = ["doc_id", "row_key", "item_id"]
     counts = [F.first(c).alias(c) for c in ("n_windows", "need")]
     both = hits.join(known, "hash").select(*key, "item_pos", "n_windows", "need", (F.col("pos") - F.col("item_pos")).alias("shift"), F.arrays_zip("item_slots", "slots").alias("s"))
@@ -149,7 +225,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, item_ids (those it leaks, ascending), coverage (largest share of an item's windows), consistency (of its slots).
 
     Every row comes back, repeated ones too. Items of equal text count as the smallest item_id among them; items of fewer than
-    eight words, or none but placeholders, take no part, and null or empty texts hold nothing.
+    eight words must be held whole, and those of fewer than four words that are no number or unit must be the whole text. Longer items
+    of none but numbers and units take no part, and null or empty texts hold nothing.
     """
     found = leaks(docs, benchmark)
     slim = texts(docs).select("doc_id", F.xxhash64("text").alias("row_key"))

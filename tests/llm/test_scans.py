@@ -109,6 +109,16 @@ def test_decontaminate_variants_in_one_text(spark):
     assert [got[i].contaminated for i in range(6)] == [True] * 5 + [False]
 
 
+def test_decontaminate_context_and_case(spark):
+    """Short items after other contexts, with another name at the start, in one case, and items under eight words."""
+    item = "Tom has five red apples and two green pears left over"
+    small, tiny = "Who wrote the long novel Emma", "Why not"
+    texts = [f"Question: {item}", f'He said: "{item}"', f"so {item.lower()}", item.upper(), item.replace("Tom", "Ann"), f"x. {item.replace('Tom', 'Ann')}", f"tell us, {small.lower()}?", f"Quiz. {small.replace('Emma', 'Ulysses')}", "why not?", "but why not go there", "Tom has five red cherries and two green plums left", ITEM.lower().replace("12", "88")]
+    bench = spark.createDataFrame([(1, item), (2, small), (3, tiny), (4, ITEM)], "item_id long, text string")
+    got = {r.doc_id: r.item_ids for r in decontaminate(docs(spark, texts), bench).collect()}
+    assert [got[i] for i in range(12)] == [[1]] * 6 + [[2], [2], [3], [], [], [4]]
+
+
 def test_toxicity_model():
     rnd = random.Random(8)
     syllables = "ha re ti on the an st en er nd".split()
