@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import NULL_ID, id_out, staged, texts
+from skyloom.llm.common import id_in, id_out, staged, texts
 from skyloom.llm.components import smallest_reachable
 from skyloom.llm.similar import similar_components
 
@@ -154,14 +154,17 @@ def simhash_dedup(docs: DataFrame, shingle: int = 4) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """The rows of docs less all but the smallest doc_id of each group of near copies, with all their columns; repeated rows of a doc_id become one.
+    """The rows of docs less all but one of each group of near copies, that of the smallest doc_id (null before all), with all their columns.
 
-    Near copies are texts that links of a similarity (Jaccard, of sets of five-word shingles) of at least `least` join. Chains of
+    Rows are told apart by doc_id and text: rows of one doc_id, or of none, with unlike texts all stay, and of equal rows one. Near
+    copies are texts that links of a similarity (Jaccard, of sets of five-word shingles) of at least `least` join. Chains of
     fingerprints alone would miss most of those under 0.95, so bands add candidates; see similar_components.
     """
-    same = lambda ids: F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == ids["id"]
-    found = staged(similar_components(docs, shingle, least).select(F.col("doc_id").alias("id"), F.col("component_id").alias("first")), "found")
-    gone = staged(found.where("id <> first").select("id").distinct(), "gone")
-    twice = staged(found.where("id = first").groupBy("id").count().where("count > 1").select("id"), "twice")
-    rest = docs.join(gone, same(gone), "left_anti")
-    return rest.join(twice, same(twice), "left_anti").unionByName(rest.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id"]))
+    keyed = docs.withColumns({"_id": id_in("doc_id"), "_key": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    key = ["_id", "_key"]
+    found = similar_components(docs, shingle, least).select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), ((F.col("doc_id") == F.col("component_id")) & (F.col("row_key") == F.col("component_key"))).alias("first"))
+    found = staged(found.groupBy(*key).agg(F.first("first").alias("first"), F.count("*").alias("n")).where("not first or n > 1"), "found")
+    gone = found.where("not first").select(*key)
+    twice = found.where("first").select(*key)
+    rest = keyed.join(gone, key, "left_anti")
+    return rest.join(twice, key, "left_anti").unionByName(rest.join(twice, key, "left_semi").dropDuplicates(key)).select(*docs.columns)

@@ -39,21 +39,21 @@ def _bands(u: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, whole (hash of the words), fp (fingerprint), bands, size and shingles (the set, as sorted hashes) of every row."""
+    """doc_id, row_key (hash of the text as it is), whole (hash of the words), fp (fingerprint), bands, size and shingles (the set, as sorted hashes) of every row."""
     from skyloom.llm.simhash import majority, shingle_hashes
 
     def of(batches):
         for b in batches:
             out = []
-            for d, t in zip(b["doc_id"], b["text"]):
+            for d, key, t in zip(b["doc_id"], b["row_key"], b["text"]):
                 joined, h = shingle_hashes(t, shingle)
                 u = np.unique(mix(h)) if len(h) else np.zeros(1, np.uint64)
                 low = np.unique((u >> np.uint64(32)).astype("<u4"))
                 whole = np.uint64(xxhash.xxh3_64_intdigest(joined)).view(np.int64)
-                out.append((d, int(whole), int(np.uint64(majority(h)).view(np.int64)), _bands(u).view(np.int64), len(low), low.tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "whole", "fp", "bands", "size", "shingles"])
+                out.append((d, key, int(whole), int(np.uint64(majority(h)).view(np.int64)), _bands(u).view(np.int64), len(low), low.tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "row_key", "whole", "fp", "bands", "size", "shingles"])
 
-    return texts(docs).mapInPandas(of, "doc_id long, whole long, fp long, bands array<long>, size long, shingles binary")
+    return texts(docs).withColumn("row_key", F.xxhash64("text")).mapInPandas(of, "doc_id long, row_key long, whole long, fp long, bands array<long>, size long, shingles binary")
 
 
 class _Sets:
@@ -142,7 +142,8 @@ def _bridges(batches, least: float):
 
 
 def similar_components(docs: DataFrame, shingle: int, least: float, window: int = WINDOW, shard: int = SHARD) -> DataFrame:
-    """doc_id (null as NULL_ID), component_id: the smallest doc_id that links of similar texts reach; one row per row of docs.
+    """doc_id (null as NULL_ID), row_key, component_id, component_key: the smallest doc_id and then row_key that links of similar texts
+    reach; one row per row of docs. A row_key is the hash of a text, so that unlike rows of one doc_id, or of none, are told apart.
 
     Texts are lower-cased words; texts of fewer words than a shingle are one shingle, and texts without words are copies of each
     other. Equal texts are one node. All pairs of nodes that share a bucket count, however many it holds: see the module. The second
@@ -152,7 +153,7 @@ def similar_components(docs: DataFrame, shingle: int, least: float, window: int
     from skyloom.llm.simhash import links as chains
 
     rows = staged(shingle_sets(docs, shingle), "sets")
-    nodes = rows.groupBy("whole").agg(F.min("doc_id").alias("value"), *(F.first(c).alias(c) for c in ("fp", "bands", "size", "shingles")))
+    nodes = rows.groupBy("whole").agg(F.min(F.struct("doc_id", "row_key")).alias("value"), *(F.first(c).alias(c) for c in ("fp", "bands", "size", "shingles")))
     nodes = staged(nodes.withColumnRenamed("whole", "node"), "nodes")
     by_fp = staged(nodes.groupBy("fp").agg(F.min("node").alias("node"), F.min_by("size", "node").alias("size")), "fingerprints")
     near = chains(by_fp)
@@ -173,7 +174,7 @@ def similar_components(docs: DataFrame, shingle: int, least: float, window: int
 
     wide = full.where((F.col("n") > window) | (F.col("load") > WINDOW_SHINGLES))
     inside = buckets.join(wide.hint("merge"), "bucket").join(values.hint("merge"), "node").join(reached.hint("merge"), "node", "left")
-    inside = staged(inside.select("bucket", "n", "load", "node", F.coalesce("label", "value").alias("component")), "inside")
+    inside = staged(inside.select("bucket", "n", "load", "node", F.xxhash64(F.coalesce("label", "value")).alias("component")), "inside")
     parts = inside.groupBy("bucket", "component").agg(F.count("*").alias("of"))
     parts = parts.groupBy("bucket").agg(F.max_by("component", F.struct("of", "component")).alias("main"), F.sum("of").alias("all"), F.max("of").alias("most")).where("all > most")
     blocks = F.greatest(F.ceil(F.col("n") / (4 * window)), F.ceil(F.col("load") / WINDOW_SHINGLES)).cast("int")
@@ -186,5 +187,6 @@ def similar_components(docs: DataFrame, shingle: int, least: float, window: int
     bridges = staged(bridges, "bridges")
     if not bridges.isEmpty():
         reached = staged(smallest_reachable(found.union(bridges), values), "rejoined")
-    known = values.join(reached.hint("merge"), "node", "left").select("node", F.coalesce("label", "value").alias("component_id"))
-    return rows.select("doc_id", F.col("whole").alias("node")).join(known.hint("merge"), "node").select("doc_id", "component_id")
+    known = values.join(reached.hint("merge"), "node", "left").select("node", F.coalesce("label", "value").alias("first"))
+    out = rows.select("doc_id", "row_key", F.col("whole").alias("node")).join(known.hint("merge"), "node")
+    return out.select("doc_id", "row_key", F.col("first.doc_id").alias("component_id"), F.col("first.row_key").alias("component_key"))

@@ -61,6 +61,25 @@ def test_keep_one(spark):
     assert keep_one(docs.limit(0)).count() == 0
 
 
+def test_keep_one_rows_of_one_id(spark):
+    """Rows without an id and rows of a repeated id stay if their texts are unlike; only copies go."""
+    rnd = random.Random(6)
+    say = lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(30))
+    nulls = [(None, say()) for _ in range(12)]
+    base, lone = say(), [say() for _ in range(5)]
+    keep = [*nulls, (1, base), (2, lone[0]), (3, lone[1]), (3, lone[2]), (3, lone[3]), (9, lone[4]), (9, "")]
+    gone = [(None, nulls[0][1]), (7, nulls[1][1]), (2, base.upper()), (2, base + " end"), (3, lone[1]), (9, None)]
+    ship(spark)
+    docs = spark.createDataFrame([(d, t, None, "x", 3) for d, t in keep + gone], SCHEMA).repartition(3)
+    got = [(r.doc_id, r.text or "") for r in keep_one(docs).collect()]
+    assert sorted(got, key=str) == sorted(keep, key=str)
+    # unlike texts without an id are components of their own: a chain is joined across windows all the same
+    chain = [" ".join((base.split() * 4)[i:] + [f"e{j}" for j in range(i)]) for i in range(0, 40, 4)]
+    many = spark.createDataFrame([(None, t) for t in chain * 2 + [say() for _ in range(20)]], "doc_id long, text string")
+    found = similar_components(many, 5, 0.8, window=3, shard=10).collect()
+    assert len({r.component_key for r in found}) == len(brute(list(enumerate(chain)))) + 20
+
+
 def test_keep_one_on_documents(spark):
     ship(spark)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
