@@ -2,8 +2,8 @@
 
 A document of a source with target r times its size is taken floor(r) times, and once more with inclusion probability r - floor(r).
 The flight phase moves these probabilities three at a time along the null space of two balancing constraints, the number of
-documents and the number of words, until one of the three is 0 or 1. Partitions fly on their own and leave a few open
-documents a source; those fly again in fewer partitions, until one is left and the landing chooses among the last few.
+documents and the number of words, until one of the three is 0 or 1. Each source flies on its own, a large one in parts, which leave
+a few open documents each; those fly again in fewer parts, until one is left and the landing chooses among the last few.
 """
 
 from __future__ import annotations
@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 
 from skyloom.llm.common import NULL_ID, id_in, id_out, staged
 
-#: Rows of a partition in flight, and documents that stay open in it by source; both fix the result, whatever the cluster.
+#: Rows of a source that fly together, about, and documents that stay open of them; both fix the result, whatever the cluster.
 FLIGHT_ROWS = 50_000
 OPEN = 10
 WEIGHTS = (5, 2, 1)
 _EPS = 1e-9
-_FIELDS = "row_id long, doc_id long, source string, size long, base int, pi double, order long"
+_FIELDS = "row_id long, doc_id long, source string, size long, base int, pi double, order long, key long, salt int"
 
 
 def words() -> Column:
@@ -66,15 +66,18 @@ def _fly(three: list[list]) -> None:
 
 
 def _flight(batches):
-    """Settled documents at once, the open ones at the end. The largest fly first, so that small ones stay open."""
-    active: dict = {}
+    """Rows sorted by source and salt: settled documents at once, open ones at their end. The largest fly first, so that small ones stay open."""
+    at, group = None, []
     for b in batches:
         out = []
         for row in b.itertuples(index=False):
+            part = (row.source if isinstance(row.source, str) else None, row.salt)
+            if part != at:
+                out += [x[2]._replace(pi=x[3]) for x in group]
+                at, group = part, []
             if not _EPS < row.pi < 1 - _EPS:
                 out.append(row._replace(pi=float(round(row.pi))))
                 continue
-            group = active.setdefault(row.source if isinstance(row.source, str) else None, [])
             insort(group, [row.size, row.order, row, row.pi], key=lambda x: x[:2])
             while len(group) > OPEN:
                 three = group[-3:]
@@ -88,8 +91,8 @@ def _flight(batches):
                 group[-3:] = open_
         if out:
             yield pd.DataFrame(out)
-    if rest := [x[2]._replace(pi=x[3]) for g in active.values() for x in g]:
-        yield pd.DataFrame(rest)
+    if group:
+        yield pd.DataFrame([x[2]._replace(pi=x[3]) for x in group])
 
 
 def _landing(batches):
@@ -100,7 +103,7 @@ def _landing(batches):
             groups.setdefault(row.source if isinstance(row.source, str) else None, []).append(row)
     out = []
     for rows in groups.values():
-        rows.sort(key=lambda r: (r.order, r.doc_id, r.size))
+        rows.sort(key=lambda r: (r.order, r.doc_id, r.size, r.row_id))
         size, pi = np.array([r.size for r in rows], float), np.array([r.pi for r in rows])
         picks = np.array(list(product((0, 1), repeat=len(rows))))
         words, docs = np.abs(picks @ size - pi @ size), np.abs(picks.sum(axis=1) - pi.sum())
@@ -110,38 +113,47 @@ def _landing(batches):
         yield pd.DataFrame(out)
 
 
-def _dealt(rows: DataFrame, n: int) -> DataFrame:
-    return rows.repartition(n, "order").sortWithinPartitions("order", "doc_id", "size", "row_id")
+def _row_key() -> Column:
+    """What tells rows apart but for equal ones: doc_id, text and source."""
+    return F.xxhash64(id_in("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("source").cast("string"))
+
+
+def _parts(level: DataFrame) -> DataFrame:
+    """of, parts: sources of more rows than fly together, and in how many parts they fly. One row for FLIGHT_ROWS rows at most."""
+    most = max(FLIGHT_ROWS, 2 * OPEN)
+    return staged(level.groupBy(F.col("source").alias("of")).agg(F.ceil(F.count("*") / most).alias("parts")).where("parts > 1"), "parts")
 
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """doc_id, source, size (words), source_size, target (its source's), copies (times the mix takes it), taken (words).
 
     Null texts have size 0; null sources are one source, last in order. Repeated rows are documents of their own. Reruns agree: the
-    draws come from doc_id and size. An empty table gives an empty result.
+    draws come from doc_id, size, text and source; key is their hash but for size. An empty table gives an empty result.
     """
-    sized = docs.select(id_in("doc_id").alias("doc_id"), F.col("source").cast("string").alias("source"), words().alias("size"))
+    sized = docs.select(id_in("doc_id").alias("doc_id"), F.col("source").cast("string").alias("source"), words().alias("size"), _row_key().alias("key"))
     sized = staged(sized.withColumn("row_id", F.monotonically_increasing_id()), "sizes")
     by_source = staged(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     goal = by_source.withColumn("ratio", ratio).withColumnRenamed("source", "of")
-    rows = sized.join(goal, F.col("source").eqNullSafe(F.col("of"))).select("row_id", "doc_id", "source", "size", F.floor("ratio").cast("int").alias("base"), (F.col("ratio") - F.floor("ratio")).alias("pi"), F.xxhash64("doc_id", "size").alias("order"))
-    n = sized.count()
+    rows = sized.join(goal, F.col("source").eqNullSafe(F.col("of"))).select("row_id", "doc_id", "source", "size", F.floor("ratio").cast("int").alias("base"), (F.col("ratio") - F.floor("ratio")).alias("pi"), F.xxhash64("doc_id", "size", "key").alias("order"), "key")
     done, level = [], rows
     while True:
-        level = staged(_dealt(level, max(1, -(-n // FLIGHT_ROWS))).mapInPandas(_flight, _FIELDS), "flight")
+        parts = _parts(level)
+        last = parts.isEmpty()
+        dealt = level.join(F.broadcast(parts), F.col("source").eqNullSafe(F.col("of")), "left").withColumn("salt", F.pmod(F.xxhash64("order"), F.coalesce("parts", F.lit(1))).cast("int")).drop("of", "parts")
+        dealt = dealt.repartition("source", "salt").sortWithinPartitions("source", "salt", "order", "doc_id", "size", "row_id")
+        level = staged(dealt.mapInPandas(_flight, _FIELDS), "flight")
         done.append(level.where("pi in (0, 1)"))
-        level = level.where("pi not in (0, 1)")
-        if n <= FLIGHT_ROWS:
+        level = level.where("pi not in (0, 1)").drop("salt")
+        if last:
             break
-        n = level.count()
-    done.append(_dealt(level, 1).mapInPandas(_landing, _FIELDS))
+    done.append(level.withColumn("salt", F.lit(0)).repartition("source").mapInPandas(_landing, _FIELDS))
     out = done[0]
     for d in done[1:]:
         out = out.union(d)
     out = out.join(by_source.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
     copies = F.col("base") + F.col("pi").cast("int")
-    return out.select(id_out("doc_id").alias("doc_id"), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "row_id")
+    return out.select(id_out("doc_id").alias("doc_id"), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "row_id", "key")
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:

@@ -66,6 +66,23 @@ def test_mix_edges(spark):
     assert mix_sources(docs.limit(0)).count() == 0
 
 
+def test_mix_of_many_sources(spark, monkeypatch):
+    """More sources than a flight could ever settle together, and one large source that flies in parts."""
+    from skyloom.llm import mixing
+
+    monkeypatch.setattr(mixing, "FLIGHT_ROWS", 1000)
+    rnd = random.Random(3)
+    rows = [(i, "w " * rnd.randrange(1, 30), f"s{i % 5200}.org") for i in range(62_400)] + [(None, "w " * rnd.randrange(1, 30), None) for _ in range(6000)]
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken, goal = Counter(), {}
+    for r in got:
+        assert r.taken in (0, r.size, 2 * r.size)
+        taken[r.source] += r.taken
+        goal[r.source] = r.target
+    assert len(got) == len(rows) and len(goal) == 5201
+    assert all(abs(taken[s] - goal[s]) <= 0.02 * goal[s] + 30 for s in goal)
+
+
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 49_407), st.integers(0, 2**64 - 1)), max_size=300))
 @settings(deadline=None)
 def test_simple8b(ids):
