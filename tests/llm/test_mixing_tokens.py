@@ -83,6 +83,16 @@ def test_mix_of_many_sources(spark, monkeypatch):
     assert all(abs(taken[s] - goal[s]) <= 0.02 * goal[s] + 30 for s in goal)
 
 
+def test_mixed_rows_of_one_id(spark):
+    """Rows of equal size without an id keep to their sources: each is taken as often as the mix says."""
+    from skyloom.llm.mixing import mixed
+
+    rows = [(None, f"{a} {i} w", s) for s, a in (("a", "x"), ("b", "y"), ("c", "z")) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    taken = Counter(r.source for r in mix_sources(docs).collect() for _ in range(r.copies))
+    assert Counter(r.source for r in mixed(docs).collect()) == taken
+
+
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 49_407), st.integers(0, 2**64 - 1)), max_size=300))
 @settings(deadline=None)
 def test_simple8b(ids):
