@@ -21,3 +21,8 @@ def safe_divide(a: Column, b: Column) -> Column:
 
 def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+
+def dot(a: Column, b: Column) -> Column:
+    """Sum of products of two arrays."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

@@ -1,7 +1,7 @@
 """Parameters on a named axis, and the operators' common shape.
 
-A parameter says by what it varies, so an operator can't take a row for a column: scalar, by frequency, by time or by cell. Tables of
-parameters are joined on their keys; Spark broadcasts those it knows to be small.
+A parameter says by what it varies, so an operator can't take a row for a column: scalar, by frequency, by time or by cell, or it is an
+expression of the cell's own columns. Tables of parameters are joined on their keys; Spark broadcasts those it knows to be small.
 """
 
 from __future__ import annotations
@@ -11,17 +11,26 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from skyloom.errors import SchemaError
 
 KEYS = ("recording_id", "time_idx", "freq_idx")
+#: Lists up to this long are literals in the plan; longer ones are tables.
+LITERALS = 32
+
+
+def indexed(values: Sequence, index: str, session) -> DataFrame:
+    """(index, value) of a list that the driver holds, as a table."""
+    kind = StructType().add(index, IntegerType()).add("value", DoubleType())
+    return session.createDataFrame([(i, float(v)) for i, v in enumerate(values)], kind)
 
 
 @dataclass(frozen=True)
 class Param:
-    """value: a number, a short list by index of the axis, or a table with the axis keys and `value`."""
+    """value: a number, a list by index of the axis, a table with the axis keys and `value`, or (axis expression) a column."""
 
-    value: float | Sequence[float] | DataFrame
+    value: float | Sequence[float] | DataFrame | Column
     axis: str = "scalar"
 
     @staticmethod
@@ -40,18 +49,27 @@ class Param:
     def per_cell(x) -> Param:
         return Param(x, "cell")
 
+    @staticmethod
+    def expression(x: Column) -> Param:
+        return Param(x, "expression")
+
     def attach(self, cells: DataFrame, name: str) -> tuple[DataFrame, Column]:
         """cells with what the parameter needs, and its column."""
+        if self.axis == "expression":
+            return cells, self.value
         if self.axis == "scalar":
             return cells, F.lit(float(self.value))
-        if not isinstance(self.value, DataFrame):
+        table = self.value
+        if not isinstance(table, DataFrame):
             index = {"freq": "freq_idx", "time": "time_idx"}[self.axis]
-            return cells, F.element_at(F.array(*(F.lit(float(v)) for v in self.value)), F.col(index).cast("int") + 1)
+            if len(table) <= LITERALS:
+                return cells, F.element_at(F.array(*(F.lit(float(v)) for v in table)), F.col(index).cast("int") + 1)
+            table = indexed(table, index, cells.sparkSession)
         want = {"freq": ("freq_idx",), "time": ("time_idx",), "cell": ("time_idx", "freq_idx")}[self.axis]
-        on = [k for k in ("recording_id", *want) if k in self.value.columns]
+        on = [k for k in ("recording_id", *want) if k in table.columns]
         if missing := set(want) - set(on):
             raise SchemaError(f"a parameter by {self.axis} needs {sorted(missing)}")
-        side = self.value.select(*on, F.col("value").cast("double").alias(name))
+        side = table.select(*on, F.col("value").cast("double").alias(name))
         return cells.join(side, on, "left"), F.col(name)
 
 

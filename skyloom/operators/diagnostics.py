@@ -1,4 +1,4 @@
-"""What the data can tell: identifiability, reduced bases, Jeffreys' prior, and where a systematic floor ends the gain of more epochs.
+"""What the data can tell: identifiability, Jeffreys' prior, and where a systematic floor ends the gain of more epochs.
 
 All start from the triangle of a matrix with many rows, which partitions compress side by side (see evidence); what reaches the driver
 is one triangle as wide as the parameters. Nothing is squared on the way, so ranks hold down to the precision of numbers.
@@ -14,16 +14,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.errors import ParameterError
-from skyloom.operators.evidence import combine, compress
+from skyloom.operators.evidence import matrices
+from skyloom.operators.linear import factor_of
+from skyloom.operators.uncertainty import fisher_information
+from skyloom.plans.space import Forward
 
 
 def jacobian_triangle(rows: DataFrame, columns: list[str], sigma: Column | float = 1.0) -> np.ndarray:
     """R with R'R = J' N^-1 J for the rows' columns J; rows whose sigma is null or infinite count for nothing."""
     s = sigma if isinstance(sigma, Column) else F.lit(float(sigma))
-    slim = rows.select(*columns, s.alias("_sigma"), F.lit(0.0).alias("_zero"), F.pmod(F.xxhash64(*columns), F.lit(64)).cast("string").alias("_part"))
-    total = combine(compress(slim, "_part", columns, "_zero", "_sigma"), None).first()
-    n = len(columns)
-    return np.zeros((n, n)) if total is None else np.reshape(total["r"], (n, n))
+    slim = rows.select(*columns, s.alias("_sigma"), F.lit(0.0).alias("_zero"))
+    return matrices(factor_of(slim, columns, "_zero", "_sigma"))[0]
 
 
 @dataclass(frozen=True)
@@ -51,51 +52,58 @@ class Identifiability:
 
 def identifiability(rows: DataFrame, columns: list[str], sigma: Column | float = 1.0, rtol: float = 1e-8) -> Identifiability:
     """Of the Jacobian with its columns scaled to length one; a column of zeros is never identified."""
-    r = jacobian_triangle(rows, columns, sigma)
+    return _identified(jacobian_triangle(rows, columns, sigma), tuple(columns), rtol)
+
+
+def _identified(r: np.ndarray, columns: tuple[str, ...], rtol: float) -> Identifiability:
     length = np.linalg.norm(r, axis=0)
     _, s, v = np.linalg.svd(r / np.where(length > 0, length, 1.0))
-    return Identifiability(tuple(columns), s, v, int((s > rtol * s.max(initial=0.0)).sum()) if s.max(initial=0.0) > 0 else 0)
+    return Identifiability(columns, s, v, int((s > rtol * s.max(initial=0.0)).sum()) if s.max(initial=0.0) > 0 else 0)
+
+
+def plan_identifiability(forward: Forward, names: list[str] | None = None, at: np.ndarray | None = None, rtol: float = 1e-8) -> Identifiability:
+    """Of the latents of a plan: their Jacobian's columns over the cells. Latents that are rows count by element."""
+    j, _ = forward.jacobian(names, at)
+    space = forward.space
+    some = [n for n in space.names if names is None or n in names]
+    labels = [n if space.latent(n).width == 1 else f"{n}[{i}]" for n in some for i in range(space.latent(n).width)]
+    rows = forward.cells.select(j.alias("_j"), F.lit(0.0).alias("_y"), F.lit(1.0).alias("_s"))
+    return _identified(matrices(factor_of(rows, "_j", "_y", "_s", width=len(labels)))[0], tuple(labels), rtol)
 
 
 def jeffreys_half_log_det(rows: DataFrame, columns: list[str], sigma: Column | float = 1.0, rank_rtol: float = 1e-8) -> float:
     """Half the logarithm of the determinant of the information on the columns' parameters; refuses a singular one."""
-    s = np.linalg.svd(jacobian_triangle(rows, columns, sigma), compute_uv=False)
+    return _half_log_det(jacobian_triangle(rows, columns, sigma), rank_rtol)
+
+
+def _half_log_det(r: np.ndarray, rank_rtol: float) -> float:
+    s = np.linalg.svd(r, compute_uv=False)
     if s.min(initial=np.inf) <= rank_rtol * s.max(initial=0.0):
         raise ParameterError("the information is singular: Jeffreys' prior isn't defined")
     return float(np.log(s).sum())
 
 
 @dataclass(frozen=True)
-class ReducedBasis:
-    channels: tuple[str, ...]
-    #: Orthonormal in whitened data: a row for each member.
-    members: np.ndarray
-    sigma: np.ndarray
-    #: Share of the bank's whitened power outside the basis.
-    lost: float
-
-    def coefficients(self, rows: DataFrame, name: str = "c") -> DataFrame:
-        """rows with name0, name1, ...: their whitened channels along each member."""
-        white = [F.col(c) / float(s) for c, s in zip(self.channels, self.sigma)]
-        return rows.withColumns({f"{name}{k}": sum((w * float(m) for w, m in zip(white, row)), F.lit(0.0)) for k, row in enumerate(self.members)})
-
-    def residual_fraction(self, rows: DataFrame) -> Column:
-        """Share of a row's whitened power that the basis leaves; null for a row of zeros."""
-        white = [F.col(c) / float(s) for c, s in zip(self.channels, self.sigma)]
-        power = sum((w * w for w in white), F.lit(0.0))
-        kept = sum(((x := sum((w * float(m) for w, m in zip(white, row)), F.lit(0.0))) * x for row in self.members), F.lit(0.0))
-        return F.when(power > 0, F.greatest(F.lit(0.0), 1 - kept / power))
-
-
-def reduced_basis(bank: DataFrame, channels: list[str], n_basis: int, sigma: list[float] | None = None) -> ReducedBasis:
-    """The n_basis directions that keep most of a bank of spectra, whitened by the noise of each channel."""
-    s = np.ones(len(channels)) if sigma is None else np.asarray(sigma, float)
-    white = bank.select(*((F.col(c) / float(x)).alias(c) for c, x in zip(channels, s)))
-    _, values, v = np.linalg.svd(jacobian_triangle(white, channels))
-    rank = int((values > math.sqrt(np.finfo(float).eps) * values.max(initial=0.0)).sum())
-    if not 0 < n_basis <= rank:
-        raise ParameterError(f"{n_basis} members of a bank of rank {rank}")
-    return ReducedBasis(tuple(channels), v[:n_basis], s, float((values[n_basis:] ** 2).sum() / (values**2).sum()))
+class JeffreysPrior:
+    """Over some latents of a plan under a noise model: the root of the determinant of their information, the others held."""
+
+    forward: Forward
+    noise: object
+    over: tuple[str, ...]
+    rank_rtol: float = 1e-8
+
+    def information(self, at: np.ndarray | None = None) -> np.ndarray:
+        return fisher_information(self.forward, self.noise, list(self.over), at).value
+
+    def log_density(self, at: np.ndarray | None = None) -> float:
+        """Up to a constant. Eigenvalues under the floor count as the floor, so that the density stays finite."""
+        s = np.linalg.eigvalsh(self.information(at))
+        return 0.5 * float(np.log(np.maximum(s, self.rank_rtol**2 * s.max())).sum())
+
+    def check_identified(self, at: np.ndarray | None = None) -> None:
+        s = np.linalg.eigvalsh(self.information(at))
+        if s.min() <= self.rank_rtol**2 * s.max():
+            raise ParameterError(f"{list(self.over)} aren't all identified")
 
 
 def systematic_floor(fisher: np.ndarray, n_epochs: int, floor: float) -> tuple[float, int]:

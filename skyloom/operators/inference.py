@@ -1,7 +1,9 @@
-"""Noise models, likelihoods, linear-Gaussian estimates and diagnostics as expressions and aggregates."""
+"""Noise models, likelihoods and diagnostics as expressions and aggregates."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +25,86 @@ def inverse_variance(sigma: Column) -> Column:
     return F.when(finite(sigma), 1 / (sigma * sigma)).otherwise(0.0)
 
 
+@dataclass(frozen=True)
+class Homoscedastic:
+    """One spread for all cells, or a column of them."""
+
+    sigma: float | Column
+
+    def std(self, prediction: Column) -> Column:
+        return self.sigma if isinstance(self.sigma, Column) else F.lit(float(self.sigma))
+
+    def log_slope(self, prediction: Column) -> Column:
+        """The derivative of the logarithm of the spread with respect to the prediction."""
+        return F.lit(0.0)
+
+
+@dataclass(frozen=True)
+class Radiometer:
+    """A spread in proportion to the prediction."""
+
+    channel_width: float
+    integration_time: float
+    floor: float = 0.0
+
+    def __post_init__(self):
+        if not (self.channel_width > 0 and self.integration_time > 0 and self.floor >= 0):
+            raise ParameterError("a radiometer has a width and a time above zero")
+
+    def std(self, prediction: Column) -> Column:
+        return radiometer_noise(prediction, self.channel_width, self.integration_time, self.floor)
+
+    def log_slope(self, prediction: Column) -> Column:
+        return F.when(F.abs(prediction) > self.floor, 1 / F.when(prediction != 0, prediction)).otherwise(0.0)
+
+
+@dataclass(frozen=True)
+class Flagged:
+    """Another model, with no information where a column says so."""
+
+    base: Homoscedastic | Radiometer
+    flag: Column
+
+    def std(self, prediction: Column) -> Column:
+        return flagged_noise(self.base.std(prediction), self.flag)
+
+    def log_slope(self, prediction: Column) -> Column:
+        return self.base.log_slope(prediction)
+
+
+def noise_model(noise, flag: Column | None = None):
+    """A number, a column or a model, as a model; with flags where there are any."""
+    plain = isinstance(noise, (Column, int, float))
+    model = Homoscedastic(noise if isinstance(noise, Column) else float(noise)) if plain else noise
+    return model if flag is None else Flagged(model, flag)
+
+
+def minimised(loss):
+    """Marks a loss as one that gets smaller as the fit gets better."""
+    loss.sense = "minimise"
+    return loss
+
+
+def maximised(loss):
+    loss.sense = "maximise"
+    return loss
+
+
+def sense_of(loss) -> str:
+    sense = getattr(loss, "sense", None)
+    if sense is None:
+        raise ParameterError("a loss says whether it is minimised or maximised")
+    return sense
+
+
+def check_same_cells(prediction: DataFrame, observed: DataFrame, keys: list[str]) -> None:
+    """Refuses observations that aren't those of the prediction's cells, each once."""
+    both = prediction.select(*keys, F.lit(1).alias("p"), F.lit(0).alias("o")).unionByName(observed.select(*keys, F.lit(0).alias("p"), F.lit(1).alias("o")))
+    if odd := both.groupBy(*keys).agg(F.sum("p").alias("p"), F.sum("o").alias("o")).where("p <> 1 or o <> 1").head():
+        raise ParameterError(f"cell {[odd[k] for k in keys]} is predicted {odd['p']} times and observed {odd['o']} times")
+
+
+@maximised
 def log_likelihood(prediction: Column, observed: Column, sigma: Column, include_logdet: bool = True) -> Column:
     """An aggregate: the Gaussian log density over the cells with finite sigma."""
     r = (observed - prediction) / sigma
@@ -30,6 +112,7 @@ def log_likelihood(prediction: Column, observed: Column, sigma: Column, include_
     return -0.5 * F.coalesce(F.sum(F.when(finite(sigma), one)), F.lit(0.0))
 
 
+@minimised
 def mean_squared_error(prediction: Column, observed: Column) -> Column:
     return F.avg(F.pow(prediction - observed, 2))
 
@@ -44,58 +127,15 @@ def normal_matrix(rows: DataFrame, columns: list[str], y: str, weight: Column, b
     return out.select(*by, F.explode(long).alias("e")).select(*by, "e.*")
 
 
-def _dense(rows, n: int) -> tuple[np.ndarray, np.ndarray]:
-    m = np.zeros((n + 1, n + 1))
-    for r in rows:
-        m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["value"]
-    return m[:n, :n], m[:n, n]
-
-
-def wiener_solve(rows: DataFrame, columns: list[str], y: str, weight: Column, prior_std: float | None = None, prior_mean: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and covariance of the coefficients. The driver gets one number for each pair of columns."""
-    n = len(columns)
-    a, b = _dense(normal_matrix(rows, columns, y, weight).collect(), n)
-    if prior_std is not None:
-        a = a + np.eye(n) / prior_std**2
-        b = b + prior_mean / prior_std**2
-    if np.linalg.matrix_rank(a) < n:
-        raise ParameterError("the data and the prior don't determine all coefficients")
-    return np.linalg.solve(a, b), np.linalg.inv(a)
-
-
-def gcr_draws(mean: np.ndarray, cov: np.ndarray, n: int, seed: int) -> np.ndarray:
-    """Draws of the posterior that wiener_solve found."""
-    return mean + np.random.default_rng(seed).normal(size=(n, len(mean))) @ np.linalg.cholesky(cov).T
-
-
-def iterative_gls(rows: DataFrame, columns: list[str], y: str, sigma_of, tol: float = 1e-8, most: int = 100) -> tuple[np.ndarray, int]:
-    """Reweights until the coefficients stay: sigma_of turns a prediction column into the noise column. One aggregate a turn."""
-    x, _ = wiener_solve(rows, columns, y, F.lit(1.0))
-    for turn in range(1, most + 1):
-        mu = sum((F.col(c) * float(v) for c, v in zip(columns, x)), F.lit(0.0))
-        new, _ = wiener_solve(rows, columns, y, inverse_variance(sigma_of(mu)))
-        if np.linalg.norm(new - x) <= tol * np.linalg.norm(new):
-            return new, turn
-        x = new
-    raise ParameterError(f"no convergence in {most} turns")
-
-
-def identifiability(gram: np.ndarray, rtol: float = 1e-8) -> dict:
-    """Rank, nullity and null directions of a design by the singular values of its column-normalised factor (R of a QR, not a Gram matrix)."""
-    norm = np.linalg.norm(gram, axis=0)
-    _, s, v = np.linalg.svd(gram / np.where(norm > 0, norm, 1.0))
-    rank = int((s > rtol * s.max(initial=0)).sum())
-    return {"rank": rank, "nullity": gram.shape[1] - rank, "directions": v[rank:]}
-
-
 def split_rhat(draws: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
-    """by, rhat: between and within the two halves of each trace; the middle draw of an odd number goes."""
+    """by, rhat: between and within the two halves of each trace; the middle draw of an odd number goes. Under four draws there is none."""
     whole = Window.partitionBy(*by)
     d = draws.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(order))).withColumn("_n", F.count("*").over(whole))
     half = F.floor(F.col("_n") / 2)
     d = d.withColumn("_h", F.when(F.col("_i") <= half, 0).when(F.col("_i") > F.col("_n") - half, 1)).where("_h is not null")
     h = d.groupBy(*by, "_h").agg(F.avg(value).alias("m"), F.var_samp(value).alias("v"), F.count("*").alias("n"))
-    return h.groupBy(*by).agg(F.sqrt(((F.first("n") - 1) / F.first("n") * F.avg("v") + F.var_samp("m")) / F.avg("v")).alias("rhat"))
+    enough = F.first("n") >= 2
+    return h.groupBy(*by).agg(F.when(enough, F.sqrt(((F.first("n") - 1) / F.first("n") * F.avg("v") + F.var_samp("m")) / F.avg("v"))).alias("rhat"))
 
 
 def epoch_residuals(epochs: DataFrame) -> DataFrame:
@@ -107,19 +147,20 @@ def coherent_mode(epochs: DataFrame) -> DataFrame:
     return epochs.agg(F.avg("chi2").alias("mean_chi2"), ((F.sum("chi2") - F.sum("dof")) / F.sqrt(2 * F.sum("dof"))).alias("chi2_z"), F.count("*").alias("n"))
 
 
-def shrinkage_power(points: DataFrame) -> Column:
-    return F.regr_slope(F.log("sigma"), F.log("n"))
+def coherent_templates(epochs: DataFrame) -> DataFrame:
+    """template, mean, std (of the population), n, z: whether the epochs' residuals along each template (map templates) pull one way."""
+    along = epochs.select(F.explode("templates").alias("template", "value"))
+    out = along.groupBy("template").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("*").alias("n"))
+    return out.withColumn("z", F.col("mean") * F.sqrt("n"))
+
 
+def shrinkage_power(points: DataFrame, n: str = "n", sigma: str = "sigma") -> DataFrame:
+    """One row, slope: the power of n with which sigma shrinks; -0.5 if errors average down."""
+    return points.where(f"{n} > 0 and {sigma} > 0").agg(F.regr_slope(F.log(sigma), F.log(n)).alias("slope"))
 
-def held_out_z(epochs: DataFrame) -> DataFrame:
-    """For epochs of one unknown (epoch_id, precision, shift, chi2_at_zero, n): z of each epoch's data under what all others say.
 
-    Totals less own; two sums for all epochs are one aggregate, joined back as two literals.
-    """
-    total = epochs.agg(F.sum("precision").alias("p"), F.sum("shift").alias("s")).first()
-    p, s = F.lit(total.p) - F.col("precision"), F.lit(total.s) - F.col("shift")
-    mean, var = s / p, 1 / p
-    # residual of the epoch's estimate against the others' mean
-    own = F.col("shift") / F.col("precision")
-    chi2 = F.col("chi2_at_zero") - F.col("precision") * own * own + (own - mean) * (own - mean) / (1 / F.col("precision") + var)
-    return epochs.select("epoch_id", chi2.alias("chi2"), ((chi2 - F.col("n")) / F.sqrt(2 * F.col("n"))).alias("z"))
+def shrinkage_report(points: DataFrame, by: list[str], tolerance: float = 0.1) -> DataFrame:
+    """by, slope, points, averages: for each group whether sigma falls as the root of n does, within the tolerance."""
+    good = points.where("n > 0 and sigma > 0")
+    out = good.groupBy(*by).agg(F.regr_slope(F.log("sigma"), F.log("n")).alias("slope"), F.count("*").alias("points"))
+    return out.withColumn("averages", F.abs(F.col("slope") + 0.5) <= tolerance)

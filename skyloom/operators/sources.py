@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.errors import MissingSeedError, ParameterError
 from skyloom.functions.random import uniform
 from skyloom.operators.base import KEYS, Param, Source
+from skyloom.operators.projection import forward
 
 
 @dataclass(frozen=True)
@@ -122,22 +124,28 @@ class CalLoad(Source):
 
 @dataclass(frozen=True)
 class BasisTemperature(Source):
-    """Sum over k and j of time basis k, coefficient (k, j) and frequency basis j: bases as columns of the cell's indices."""
+    """Sum over k and j of time basis k, coefficient (k, j) and frequency basis j.
 
-    coeff: tuple[tuple[float, ...], ...]
-    time_basis: tuple[tuple[float, ...], ...]  # [time_idx][k]
-    freq_basis: tuple[tuple[float, ...], ...]  # [freq_idx][j]
+    The bases are matrices ([time_idx][k], [freq_idx][j]) or tables (index, b array<double>), joined on the cell's indices. coeff is a
+    matrix, or a column of its numbers row by row.
+    """
+
+    coeff: Sequence[Sequence[float]] | Param
+    time_basis: Sequence[Sequence[float]] | DataFrame
+    freq_basis: Sequence[Sequence[float]] | DataFrame
     node = "t_sys_extra"
 
-    def column(self, p):
-        def at(rows, index, j):
-            return F.element_at(F.array(*(F.lit(float(r[j])) for r in rows)), F.col(index).cast("int") + 1)
+    def attach(self, cells, prefix):
+        for name, index, rows in (("bt", "time_idx", self.time_basis), ("bf", "freq_idx", self.freq_basis)):
+            if not isinstance(rows, DataFrame):
+                rows = cells.sparkSession.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rows)], f"{index} int, b array<double>")
+            cells = cells.join(rows.select(index, F.col("b").alias(f"_{prefix}_{name}")), index, "left")
+        flat = self.coeff.value if isinstance(self.coeff, Param) else F.array(*(F.lit(float(c)) for row in self.coeff for c in row))
+        return cells, {"c": flat, "bt": F.col(f"_{prefix}_bt"), "bf": F.col(f"_{prefix}_bf")}
 
-        total = F.lit(0.0)
-        for k, row in enumerate(self.coeff):
-            for j, c in enumerate(row):
-                total = total + at(self.time_basis, "time_idx", k) * float(c) * at(self.freq_basis, "freq_idx", j)
-        return total
+    def column(self, p):
+        outer = F.flatten(F.transform(p["bt"], lambda t: F.transform(p["bf"], lambda f: t * f)))
+        return F.aggregate(F.zip_with(p["c"], outer, lambda c, x: c * x), F.lit(0.0), lambda a, x: a + x)
 
 
 @dataclass(frozen=True)
@@ -148,5 +156,10 @@ class ObservedSky(Source):
     node = "observed_astro_sky"
     params = ("sky",)
 
+    @staticmethod
+    def of(model: DataFrame, matrix: DataFrame) -> ObservedSky:
+        """A sky model (freq_idx, pix, value) through a projection matrix (see projection)."""
+        return ObservedSky(Param.per_cell(forward(matrix, model)))
+
     def column(self, p):
         return p["sky"]

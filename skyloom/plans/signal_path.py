@@ -5,6 +5,7 @@ Sources and transforms up to the digitiser are column expressions, so Catalyst s
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from skyloom.errors import AmbiguousNodeError, PlanError
 from skyloom.operators.base import Operator, Stage, Transform
 from skyloom.operators.transforms import Snapshot
+from skyloom.plans.graph import SignalGraph, register_graph
 
 # Nodes of the path in order (kind; * allows several instances), and what each feeds.
 NODES = {
@@ -51,18 +53,24 @@ NODES = {
     "filters": ("transform*", None),
 }
 PROCESSING = ("flagging", "averaging", "apply_cal", "filters")
-_FEEDS: dict[str, list[str]] = {}
-for _n, (_, _to) in NODES.items():
-    _FEEDS.setdefault(_to, []).append(_n)
+RECEIVER = register_graph(SignalGraph("receiver", {n: kind for n, (kind, _) in NODES.items()}, tuple((n, to) for n, (_, to) in NODES.items() if to)))
 
 
 @dataclass(frozen=True)
 class At:
-    """An operator at a node other than its own."""
+    """An operator at a node other than its own, or at a path of nodes that follow each other, in place of all of them."""
 
-    node: str
+    place: str | tuple[str, ...]
     operator: Operator
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        return (self.place,) if isinstance(self.place, str) else tuple(self.place)
+
+    @property
+    def node(self) -> str:
+        return self.path[0]
+
 
 def add(branches: list[Column]) -> Column:
     """The junction: branches summed in order."""
@@ -93,6 +101,36 @@ class Assembly:
     def skipped(self) -> list[str]:
         return [n for n, (kind, _) in NODES.items() if n not in self.placed and kind not in ("sum", "switch")]
 
+    @property
+    def sourced(self) -> bool:
+        return any(NODES[n][0].startswith("source") for n in self.placed)
+
+    def instances(self, node: str) -> list[Operator]:
+        return list(self.placed.get(node, ()))
+
+    def _branches(self, node: str) -> int:
+        """Live branches that a node gives: a source as many as it has, others one if a source is anywhere before them."""
+        kind = NODES[node][0]
+        if kind.startswith("source"):
+            return len(self.placed.get(node, ()))
+        n = sum(self._branches(x) for x in RECEIVER.feeds(node))
+        return min(n, 1)
+
+    @property
+    def materialized(self) -> list[str]:
+        """Junctions and switches that more than one live branch meets."""
+        return [n for n, (kind, _) in NODES.items() if kind in ("sum", "switch") and sum(map(self._branches, RECEIVER.feeds(n))) > 1]
+
+    @property
+    def aliased(self) -> dict[str, str]:
+        """Junctions and switches that a single branch passes, and whose it is."""
+        out = {}
+        for n, (kind, _) in NODES.items():
+            live = [x for x in RECEIVER.feeds(n) for _ in range(self._branches(x))] if kind in ("sum", "switch") else []
+            if len(live) == 1:
+                out[n] = live[0]
+        return out
+
     def __getitem__(self, node: str) -> Operator:
         ops = self.placed.get(node) or []
         if not ops:
@@ -109,17 +147,22 @@ class Assembly:
         self[node]
         return assemble(*(At(node, operator) if _node(o) == node else o for o in self.order))
 
-    def __call__(self, cells: DataFrame, until: str | None = None) -> DataFrame:
-        """cells needs recording_id, time_idx, freq_idx, time_s, freq_hz, and t_ambient or receiver_input where operators read them.
-
-        With a source in the plan `data` is made; without one it is what the transforms work on. until: the last node to apply.
-        """
-        sourced = any(NODES[n][0].startswith("source") for n in self.placed)
-        if sourced and "data" in cells.columns:
-            raise PlanError("a plan with sources makes its own data")
-        if not sourced and "data" not in cells.columns:
-            raise PlanError("a plan without sources needs data")
-        keep = list(cells.columns)
+    def replace_field(self, node: str, index: int, name: str, value) -> Assembly:
+        """The same plan with one field of one operator changed."""
+        found = self.instances(node)
+        if not 0 <= index < len(found) or name not in found[index].params + tuple(f.name for f in dataclasses.fields(found[index])):
+            raise PlanError(f"no field {node}[{index}].{name}")
+        new, seen, order = dataclasses.replace(found[index], **{name: value}), 0, []
+        for o in self.order:
+            if _node(o) == node:
+                order.append((At(o.place, new) if isinstance(o, At) else new) if seen == index else o)
+                seen += 1
+            else:
+                order.append(o)
+        return assemble(*order)
+
+    def expression(self, cells: DataFrame, until: str = "adc") -> tuple[DataFrame, Column, dict[str, Column]]:
+        """cells with what the operators up to `until` read, the signal there as a column of them, and the snapshots on the way."""
         params: dict[int, dict[str, Column]] = {}
         for i, (node, op) in enumerate((n, o) for n in NODES for o in self.placed.get(n, ())):
             if not isinstance(op, Stage):
@@ -139,7 +182,7 @@ class Assembly:
             kind = NODES[node][0]
             if kind.startswith("source"):
                 return [op.column(params[id(op)]) for op in self.placed.get(node, ())]
-            branches = [b for n in _FEEDS.get(node, ()) for b in value(n)]
+            branches = [b for n in RECEIVER.feeds(node) for b in value(n)]
             if not branches:
                 return []
             if kind == "sum":
@@ -148,16 +191,28 @@ class Assembly:
                 return [branches[0] if len(branches) == 1 else select(F.col("receiver_input"), branches)]
             return [through(node, branches[0])]
 
+        if self.sourced:
+            return cells, value(until)[0], snaps
+        data = F.col("data")
         trunk = [n for n, (kind, _) in NODES.items() if kind == "transform" and n not in PROCESSING]
-        last = until if until in trunk else "adc"
-        if sourced:
-            data = value(last)[0]
-        else:
-            data = F.col("data")
-            for n in trunk[: trunk.index(last) + 1]:
-                data = through(n, data)
-        out = cells.select(*(c for c in keep if c != "data"), data.alias("data"), *(c.alias(f"snap_{n}") for n, c in snaps.items()))
-        if until in trunk:
+        for n in trunk[: trunk.index(until) + 1]:
+            data = through(n, data)
+        return cells, data, snaps
+
+    def __call__(self, cells: DataFrame, until: str | None = None) -> DataFrame:
+        """cells needs recording_id, time_idx, freq_idx, time_s, freq_hz, and t_ambient or receiver_input where operators read them.
+
+        With a source in the plan `data` is made; without one it is what the transforms work on. until: the last node to apply.
+        """
+        if self.sourced and "data" in cells.columns:
+            raise PlanError("a plan with sources makes its own data")
+        if not self.sourced and "data" not in cells.columns:
+            raise PlanError("a plan without sources needs data")
+        keep = [c for c in cells.columns if c != "data"]
+        early = until is not None and until not in PROCESSING and NODES[until][0] == "transform"
+        wide, data, snaps = self.expression(cells, until if early else "adc")
+        out = wide.select(*keep, data.alias("data"), *(c.alias(f"snap_{n}") for n, c in snaps.items()))
+        if early:
             return out
         for n in PROCESSING:
             for op in self.placed.get(n, ()):
@@ -166,6 +221,12 @@ class Assembly:
                 break
         return out
 
+    def to_mermaid(self) -> str:
+        return RECEIVER.to_mermaid(set(self.lit))
+
+    def to_html(self) -> str:
+        return RECEIVER.to_html(set(self.lit))
+
 
 def _node(o: Operator | At) -> str | None:
     return o.node
@@ -174,35 +235,86 @@ def _node(o: Operator | At) -> str | None:
 def assemble(*operators: Operator | At) -> Assembly:
     """Place operators on the path: in any order, each at its own node or where At says. Refuses what has no place, or too many there."""
     placed: dict[str, list[Operator]] = {}
+    taken: dict[str, str] = {}
     for o in operators:
         op = o.operator if isinstance(o, At) else o
-        node = _node(o)
+        path = o.path if isinstance(o, At) else (o.node,)
+        node = path[0]
         if node not in NODES:
             raise PlanError(f"{type(op).__name__} has no node of its own; place it with At" if node is None else f"no node {node}")
+        for a, b in zip(path, path[1:]):
+            if (a, b) not in RECEIVER.edges:
+                raise PlanError(f"{b} doesn't follow {a}")
         kind = NODES[node][0]
-        if op.kind != kind.rstrip("*"):
+        if any(op.kind != NODES[n][0].rstrip("*") for n in path):
             raise PlanError(f"{node} takes a {kind.rstrip('*')}, not {type(op).__name__}")
         if isinstance(op, Stage) != (node in PROCESSING) and not isinstance(op, Transform):
             raise PlanError(f"{type(op).__name__} can't stand at {node}")
         placed.setdefault(node, []).append(op)
         if len(placed[node]) > 1 and not kind.endswith("*"):
             raise PlanError(f"{node} takes one operator")
+        for n in path[1:]:
+            taken[n] = type(op).__name__
         late = [p for p in op.precedes if list(NODES).index(node) >= list(NODES).index(p)]
         if late:
             raise PlanError(f"{type(op).__name__} must stand before {late}")
+    if both := sorted(set(taken) & set(placed)):
+        raise PlanError(f"{taken[both[0]]} already stands for {both}")
     if not placed:
         raise PlanError("a plan needs an operator")
     return Assembly(placed, list(operators))
 
 
-def pipeline(*steps: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], list[DataFrame]]:
-    """Steps in turn; gives the table after each, lazily, so that those not used cost nothing."""
-
-    def run(cells: DataFrame) -> list[DataFrame]:
+class Pipeline:
+    """Steps in turn, by name. A step is a stage or any function of a DataFrame; names that repeat are numbered."""
+
+    def __init__(self, *steps: Callable[[DataFrame], DataFrame], names: list[str] | None = None):
+        if not steps:
+            raise PlanError("a pipeline needs a step")
+        plain = list(names) if names is not None else [getattr(s, "node", None) or getattr(s, "__name__", type(s).__name__) for s in steps]
+        if len(plain) != len(steps) or (names is not None and len(set(plain)) < len(plain)):
+            raise PlanError("a name for each step, and each its own")
+        seen: dict[str, int] = {}
+        self.names = []
+        for n in plain:
+            seen[n] = seen.get(n, 0) + 1
+            self.names.append(n if seen[n] == 1 else f"{n}_{seen[n]}")
+        self.steps = list(steps)
+        for i, s in enumerate(steps):
+            if late := [t.node for t in steps[:i] if getattr(t, "node", None) in getattr(s, "precedes", ())]:
+                raise PlanError(f"{type(s).__name__} must stand before {late}")
+
+    def __len__(self) -> int:
+        return len(self.steps)
+
+    def __iter__(self):
+        return iter(self.steps)
+
+    def __getitem__(self, name: str | int):
+        return self.steps[name if isinstance(name, int) else self._index(name)]
+
+    def _index(self, name: str) -> int:
+        if name not in self.names:
+            raise PlanError(f"no step {name}")
+        return self.names.index(name)
+
+    def replace_stage(self, name: str, step: Callable[[DataFrame], DataFrame]) -> Pipeline:
+        i = self._index(name)
+        return Pipeline(*self.steps[:i], step, *self.steps[i + 1 :], names=self.names)
+
+    def run_with_intermediates(self, cells: DataFrame) -> list[DataFrame]:
+        """The table after each step, lazily, so that those not used cost nothing."""
         out = []
-        for step in steps:
+        for step in self.steps:
             cells = step(cells)
             out.append(cells)
         return out
 
-    return run
+    def __call__(self, cells: DataFrame) -> DataFrame:
+        return self.run_with_intermediates(cells)[-1]
+
+
+def stages_requiring_seed(plan: Assembly | Pipeline) -> list[str]:
+    """Names of the operators that draw random numbers."""
+    named = [(n, o) for n in plan.placed for o in plan.placed[n]] if isinstance(plan, Assembly) else zip(plan.names, plan.steps)
+    return [n for n, o in named if getattr(o, "random", False)]

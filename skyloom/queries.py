@@ -1,7 +1,7 @@
 """Queries of the library's own operators on the driver's tables, each with the DuckDB SQL that must give the same rows.
 
-The waterfall is that of `events`: 720 hours from 2024-01-01 by five event types as channels of 60 to 80 MHz; a cell is the sum of
-the values in it. Numbers are rounded, as sums depend on their order.
+The waterfall is that of `events`: a recording for every 50 users, 720 hours from 2024-01-01 (all that the tables hold) by five event
+types as channels of 60 to 80 MHz; a cell is the sum of the values in it. Numbers are rounded, as sums depend on their order.
 """
 
 from __future__ import annotations
@@ -12,11 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.functions.random import normal, uniform
-from skyloom.operators import diagnostics, evidence, inference, processing, projection, sources, transforms
+from skyloom.operators import bases, processing, projection, sources, transforms
 from skyloom.operators.base import KEYS, Param
 from skyloom.plans.signal_path import At, assemble
-from skyloom.sources.joins import as_of, interpolate, observe
+from skyloom.sources.joins import as_of, interpolate
+from skyloom.sources.recording import recording
 
 # The channels.
 TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -34,10 +34,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def grid(spark: SparkSession, n_time: int = 720) -> DataFrame:
-    """Cells without data: every sample and channel."""
+def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(rec().alias("recording_id")).distinct()
+
+
+def rec() -> Column:
+    return F.concat(F.lit("r"), F.floor(F.col("user_id") / 50).cast("string"))
+
+
+def grid(spark: SparkSession, sf_dir: str, n_time: int = 720) -> DataFrame:
+    """Cells without data: every recording, sample and channel."""
     freqs = F.explode(F.array(*(F.struct(F.lit(i).alias("freq_idx"), F.lit(f).alias("freq_hz")) for i, f in enumerate(FREQ_HZ))))
-    t = spark.range(n_time).select(F.lit("events").alias("recording_id"), F.col("id").cast("int").alias("time_idx"))
+    t = recordings(spark, sf_dir).withColumn("time_idx", F.explode(F.sequence(F.lit(0), F.lit(n_time - 1))))
     t = t.withColumn("f", freqs).select("recording_id", "time_idx", "f.freq_idx", (F.col("time_idx") * 3600.0).alias("time_s"), "f.freq_hz")
     return t.withColumn("t_ambient", F.when(F.col("time_idx") % 3 > 0, 280.0 + F.col("time_idx") % 24)).withColumn("receiver_input", (F.col("time_idx") % 4).cast("int"))
 
@@ -48,17 +56,22 @@ def hour() -> Column:
 
 def waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.array_position(F.array(*(F.lit(t) for t in TYPES)), F.col("event_type")).cast("int") - 1
-    sums = table(spark, sf_dir, "events").groupBy(hour().alias("time_idx"), place.alias("freq_idx")).agg(F.sum("value").alias("data"))
-    return grid(spark).join(sums, ["time_idx", "freq_idx"], "left").withColumn("data", F.coalesce("data", F.lit(0.0)))
+    sums = table(spark, sf_dir, "events").groupBy(rec().alias("recording_id"), hour().alias("time_idx"), place.alias("freq_idx")).agg(F.sum("value").alias("data"))
+    return grid(spark, sf_dir).join(sums, list(KEYS), "left").withColumn("data", F.coalesce("data", F.lit(0.0)))
 
 
-GRID = "g as (select cast(t.t as int) as time_idx, cast(f.f as int) as freq_idx, t.t * 3600.0::double as time_s, (60e6 + 5e6 * f.f)::double as freq_hz, case when t.t % 3 > 0 then (280 + t.t % 24)::double end as t_ambient, cast(t.t % 4 as int) as receiver_input from range(720) t(t), range(5) f(f))"
-W = GRID + """, e as (select cast(date_diff('hour', timestamp '2024-01-01', date_trunc('hour', ts)) as int) as time_idx, cast(list_position(['click','error','purchase','signup','view'], event_type) - 1 as int) as freq_idx, sum(value) as data from events group by 1, 2),
-w as (select g.*, coalesce(e.data, 0)::double as data from g left join e using (time_idx, freq_idx))"""
+_REC = "'r' || (user_id // 50)"
+GRID = f"""n as (select distinct {_REC} as recording_id from events),
+g as (select n.recording_id, cast(t.t as int) as time_idx, cast(f.f as int) as freq_idx, t.t * 3600.0::double as time_s, (60e6 + 5e6 * f.f)::double as freq_hz,
+  case when t.t % 3 > 0 then (280 + t.t % 24)::double end as t_ambient, cast(t.t % 4 as int) as receiver_input from n, range(720) t(t), range(5) f(f))"""
+W = GRID + f""", e as (select {_REC} as recording_id, cast(date_diff('hour', timestamp '2024-01-01', date_trunc('hour', ts)) as int) as time_idx,
+  cast(list_position(['click','error','purchase','signup','view'], event_type) - 1 as int) as freq_idx, sum(value) as data from events group by 1, 2, 3),
+w as (select g.*, coalesce(e.data, 0)::double as data from g left join e using (recording_id, time_idx, freq_idx))"""
+K = "recording_id, time_idx, freq_idx"
 
 
 def cells(df: DataFrame, *more: str) -> DataFrame:
-    return df.select("time_idx", "freq_idx", (F.round("data", 5) + 0.0).alias("data"), *more)  # no negative zeros
+    return df.select(*KEYS, (F.round("data", 5) + 0.0).alias("data"), *more)  # no negative zeros
 
 
 def add(name: str, f: Callable[[SparkSession, str], DataFrame], sql: str | None) -> None:
@@ -68,11 +81,11 @@ def add(name: str, f: Callable[[SparkSession, str], DataFrame], sql: str | None)
 
 
 def on_grid(name: str, *ops, sql: str) -> None:
-    add(name, lambda s, d: cells(assemble(*ops)(grid(s))), f"with {GRID} select time_idx, freq_idx, round({sql}, 5) + 0.0 as data from g")
+    add(name, lambda s, d: cells(assemble(*ops)(grid(s, d))), f"with {GRID} select {K}, round({sql}, 5) + 0.0 as data from g")
 
 
 def on_waterfall(name: str, *ops, sql: str) -> None:
-    add(name, lambda s, d: cells(assemble(*ops)(waterfall(s, d))), f"with {W} select time_idx, freq_idx, round({sql}, 5) + 0.0 as data from w")
+    add(name, lambda s, d: cells(assemble(*ops)(waterfall(s, d))), f"with {W} select {K}, round({sql}, 5) + 0.0 as data from w")
 
 
 # --- sources -----------------------------------------------------------------
@@ -89,13 +102,17 @@ on_grid(
     sql="1.0::double + 0.5 * freq_idx * freq_idx + 0.25 * time_idx / 1024.0 - 2.0 * time_idx / 1024.0 * freq_idx * freq_idx",
 )
 MD5 = "(('0x' || substr(md5({text}), 1, 12))::bigint / pow(16, 12))"
-_CELL = "'{seed}:{name}:events:' || time_idx || ':' || freq_idx"
+_CELL = "'{seed}:{name}:' || recording_id || ':' || time_idx || ':' || freq_idx"
 on_grid("src_rfi_bernoulli", sources.Interference(2000.0, 0.01, seed=7), sql=f"case when {MD5.format(text=_CELL.format(seed=7, name='rfi'))} < 0.01 then 2000.0::double else 0 end")
 
 # --- transforms --------------------------------------------------------------
+_EFF = "(0.95::double + 0.01::double * freq_idx)"
 on_waterfall("trn_ionosphere", transforms.Ionosphere(0.013), sql="data * (1 + 0.013::double * pow(freq_hz / 75e6, -2))")
 on_waterfall("trn_beam_spill", transforms.BeamSpill(0.9, 290.0), sql="0.9::double * data + (1 - 0.9::double) * 290")
-on_waterfall("trn_antenna_loss", transforms.AntennaLoss(Param.per_freq([0.95, 0.96, 0.97, 0.98, 0.99]), 290.0), sql="(0.95::double + 0.01::double * freq_idx) * data + (1 - (0.95::double + 0.01::double * freq_idx)) * 290")
+on_waterfall(
+    "trn_antenna_loss", transforms.AntennaLoss(Param.per_freq([0.95, 0.96, 0.97, 0.98, 0.99]), 290.0),
+    sql=f"{_EFF} * data + (1 - {_EFF}) * 290",
+)
 on_waterfall("trn_bandpass", transforms.Bandpass(Param.per_freq(BAND)), sql="data * ([0.9, 1.0, 1.1, 1.05, 0.95])[freq_idx + 1]::double")
 on_waterfall("trn_gain", transforms.Gain(Param.per_time(GAIN)), sql="data * (1.0::double + 0.001::double * (time_idx % 100))")
 on_waterfall("trn_emi", transforms.PeriodicLines(5.0, 2), sql="data + case when freq_idx % 2 = 0 then 5.0 else 0 end")
@@ -105,28 +122,69 @@ on_waterfall("trn_noise", transforms.Noise(0.1, seed=11), sql=f"data + 0.1::doub
 add(
     "trn_cw_tone",
     lambda s, d: cells(assemble(transforms.Tone(40.0, 70e6, 5.5e6, "gaussian", drift_rate=0.5))(waterfall(s, d))),
-    f"with {W}, x as (select *, pow((freq_hz - (70e6 + 0.5 * time_s)) / 5.5e6, 2) as q from w), y as (select *, exp(-0.5 * (q - min(q) over (partition by time_idx))) as s from x) select time_idx, freq_idx, round(data + 40 * s / sum(s) over (partition by time_idx), 5) as data from y",
+    f"""with {W}, x as (select *, pow((freq_hz - (70e6 + 0.5 * time_s)) / 5.5e6, 2) as q from w),
+y as (select *, exp(-0.5 * (q - min(q) over (partition by recording_id, time_idx))) as s from x)
+select {K}, round(data + 40 * s / sum(s) over (partition by recording_id, time_idx), 5) as data from y""",
+)
+add(
+    "trn_cw_tone_sinc",
+    lambda s, d: cells(assemble(transforms.Tone(40.0, 70.3e6, 5.5e6, amplitude_drift_rate=1e-7))(waterfall(s, d))),
+    f"""with {W}, x as (select *, pi() * (freq_hz - 70.3e6) / 5.5e6 as q from w),
+y as (select *, case when q = 0 then 1 else pow(sin(q) / q, 2) end as s from x)
+select {K}, round(data + 40 * (1 + 1e-7::double * time_s) * s / sum(s) over (partition by recording_id, time_idx), 5) as data from y""",
+)
+_LAYERS = (([[0.8], [-1.1]], [0.1, 0.2]), ([[0.3, -0.2]], [0.05]))
+add(
+    "trn_neural",
+    lambda s, d: cells(assemble(At("noise", transforms.NeuralResponse(_LAYERS, 60e6, 80e6)))(waterfall(s, d))),
+    f"""with {W}, x as (select *, 2 * (freq_hz - 60e6) / 20e6 - 1 as x from w)
+select {K}, round(data * exp(0.05 + 0.3 * tanh(0.8 * x + 0.1) - 0.2 * tanh(-1.1 * x + 0.2)), 5) + 0.0 as data from x""",
+)
+add(
+    "trn_custom_snapshot",
+    lambda s, d: assemble(At("emi", transforms.Custom(lambda x: x * 2 + 1)), At("noise", transforms.Snapshot("raw")))(waterfall(s, d)).select(*KEYS, F.round("data", 5).alias("data"), F.round("snap_raw", 5).alias("raw")),
+    f"with {W} select {K}, round(data * 2 + 1, 5) as data, round(data, 5) as raw from w",
 )
 
 
 def _reflections(spark: SparkSession) -> DataFrame:
     x = spark.range(15).select((F.col("id") / 5).cast("int").alias("src"), (F.col("id") % 5).cast("int").alias("freq_idx"))
-    return x.select("src", "freq_idx", (0.1 * F.col("src") + 0.02 * F.col("freq_idx")).alias("gs_re"), (0.05 - 0.01 * F.col("freq_idx")).alias("gs_im"), F.lit(0.08).alias("gr_re"), F.lit(-0.03).alias("gr_im"))
+    return x.select(
+        "src", "freq_idx", (0.1 * F.col("src") + 0.02 * F.col("freq_idx")).alias("gs_re"), (0.05 - 0.01 * F.col("freq_idx")).alias("gs_im"),
+        F.lit(0.08).alias("gr_re"), F.lit(-0.03).alias("gr_im"),
+    )
 
 
 add(
     "trn_noise_wave",
-    lambda s, d: assemble(transforms.NoiseWave(50.0, 10.0, 5.0, 200.0, _reflections(s)))(waterfall(s, d)).select("time_idx", "freq_idx", F.when(~F.isnan("data"), F.round("data", 5)).alias("data")),
-    f"""with {W}, a as (select *, 0.1::double * receiver_input + 0.02::double * freq_idx as sr, 0.05::double - 0.01::double * freq_idx as si, 0.08::double as rr, -0.03::double as ri from w),
+    lambda s, d: assemble(transforms.NoiseWave(50.0, 10.0, 5.0, 200.0, _reflections(s)))(waterfall(s, d)).select(*KEYS, F.when(~F.isnan("data"), F.round("data", 5)).alias("data")),
+    f"""with {W},
+a as (select *, 0.1::double * receiver_input + 0.02::double * freq_idx as sr, 0.05::double - 0.01::double * freq_idx as si, 0.08::double as rr, -0.03::double as ri from w),
 b as (select *, 1 - (sr * rr - si * ri) as dr, -(sr * ri + si * rr) as di, sqrt(1 - (rr * rr + ri * ri)) as root, sr * sr + si * si as s2 from a),
 c as (select *, root * dr / (dr * dr + di * di) as fr, -root * di / (dr * dr + di * di) as fi from b)
-select time_idx, freq_idx, case when receiver_input < 3 then round(data * (1 - s2) * (fr * fr + fi * fi) + 50 * s2 * (fr * fr + fi * fi) + 10 * (sr * fr - si * fi) + 5 * (sr * fi + si * fr) + 200, 5) end as data from c""",
+select {K}, case when receiver_input < 3 then round(data * (1 - s2) * (fr * fr + fi * fi) + 50 * s2 * (fr * fr + fi * fi)
+  + 10 * (sr * fr - si * fi) + 5 * (sr * fi + si * fr) + 200, 5) end as data from c""",
 )
+
+
+def _free(spark: SparkSession) -> DataFrame:
+    return spark.range(4).select(F.col("id").cast("int").alias("freq_idx"), (0.8 + 0.15 * F.col("id")).alias("value"))
+
+
+def _by_channel(df: DataFrame) -> DataFrame:
+    return df.select("freq_idx", F.round("value", 6).alias("value"))
+
+
+_FREE = "b as (select cast(i as int) as freq_idx, 0.8::double + 0.15::double * i as value from range(4) t(i))"
 add(
-    "trn_unit_mean_bandpass",
-    lambda s, d: transforms.unit_mean_bandpass(s.range(4).select(F.col("id").cast("int").alias("freq_idx"), (0.8 + 0.15 * F.col("id")).alias("value"))).select("freq_idx", F.round("value", 6).alias("value")),
-    "select cast(i as int) as freq_idx, round(0.8::double + 0.15::double * i, 6) as value from range(4) t(i) union all select 4, round(5 - sum(0.8::double + 0.15::double * i), 6) from range(4) t(i)",
-)
+    "trn_unit_mean_bandpass", lambda s, d: _by_channel(transforms.unit_mean_bandpass(_free(s))),
+    f"with {_FREE} select freq_idx, round(value, 6) as value from b union all select 4, round(5 - sum(value), 6) from b",
+)
+add(
+    "trn_unit_mean_free", lambda s, d: _by_channel(transforms.unit_mean_free(waterfall(s, d).groupBy("freq_idx").agg(F.avg("data").alias("value")))),
+    f"""with {W}, b as (select freq_idx, avg(data) as value from w group by 1)
+select freq_idx, round(value / (select avg(value) from b), 6) as value from b where freq_idx < 4""",
+)
 
 # --- composition --------------------------------------------------------------
 on_grid(
@@ -141,87 +199,158 @@ on_grid(
 
 def _twin():
     return assemble(
-        transforms.Gain(Param.per_time(GAIN)), sources.Foreground(180.0, 2.5), At("filters", processing.Sidereal("remove", 30, 720)), processing.Flag(150.0), sources.GroundPickup(0.05),
-        transforms.Ionosphere(0.01), transforms.Bandpass(Param.per_freq(BAND)), sources.CalLoad(300.0), sources.CalLoad(400.0), processing.ApplyCalibration(Param.per_time(GAIN)),
+        transforms.Gain(Param.per_time(GAIN)), sources.Foreground(180.0, 2.5), At("filters", processing.Sidereal("remove", 30, 720)), processing.Flag(150.0),
+        sources.GroundPickup(0.05), transforms.Ionosphere(0.01), transforms.Bandpass(Param.per_freq(BAND)), sources.CalLoad(300.0), sources.CalLoad(400.0),
+        processing.ApplyCalibration(Param.per_time(GAIN)),
     )
 
 
 add(
     "assembled_twin",
-    lambda s, d: cells(_twin()(grid(s)), "flag"),
-    f"""with {GRID}, a as (select *, case receiver_input when 0 then 180 * pow(freq_hz / 75e6, -2.5) * (1 + 0.01 * pow(freq_hz / 75e6, -2)) + 0.05::double * coalesce(t_ambient, 300) when 1 then 300 when 2 then 400 else 0 end * ([0.9, 1.0, 1.1, 1.05, 0.95])[freq_idx + 1]::double as x, 1.0::double + 0.001::double * (time_idx % 100) as k from g)
-select time_idx, freq_idx, round(x - avg(x) over (partition by time_idx % 24, freq_idx), 5) + 0.0 as data, x * k > 150 as flag from a""",
+    lambda s, d: cells(_twin()(grid(s, d)), "flag"),
+    f"""with {GRID}, a as (select *, case receiver_input
+  when 0 then 180 * pow(freq_hz / 75e6, -2.5) * (1 + 0.01 * pow(freq_hz / 75e6, -2)) + 0.05::double * coalesce(t_ambient, 300)
+  when 1 then 300 when 2 then 400 else 0 end * ([0.9, 1.0, 1.1, 1.05, 0.95])[freq_idx + 1]::double as x,
+  1.0::double + 0.001::double * (time_idx % 100) as k from g)
+select {K}, round(x - avg(x) over (partition by recording_id, time_idx % 24, freq_idx), 5) + 0.0 as data, x * k > 150 as flag from a""",
 )
 
 # --- processing ---------------------------------------------------------------
-add("flag_threshold", lambda s, d: processing.Flag(60.0)(waterfall(s, d)).select("time_idx", "freq_idx", "flag"), f"with {W} select time_idx, freq_idx, data > 60 as flag from w")
+add(
+    "flag_threshold", lambda s, d: processing.Flag(60.0)(waterfall(s, d)).select(*KEYS, "flag"),
+    f"with {W} select {K}, data > 60 as flag from w",
+)
 
 
 def _mask(s):
     return s.range(5).select(F.col("id").cast("int").alias("freq_idx"), (F.col("id") % 2 == 1).alias("protected"))
 
 
-add("protect_channels", lambda s, d: processing.Flag(60.0)(processing.protect(waterfall(s, d), _mask(s))).select("time_idx", "freq_idx", "flag", "protected"), f"with {W} select time_idx, freq_idx, data > 60 and freq_idx % 2 = 0 as flag, freq_idx % 2 = 1 as protected from w")
+add(
+    "protect_channels", lambda s, d: processing.Flag(60.0)(processing.protect(waterfall(s, d), _mask(s))).select(*KEYS, "flag", "protected"),
+    f"with {W} select {K}, data > 60 and freq_idx % 2 = 0 as flag, freq_idx % 2 = 1 as protected from w",
+)
+add(
+    "unflag_protected", lambda s, d: processing.unflag_protected(processing.protect(processing.Flag(60.0)(waterfall(s, d)), _mask(s))).select(*KEYS, "flag"),
+    f"with {W} select {K}, data > 60 and freq_idx % 2 = 0 as flag from w",
+)
+add(
+    "reduce_protection", lambda s, d: processing.reduce_protection(waterfall(s, d).select(*KEYS, (F.col("data") > 60).alias("protected")), 6).select(*KEYS, "protected"),
+    f"with {W} select recording_id, cast(time_idx // 6 as int) as time_idx, freq_idx, bool_or(data > 60) as protected from w group by 1, 2, 3",
+)
 add(
     "protect_tone",
-    lambda s, d: transforms.Tone(40.0, 70e6, 5.5e6, "gaussian").protect(waterfall(s, d), 0.5).select("time_idx", "freq_idx", "protected"),
-    f"with {W}, x as (select *, exp(-0.5 * pow((freq_hz - 70e6) / 5.5e6, 2)) as s from w) select time_idx, freq_idx, s >= 0.5 * max(s) over (partition by time_idx) as protected from x",
+    lambda s, d: transforms.Tone(40.0, 70e6, 5.5e6, "gaussian").protect(waterfall(s, d), 0.5).select(*KEYS, "protected"),
+    f"""with {W}, x as (select *, exp(-0.5 * pow((freq_hz - 70e6) / 5.5e6, 2)) as s from w)
+select {K}, s >= 0.5 * max(s) over (partition by recording_id, time_idx) as protected from x""",
 )
 add(
     "chunk_average",
     lambda s, d: cells(processing.ChunkAverage(4)(processing.Flag(60.0)(waterfall(s, d))), "flag", F.round("time_s", 3).alias("time_s")),
-    f"with {W} select cast(time_idx // 4 as int) as time_idx, freq_idx, round(avg(data), 5) as data, bool_or(data > 60) as flag, round(avg(time_s), 3) as time_s from w group by 1, 2",
+    f"""with {W} select recording_id, cast(time_idx // 4 as int) as time_idx, freq_idx, round(avg(data), 5) as data, bool_or(data > 60) as flag,
+round(avg(time_s), 3) as time_s from w group by 1, 2, 3""",
 )
 for _mode, _what in (("extract", "p"), ("remove", "data - p")):
     add(
         f"sidereal_{_mode}",
         lambda s, d, m=_mode: cells(processing.Sidereal(m, 30, 720)(waterfall(s, d))),
-        f"with {W}, x as (select *, avg(data) over (partition by time_idx % 24, freq_idx) as p from w) select time_idx, freq_idx, round({_what}, 5) + 0.0 as data from x",
+        f"""with {W}, x as (select *, avg(data) over (partition by recording_id, time_idx % 24, freq_idx) as p from w)
+select {K}, round({_what}, 5) + 0.0 as data from x""",
     )
 add(
     "fourier_band",
     lambda s, d: cells(processing.FourierBand("extract", "time", 0.03, 0.1, 720)(waterfall(s, d))),
-    f"""with {W}, f as (select i, case when 2 * i <= 720 then i / 720.0::double else i / 720.0::double - 1 end as fr from range(720) t(i)),
-k as (select n.i as lag, sum(cos(2 * pi() * fr * n.i)) / 720 as c from range(720) n(i), f where abs(fr) >= 0.03 and abs(fr) < 0.1 group by 1)
-select a.time_idx, a.freq_idx, round(sum(b.data * k.c), 5) + 0.0 as data from w a join w b using (freq_idx) join k on k.lag = (a.time_idx - b.time_idx + 720) % 720 group by 1, 2""",
+    f"""with {W}, f as (select i, least(i, 720 - i) / 720.0::double as fr from range(720) t(i)),
+k as (select n.i as lag, sum(cos(2 * pi() * fr * n.i)) / 720 as c from range(720) n(i), f where fr >= 0.03 and fr < 0.1 group by 1)
+select a.recording_id, a.time_idx, a.freq_idx, round(sum(b.data * k.c), 5) + 0.0 as data
+from w a join w b using (recording_id, freq_idx) join k on k.lag = (a.time_idx - b.time_idx + 720) % 720 group by 1, 2, 3""",
 )
 on_waterfall("apply_cal", processing.ApplyCalibration(Param.per_time(GAIN)), sql="data / (1.0::double + 0.001::double * (time_idx % 100))")
 
+
+def _one_pixel(spark: SparkSession) -> DataFrame:
+    return spark.range(720).select(F.col("id").cast("int").alias("time_idx"), F.lit(0).alias("pix"), (1.0 + 0.01 * F.col("id")).alias("weight"))
+
+
+add(
+    "sky_space_filter",
+    lambda s, d: cells(processing.SkySpace("remove", _one_pixel(s), 1, 0.5)(processing.Flag(60.0)(waterfall(s, d)))),
+    f"""with {W}, x as (select *, 1.0::double + 0.01::double * time_idx as p from w),
+s as (select recording_id, freq_idx, coalesce(sum(p * data) filter (where data <= 60), 0) / (coalesce(sum(p * p) filter (where data <= 60), 0) + 0.5) as s from x group by 1, 2)
+select x.recording_id, time_idx, x.freq_idx, round(data - p * s, 5) + 0.0 as data from x join s using (recording_id, freq_idx)""",
+)
+
 # --- ingestion ----------------------------------------------------------------
 def _switch(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("s", F.unix_date(F.to_date("ts")) * 86400.0 + F.hour("ts") * 3600 + F.minute("ts") * 60 + F.date_format("ts", "s.SSSSSS").cast("double"))
+    clock = F.unix_date(F.to_date("ts")) * 86400.0 + F.hour("ts") * 3600 + F.minute("ts") * 60 + F.date_format("ts", "s.SSSSSS").cast("double")
+    e = table(spark, sf_dir, "events").withColumn("s", clock)
     log = e.where("event_type = 'error'").groupBy("user_id", "s").agg(F.max("event_id").alias("error_id"))
-    return as_of(e.where("event_type <> 'error'").select("user_id", "s", "event_id"), log, ["user_id"], "s", "error_id", 3600.0).select("event_id", "user_id", "error_id", "settled")
+    found = as_of(e.where("event_type <> 'error'").select("user_id", "s", "event_id"), log, ["user_id"], "s", "error_id", 3600.0, 6 * 86400.0)
+    return found.select("event_id", "user_id", "error_id", "settled")
 
 
-_EVENTS = "e as (select *, epoch_us(ts) / 1e6::double as s from events)"
 add(
     "switch_asof",
     _switch,
-    f"with {_EVENTS}, log as (select user_id, s, max(event_id) as error_id from e where event_type = 'error' group by 1, 2) select e.event_id, e.user_id, log.error_id, e.s - log.s >= 3600 as settled from e asof join log on e.user_id = log.user_id and e.s >= log.s where e.event_type <> 'error'",
+    """with e as (select *, epoch_us(ts) / 1e6::double as s from events),
+log as (select user_id, s, max(event_id) as error_id from e where event_type = 'error' group by 1, 2)
+select e.event_id, e.user_id, log.error_id, e.s - log.s >= 3600 as settled
+from e asof join log on e.user_id = log.user_id and e.s >= log.s where e.event_type <> 'error'""",
 )
+
+
+def _interpolated(spark, sf_dir):
+    points = grid(spark, sf_dir).select("recording_id", (F.col("freq_hz") + 1e4 * F.col("time_idx")).alias("x")).distinct()
+    by = recordings(spark, sf_dir).withColumn("xy", F.explode(F.array(*(F.struct(F.lit(58e6 + 4e6 * i).alias("x"), F.lit(i * i - 3.5).alias("y")) for i in range(9)))))
+    return interpolate(points, by.select("recording_id", "xy.x", "xy.y"), ["recording_id"], "x", "y", strict=True).select("recording_id", "x", F.round("y", 6).alias("y"))
+
+
 add(
     "interp_onto",
-    lambda s, d: interpolate(grid(s).select("recording_id", (F.col("freq_hz") + 1e4 * F.col("time_idx")).alias("x")).distinct(), s.range(9).select(F.lit("events").alias("recording_id"), (58e6 + 4e6 * F.col("id")).alias("x"), (F.col("id") * F.col("id") - 3.5).alias("y")), ["recording_id"], "x", "y").select("x", F.round("y", 6).alias("y")),
-    "with p as (select distinct 60e6::double + 5e6 * f + 1e4 * t as x from range(720) t(t), range(5) f(f)), b as (select 58e6::double + 4e6 * i as x, i * i - 3.5::double as y from range(9) t(i)) select p.x, round(case when a.x = c.x then a.y else a.y + (p.x - a.x) * (c.y - a.y) / (c.x - a.x) end, 6) as y from p asof left join b a on p.x >= a.x asof left join b c on p.x <= c.x",
+    _interpolated,
+    f"""with {GRID}, p as (select distinct recording_id, freq_hz + 1e4 * time_idx as x from g), b as (select 58e6::double + 4e6 * i as x, i * i - 3.5::double as y from range(9) t(i))
+select p.recording_id, p.x, round(case when a.x = c.x then a.y else a.y + (p.x - a.x) * (c.y - a.y) / (c.x - a.x) end, 6) as y
+from p asof left join b a on p.x >= a.x asof left join b c on p.x <= c.x""",
 )
 
 
-def _observed(spark, sf_dir):
-    c = waterfall(spark, sf_dir).select(*KEYS, "time_s", "data")
-    log = spark.range(100).select(F.lit("events").alias("recording_id"), (F.col("id") * 25000.0 + 20000).alias("time_s"), F.element_at(F.array(F.lit("antenna"), F.lit("load"), F.lit("heated")), (F.col("id") % 3 + 1).cast("int")).alias("label"))
-    return cells(observe(c, log, ["antenna", "load", "heated"], 4000.0), "receiver_input", "flag", "time_s", "epoch_unix_s")
+def _switches(spark, sf_dir):
+    label = F.element_at(F.array(F.lit("antenna"), F.lit("load"), F.lit("heated")), (F.col("i") % 3 + 1).cast("int"))
+    log = recordings(spark, sf_dir).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(99))))
+    return log.select("recording_id", (F.col("i") * 25000.0 + 20000).alias("switch_times"), label.alias("switch_states"))
+
+
+def _recording(spark, sf_dir):
+    w = waterfall(spark, sf_dir)
+    row = F.transform(F.array_sort(F.collect_list(F.struct("freq_idx", "data"))), lambda x: x["data"])
+    sdr = w.groupBy("recording_id", F.col("time_s").alias("sdr_times")).agg(row.alias("sdr_waterfall"))
+    freqs = recordings(spark, sf_dir).withColumn("sdr_freqs", F.array(*(F.lit(f / 1e6) for f in FREQ_HZ)))
+    warm = recordings(spark, sf_dir).withColumn("i", F.explode(F.sequence(F.lit(-1), F.lit(400))))
+    warm = warm.select("recording_id", (F.col("i") * 7200.0).alias("temperature_times"), F.array(F.lit(20.0), 90.0 + 0.05 * F.col("i")).alias("temperatures"))
+    return recording(sdr, freqs, _switches(spark, sf_dir), warm, freq_unit="mhz", thermistor_columns={"antenna": 0, "load": 0, "heated": 1}, settle_seconds=4000.0)
 
 
 add(
     "observation",
-    _observed,
-    f"with {W}, log as (select 25000.0::double * i + 20000 as at, cast(i % 3 as int) as receiver_input from range(100) t(i)), o as (select w.time_idx, w.freq_idx, data, log.receiver_input, w.time_s - log.at < 4000 as flag, w.time_s from w asof join log on w.time_s >= log.at) select time_idx, freq_idx, round(data, 5) as data, receiver_input, flag, time_s - min(time_s) over () as time_s, min(time_s) over () as epoch_unix_s from o",
+    lambda s, d: cells(_recording(s, d).to_cells(["antenna", "load", "heated"]), "receiver_input", "flag", "time_s", "epoch_unix_s"),
+    f"""with {W}, log as (select 25000.0::double * i + 20000 as at, cast(i % 3 as int) as receiver_input from range(100) t(i)),
+o as (select w.recording_id, w.time_idx, w.freq_idx, data, log.receiver_input, w.time_s - log.at < 4000 as flag, w.time_s from w asof join log on w.time_s >= log.at)
+select {K}, round(data, 5) as data, receiver_input, flag, time_s - min(time_s) over (partition by recording_id) as time_s,
+  min(time_s) over (partition by recording_id) as epoch_unix_s from o""",
 )
+add(
+    "thermistors", lambda s, d: _recording(s, d).thermistor("heated").select("recording_id", "time_idx", F.round("value", 5).alias("value")),
+    f"with {GRID} select distinct recording_id, time_idx, round(273.15::double + 90 + 0.05 * time_s / 7200, 5) as value from g",
+)
+add(
+    "cal_loads_of_recording", lambda s, d: cells(assemble(*_recording(s, d).cal_loads(["antenna", "heated"]).values())(grid(s, d))),
+    f"""with {GRID} select {K}, round(case receiver_input when 0 then 293.15::double when 1 then 273.15::double + 90 + 0.05 * time_s / 7200 else 0 end, 5) as data from g""",
+)
 
-# --- projection ----------------------------------------------------------------
+# --- projection and bases -------------------------------------------------------
 def _matrix(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("time_idx"), F.posexplode("embedding").alias("pix", "weight")).withColumn("weight", F.col("weight").cast("double"))
+    m = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("time_idx"), F.posexplode("embedding").alias("pix", "weight"))
+    return m.withColumn("weight", F.col("weight").cast("double"))
 
 
 def _sky(spark):
@@ -229,173 +358,97 @@ def _sky(spark):
     return projection.power_law_sky(pixels, FREQ_HZ, 2.5, 75e6)
 
 
-_MATRIX = "m as (select vec_id as time_idx, unnest(range(64)) as pix, unnest(embedding)::double as weight from embeddings), sky as (select cast(f as int) as freq_idx, p as pix, (1.0::double + p % 7) * pow((60e6 + 5e6 * f) / 75e6, -2.5) as value from range(64) a(p), range(5) b(f))"
-add("matrix_projector_forward", lambda s, d: projection.forward(_matrix(s, d), _sky(s)).select("time_idx", "freq_idx", F.round("value", 5).alias("value")), f"with {_MATRIX} select time_idx, freq_idx, round(sum(weight * value), 5) as value from m join sky using (pix) group by 1, 2")
+_MATRIX = """m as (select vec_id as time_idx, unnest(range(64)) as pix, unnest(embedding)::double as weight from embeddings),
+sky as (select cast(f as int) as freq_idx, p as pix, (1.0::double + p % 7) * pow((60e6 + 5e6 * f) / 75e6, -2.5) as value from range(64) a(p), range(5) b(f))"""
+add(
+    "matrix_projector_forward", lambda s, d: projection.forward(_matrix(s, d), _sky(s)).select("time_idx", "freq_idx", F.round("value", 5).alias("value")),
+    f"with {_MATRIX} select time_idx, freq_idx, round(sum(weight * value), 5) as value from m join sky using (pix) group by 1, 2",
+)
 add(
     "matrix_projector_adjoint",
     lambda s, d: projection.adjoint(_matrix(s, d), projection.forward(_matrix(s, d), _sky(s))).select("freq_idx", F.col("pix").cast("long").alias("pix"), F.round(F.col("value") / 1000, 5).alias("value")),
-    f"with {_MATRIX}, c as (select time_idx, freq_idx, sum(weight * value) as value from m join sky using (pix) group by 1, 2) select freq_idx, pix, round(sum(weight * value) / 1000, 5) as value from m join c using (time_idx) group by 1, 2",
+    f"""with {_MATRIX}, c as (select time_idx, freq_idx, sum(weight * value) as value from m join sky using (pix) group by 1, 2)
+select freq_idx, pix, round(sum(weight * value) / 1000, 5) as value from m join c using (time_idx) group by 1, 2""",
 )
 
-# --- likelihoods ----------------------------------------------------------------
-_MU = 50.0
-add(
-    "radiometer_noise",
-    lambda s, d: waterfall(s, d).select("time_idx", "freq_idx", F.round(inference.radiometer_noise(F.col("data"), 24.4e3, 288.0, 1.0) * 1000, 5).alias("sigma")),
-    f"with {W} select time_idx, freq_idx, round(greatest(abs(data), 1.0) / sqrt(24.4e3 * 288.0) * 1000, 5) as sigma from w",
-)
-add(
-    "inverse_variance",
-    lambda s, d: processing.Flag(60.0)(waterfall(s, d)).select("time_idx", "freq_idx", F.round(inference.inverse_variance(inference.flagged_noise(F.lit(0.5) + F.col("freq_idx"), F.col("flag"))), 6).alias("weight")),
-    f"with {W} select time_idx, freq_idx, round(case when data > 60 then 0 else 1 / pow(0.5::double + freq_idx, 2) end, 6) as weight from w",
-)
-add(
-    "loglik_masked",
-    lambda s, d: processing.Flag(60.0)(waterfall(s, d)).groupBy("freq_idx").agg(F.round(inference.log_likelihood(F.lit(_MU), F.col("data"), inference.flagged_noise(F.lit(25.0), F.col("flag"))) / 1000, 6).alias("loglik")),
-    f"with {W} select freq_idx, round(-0.5 * coalesce(sum(pow((data - 50) / 25, 2) + ln(2 * pi() * 625)) filter (where data <= 60), 0) / 1000, 6) as loglik from w group by 1",
-)
-add("mse", lambda s, d: waterfall(s, d).groupBy("freq_idx").agg(F.round(inference.mean_squared_error(F.lit(_MU), F.col("data")) / 1000, 6).alias("mse")), f"with {W} select freq_idx, round(avg(pow(50 - data, 2)) / 1000, 6) as mse from w group by 1")
 
-# --- linear model of lineitem: price on 1, quantity, discount, tax, by ship year -----------
-_COLS = ["one", "qty", "disc", "tax"]
+def _chromatic(spark, sf_dir):
+    scale = F.explode(F.array(*(F.struct(F.lit(i).alias("f"), F.lit(1.0 + 0.1 * i).alias("s")) for i in range(5))))
+    m = _matrix(spark, sf_dir).withColumn("c", scale)
+    return m.select("time_idx", "pix", F.col("c.f").alias("freq_idx"), (F.col("weight") * F.col("c.s")).alias("weight"))
 
 
-def _lines(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
-    return li.select(F.year("l_shipdate").cast("string").alias("epoch"), F.lit(1.0).alias("one"), (F.col("l_quantity") / 25).cast("double").alias("qty"), (F.col("l_discount") * 10).cast("double").alias("disc"), (F.col("l_tax") * 10).cast("double").alias("tax"), (F.col("l_extendedprice") / 40000).cast("double").alias("y"))
-
-
-_L = "l as (select cast(year(l_shipdate) as varchar) as epoch, 1.0::double as x0, l_quantity / 25::double as x1, l_discount * 10::double as x2, l_tax * 10::double as x3, l_extendedprice / 40000::double as x4 from lineitem)"
-_PAIRS = [(i, j) for i in range(5) for j in range(i, 5)]
-_GRAM = "gram as (" + " union all ".join(f"select epoch, {i} as i, {j} as j, sum(x{i} * x{j}) as v, count(*) as n from l group by 1" for i, j in _PAIRS) + ")"
-add("gram_normal_equations", lambda s, d: inference.normal_matrix(_lines(s, d), _COLS, "y", F.lit(1.0), ["epoch"]).select("epoch", "i", "j", F.round(F.col("value") / 1000, 6).alias("value")), f"with {_L}, {_GRAM} select epoch, i, j, round(v / 1000, 6) as value from gram")
+add(
+    "sky_source", lambda s, d: projection.forward(_chromatic(s, d), projection.uniform_sky(s, 64, 5, 3.0)).select("time_idx", "freq_idx", F.round("value", 5).alias("value")),
+    f"with {_MATRIX} select time_idx, freq_idx, round(sum(weight * 3 * (1 + 0.1::double * freq_idx)), 5) as value from m join sky using (pix) group by 1, 2",
+)
 
 
-def _factors(spark, sf_dir):
-    return evidence.compress(_lines(spark, sf_dir).withColumn("sigma", F.lit(0.5)), "epoch", _COLS, "y", "sigma")
+def _beam(spark, sf_dir):
+    m = _matrix(spark, sf_dir).groupBy("pix").agg(F.sum(F.col("weight") * F.col("weight")).alias("value"))
+    m = m.withColumn("freq_idx", F.explode(F.sequence(F.lit(0), F.lit(1))))
+    return m.select("freq_idx", "pix", (F.col("pix") * 3.0 - 90).alias("elevation"), (F.col("value") * (1 + F.col("freq_idx") * F.col("pix"))).alias("value"))
 
 
+_BEAM = f"{_MATRIX}, b0 as (select pix, sum(weight * weight) as v from m group by 1), b as (select cast(f as int) as freq_idx, pix, pix * 3.0::double - 90 as e, v * (1 + f * pix) as value from b0, range(2) t(f))"
+_SOFT = "case when e <= 0 then 0 when e < 30 then pow(sin(pi() / 2 * e / 30), 2) else 1 end"
 add(
-    "evidence_compress",
-    lambda s, d: evidence.fisher(_factors(s, d)).where("i <= j").select("epoch", "i", "j", F.round(F.col("value") / 4000, 6).alias("value")),
-    f"with {_L}, {_GRAM} select epoch, i, j, round(v * 4 / 4000, 6) as value from gram where i < 4",
-)
+    "truncated_beam", lambda s, d: projection.truncate_beam(_beam(s, d), 30.0)[0].select("freq_idx", F.col("pix").cast("long").alias("pix"), F.round("value", 5).alias("value")),
+    f"with {_BEAM} select freq_idx, pix, round({_SOFT} * value, 5) as value from b",
+)
 add(
-    "evidence_combine",
-    lambda s, d: evidence.fisher(evidence.combine(_factors(s, d), None)).where("i <= j").select("i", "j", F.round(F.col("value") / 40000, 6).alias("value")),
-    f"with {_L}, {_GRAM} select i, j, round(sum(v) * 4 / 40000, 6) as value from gram where i < 4 group by 1, 2",
-)
+    "beam_above_horizon", lambda s, d: _by_channel(projection.truncate_beam(_beam(s, d), 30.0)[1]),
+    f"with {_BEAM} select freq_idx, round(sum({_SOFT} * value) / sum(value), 6) as value from b group by 1",
+)
 add(
-    "evidence_offset",
-    # at its best fit a factor's log likelihood is its offset; offset + chi2 / 2 is the normalisation of the data
-    lambda s, d: _factors(s, d).select("epoch", "n_observed", F.round((F.col("log_offset") + F.col("corner") / 2) / 1000, 6).alias("log_norm")),
-    f"with {_L} select epoch, count(*) as n_observed, round(-0.5 * count(*) * ln(2 * pi() * 0.25) / 1000, 6) as log_norm from l group by 1",
+    "beam_spill_from_beam",
+    lambda s, d: cells(assemble(transforms.BeamSpill.from_beam(_beam(s, d), 290.0))(waterfall(s, d).where("freq_idx < 2"))),
+    f"""with {W}, {_BEAM}, s as (select freq_idx, sum(case when e > 0 then value else 0 end) / sum(value) as s from b group by 1)
+select {K}, round(s * data + (1 - s) * 290, 5) as data from w join s using (freq_idx)""",
 )
 
 
-def _solved(spark, sf_dir):
-    x, cov = inference.wiener_solve(_lines(spark, sf_dir), ["one", "qty"], "y", F.lit(4.0), prior_std=10.0)
-    return spark.createDataFrame([(i, round(float(x[i]), 6), round(float(cov[i, i]) * 1e4, 6)) for i in range(2)], "i int, mean double, var double")
-
+def _modes(spark):
+    x = spark.range(12).select((F.col("id") / 6).cast("int").alias("freq_idx"), (F.col("id") % 6).cast("int").alias("m"))
+    return x.select("freq_idx", "m", (1.0 / (1 + F.col("m")) + F.col("freq_idx")).alias("re"), (0.3 * F.col("m") - F.col("freq_idx")).alias("im"))
 
-_S2 = "s as (select 4 * sum(x0 * x0) + 0.01 as a, 4 * sum(x0 * x1) as b, 4 * sum(x1 * x1) + 0.01 as c, 4 * sum(x0 * x4) as p, 4 * sum(x1 * x4) as q from l)"
-add("wiener_solve", _solved, f"with {_L}, {_S2} select 0 as i, round((c * p - b * q) / (a * c - b * b), 6) as mean, round(c / (a * c - b * b) * 1e4, 6) as var from s union all select 1, round((a * q - b * p) / (a * c - b * b), 6), round(a / (a * c - b * b) * 1e4, 6) from s")
 
-
-def _gls(spark, sf_dir):
-    x, _ = inference.iterative_gls(_lines(spark, sf_dir), ["one", "qty"], "y", lambda mu: 0.1 + F.abs(mu), tol=1e-12)
-    return spark.createDataFrame([(i, round(float(v), 4)) for i, v in enumerate(x)], "i int, value double")
+def _turns(spark, n=48):
+    return spark.range(n).select(F.col("id").cast("int").alias("time_idx"), (F.col("id") * 360.0 / n).alias("lst_deg"))
 
 
 add(
-    "gls_iteration",
-    _gls,
-    f"with recursive {_L}, d as (select x1, x4, row_number() over () as r from l), t as (select 0 as n, 0.0::double as u, 0.0::double as v union all select n + 1, (c * p - b * q) / (a * c - b * b), (a * q - b * p) / (a * c - b * b) from (select t.n, sum(w) as a, sum(w * x1) as b, sum(w * x1 * x1) as c, sum(w * x4) as p, sum(w * x1 * x4) as q from (select t.n, d.*, case when t.n = 0 then 1 else 1 / pow(0.1 + abs(t.u + t.v * x1), 2) end as w from t, d where t.n < 25) t group by t.n)) select 0 as i, round(u, 4) as value from t where n = 25 union all select 1, round(v, 4) from t where n = 25",
-)
+    "mmode_synthesis", lambda s, d: projection.mmode_synthesis(_modes(s), _turns(s), 10.0).select("time_idx", "freq_idx", F.round("value", 5).alias("value")),
+    """with x as (select cast(f as int) as freq_idx, m, 1.0::double / (1 + m) + f as re, 0.3::double * m - f as im from range(2) a(f), range(6) b(m)),
+t as (select cast(i as int) as time_idx, radians(i * 7.5 - 10) as phi from range(48) t(i))
+select time_idx, freq_idx, round(sum(case when m > 0 then 2 else 1 end * (re * cos(m * phi) + im * sin(m * phi))), 5) as value from x, t group by 1, 2""",
+)
+add(
+    "mmode_analysis", lambda s, d: projection.mmode_analysis(projection.mmode_synthesis(_modes(s), _turns(s)), _turns(s), 5).where("m > 0").select("freq_idx", "m", F.round("re", 6).alias("re"), F.round("im", 6).alias("im")),
+    "select cast(f as int) as freq_idx, cast(m as int) as m, round(1.0::double / (1 + m) + f, 6) as re, round(0.3::double * m - f, 6) as im from range(2) a(f), range(1, 6) b(m)",
+)
 
 
-_CHI = f"""with {_L}, g as (select epoch, count(*) as n, regr_sxx(x4, x1) as sxx, regr_sxy(x4, x1) as sxy, regr_syy(x4, x1) as syy from l group by 1), c as (select epoch, 4 * (syy - sxy * sxy / sxx) as chi2, n - 2 as dof from g)"""
+def _separable():
+    return bases.SeparableBasis(bases.basis_matrix("polynomial", 720, 2), bases.basis_matrix("legendre", 5, 2))
 
 
-def _epochs(spark, sf_dir):
-    f = evidence.compress(_lines(spark, sf_dir).withColumn("sigma", F.lit(0.5)), "epoch", ["one", "qty"], "y", "sigma")
-    return f.select(F.col("epoch").alias("epoch_id"), F.col("corner").alias("chi2"), (F.col("n_observed") - F.col("width")).alias("dof"))
+def _coefficients(spark):
+    return spark.createDataFrame([(0, 0, 3.0), (0, 1, -0.5), (1, 1, 2.0)], "k int, j int, value double")
 
 
-add("epoch_residuals", lambda s, d: inference.epoch_residuals(_epochs(s, d)).select("epoch_id", F.round(F.col("chi2") / 1000, 6).alias("chi2"), "dof", F.round("reduced", 6).alias("reduced")), f"{_CHI} select epoch as epoch_id, round(chi2 / 1000, 6) as chi2, dof, round(chi2 / dof, 6) as reduced from c")
-add("coherent_mode", lambda s, d: inference.coherent_mode(_epochs(s, d)).select(F.round(F.col("mean_chi2") / 1000, 6).alias("mean_chi2"), F.round(F.col("chi2_z") / 100, 6).alias("chi2_z"), "n"), f"{_CHI} select round(avg(chi2) / 1000, 6) as mean_chi2, round((sum(chi2) - sum(dof)) / sqrt(2 * sum(dof)) / 100, 6) as chi2_z, count(*) as n from c")
-add(
-    "held_out_z",
-    lambda s, d: inference.held_out_z(_lines(s, d).groupBy(F.col("epoch").alias("epoch_id")).agg(F.sum(4 * F.col("qty") * F.col("qty")).alias("precision"), F.sum(4 * F.col("qty") * F.col("y")).alias("shift"), F.sum(4 * F.col("y") * F.col("y")).alias("chi2_at_zero"), F.count("*").alias("n"))).select("epoch_id", F.round(F.col("z") / 100, 5).alias("z")),
-    f"with {_L}, e as (select epoch, sum(4 * x1 * x1) as p, sum(4 * x1 * x4) as s, sum(4 * x4 * x4) as c0, count(*) as n from l group by 1), o as (select *, sum(p) over () - p as op, sum(s) over () - s as os from e) select epoch as epoch_id, round(((c0 - s * s / p + pow(s / p - os / op, 2) / (1 / p + 1 / op)) - n) / sqrt(2 * n) / 100, 5) as z from o",
-)
-add(
-    "shrinkage_power",
-    lambda s, d: _lines(s, d).groupBy("epoch").agg(F.count("*").alias("n"), (1 / F.sqrt(F.sum(F.col("qty") * F.col("qty")))).alias("sigma")).agg(F.round(inference.shrinkage_power(None), 6).alias("slope")),
-    f"with {_L}, e as (select count(*) as n, 1 / sqrt(sum(x1 * x1)) as sigma from l group by epoch) select round(regr_slope(ln(sigma), ln(n)), 6) as slope from e",
-)
+_AXES = "(2 * time_idx / 719.0::double - 1) as x, (freq_idx / 2.0::double - 1) as y"
 add(
-    "fisher_information",
-    # of amplitude and spectral index of a foreground: analytic derivatives by cell
-    lambda s, d: inference.normal_matrix(waterfall(s, d).select(F.pow(F.col("freq_hz") / 75e6, F.lit(-2.5)).alias("da"), (-180 * F.log(F.col("freq_hz") / 75e6) * F.pow(F.col("freq_hz") / 75e6, F.lit(-2.5))).alias("db"), "data"), ["da", "db"], "data", F.lit(0.04)).where("j < 2").select("i", "j", F.round(F.col("value") / 1000, 6).alias("value")),
-    f"with {GRID}, j as (select pow(freq_hz / 75e6, -2.5) as a, -180 * ln(freq_hz / 75e6) * pow(freq_hz / 75e6, -2.5) as b from g) select 0 as i, 0 as j, round(sum(a * a) * 0.04 / 1000, 6) as value from j union all select 0, 1, round(sum(a * b) * 0.04 / 1000, 6) from j union all select 1, 1, round(sum(b * b) * 0.04 / 1000, 6) from j",
-)
-add(
-    "propagate_covariance",
-    lambda s, d: grid(s, 4).select("time_idx", "freq_idx", F.pow(F.col("freq_hz") / 75e6, F.lit(-2.5)).alias("a"), (-180 * F.log(F.col("freq_hz") / 75e6) * F.pow(F.col("freq_hz") / 75e6, F.lit(-2.5))).alias("b")).select("time_idx", "freq_idx", F.round(F.sqrt(4 * F.col("a") * F.col("a") + 2 * 0.01 * F.col("a") * F.col("b") + 0.0025 * F.col("b") * F.col("b")), 6).alias("std")),
-    f"with {GRID}, j as (select time_idx, freq_idx, pow(freq_hz / 75e6, -2.5) as a, -180 * ln(freq_hz / 75e6) * pow(freq_hz / 75e6, -2.5) as b from g where time_idx < 4) select time_idx, freq_idx, round(sqrt(4 * a * a + 0.02 * a * b + 0.0025 * b * b), 6) as std from j",
-)
-add("split_rhat", lambda s, d: inference.split_rhat(waterfall(s, d), ["freq_idx"], "time_idx", "data").select("freq_idx", F.round("rhat", 6).alias("rhat")), f"with {W}, h as (select freq_idx, time_idx < 360 as h, avg(data) as m, var_samp(data) as v from w group by 1, 2) select freq_idx, round(sqrt((359.0::double / 360 * avg(v) + var_samp(m)) / avg(v)), 6) as rhat from h group by 1")
-add(
-    "push_forward",
-    lambda s, d: s.range(20).select(F.col("id").alias("draw"), F.explode(F.array(*(F.struct(F.lit(i).alias("freq_idx"), F.lit(f).alias("freq_hz")) for i, f in enumerate(FREQ_HZ)))).alias("f")).select("draw", "f.*").select("draw", "freq_idx", ((180 + 2 * normal(3, "amp", "draw")) * F.pow(F.col("freq_hz") / 75e6, -(2.5 + 0.1 * uniform(3, "beta", "draw")))).alias("x")).groupBy("freq_idx").agg(F.round(F.avg("x"), 5).alias("mean"), F.round(F.stddev_pop("x"), 5).alias("std")),
-    f"""with x as (select cast(f as int) as freq_idx, (180 + 2 * sqrt(-2 * ln(1 - {MD5.format(text="'3:amp/u:' || d")})) * cos(2 * pi() * {MD5.format(text="'3:amp/v:' || d")})) * pow((60e6 + 5e6 * f) / 75e6, -(2.5 + 0.1 * {MD5.format(text="'3:beta:' || d")})) as x from range(20) a(d), range(5) b(f)) select freq_idx, round(avg(x), 5) as mean, round(stddev_pop(x), 5) as std from x group by 1""",
-)
-add(
-    "chain_filter",
-    lambda s, d: evidence.kalman(waterfall(s, d), "freq_idx", "time_idx", "data", 0.8, 5.0, 10.0, 20.0).select("freq_idx", "time_idx", F.round("mean", 5).alias("mean"), F.round("var", 5).alias("var")),
-    f"""with recursive {W}, k as (select freq_idx, time_idx, data * 100 / (100 + 400) as m, 100 - 100 * 100.0::double / 500 as v from w where time_idx = 0
-union all select w.freq_idx, w.time_idx, 0.8 * k.m + (0.64 * k.v + 25) / (0.64 * k.v + 425) * (w.data - 0.8 * k.m), (1 - (0.64 * k.v + 25) / (0.64 * k.v + 425)) * (0.64 * k.v + 25) from k join w on w.freq_idx = k.freq_idx and w.time_idx = k.time_idx + 1)
-select freq_idx, time_idx, round(m, 5) as mean, round(v, 5) as var from k""",
-)
-_K = f"""{W}, k as (select freq_idx, time_idx, data * 100 / (100 + 400) as m, 100 - 100 * 100.0::double / 500 as v from w where time_idx = 0
-union all select w.freq_idx, w.time_idx, 0.8 * k.m + (0.64 * k.v + 25) / (0.64 * k.v + 425) * (w.data - 0.8 * k.m), (1 - (0.64 * k.v + 25) / (0.64 * k.v + 425)) * (0.64 * k.v + 25) from k join w on w.freq_idx = k.freq_idx and w.time_idx = k.time_idx + 1)"""
-add(
-    "chain_smooth",
-    lambda s, d: evidence.kalman(waterfall(s, d), "freq_idx", "time_idx", "data", 0.8, 5.0, 10.0, 20.0, smooth=True).select("freq_idx", "time_idx", F.round("mean", 5).alias("mean"), F.round("var", 5).alias("var")),
-    f"""with recursive {_K}, kk as materialized (select *, 0.64 * v + 25 as p from k), b as (select freq_idx, time_idx, m, v from kk where time_idx = 719
-union all select kk.freq_idx, kk.time_idx, kk.m + 0.8 * kk.v / p * (b.m - 0.8 * kk.m), kk.v + pow(0.8 * kk.v / p, 2) * (b.v - p) from b join kk on kk.freq_idx = b.freq_idx and kk.time_idx = b.time_idx - 1)
-select freq_idx, time_idx, round(m, 5) as mean, round(v, 5) as var from b""",
-)
-
-
-def _identifiable(spark, sf_dir):
-    found = diagnostics.identifiability(_lines(spark, sf_dir), ["one", "qty"], 0.5)
-    return spark.createDataFrame([(i, round(float(x), 6), found.rank) for i, x in enumerate(found.singular)], "i int, singular double, rank int")
-
-
-# the two singular values of columns of length one are sqrt(1 + c) and sqrt(1 - c), with c the cosine between them
-_COS = "c as (select abs(sum(x0 * x1)) / sqrt(sum(x0 * x0) * sum(x1 * x1)) as c from l)"
-add("identifiability", _identifiable, f"with {_L}, {_COS} select 0 as i, round(sqrt(1 + c), 6) as singular, 2 as rank from c union all select 1, round(sqrt(1 - c), 6), 2 from c")
+    "basis_expand", lambda s, d: _separable().expand(_coefficients(s)).select("time_idx", "freq_idx", F.round("value", 6).alias("value")),
+    f"""with g as (select cast(t as int) as time_idx, cast(f as int) as freq_idx from range(720) a(t), range(5) b(f)), x as (select *, {_AXES} from g)
+select time_idx, freq_idx, round(3 - 0.5 * y + 2 * x * y, 6) as value from x""",
+)
 add(
-    "jeffreys_prior",
-    lambda s, d: s.createDataFrame([(round(diagnostics.jeffreys_half_log_det(_lines(s, d), ["one", "qty"], 0.5), 6),)], "half_log_det double"),
-    f"with {_L} select round(0.5 * ln(16 * (sum(x0 * x0) * sum(x1 * x1) - pow(sum(x0 * x1), 2))), 6) as half_log_det from l",
-)
-
-
-def _bank(spark, sf_dir):
-    w = waterfall(spark, sf_dir).where("freq_idx < 2")
-    return w.groupBy("time_idx").pivot("freq_idx", [0, 1]).agg(F.sum("data")).select("time_idx", F.col("0").alias("a"), F.col("1").alias("b"))
-
-
-def _lost(spark, sf_dir):
-    basis = diagnostics.reduced_basis(_bank(spark, sf_dir), ["a", "b"], 1, [1.0, 2.0])
-    return spark.createDataFrame([(round(basis.lost, 6),)], "lost double")
-
-
-_G2 = "p as (select time_idx, sum(data) filter (where freq_idx = 0) as a, sum(data) filter (where freq_idx = 1) / 2 as b from w where freq_idx < 2 group by 1), g2 as (select sum(a * a) as a, sum(a * b) as b, sum(b * b) as c from p)"
-add("reduced_basis", _lost, f"with {W}, {_G2} select round(1 - ((a + c) + sqrt(pow(a - c, 2) + 4 * b * b)) / 2 / (a + c), 6) as lost from g2")
+    "basis_fit", lambda s, d: _separable().fit(waterfall(s, d).groupBy("time_idx", "freq_idx").agg(F.sum("data").alias("value"))).select("k", "j", F.round("value", 5).alias("value")),
+    f"""with {W}, x as (select {_AXES}, sum(data) as v from w group by time_idx, freq_idx)
+select 0 as k, 0 as j, round(avg(v), 5) as value from x union all select 0, 1, round(sum(v * y) / sum(y * y), 5) from x
+union all select 1, 0, round(sum(v * x) / sum(x * x), 5) from x union all select 1, 1, round(sum(v * x * y) / sum(x * x * y * y), 5) from x""",
+)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -405,4 +458,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(steps(w), "flag")
 
 
-add("calibrated_averages", flagship, f"with {W}, x as (select *, (data + 180 * pow(freq_hz / 75e6, -2.5)) * 1.25 as x from w) select cast(time_idx // 4 as int) as time_idx, freq_idx, round(avg(x) / 1.25, 5) as data, bool_or(x > 300) as flag from x group by 1, 2")
+add(
+    "calibrated_averages", flagship,
+    f"""with {W}, x as (select *, (data + 180 * pow(freq_hz / 75e6, -2.5)) * 1.25 as x from w)
+select recording_id, cast(time_idx // 4 as int) as time_idx, freq_idx, round(avg(x) / 1.25, 5) as data, bool_or(x > 300) as flag from x group by 1, 2, 3""",
+)

@@ -29,8 +29,9 @@ class _Memory(StatefulProcessor):
                 self.seen.updateValue((row.epoch,), (epochs,))
                 width = int(row.width)
                 new = np.column_stack([np.reshape(row.r, (width, width)), row.z])
-                top, corner = triangle(new if top is None else np.vstack([top, new]))
-                offset, n, epochs = offset + row.log_offset - corner / 2, n + int(row.n_observed), epochs + 1
+                u = triangle(new if top is None else np.vstack([top, new]))
+                top = u[:width]
+                offset, n, epochs = offset + row.log_offset - float(u[width, width] ** 2) / 2, n + int(row.n_observed), epochs + 1
         if top is None:
             return
         state = (width, top[:, :-1].ravel().tolist(), top[:, -1].tolist(), float(offset), n, epochs)
