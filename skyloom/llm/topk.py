@@ -20,22 +20,33 @@ BLOCK = 4096
 PACK = 1024
 
 
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    if scores.dtype == object:
+        return np.array(sorted(range(len(scores)), key=lambda i: (-scores[i], ids[i]))[:k])
+    return np.lexsort((ids, -scores))[:k]
+
+
 def threshold_search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query id, vector id, score) of the k best of each query. All integers; products are exact below 2**53."""
+    """(query id, vector id, score) of the k best of each query. All integers, and exact: as doubles where no sum of products can pass
+    2**53, as 64-bit integers below 2**63, and as Python's integers beyond."""
     n, dims = vectors.shape
     order = np.argsort(vectors, axis=0, kind="stable")
     down, up = order[::-1], order
     high, low = np.take_along_axis(vectors, down, 0).astype(float), np.take_along_axis(vectors, up, 0).astype(float)
-    q = queries.astype(float)
-    v = vectors.astype(float)
+    most = dims * max(abs(int(queries.max(initial=0))), abs(int(queries.min(initial=0)))) * max(abs(int(vectors.max(initial=0))), abs(int(vectors.min(initial=0))))
+    kind = float if most < 1 << 53 else np.int64 if most < 1 << 63 else object
+    q, v = queries.astype(kind), vectors.astype(kind)
     depths = [d for d in (2**i for i in range(n.bit_length())) if d < n] + [n]
     at = np.array(depths) - 1
-    bound = np.maximum(q, 0) @ high[at].T + np.minimum(q, 0) @ low[at].T  # queries x depths
+    f = queries.astype(float)
+    bound = np.maximum(f, 0) @ high[at].T + np.minimum(f, 0) @ low[at].T  # queries x depths
+    if kind is not float:  # a bound that was rounded is taken a little higher
+        bound += 4 * dims * 2.0**-53 * (np.abs(f) @ np.maximum(np.abs(high[at]), np.abs(low[at])).T)
     out = []
     for i, qid in enumerate(query_ids.tolist()):
         lists = np.where(q[i] >= 0, down, up)
         lists = lists[:, q[i] != 0] if (q[i] != 0).any() else lists
-        best_s, best_i = np.zeros(0), np.zeros(0, np.int64)
+        best_s, best_i = np.zeros(0, kind), np.zeros(0, np.int64)
         seen = np.zeros(n, bool)
         begin = 0
         for j, depth in enumerate(depths):
@@ -46,11 +57,11 @@ def threshold_search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.nda
             begin = depth
             best_s, best_i = np.append(best_s, v[new] @ q[i]), np.append(best_i, ids[new])
             if len(best_s) > k:
-                top = np.lexsort((best_i, -best_s))[:k]
+                top = _best(best_s, best_i, k)
                 best_s, best_i = best_s[top], best_i[top]
-            if len(best_s) == k and best_s[np.lexsort((best_i, -best_s))[-1]] > bound[i, j]:
+            if len(best_s) == k and min(best_s) > bound[i, j]:
                 break
-        out += [(qid, int(b), int(s)) for b, s in zip(best_i, best_s)]
+        out += [(qid, int(b), max(-(2**63), min(2**63 - 1, int(s)))) for b, s in zip(best_i, best_s)]
     return out
 
 
@@ -72,12 +83,13 @@ def _unpack(parts_ids, parts_m, parts_n):
     return np.concatenate(ids), np.concatenate([np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in ms])
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, block: int = BLOCK, pack: int = PACK) -> DataFrame:
     """query_id, rank, vec_id, score: the k vectors with the largest inner product with each query, ties to the smaller vec_id.
 
     Components become floor(scale * x). Queries are the vectors whose vec_id `every` divides; a query never finds rows of its own vec_id. Vectors
     that are null or empty, or hold null or non-finite components, and rows without vec_id take no part; shorter vectors
-    count as filled with zeros. Repeated rows are found once each, and asked once.
+    count as filled with zeros. Repeated rows are found once each, and asked once. Components and scores beyond 64 bits take the nearest
+    64-bit number. A table without queries gives an empty result.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -87,13 +99,13 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(e, lambda x: F.floor(x * scale).cast("long")).alias("v"))
     asked = F.pmod("vec_id", F.lit(every)) == 0
     n, nq = rows.agg(F.count("*"), F.count_if(asked)).first()
-    blocks, packs = max(1, -(-n // BLOCK)), max(1, -(-nq // PACK))
+    blocks, packs = max(1, -(-n // block)), max(1, -(-nq // pack))
     part = lambda df: df.mapInPandas(_pack, "g int, n int, ids binary, m binary")
     gathered = lambda df: df.groupBy("g").agg(F.collect_list(F.struct("ids", "m", "n")).alias("parts"))
     cand = gathered(part(rows.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))))
-    pack = gathered(part(rows.where(asked).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(packs)).cast("int"))))
-    pack = pack.select(F.col("parts").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("g"))
-    met = cand.join(pack.hint("merge"), "g").select("parts", "asked")
+    packed = gathered(part(rows.where(asked).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(packs)).cast("int"))))
+    packed = packed.select(F.col("parts").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("g"))
+    met = cand.join(packed.hint("merge"), "g").select("parts", "asked")
 
     def search(batches):
         for b in batches:
