@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import staged
+from skyloom.llm.common import scratch, spread_join, staged
+
+
+#: Edges from which on the nodes with the most of them are looked for; fewer fit into any task.
+FEW = 20_000
+
+
+def _spread(edges: DataFrame, least: DataFrame, key: str = "u") -> DataFrame:
+    """edges with what is known of their node; a star's centre may hold a large share of all edges."""
+    return spread_join(edges, least, key) if edges.count() > FEW else edges.join(least.hint("merge"), key)
 
 
 def smallest_reachable(links: DataFrame, values: DataFrame) -> DataFrame:
@@ -14,14 +23,20 @@ def smallest_reachable(links: DataFrame, values: DataFrame) -> DataFrame:
     Stars are contracted by turns: larger neighbours go to a node's smallest neighbour, then smaller ones do. The number
     of rounds grows with the logarithm of the longest chain; each ends in a written table.
     """
+    with scratch(links.sparkSession):
+        return staged(_contracted(links, values), "labels", keep=True)
+
+
+def _contracted(links: DataFrame, values: DataFrame) -> DataFrame:
     edges = staged(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
     before = None
     while True:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _spread(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = staged(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least.hint("merge"), "u")
+        small = _spread(large, least)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = staged(small, "stars")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -30,6 +45,6 @@ def smallest_reachable(links: DataFrame, values: DataFrame) -> DataFrame:
         before = tuple(state)
     centres = edges.select("v").distinct()
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("centre")).union(centres.select(F.col("v").alias("node"), F.col("v").alias("centre")))
-    valued = stars.join(values.hint("merge"), "node")
+    valued = staged(stars.join(values.hint("merge"), "node"), "valued")
     label = valued.groupBy("centre").agg(F.min("value").alias("label"))
-    return valued.join(label.hint("merge"), "centre").select("node", "label")
+    return _spread(valued, label, "centre").select("node", "label")

@@ -3,7 +3,8 @@
 A window goes to the task of its anchor, the smallest hash among the 5-word grams it holds: equal windows have equal anchors, and
 neighbouring windows mostly share one, so a run of windows costs one anchor and four bytes a window. Before the shuffle each batch
 of documents settles what repeats inside it and sends a window from its smallest document only, with all its places there; a passage that every
-document holds therefore reaches a task from one document of a batch, not from each.
+document holds therefore reaches a task from one document of a batch, not from each. Anchors that more windows share than a task should
+get are counted beforehand, and their windows go by their own hash.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import NULL_ID, grams, id_out, mix, partitions, sliding_min, texts, word_hashes
+from skyloom.llm.common import NULL_ID, grams, id_out, mix, partitions, sliding_min, staged, texts, trimmed, word_hashes
 
 _ANCHOR = 5
 #: Words of text that one batch settles at once; it bounds the memory of a task.
 _BATCH_WORDS = 1_500_000
+#: Windows that one packed span tells of; longer runs are several spans.
+_LONGEST = (1 << 24) - 1
 
 
 def _split(text: str) -> list[bytes]:
@@ -33,11 +36,55 @@ def _spans(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Windows at consecutive words of a row as one long: the first word above 24 bits, and the number of windows. With the first's index."""
     new = np.concatenate(([True], (np.diff(row) != 0) | (np.diff(start) != 1)))[: len(row)]
     first = np.flatnonzero(new)
-    return first, start[first].astype(np.int64) << 24 | np.minimum(np.diff(np.append(first, len(row))), (1 << 24) - 1)
+    new |= (np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))) % _LONGEST == 0
+    first = np.flatnonzero(new)
+    return first, start[first].astype(np.int64) << 24 | np.diff(np.append(first, len(row)))
 
 
 def _joined_keys(anchor: np.ndarray, low: np.ndarray) -> np.ndarray:
-    return mix(anchor + low.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """A window's identity: its anchor, and 40 bits of its own hash."""
+    return mix(anchor + low * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _anchors(words: np.ndarray, window: int) -> np.ndarray:
+    return sliding_min(grams(words, _ANCHOR), window - _ANCHOR + 1)
+
+
+def _frequent(batches, window: int, share: float):
+    """(anchor, n): anchors with at least this share of a batch's windows, and how many they have."""
+    held, words = [], 0
+
+    def out():
+        all_ = np.concatenate(held)
+        anchor, n = np.unique(all_, return_counts=True)
+        some = n >= max(4, share * len(all_))
+        return pa.RecordBatch.from_arrays([pa.array(anchor[some].view(np.int64)), pa.array(n[some].astype(np.int64)), pa.array(np.zeros(some.sum(), np.int64))], names=["anchor", "n", "of"])
+
+    for batch in batches:
+        total = 0
+        for text in batch["text"]:
+            h, _ = word_hashes(b" ".join(_split(text.as_py())))
+            if len(h) >= window:
+                held.append(_anchors(h, window))
+                words += len(h)
+                total += len(h) - window + 1
+            if words >= _BATCH_WORDS:
+                yield out()
+                held, words = [], 0
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([total], pa.int64())], names=["anchor", "n", "of"])
+    if held:
+        yield out()
+
+
+def _crowded(rows: DataFrame, window: int, buckets: int, most: int | None) -> np.ndarray:
+    """Sorted anchors that so many windows share that a task would hold them all: over a quarter of a bucket's share, so four for each
+    bucket at most."""
+    found = rows.mapInArrow(lambda b: _frequent(b, window, 1 / (16 * buckets)), "anchor long, n long, of long")
+    found = staged(found.groupBy("anchor").agg(F.sum("n").alias("n"), F.sum("of").alias("of")), "anchors")
+    total = found.agg(F.sum("of")).first()[0] or 0
+    limit = max(100_000, total // (4 * buckets)) if most is None else most
+    hot = found.where((F.col("n") > limit) & (F.col("anchor") != 0)).select("anchor").collect()
+    return np.sort(np.array([r.anchor for r in hot], np.int64).view(np.uint64))
 
 
 def _repeats(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +117,7 @@ def _settle(docs: list[tuple], parts: list[tuple], buckets: int, window: int) ->
     which = np.repeat(np.arange(len(docs)), n)
     pos = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)
     ids = np.array([d for d, _ in docs], np.int64)
-    low = (key >> np.uint64(32)).astype(np.uint32)
+    low = key >> np.uint64(24)
     later, send = _repeats(_joined_keys(anchor, low), ids[which])
     at = np.flatnonzero(later)
     first, spans = _spans(which[at], pos[at])
@@ -98,7 +145,7 @@ def _settle(docs: list[tuple], parts: list[tuple], buckets: int, window: int) ->
         blob = b"".join((
             np.array([len(runs), len(own), size.sum()], np.int64).tobytes(), anchor[head[runs]].tobytes(), ids[own].tobytes(),
             np.array([docs[i][1] for i in own], np.int64).tobytes(), pos[head[runs]].astype(np.uint32).tobytes(),
-            low[rows].tobytes(), index.astype(np.uint32).tobytes(), size.astype(np.uint8).tobytes(),
+            (low[rows] >> np.uint64(8)).astype(np.uint32).tobytes(), low[rows].astype(np.uint8).tobytes(), index.astype(np.uint32).tobytes(), size.astype(np.uint8).tobytes(),
         ))
         yield {"bucket": int(to[runs[0]]), "doc_id": None, "row_key": None, "spans": None, "blob": blob}
 
@@ -106,7 +153,7 @@ def _settle(docs: list[tuple], parts: list[tuple], buckets: int, window: int) ->
 _SENT = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("spans", pa.binary()), ("blob", pa.binary())])
 
 
-def _windows(batches, buckets: int, window: int):
+def _windows(batches, buckets: int, window: int, crowded: np.ndarray = np.zeros(0, np.uint64)):  # noqa: B008
     docs, parts, words, known = [], [], 0, set()
 
     def out():
@@ -121,7 +168,11 @@ def _windows(batches, buckets: int, window: int):
             if len(h) >= window:
                 known.add((d, row))
                 docs.append((d, row))
-                parts.append((grams(h, window), sliding_min(grams(h, _ANCHOR), window - _ANCHOR + 1)))
+                key, anchor = grams(h, window), _anchors(h, window)
+                if len(crowded):
+                    at = np.minimum(np.searchsorted(crowded, anchor), len(crowded) - 1)
+                    anchor = np.where(crowded[at] == anchor, key, anchor)
+                parts.append((key, anchor))
                 words += len(h)
             if words >= _BATCH_WORDS:
                 yield from out()
@@ -164,8 +215,9 @@ def _count(batches):
                 at += x.nbytes
                 return x
 
-            anchor, ids, own, pos, low, index, size = take(np.uint64, r), take(np.int64, d), take(np.int64, d), take(np.uint32, r), take(np.uint32, w), take(np.uint32, r), take(np.uint8, r)
-            size = size.astype(np.int64)
+            anchor, ids, own, pos = take(np.uint64, r), take(np.int64, d), take(np.int64, d), take(np.uint32, r)
+            low = take(np.uint32, w).astype(np.uint64) << np.uint64(8) | take(np.uint8, w)
+            index, size = take(np.uint32, r), take(np.uint8, r).astype(np.int64)
             within = np.arange(w) - np.repeat(np.cumsum(size) - size, size)
             keys.append(_joined_keys(np.repeat(anchor, size), low))
             docs.append(np.repeat(ids[index], size))
@@ -222,20 +274,22 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row_key"], pa.array(packed, pa.binary())], names=["doc_id", "row_key", "packed"])
 
 
-def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 13, most: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text, removed (begin and end of each interval of words, flattened).
 
     A word goes if a window of `window` consecutive words that covers it also starts in a document with a smaller doc_id. Null and
     empty texts have no words: n_words 0 and the hash of the empty text. Rows with one doc_id never remove words of each
-    other; a null doc_id counts as smaller than any other. Repeated rows each come back. An empty table gives an empty result.
+    other; a null doc_id counts as smaller than any other. Repeated rows each come back. Texts are taken whole, however long. An empty
+    table gives an empty result. most: windows of one anchor from which on they go apart; it changes where work is done, not what is found.
     """
     if window < 6:
         raise ValueError("a window has six words or more")
     spark = docs.sparkSession
     buckets = 4 * partitions(spark)
     rows = texts(docs).withColumn("row_key", F.xxhash64("text"))
-    sent = rows.mapInArrow(lambda b: _windows(b, buckets, window), "bucket int, doc_id long, row_key long, spans binary, blob binary")
-    found = sent.repartition(partitions(spark), "bucket").mapInArrow(_count, "doc_id long, row_key long, span long")
+    crowded = spark.sparkContext.broadcast(_crowded(rows, window, buckets, most))
+    sent = rows.mapInArrow(lambda b: trimmed(_windows(b, buckets, window, crowded.value)), "bucket int, doc_id long, row_key long, spans binary, blob binary")
+    found = sent.repartition(partitions(spark), "bucket").mapInArrow(lambda b: trimmed(_count(b)), "doc_id long, row_key long, span long")
     found = found.groupBy("doc_id", "row_key").agg(F.collect_list("span").alias("found"))
     small = rows.mapInArrow(_packed, "doc_id long, row_key long, packed binary")
     both = small.join(found.hint("merge"), ["doc_id", "row_key"], "left").select("doc_id", "packed", "found")
