@@ -3,41 +3,50 @@
 Two words are as alike as the subsequences of three characters that they share, each weighed down by the gaps it spans; so an
 insult with a character put in, or a new ending, stays near the insult. A sentence is its words' largest kernel value with each landmark;
 the Nyström map whitens these by the landmarks' own kernel, and a linear machine learns on sentences of labelled documents: all of
-clean ones, and of toxic ones the sentence that the machine itself holds for the most toxic. A document is its worst sentence.
+clean ones, and of toxic ones the sentence that the machine itself holds for the most toxic. A document is its worst two sentences, whose
+values a logistic scale turns into a chance: one likeness may be an accident, two are not.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import id_in, id_out, ship
+from skyloom.llm.common import id_in, id_out, ship, trimmed
 
 #: Labelled documents of each class that the fit may take, and landmarks: from words that tell toxic documents, and common ones.
 FIT_TOXIC, FIT_CLEAN = 1200, 2000
 TELLING, COMMON = 64, 8
+#: Sentences of a document that its score weighs.
+WORST = 2
 #: Kernel values below this count as none.
 ALIKE = 0.4
 #: Weight of a subsequence: DECAY to the power of the characters it spans, at most SPAN.
 DECAY, SPAN = 0.8, 5
-#: Words that a worker remembers.
-CACHE_WORDS = 300_000
+#: Words that a task remembers.
+CACHE_WORDS = 100_000
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 _SPACED = re.compile(r"(?<!\S)(?:\w[ .*_-]){3,}\w(?!\S)")
 _EDGE = ".,;:!?\"'()[]{}|*$%&#<>-_"
+#: Marks of a word's ends, which no word holds after splitting at white space and controls.
+_BEGIN, _END = "\x02", "\x03"
+_BITS = 7
 _OFFSETS = [(a, b) for a in range(1, SPAN - 1) for b in range(a + 1, SPAN)]
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Characters as numbers below 64, of each word with its ends marked; and where words begin."""
-    text = "".join(f"^{w}$" for w in words)
+    """Characters as numbers below 128, of each word with its ends marked; and where words begin.
+
+    ASCII characters are themselves; the ends are two control characters, and all others share the rest of these.
+    """
+    text = "".join(f"{_BEGIN}{w}{_END}" for w in words)
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = np.where(c < 128, c, c * 7 + 5) % 64
+    c = np.where(c < 128, c, 4 + (c * 7 + 5) % 28)
     return c.astype(np.int64), np.cumsum([0] + [len(w) + 2 for w in words])
 
 
@@ -51,7 +60,7 @@ def _subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         if n <= 0:
             continue
         same = word[:n] == word[b:]
-        key = (word[:n] << 18 | c[:n] << 12 | c[a : a + n] << 6 | c[b:])[same]
+        key = (word[:n] << 3 * _BITS | c[:n] << 2 * _BITS | c[a : a + n] << _BITS | c[b:])[same]
         keys.append(key)
         weights.append(np.full(len(key), DECAY ** (b + 1)))
     if not keys:
@@ -61,7 +70,7 @@ def _subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     key, weight = key[order], weight[order]
     first = np.flatnonzero(np.diff(key, prepend=-1))
     total = np.add.reduceat(weight, first) if len(first) else weight
-    return key[first] >> 18, key[first] & 0x3FFFF, total
+    return key[first] >> 3 * _BITS, key[first] & ((1 << 3 * _BITS) - 1), total
 
 
 class Landmarks:
@@ -71,12 +80,22 @@ class Landmarks:
         self.words = words
         w, u, x = _subsequences(words)
         norm = np.sqrt(np.bincount(w, x * x, len(words)))
-        self.row = np.full(1 << 18, -1, np.int32)
-        own = np.unique(u)
-        self.row[own] = np.arange(len(own))
-        self.weight = np.zeros((len(own), len(words)), np.float32)
-        self.weight[self.row[u], w] = x / norm[w]
+        self.own = np.unique(u)
+        self.weight = np.zeros((len(self.own), len(words)), np.float32)
+        self.weight[np.searchsorted(self.own, u), w] = x / norm[w]
         self.most = self.weight.max(axis=1, initial=0)
+        self._row = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_row": None}
+
+    @property
+    def row(self) -> np.ndarray:
+        """The place of each subsequence among those of the landmarks, -1 for others; made anew where the landmarks arrive."""
+        if self._row is None:
+            self._row = np.full(1 << 3 * _BITS, -1, np.int16 if len(self.own) < 1 << 15 else np.int32)
+            self._row[self.own] = np.arange(len(self.own))
+        return self._row
 
     def __call__(self, words: list[str], least: float = 0.0) -> np.ndarray:
         """Words by landmarks. Words that can't reach `least` with any, by the sum of each subsequence's largest share, stay zero."""
@@ -126,20 +145,22 @@ def _newton(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0)
     return w
 
 
-def _logistic(f: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[float, float]:
-    """Platt's scale: p = 1 / (1 + exp(-(a f + b))), targets pulled in from 0 and 1, a ridge on a."""
+def _logistic(f: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Platt's scale: p = 1 / (1 + exp(-(f a + b))), targets pulled in from 0 and 1, a ridge on a; a and then b."""
     n1, n0 = y.sum(), len(y) - y.sum()
     t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    v, x = np.array([1.0, 0.0]), np.stack([f, np.ones_like(f)], 1)
-    for _ in range(50):
+    x = np.column_stack([f, np.ones(len(f))])
+    v = np.zeros(x.shape[1])
+    ridge = np.append(np.full(f.shape[1], 1e-3), 0)
+    for _ in range(80):
         p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
-        g = x.T @ (cost * (p - t)) + np.array([1e-3 * v[0], 0])
-        h = (x * (cost * p * (1 - p))[:, None]).T @ x + np.diag([1e-3, 1e-6])
+        g = x.T @ (cost * (p - t)) + ridge * v
+        h = (x * (cost * p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-6)
         step = np.linalg.solve(h, g)
         v = v - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return float(v[0]), float(v[1])
+    return v
 
 
 class Model:
@@ -186,7 +207,7 @@ class Model:
             self.weight = np.append(self.white @ w[:-1], w[-1])
         f = np.array([self._worst(p) for p in pooled])
         self.scale = _logistic(f, y, np.where(y > 0, weights[1], weights[0]) * len(y) / np.where(y > 0, weights[1], weights[0]).sum())
-        self.known, self.values = {}, self.values[:0]
+        self.forget()
 
     def _indexed(self, docs: list[list[list[str]]]) -> list[list[list[int]]]:
         """Words as rows of self.values, those like no landmark left out."""
@@ -221,15 +242,22 @@ class Model:
             out[1:] = np.maximum.reduceat(self.values[flat], np.cumsum([0] + [len(s) for s in some[:-1]]), axis=0)
         return out
 
-    def _worst(self, pooled: np.ndarray) -> float:
-        return float((pooled @ self.weight[:-1]).max() + self.weight[-1])
+    def _worst(self, pooled: np.ndarray) -> np.ndarray:
+        """The values of the most toxic sentences, as many as WORST; sentences that are like no landmark fill up."""
+        value = pooled @ self.weight[:-1] + self.weight[-1]
+        return np.append(np.sort(value)[::-1], np.full(WORST, self.weight[-1]))[:WORST]
+
+    def forget(self) -> None:
+        """Drop remembered words: workers outlive a task, and later stages need the memory."""
+        if self.marks is not None:
+            self.known, self.values = {}, self.values[:0].copy()
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.marks is None:
             return np.full(len(texts), self.rate)
-        a, b = self.scale
+        *a, b = self.scale
         f = np.array([self._worst(self._pooled(d)) for d in self._indexed([sentences(t) for t in texts])])
-        return 1 / (1 + np.exp(-np.clip(a * f + b, -50, 50)))
+        return 1 / (1 + np.exp(-np.clip(f @ np.array(a) + b, -50, 50)))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -245,29 +273,37 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if not picked:
         return Model([], [])
     few = F.broadcast(docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int"))  # FIT_TOXIC + FIT_CLEAN rows at most
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(few, "doc_id").dropDuplicates(["doc_id"]).collect()
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # of rows that share an id the first text by code point, so that reruns agree
+    rows = slim.join(few, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: r.doc_id)
     return Model([r.text for r in rows], [r.toxic for r in rows], (weights[0], weights[1]))
 
 
+def _scored(model) -> Column:
+    """The score of column text under a broadcast model: the text alone goes to Python, and one number comes back."""
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m = model.value
+        try:
+            yield from trimmed(pd.Series(np.concatenate([m.scores(b.iloc[i : i + 250].tolist()) for i in range(0, len(b), 250)] or [np.zeros(0)])) for b in batches)
+        finally:
+            m.forget()
+
+    return score(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted. Scores come from the text alone, by whole texts.
+    """doc_id, held_out, score, predicted. Scores come from the text alone, by whole texts, however long.
 
-    Null and empty texts score like a text that is like no landmark. Without labels of both classes every score is the rate of toxic
+    An empty table gives an empty result. Null and empty texts score like a text that is like no landmark. Without labels of both classes every score is the rate of toxic
     labels (0 without any). Repeated rows each come back; a null doc_id is never held out.
     """
     ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))  # bounded by the landmarks
-
-    def of(batches):
-        m = model.value
-        for b in batches:
-            for i in range(0, len(b), 1000):
-                some = b.iloc[i : i + 1000]
-                yield pd.DataFrame({"doc_id": some["doc_id"], "score": m.scores(some["text"].tolist())})
-
-    rows = docs.select(id_in("doc_id").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    out = rows.mapInPandas(of, "doc_id long, score double").withColumn("doc_id", id_out("doc_id"))
+    rows = docs.select(id_in("doc_id").alias("doc_id"), _scored(model).alias("score"))
+    out = rows.withColumn("doc_id", id_out("doc_id"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -276,12 +312,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the model of toxicity() does not hold for toxic, with all their columns."""
     ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-
-    def of(batches):
-        m = model.value
-        for b in batches:
-            for i in range(0, b.num_rows, 1000):
-                some = b.slice(i, 1000)
-                yield some.filter(pa.array(m.scores([t or "" for t in some["text"].to_pylist()]) < 0.5))
-
-    return docs.mapInArrow(of, docs.schema)
+    return docs.where(_scored(model) < 0.5)
