@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import _BYTE, NULL_ID, _pow, grams, id_in, id_out, mix, ship, staged, texts, word_hashes
+from skyloom.llm.common import _BYTE, NULL_ID, _pow, grams, id_in, id_out, mix, scratch, ship, staged, texts, trimmed, word_hashes
 
 WINDOW = 8
 #: Words of a window that are no placeholder, at least; windows of an item that a document must hold (all, if fewer); share of slots that must agree.
@@ -193,7 +193,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         sieve[r.part * 4096 : r.part * 4096 + 4096] = r.bits
     sieve = spark.sparkContext.broadcast(bytes(sieve))
     rows = texts(docs).withColumn("row_key", F.xxhash64("text"))
-    hits = rows.mapInArrow(lambda b: _hits(b, sieve, sizes), _HITS_DDL).drop("n", "need", "size").distinct()
+    hits = rows.mapInArrow(lambda b: trimmed(_hits(b, sieve, sizes)), _HITS_DDL).drop("n", "need", "size").distinct()
     key = ["doc_id", "row_key", "item_id"]
     counts = [F.first(c).alias(c) for c in ("n_windows", "need")]
     both = hits.join(known, "hash").select(*key, "item_pos", "n_windows", "need", (F.col("pos") - F.col("item_pos")).alias("shift"), F.arrays_zip("item_slots", "slots").alias("s"))
@@ -236,6 +236,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_unleaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that leak no item, with all their columns."""
-    found = staged(leaks(docs, benchmark).select(F.col("doc_id").alias("id"), "row_key"), "leaks")
+    with scratch(docs.sparkSession):
+        found = staged(leaks(docs, benchmark).select(F.col("doc_id").alias("id"), "row_key"), "leaks", keep=True)
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     return docs.join(found, (F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == found["id"]) & (F.xxhash64(text) == found["row_key"]), "left_anti")

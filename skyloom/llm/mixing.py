@@ -16,10 +16,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import id_in, id_out, staged
+from skyloom.llm.common import id_in, id_out, scratch, staged
 
 #: Rows of a source that fly together, about, and documents that stay open of them; both fix the result, whatever the cluster.
-FLIGHT_ROWS = 50_000
+FLIGHT_ROWS = 5_000
 OPEN = 10
 WEIGHTS = (5, 2, 1)
 _EPS = 1e-9
@@ -159,8 +159,9 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: floa
 def mixed(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The rows of docs as often as the mix takes them, with all their columns."""
     turn = Window.partitionBy("_key").orderBy("_key")  # equal rows only: which of them has which number doesn't matter
-    took = mix_sources(docs, weights, share, most).select(F.col("key").alias("_key"), "copies")
-    took = staged(took.withColumn("_turn", F.row_number().over(turn)), "mix")
+    with scratch(docs.sparkSession):
+        took = mix_sources(docs, weights, share, most).select(F.col("key").alias("_key"), "copies")
+        took = staged(took.withColumn("_turn", F.row_number().over(turn)), "mix", keep=True)
     rows = docs.withColumn("_key", _row_key()).withColumn("_turn", F.row_number().over(turn))
     both = rows.join(took.hint("merge"), ["_key", "_turn"]).where("copies > 0")
     return both.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*docs.columns)

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import id_in, id_out, staged, texts
+from skyloom.llm.common import id_in, id_out, scratch, spread_join, staged, texts
 from skyloom.llm.components import smallest_reachable
 from skyloom.llm.similar import similar_components
 
@@ -142,14 +142,15 @@ def links(classes: DataFrame) -> DataFrame:
 def simhash_dedup(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), class_id (smallest doc_id with that fingerprint), component_id (smallest reachable).
 
-    Texts with fewer words than a shingle are one shingle; texts without words, nulls included, have fingerprint zero and
-    link like any other. A null doc_id counts as smaller than any other and comes back as null. Repeated rows each come back.
+    Texts are taken whole, however long; those with fewer words than a shingle are one shingle; texts without words, nulls included, have
+    fingerprint zero and link like any other. A null doc_id counts as smaller than any other and comes back as null. Repeated rows each
+    come back. An empty table gives an empty result.
     """
     fps = staged(fingerprints(docs, shingle), "fingerprints")
     classes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("class_id")), "classes")
     reached = smallest_reachable(staged(links(classes), "links"), classes.select(F.col("fp").alias("node"), F.col("class_id").alias("value")))
     known = classes.join(reached.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "class_id", F.coalesce("label", "class_id").alias("component_id"))
-    out = fps.join(known.hint("merge"), "fp")
+    out = spread_join(fps, staged(known, "known"), "fp")
     return out.select(id_out("doc_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), id_out("class_id").alias("class_id"), id_out("component_id").alias("component_id"))
 
 
@@ -162,8 +163,11 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame
     """
     keyed = docs.withColumns({"_id": id_in("doc_id"), "_key": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
     key = ["_id", "_key"]
-    found = similar_components(docs, shingle, least).select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), ((F.col("doc_id") == F.col("component_id")) & (F.col("row_key") == F.col("component_key"))).alias("first"))
-    found = staged(found.groupBy(*key).agg(F.first("first").alias("first"), F.count("*").alias("n")).where("not first or n > 1"), "found")
+    with scratch(docs.sparkSession):
+        found = similar_components(docs, shingle, least)
+        first = (F.col("doc_id") == F.col("component_id")) & (F.col("row_key") == F.col("component_key"))
+        found = found.groupBy(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).agg(F.first(first).alias("first"), F.count("*").alias("n"))
+        found = staged(found.where("not first or n > 1"), "found", keep=True)
     gone = found.where("not first").select(*key)
     twice = found.where("first").select(*key)
     rest = keyed.join(gone, key, "left_anti")

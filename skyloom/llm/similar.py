@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import mix, staged, texts
+from skyloom.llm.common import mix, spread_join, staged, texts, trimmed
 
 #: 20 bands of 5 values: a pair at a similarity of 0.8 shares no band once in 2,800.
 BANDS, BAND_ROWS = 20, 5
@@ -53,7 +53,7 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
                 out.append((d, key, int(whole), int(np.uint64(majority(h)).view(np.int64)), _bands(u).view(np.int64), len(low), low.tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "row_key", "whole", "fp", "bands", "size", "shingles"])
 
-    return texts(docs).withColumn("row_key", F.xxhash64("text")).mapInPandas(of, "doc_id long, row_key long, whole long, fp long, bands array<long>, size long, shingles binary")
+    return texts(docs).withColumn("row_key", F.xxhash64("text")).mapInPandas(lambda b: trimmed(of(b)), "doc_id long, row_key long, whole long, fp long, bands array<long>, size long, shingles binary")
 
 
 class _Sets:
@@ -167,7 +167,7 @@ def similar_components(docs: DataFrame, shingle: int, least: float, window: int
     dealt = F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("n") / shard))
     members = buckets.join(full.hint("merge"), "bucket").select(F.xxhash64("bucket", dealt).alias("bucket"), "node")
     found = members.join(content.hint("merge"), "node")
-    found = found.repartition("bucket").sortWithinPartitions("bucket", "node").mapInPandas(lambda b: _links(b, least, window), "a long, b long").distinct()
+    found = found.repartition("bucket").sortWithinPartitions("bucket", "node").mapInPandas(lambda b: trimmed(_links(b, least, window)), "a long, b long").distinct()
     found = staged(found, "links")
     values = nodes.select("node", "value")
     reached = staged(smallest_reachable(found, values), "reached")
@@ -183,10 +183,10 @@ def similar_components(docs: DataFrame, shingle: int, least: float, window: int
     told = inside.select("bucket", "node", "component", F.lit(False).alias("asked"), F.pmod("mine", "blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("j"))
     asked = inside.where("component <> main").select("bucket", "node", "component", F.lit(True).alias("asked"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.pmod("mine", "asks").alias("j"))
     open_ = asked.union(told).select(F.xxhash64("bucket", "i", "j").alias("key"), "node", "component", "asked").join(content.hint("merge"), "node")
-    bridges = open_.repartition("key").sortWithinPartitions("key", F.desc("asked"), "node").mapInPandas(lambda b: _bridges(b, least), "a long, b long").distinct()
+    bridges = open_.repartition("key").sortWithinPartitions("key", F.desc("asked"), "node").mapInPandas(lambda b: trimmed(_bridges(b, least)), "a long, b long").distinct()
     bridges = staged(bridges, "bridges")
     if not bridges.isEmpty():
         reached = staged(smallest_reachable(found.union(bridges), values), "rejoined")
     known = values.join(reached.hint("merge"), "node", "left").select("node", F.coalesce("label", "value").alias("first"))
-    out = rows.select("doc_id", "row_key", F.col("whole").alias("node")).join(known.hint("merge"), "node")
+    out = spread_join(rows.select("doc_id", "row_key", F.col("whole").alias("node")), staged(known, "known"), "node")  # copies are one node
     return out.select("doc_id", "row_key", F.col("first.doc_id").alias("component_id"), F.col("first.row_key").alias("component_key"))

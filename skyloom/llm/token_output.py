@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import id_out, partitions, shared_dir, ship, staged, texts
+from skyloom.llm.common import id_out, partitions, shared_dir, ship, staged, texts, trimmed
 from skyloom.llm.simple8b import decode, encode_many
 
 END_ID = 1
 BLOCK_IDS = 65_536
-#: Words whose ids a worker remembers; beyond them it keeps those at hand.
-CACHE_WORDS = 800_000
+#: Words whose ids a worker remembers: those of late, and as many before them. About 100 bytes each.
+CACHE_WORDS = 300_000
 #: What str.split takes for white space and the tokenizer does not.
 _NO_SPACE = "\x1c\x1d\x1e\x1f"
 _SPACE = re.compile(r"[ \t\n\v\f\r]+")
@@ -38,7 +38,7 @@ class WordEncoder:
     remembered; new ones are encoded many at a time.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -48,7 +48,9 @@ class WordEncoder:
         self.ends = np.zeros(size, bool)
         for piece, i in self.tokenizer.get_vocab().items():
             self.ends[i] = piece.endswith("</w>")
+        self.cache_words = cache_words
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -92,31 +94,35 @@ class WordEncoder:
         # the tokenizer lowers each character by itself; str.lower does, but for sigma at an end; special tokens are told by their case
         low = [t if "<|" in t or "Σ" in t else t.lower() for t in texts]
         split = [[w for w in _SPACE.split(t) if w] if any(c in t for c in _NO_SPACE) else t.split() for t in low]
-        if len(self.known) > CACHE_WORDS:  # what is at hand stays
-            known = self.known
-            self.known = {w: known[w] for w in set().union(*split) if w in known}
+        if len(self.known) > self.cache_words:  # words that come again move over from the older ones; the rest of those go
+            self.known, self.older = {}, self.known
         # not the view of the keys: a set less a dict costs what the set holds
         new = set().union(*(set(words).difference(self.known) for words in split))
+        if new and self.older:
+            again = new.intersection(self.older)
+            self.known.update((w, self.older[w]) for w in again)
+            new -= again
         if new:
             self._add(new)
         get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, words)), self.kind) for words in split]
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> WordEncoder:
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = WordEncoder(path, cache_words)
+    _encoders[path].cache_words = cache_words
     return _encoders[path]
 
 
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("payload", pa.binary())])
 
 
-def _encode(batches, path: str, end_id: int):
-    get = encoder(path)
+def _encode(batches, path: str, end_id: int, cache_words: int = CACHE_WORDS):
+    get = encoder(path, cache_words)
     for batch in batches:
-        for i in range(0, batch.num_rows, 512):
-            some = batch.slice(i, 512)
+        for i in range(0, batch.num_rows, 256):
+            some = batch.slice(i, 256)
             parts = get(some["text"].to_pylist())
             n = np.array([len(p) for p in parts]) + 1
             ids = np.full(n.sum(), end_id, np.uint64)
@@ -156,7 +162,7 @@ def _blocks(batches):
         yield block()
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Write the blocks of all documents to path, ascending by doc_id, and return them read back."""
     rows = texts(docs)
     n = partitions(docs.sparkSession)
@@ -166,9 +172,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         rows = rows.withColumn("bucket", F.size(F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts)))), lambda c: c < F.col("doc_id"))))
     else:
         rows = rows.withColumn("bucket", F.lit(0))
-    coded = rows.mapInArrow(lambda b: _encode(b, tokenizer, end_id), "doc_id long, bucket int, n long, payload binary")
+    coded = rows.mapInArrow(lambda b: trimmed(_encode(b, tokenizer, end_id, cache_words)), "doc_id long, bucket int, n long, payload binary")
     dealt = coded.repartition(n, "bucket").sortWithinPartitions("bucket", "doc_id", "n")
-    return staged(dealt.mapInArrow(_blocks, _BLOCK_DDL), "blocks", path)
+    return staged(dealt.mapInArrow(lambda b: trimmed(_blocks(b)), _BLOCK_DDL), "blocks", path)
 
 
 def _read(batches):
@@ -188,7 +194,7 @@ def _documents(row: dict, a: np.ndarray, crc: list[int]) -> pa.RecordBatch:
 
 def read_tokens(blocks: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens, ids_crc32 of every document in the blocks."""
-    docs = blocks.mapInArrow(_read, "bucket int, block long, doc_id long, within long, n_tokens long, ids_crc32 long")
+    docs = blocks.mapInArrow(lambda b: trimmed(_read(b)), "bucket int, block long, doc_id long, within long, n_tokens long, ids_crc32 long")
     index = blocks.select("bucket", "block", "n_ids")
     # two steps: sums by bucket, of which there are as many as partitions, then blocks within their bucket
     whole = index.groupBy("bucket").agg(F.sum("n_ids").alias("ids")).select("bucket", (F.sum("ids").over(Window.orderBy("bucket")) - F.col("ids")).alias("before"))
@@ -197,12 +203,12 @@ def read_tokens(blocks: DataFrame) -> DataFrame:
     return docs.join(starts, ["bucket", "block"]).select(id_out("doc_id").alias("doc_id"), (F.col("first") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_output(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = END_ID) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = END_ID, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Write docs and read them back: doc_id, start, n_tokens (with the end id), ids_crc32.
 
     Null and empty texts are the end id alone. A null doc_id comes first. Repeated rows each are written, beside each other.
-    An empty table writes no block.
+    Texts are taken whole, however long. An empty table writes no block. cache_words: words that a Python worker remembers, twice over.
     """
     spark = docs.sparkSession
     ship(spark)
-    return read_tokens(write_tokens(docs, path or f"{shared_dir(spark)}/skyloom-{uuid.uuid4().hex}/tokens", tokenizer, end_id))
+    return read_tokens(write_tokens(docs, path or f"{shared_dir(spark)}/skyloom-{uuid.uuid4().hex}/tokens", tokenizer, end_id, cache_words))
