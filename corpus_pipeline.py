@@ -24,7 +24,8 @@ STAGES = [
     ("near_dedup", lambda spark, docs, sf_dir: keep_one(docs)),
     ("decontamination", lambda spark, docs, sf_dir: keep_unleaked(docs, table(spark, sf_dir, "benchmark"))),
     ("mixing", lambda spark, docs, sf_dir: mixed(docs)),
-    ("token_output", lambda spark, docs, sf_dir: token_output(docs, tokenizer_path())),
+    # fewer words at hand than alone: the workers of the stages before still hold theirs
+    ("token_output", lambda spark, docs, sf_dir: token_output(docs, tokenizer_path(), cache_words=50_000)),
 ]
 
 
