@@ -99,6 +99,32 @@ def test_substring_dedup_repeats_within_a_text(spark, monkeypatch):
         assert sum(z - a for a, z in module.merged(spans.get(i, []), 13)) == want[2]
 
 
+@pytest.mark.parametrize("most", [0, 20])
+def test_substring_dedup_of_crowded_anchors(spark, most):
+    """Anchors that are split by the windows' own hashes change nothing."""
+    rows = corpus() + [(50_000 + i, f"to be or not to be that is {i} what we ask again today {i} and then some more words of our own {i}") for i in range(60)]
+    got = substring_dedup(frame(spark, rows), most=most).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert ordered(map(tuple, got)) == ordered(brute_windows(rows))
+
+
+def test_long_texts(spark):
+    long = "one two three four five six seven eight nine ten eleven twelve thirteen " * 8000
+    rows = [(1, long), (2, "zero " + long), (3, "a " * 200_000)]
+    got = substring_dedup(frame(spark, rows)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert ordered(map(tuple, got)) == ordered(brute_windows(rows))
+    assert len(simhash_dedup(frame(spark, rows)).collect()) == 3
+
+
+def test_runs_longer_than_a_span(monkeypatch):
+    import numpy as np
+
+    from skyloom.llm import substring_dedup as module
+
+    monkeypatch.setattr(module, "_LONGEST", 4)
+    first, spans = module._spans(np.zeros(11, int), np.arange(11) + 3)
+    assert merged(spans, 13) == [(3, 26)] and len(first) == 3
+
+
 def test_intervals():
     import numpy as np
 

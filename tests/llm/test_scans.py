@@ -9,11 +9,12 @@ import pytest
 
 from skyloom.llm.common import ship, table
 from skyloom.llm.decontamination import decontaminate
-from skyloom.llm.html_text import extract, extract_pages
+from skyloom.llm.html_text import LABELLED, extract, extract_pages, features, tree
+from skyloom.llm.html_text import Model as PageModel
 from skyloom.llm.license_scan import license_scan
 from skyloom.llm.secrets_scan import secret_scan
 from skyloom.llm.topk import threshold_search, top_k
-from skyloom.llm.toxicity import Model, toxicity
+from skyloom.llm.toxicity import DECAY, SPAN, Landmarks, Model, keep_clean, toxicity
 from tests.conftest import SF
 
 
@@ -34,6 +35,20 @@ def test_license(spark):
     assert got[0].n_words == 0 and got[0].score == 0.0 and len(got) == len(texts)
 
 
+def test_license_against_brute_force(spark):
+    rnd = random.Random(21)
+    vocabulary = "mit license apache general public licence the MIT Apache LICENSE é mité license. apache-license general\tpublic 9".split(" ")
+    texts = [rnd.choice(" ").join(rnd.choice(vocabulary) for _ in range(rnd.randrange(60))) for _ in range(80)]
+    phrases = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+    for r in license_scan(docs(spark, texts)).collect():
+        low = "".join(c.lower() if c.isascii() else c for c in texts[r.doc_id])
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        found = [(i, label) for p, label in phrases.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+        starts = [i for i, _ in found]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(found), min(starts, default=None), max(starts, default=None))
+        assert r.base_labels == ",".join(sorted({label for _, label in found})) and set(r.base_labels.split(",")) <= set(r.labels.split(",")) | {""}
+
+
 def spans(text):
     out = []
     for i, (kind, pattern, group, least) in enumerate((("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8), ("access", "AKIA[A-Z0-9]+", 0, 16), ("hex", "[0-9a-f]+", 0, 32))):
@@ -52,6 +67,41 @@ def test_secrets(spark):
     assert got[len(texts) - 2].spans == "random:6:70" and got[len(texts) - 1].spans == ""
 
 
+def test_secrets_of_one_class(spark):
+    """Letters of one case, base32 and base36 are found beside many ordinary candidates, which are not. (Long digits are hex.)"""
+    rnd = random.Random(12)
+    of = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    lower, base32 = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    planted = [of(lower, 72), of(lower.upper(), 72), of(base32, 64), of(lower + "0123456789", 40), of(lower + lower.upper() + "0123456789", 40)]
+    syllables = "ha re ti on the an st en er nd la co me pre ver su ing".split()
+    plain = ["".join(rnd.choice(syllables) for _ in range(12)) for _ in range(150)] + ["some_module_name_with_parts/and/a/path", "2024010120240102202401032024", "a" * 60, "0" * 60, "abcabcabcabcabcabcabcabcabc", "11111222223333344444555556666677777"]
+    got = secret_scan(docs(spark, [f"say {x} now" for x in planted + plain])).collect()
+    found = {r.doc_id for r in got if "random" in r.spans}
+    assert found == set(range(len(planted)))
+
+
+def test_secrets_of_many_matches(spark):
+    text = " ".join(["password=abcdefgh1", "é", "f" * 32] * 300)
+    got = secret_scan(docs(spark, [text])).first()
+    assert (got.n_assign, got.n_hex) == (300, 300) and got.base_sha256 == hashlib.sha256(spans(text).encode()).hexdigest()
+
+
+def test_page_marginals():
+    """Sum-product against all labellings of a small tree."""
+    import itertools
+
+    m = PageModel(LABELLED)
+    t = tree("<body><div class='menu'><a href='x'>one</a></div><article><p>Some words that go on for a while, as they do.</p><p>More</p></article></body>")
+    n = len(t.tag)
+    own = [[1.0, 1e-6]] + [[1.0, float(np.prod([m.odds.get(f, 1.0) for f in features(t, i)]))] for i in range(1, n)]
+    total = np.zeros((n, 2))
+    for y in itertools.product((0, 1), repeat=n):
+        w = np.prod([own[i][y[i]] * (m.psi[y[t.parent[i]]][y[i]] if i else 1.0) for i in range(n)])
+        for i in range(n):
+            total[i, y[i]] += w
+    assert n < 15 and np.allclose(m.marginals(t), total[:, 1] / total.sum(axis=1), rtol=1e-6)
+
+
 def test_html():
     page = '<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="ad">Buy</div><article><h1>A &amp; B</h1><p>One<b> two</b><br>three <p>Four&nbsp;&lt; five<script>var x="</p>"</script></article><footer>&copy; me</footer></body></html>'
     assert extract(page) == "A & B\nOne two three\nFour < five"
@@ -79,6 +129,35 @@ def test_top_k(spark):
     assert sorted((r.query_id, r.vec_id, r.score) for r in out) == sorted(got)
 
 
+def test_top_k_in_blocks(spark):
+    """Many blocks and packs, ties across them, and repeated rows."""
+    rnd = np.random.default_rng(1)
+    m = rnd.integers(-2, 3, (230, 3))
+    ship(spark)
+    rows = [(i, [float(x) / 256 for x in m[i]]) for i in range(230)]
+    df = spark.createDataFrame(rows + rows[:7], "vec_id long, embedding array<double>")
+    got = {}
+    for r in top_k(df, k=4, every=10, block=16, pack=5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q in range(0, 230, 10):
+        want = sorted([(-int(m[i] @ m[q]), i) for i in [*range(230), *range(7)] if i != q])[:4]
+        assert [(v, s) for _, v, s in sorted(got[q])] == [(i, -s) for s, i in want]
+    assert top_k(df.limit(0)).count() == 0 and top_k(df.where("vec_id = 7")).count() == 0
+
+
+@pytest.mark.parametrize("size", [2**27, 2**32, 2**40])
+def test_top_k_of_large_numbers(size):
+    """Exact where doubles, and 64-bit integers, no longer are."""
+    m = np.random.default_rng(2).integers(-size, size, (60, 5))
+    m[7] = m[3]
+    m[7, 0] += 1
+    got = threshold_search(m[:6], np.arange(6), m, np.arange(60), 5)
+    for q in range(6):
+        want = sorted((-sum(int(a) * int(b) for a, b in zip(m[i], m[q])), i) for i in range(60) if i != q)[:5]
+        cut = lambda x: max(-(2**63), min(2**63 - 1, x))
+        assert sorted((-s, v) for qq, v, s in got if qq == q) == sorted((-cut(-s), i) for s, i in want)
+
+
 def test_decontaminate(spark):
     rnd = random.Random(4)
     words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(20)]
@@ -97,6 +176,30 @@ def test_decontaminate(spark):
 ITEM = "if Alice buys 12 apples and gives 5 km of rope to Bob then how many apples does Alice have when 12 are left at the end of it"
 
 
+def test_decontaminate_random_copies(spark):
+    """Every copy of an item, wherever it stands, is found as that item; texts that share no eight words with any are clean."""
+    rnd = random.Random(31)
+    word = lambda: "".join(rnd.choice("bcdfglmnprst") + rnd.choice("aeiou") for _ in range(3))
+    name = lambda: word().capitalize()
+    some = lambda n: [rnd.choice([word, word, word, name, lambda: str(rnd.randrange(2000))])() for _ in range(n)]
+    items = [some(rnd.randrange(10, 60)) for _ in range(25)]
+    texts, want = [], []
+    for i in range(100):
+        own = some(rnd.randrange(0, 80))
+        which = rnd.sample(range(25), rnd.randrange(3)) if i % 2 else []
+        for k in which:
+            at = rnd.randrange(len(own) + 1)
+            own[at:at] = ["Question:", *items[k], "so."]
+        kept = [k for k in which if " ".join(items[k]) in " ".join(own)]
+        if kept != which:  # one copy cut another in two
+            continue
+        texts.append(" ".join(own))
+        want.append(sorted(which))
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: r.item_ids for r in decontaminate(docs(spark, texts), bench).collect()}
+    assert [got[i] for i in range(len(texts))] == want and sum(map(bool, want)) > 20
+
+
 def test_decontaminate_variants_in_one_text(spark):
     """Copy and variant, two variants, a window alike by accident, and a value in two roles: an alignment alone decides."""
     one, two = (ITEM.replace("12", a).replace("5 km", f"{b} km").replace("Alice", c).replace("Bob", d) for a, b, c, d in (("31", "7", "Carol", "Dan"), ("44", "9", "Eve", "Frank")))
@@ -133,6 +236,40 @@ def test_toxicity_model():
     assert 0 <= m.scores([""])[0] < 0.5 and m.scores(["i d i o t"])[0] > m.scores(["a b c"])[0]
 
 
+def plain_kernel(a, b):
+    """Sum over shared subsequences of three characters, spans of at most SPAN, by looking at all of them."""
+    import itertools
+
+    def weigh(w):
+        w, out = f"\x02{w}\x03", {}
+        for i, j, k in itertools.combinations(range(len(w)), 3):
+            if k - i < SPAN:
+                key = w[i] + w[j] + w[k]
+                out[key] = out.get(key, 0.0) + DECAY ** (k - i + 1)
+        return out
+
+    x, y = weigh(a), weigh(b)
+    dot = lambda p, q: sum(v * q.get(u, 0.0) for u, v in p.items())
+    return dot(x, y) / (dot(x, x) * dot(y, y)) ** 0.5
+
+
+def test_kernel():
+    words = ["idiot", "id10t", "idi0t", "$tupid", "stupid", "p0t", "pot", "a!d", "aad", "x" * 30]
+    k = Landmarks(words)(words)
+    for i, a in enumerate(words):
+        for j, b in enumerate(words):
+            assert np.isclose(k[i, j], plain_kernel(a, b), atol=1e-5)
+
+
+def test_toxicity_held_out(spark):
+    """Of labelled documents that the fit never sees, nearly all are told apart; the pipeline's stage keeps the same ones."""
+    d, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    got = toxicity(d, labels).where("held_out").join(labels.select("doc_id", "toxic"), "doc_id").collect()
+    assert len(got) > 40 and np.mean([r.predicted == r.toxic for r in got]) > 0.9  # some twentieth of the labels err
+    kept = {r.doc_id for r in keep_clean(d, labels).select("doc_id").collect()}
+    assert all((r.doc_id in kept) == (r.predicted == 0) for r in got)
+
+
 def test_toxicity(spark):
     d = table(spark, SF, "documents").unionByName(docs(spark, ODD).select("doc_id", "text"), allowMissingColumns=True)
     got = toxicity(d, table(spark, SF, "labels")).collect()
@@ -141,6 +278,23 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity(docs(spark, ODD), empty).collect()} == {0.0}
 
 
+def test_empty_tables_and_long_texts(spark):
+    """No document at all, and documents of a megabyte: nothing fails, and one row comes back for each."""
+    none = docs(spark, ["x"]).limit(0)
+    bench = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    for out in (toxicity(none, labels), secret_scan(none), license_scan(none), decontaminate(none, bench), extract_pages(spark.createDataFrame([], "page_id long, url string, html string"))):
+        assert out.collect() == []
+    long = ["a b " * 250_000, "x" * 1_000_000, ("word " * 100_000) + ITEM + " licensed under the mit license password=abcdefgh1"]
+    d = docs(spark, long)
+    assert {r.doc_id: r.contaminated for r in decontaminate(d, bench).collect()} == {0: False, 1: False, 2: True}
+    assert {r.doc_id: (r.n_words, r.base_labels) for r in license_scan(d).collect()}[2] == (100_000 + len(re.findall(r"[a-z0-9]+", ITEM.lower())) + 7, "mit")
+    assert {r.doc_id: r.n_assign for r in secret_scan(d).collect()} == {0: 0, 1: 0, 2: 1}
+    assert len(toxicity(d, labels).collect()) == 3
+    page = "<article>" + "<p>one two</p>" * 50_000 + "</article>"
+    assert extract_pages(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first().n_chars == 50_000 * 8 - 1
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

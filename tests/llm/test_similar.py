@@ -121,3 +121,23 @@ def test_near():
     assert s.near(0, np.array([1, 2, 5]), 4500 / 5500).tolist() == [True, False, False]
     assert not s.near(0, np.array([1]), 0.82).any()
     assert s.near(2, np.array([4, 3, 2]), 0.81).tolist() == [False, True, True]
+
+
+def test_spread_join(spark):
+    """A frequent key by broadcast, the rest by a shuffle: the rows of a plain join."""
+    from skyloom.llm.common import spread_join
+
+    left = spark.createDataFrame([(7 if i % 2 else i % 50, i) for i in range(400)] + [(999, -1)], "k long, i long")
+    right = spark.createDataFrame([(k, k * k) for k in range(50)], "k long, v long")
+    for how in ("inner", "left"):
+        assert sorted(map(tuple, spread_join(left, right, "k", how, least=30).collect()), key=str) == sorted(map(tuple, left.join(right, "k", how).collect()), key=str)
+
+
+def test_stars_of_one_centre(spark, monkeypatch):
+    from skyloom.llm import components
+
+    monkeypatch.setattr(components, "FEW", 10)
+    links = spark.createDataFrame([(0, i) for i in range(1, 300)] + [(500, 501), (501, 502)], "a long, b long")
+    values = spark.createDataFrame([(i, 1000 - i) for i in range(503)], "node long, value long")
+    got = {r.node: r.label for r in components.smallest_reachable(links, values).collect()}
+    assert got == {**{i: 1000 - 299 for i in range(300)}, **{i: 1000 - 502 for i in (500, 501, 502)}}
