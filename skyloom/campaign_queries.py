@@ -346,7 +346,7 @@ add(
     "sampling_plan", _planned,
     f"with {W}, {_N2} select 0 as i, round((c * p - b * q) / (a * c - b * b), 4) as mean from s union all select 1, round((a * q - b * p) / (a * c - b * b), 4) from s",
 )
-_N3 = f"x as (select {_F} as x0, data as y from w), s as (select sum(x0 * x0) as a, sum(x0 * y) as p, count(*) as n from x)"
+_N3 = f"x as (select {_F} as x0, data as y from w), s as materialized (select sum(x0 * x0) as a, sum(x0 * y) as p, count(*) as n from x)"
 
 
 def _descended(spark, sf_dir):

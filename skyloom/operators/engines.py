@@ -241,13 +241,13 @@ class SamplingPlan:
         return offset - 0.5 * float(((r @ (theta - at) - z) ** 2).sum()) + self.space.log_prior(theta)
 
     def estimate(self, at: Mapping | Sequence[float] | None = None, tol: float = 1e-8, least: int = 3, most: int = 100, check: bool = True) -> Estimate:
-        """Sweeps until the misfit of data and priors stays."""
+        """Sweeps until the misfit of data and priors stays; those of an affine plan, which need no job, until the latents stay too."""
         theta = self.space.flat(at) if at is None or isinstance(at, Mapping) else np.array(at, float)
         if check:
             self.check(theta)
         before, trace = None, []
         for sweep in range(1, most + 1):
-            now = None
+            now, started = None, theta.copy()
             for b, engine in self.blocks:
                 places = self.space.places(b.members)
                 for _ in range(1 if engine == "conjugate" else b.steps):
@@ -266,7 +266,8 @@ class SamplingPlan:
             if now is None:
                 now = self._log_posterior(theta)
             trace.append(-2 * now)
-            if before is not None and sweep >= least and abs(now - before) <= tol * max(1.0, abs(now)):
+            stays = not self.affine or (np.abs(theta - started) <= 1e-12 * np.maximum(1.0, np.abs(theta))).all()
+            if before is not None and sweep >= least and stays and abs(now - before) <= tol * max(1.0, abs(now)):
                 return Estimate(theta, self.problem.chi2(theta), sweep, True, trace)
             before = now
         return Estimate(theta, self.problem.chi2(theta), most, False, trace)

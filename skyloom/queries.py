@@ -107,7 +107,8 @@ on_grid("src_rfi_bernoulli", sources.Interference(2000.0, 0.01, seed=7), sql=f"c
 
 # --- transforms --------------------------------------------------------------
 _EFF = "(0.95::double + 0.01::double * freq_idx)"
-on_waterfall("trn_ionosphere", transforms.Ionosphere(0.013), sql="data * (1 + 0.013::double * pow(freq_hz / 75e6, -2))")
+# a factor of many digits, so that no product ends in a five that is rounded either way
+on_waterfall("trn_ionosphere", transforms.Ionosphere(0.0133333333333), sql="data * (1 + 0.0133333333333::double * pow(freq_hz / 75e6, -2))")
 on_waterfall("trn_beam_spill", transforms.BeamSpill(0.9, 290.0), sql="0.9::double * data + (1 - 0.9::double) * 290")
 on_waterfall(
     "trn_antenna_loss", transforms.AntennaLoss(Param.per_freq([0.95, 0.96, 0.97, 0.98, 0.99]), 290.0),

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyloom import errors
-from skyloom.operators import diagnostics, engines, inference, linear, processing, sources, transforms, uncertainty
+from skyloom.operators import diagnostics, engines, inference, linear, neural, processing, sources, transforms, uncertainty
 from skyloom.operators.base import Param
 from skyloom.plans.signal_path import assemble
 from skyloom.plans.space import Bind, Factorization, Forward, Latent, Normal, ParameterSpace, Uniform, literal
@@ -214,3 +214,27 @@ def test_tied_latents(cells):
     forward = Forward(space, assemble(sources.UniformSky(0.0), sources.Atmosphere(0.0), transforms.PeriodicLines(0.0, 5)), cells)
     assert {(r.freq_idx, r.data) for r in forward.predict().where("freq_idx < 2").collect()} == {(0, 10.0), (1, 4.0)}
     assert Param.expression(F.lit(1.0)).axis == "expression" and literal([1.0]) is not None
+
+
+def test_neural_posterior(spark):
+    """Gradients against differences, and the posterior of a linear Gaussian model against its formula."""
+    rng = np.random.default_rng(2)
+    p = neural.NeuralPosterior.create([0.0, 1.0], [1.0, 2.0], [0.0] * 3, [1.0] * 3, (5,), 2, 1)
+    theta, x = rng.normal(size=(7, 2)), rng.normal(size=(7, 3))
+    loss, g = p.gradient(theta, x)
+    assert np.isclose(loss, -(p.log_prob(theta, x) + np.log(2.0)).sum())
+    for i in rng.choice(len(g), 12, replace=False):
+        step = np.eye(len(g))[i] * 1e-6
+        assert np.isclose(g[i], (p.with_flat(p.flat + step).gradient(theta, x)[0] - p.with_flat(p.flat - step).gradient(theta, x)[0]) / 2e-6, atol=1e-5)
+    t = rng.normal(size=600)
+    rows = [(i, [float(a)], (a + 0.5 * rng.normal(size=2)).tolist()) for i, a in enumerate(t)]
+    pairs = spark.createDataFrame(rows, "draw_id long, theta array<double>, x array<double>").repartition(2)
+    found, history = neural.train_posterior(pairs, (8,), 1, n_steps=60, learning_rate=0.05, every=15)
+    assert history.train[-1] < history.train[0] - 0.3 and len(history.held_out) == 4
+    draws = found.sample([0.8, 1.2], 4000, 3)
+    assert abs(draws.mean() - 2.0 / (0.25 + 2)) < 0.15 and abs(draws.std() - (0.25 / 2.25) ** 0.5) < 0.1
+
+
+def test_pairs_are_packed(spark, forward):
+    found = neural.packed(engines.simulate_pairs(forward, 0.5, 3, 1, spark)).collect()
+    assert len(found) == 3 and {(len(r.theta), len(r.x)) for r in found} == {(2 + T, T * N)}
