@@ -1,4 +1,4 @@
-"""The queries of this subpackage, by name; SQL cannot express their methods, so tests hold them against brute force."""
+"""The queries of this subpackage, by name, and DuckDB SQL for those that SQL can express; tests hold the others against brute force."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skyloom.llm.common import table
 from skyloom.llm.decontamination import decontaminate
+from skyloom.llm.hard_negatives import hard_negatives
 from skyloom.llm.html_text import extract_pages
 from skyloom.llm.license_scan import license_scan
 from skyloom.llm.mixing import mix_sources
@@ -66,11 +67,15 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_substring_dedup, op3_simhash_dedup, op4_toxicity, op5_secret_scan, op6_license_scan, op7_html_text, op8_top_k, op9_decontaminate, op10_token_output)
+    for f in (op1_mix_sources, op2_substring_dedup, op3_simhash_dedup, op4_toxicity, op5_secret_scan, op6_license_scan, op7_html_text, op8_top_k, op9_decontaminate, op10_token_output, op12_hard_negatives)
 }
-#: Exact scores of all pairs of a query and a candidate, as integers; the operator gets the same rows by the threshold algorithm.
+#: Plain SQL for the same rows, over all pairs of a query and a candidate where the operators prune.
 ORACLE_SQL: dict[str, str] = {
     "op8_top_k": """
 with v as (
@@ -82,5 +87,22 @@ with v as (
   from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
 ), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5
+""",
+    "op12_hard_negatives": """
+with v as (
+  select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.r as ar, a.vec_id as anchor_id, c.r as cr, c.vec_id as vec_id, a.label = c.label as same,
+    cast(list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * c.e[i])) as bigint) as score
+  from v a join v c on a.r <> c.r where a.vec_id % 100 = 0
+), p as (select *, row_number() over (partition by ar order by score desc, vec_id, cr) as pr from s where same),
+n as (
+  select p.anchor_id, p.vec_id as positive_id, s.vec_id as negative_id, p.score as positive_score, s.score as negative_score,
+    row_number() over (partition by p.ar, p.cr order by s.score desc, s.vec_id, s.cr) as rank
+  from p join s on p.ar = s.ar and not s.same and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score where p.pr <= 5
+)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from n where rank <= 10
 """,
 }
