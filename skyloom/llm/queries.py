@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skyloom.llm.collocations import collocations
 from skyloom.llm.common import table
 from skyloom.llm.decontamination import decontaminate
 from skyloom.llm.hard_negatives import hard_negatives
@@ -67,13 +68,17 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents")).drop("words")
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_substring_dedup, op3_simhash_dedup, op4_toxicity, op5_secret_scan, op6_license_scan, op7_html_text, op8_top_k, op9_decontaminate, op10_token_output, op12_hard_negatives)
+    for f in (op1_mix_sources, op2_substring_dedup, op3_simhash_dedup, op4_toxicity, op5_secret_scan, op6_license_scan, op7_html_text, op8_top_k, op9_decontaminate, op10_token_output, op11_collocations, op12_hard_negatives)
 }
 #: Plain SQL for the same rows, over all pairs of a query and a candidate where the operators prune.
 ORACLE_SQL: dict[str, str] = {
@@ -87,6 +92,38 @@ with v as (
   from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
 ), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5
+""",
+    "op11_collocations": r"""
+with d as (
+  select row_number() over () as id, coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text
+  from documents
+), p as (
+  select id, lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) as piece from d
+), w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as words from p),
+i as (select lang, words, unnest(range(1, len(words) + 1)) as i from w),
+g as (
+  select lang, list_slice(words, i, i + k - 1) as ids, count(*) as f
+  from i, (values (1), (2), (3)) as sizes(k) where i + k - 1 <= len(words) group by 1, 2
+), n as (select lang, sum(len(words))::bigint as n from w group by 1),
+c as (select * from g where len(ids) > 1 and f >= 10),
+cut as (select lang, ids, f as a, unnest(range(1, len(ids))) as k from c),
+s as (
+  select cut.lang, cut.ids, cut.a, cut.k, x.f as l, y.f as r,
+    (1000000::hugeint * cut.a::hugeint * cut.a::hugeint) // (x.f::hugeint * y.f::hugeint) as score
+  from cut join g x on x.lang = cut.lang and x.ids = list_slice(cut.ids, 1, cut.k)
+  join g y on y.lang = cut.lang and y.ids = list_slice(cut.ids, cut.k + 1, len(cut.ids))
+), low as (select * from s qualify row_number() over (partition by lang, ids order by score, k) = 1),
+longer as (
+  select lang, ids, max(f) as f from (
+    select lang, list_slice(ids, 1, 2) as ids, f from c where len(ids) = 3 union all select lang, list_slice(ids, 2, 3), f from c where len(ids) = 3
+  ) group by 1, 2
+), kept as (
+  select low.* from low left join longer using (lang, ids) where longer.f is null or 100 * longer.f < 50 * low.a
+), ranked as (
+  select lang, array_to_string(ids, ' ') as phrase, a, l, r, score,
+    row_number() over (partition by lang order by score desc, a desc, array_to_string(ids, ' ')) as rank from kept
+)
+select ranked.lang, cast(rank as integer) as rank, phrase, a, l, r, n, score::bigint as score from ranked join n using (lang) where rank <= 2000
 """,
     "op12_hard_negatives": """
 with v as (
