@@ -12,6 +12,7 @@ from skyloom.llm.html_text import extract_pages
 from skyloom.llm.license_scan import license_scan
 from skyloom.llm.mixing import mix_sources
 from skyloom.llm.secrets_scan import secret_scan
+from skyloom.llm.setsketch import setsketch_dedup
 from skyloom.llm.simhash import simhash_dedup
 from skyloom.llm.substring_dedup import substring_dedup
 from skyloom.llm.token_output import token_output
@@ -76,9 +77,13 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(table(spark, sf_dir, "embeddings"))
 
 
+def op13_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_substring_dedup, op3_simhash_dedup, op4_toxicity, op5_secret_scan, op6_license_scan, op7_html_text, op8_top_k, op9_decontaminate, op10_token_output, op11_collocations, op12_hard_negatives)
+    for f in (op1_mix_sources, op2_substring_dedup, op3_simhash_dedup, op4_toxicity, op5_secret_scan, op6_license_scan, op7_html_text, op8_top_k, op9_decontaminate, op10_token_output, op11_collocations, op12_hard_negatives, op13_setsketch_dedup)
 }
 #: Plain SQL for the same rows, over all pairs of a query and a candidate where the operators prune.
 ORACLE_SQL: dict[str, str] = {
@@ -141,5 +146,17 @@ n as (
   from p join s on p.ar = s.ar and not s.same and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score where p.pr <= 5
 )
 select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from n where rank <= 10
+""",
+    "op13_setsketch_dedup": r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 1), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2])) end) as s from d
+), n as (select doc_id, len(s) as n from s), u as (select doc_id, unnest(s) as g from s),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from u a join u b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+e as (select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 85 * (nx.n + ny.n - c)),
+r as (select doc_id, doc_id as m from d union select r.doc_id, e.y from r join e on e.x = r.m)
+select n.doc_id, n.n as n_shingles, min(m) as component_id, n.doc_id = min(m) as kept from n join r using (doc_id) group by n.doc_id, n.n
 """,
 }

@@ -59,11 +59,16 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
 class _Sets:
     """Sets of shingles side by side, each to be compared with many at once."""
 
+    width = 4  # bytes of a hash
+
     def __init__(self, raw: list[bytes]):
-        self.size = np.array([len(r) // 4 for r in raw])
-        self.values = np.frombuffer(b"".join(raw), "<u4")
+        self.size = np.array([len(r) // self.width for r in raw])
+        self.values = self._unpacked(b"".join(raw))
         self.start = np.cumsum(self.size) - self.size
 
+    def _unpacked(self, raw: bytes) -> np.ndarray:
+        return np.frombuffer(raw, "<u4")
+
     def near(self, i: int, to: np.ndarray, least: float) -> np.ndarray:
         """Whether set i is similar to each of those at the places `to`."""
         n, out = self.size[i], np.zeros(len(to), bool)
@@ -98,16 +103,16 @@ def _frame(pairs) -> pd.DataFrame:
     return pd.DataFrame([(min(p), max(p)) for p in pairs], columns=["a", "b"], dtype="int64")
 
 
-def _links(batches, least: float, window: int):
+def _links(batches, least: float, window: int, kind=_Sets):
     """Rows sorted by bucket. A window of a bucket is searched with roots of the windows before it, as many as a window holds."""
     at, held, fresh, load = None, [], 0, 0
 
     def search():
-        pairs, roots = _forest(_Sets([r[1] for r in held]), least)
+        pairs, roots = _forest(kind([r[1] for r in held]), least)
         return _frame((held[x][0], held[y][0]) for x, y in pairs), [held[r] for r in roots]
 
     for b in batches:
-        for bucket, node, raw in zip(b["bucket"], b["node"], b["shingles"]):
+        for bucket, node, raw in zip(b["bucket"], b["node"], b["raw"]):
             if held and (bucket != at or fresh >= window or load + len(raw) > 8 * WINDOW_SHINGLES):
                 out, roots = search()
                 yield out
@@ -120,18 +125,18 @@ def _links(batches, least: float, window: int):
         yield search()[0]
 
 
-def _bridges(batches, least: float):
+def _bridges(batches, least: float, kind=_Sets):
     """Rows sorted by key, those to be asked about first: a link from each of these to each component among the others that it is similar to."""
     at, asked = None, []
     for b in batches:
         for key, part in b.groupby("key", sort=False):
             if key != at:
                 at, asked = key, []
-            asked += [(n, c, raw) for n, c, raw, ask in zip(part["node"], part["component"], part["shingles"], part["asked"]) if ask]
+            asked += [(n, c, raw) for n, c, raw, ask in zip(part["node"], part["component"], part["raw"], part["asked"]) if ask]
             rest = part[~part["asked"]]
             if not len(rest):
                 continue
-            s = _Sets([r[2] for r in asked] + list(rest["shingles"]))
+            s = kind([r[2] for r in asked] + list(rest["raw"]))
             component, node, links = rest["component"].to_numpy(), rest["node"].to_numpy(), []
             for i, (n, c, _) in enumerate(asked):
                 others = np.flatnonzero(component != c)
@@ -141,35 +146,23 @@ def _bridges(batches, least: float):
                 yield _frame(links)
 
 
-def similar_components(docs: DataFrame, shingle: int, least: float, window: int = WINDOW, shard: int = SHARD) -> DataFrame:
-    """doc_id (null as NULL_ID), row_key, component_id, component_key: the smallest doc_id and then row_key that links of similar texts
-    reach; one row per row of docs. A row_key is the hash of a text, so that unlike rows of one doc_id, or of none, are told apart.
+def joined(buckets: DataFrame, content: DataFrame, values: DataFrame, least: float, window: int = WINDOW, shard: int = SHARD, kind=_Sets) -> DataFrame:
+    """node, label: the smallest value that links between similar nodes of a bucket reach, of the nodes with a link.
 
-    Texts are lower-cased words; texts of fewer words than a shingle are one shingle, and texts without words are copies of each
-    other. Equal texts are one node. All pairs of nodes that share a bucket count, however many it holds: see the module. The second
-    pass costs the members of a bucket times those outside its largest component, over the size of a block.
+    buckets: bucket, node, size; content: node and raw, of which `kind` makes what tells near nodes; values: node, value. All pairs of nodes that
+    share a bucket count, however many it holds: see the module. The second pass costs the members of a bucket times those outside its largest
+    component, over the size of a block. All three tables are read several times and should be written ones.
     """
     from skyloom.llm.components import smallest_reachable
-    from skyloom.llm.simhash import links as chains
 
-    rows = staged(shingle_sets(docs, shingle), "sets")
-    nodes = rows.groupBy("whole").agg(F.min(F.struct("doc_id", "row_key")).alias("value"), *(F.first(c).alias(c) for c in ("fp", "bands", "size", "shingles")))
-    nodes = staged(nodes.withColumnRenamed("whole", "node"), "nodes")
-    by_fp = staged(nodes.groupBy("fp").agg(F.min("node").alias("node"), F.min_by("size", "node").alias("size")), "fingerprints")
-    near = chains(by_fp)
-    ends = near.select(F.xxhash64("a", "b").alias("bucket"), F.explode(F.array("a", "b")).alias("fp"))
-    buckets = nodes.select(F.explode(F.array_append("bands", F.xxhash64("fp"))).alias("bucket"), "node", "size").union(ends.join(by_fp.hint("merge"), "fp").select("bucket", "node", "size"))
-    buckets = staged(buckets, "buckets")
     # buckets of the same nodes are searched once
     full = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("load"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor("node").alias("x")).where("lo < hi")
     full = staged(full.groupBy("n", "load", "lo", "hi", "x").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "load"), "full")
-    content = nodes.select("node", "shingles")
     dealt = F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("n") / shard))
     members = buckets.join(full.hint("merge"), "bucket").select(F.xxhash64("bucket", dealt).alias("bucket"), "node")
     found = members.join(content.hint("merge"), "node")
-    found = found.repartition("bucket").sortWithinPartitions("bucket", "node").mapInPandas(lambda b: trimmed(_links(b, least, window)), "a long, b long").distinct()
+    found = found.repartition("bucket").sortWithinPartitions("bucket", "node").mapInPandas(lambda b: trimmed(_links(b, least, window, kind)), "a long, b long").distinct()
     found = staged(found, "links")
-    values = nodes.select("node", "value")
     reached = staged(smallest_reachable(found, values), "reached")
 
     wide = full.where((F.col("n") > window) | (F.col("load") > WINDOW_SHINGLES))
@@ -183,10 +176,32 @@ def similar_components(docs: DataFrame, shingle: int, least: float, window: int
     told = inside.select("bucket", "node", "component", F.lit(False).alias("asked"), F.pmod("mine", "blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("j"))
     asked = inside.where("component <> main").select("bucket", "node", "component", F.lit(True).alias("asked"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.pmod("mine", "asks").alias("j"))
     open_ = asked.union(told).select(F.xxhash64("bucket", "i", "j").alias("key"), "node", "component", "asked").join(content.hint("merge"), "node")
-    bridges = open_.repartition("key").sortWithinPartitions("key", F.desc("asked"), "node").mapInPandas(lambda b: trimmed(_bridges(b, least)), "a long, b long").distinct()
+    bridges = open_.repartition("key").sortWithinPartitions("key", F.desc("asked"), "node").mapInPandas(lambda b: trimmed(_bridges(b, least, kind)), "a long, b long").distinct()
     bridges = staged(bridges, "bridges")
     if not bridges.isEmpty():
         reached = staged(smallest_reachable(found.union(bridges), values), "rejoined")
+    return reached
+
+
+def similar_components(docs: DataFrame, shingle: int, least: float, window: int = WINDOW, shard: int = SHARD) -> DataFrame:
+    """doc_id (null as NULL_ID), row_key, component_id, component_key: the smallest doc_id and then row_key that links of similar texts
+    reach; one row per row of docs. A row_key is the hash of a text, so that unlike rows of one doc_id, or of none, are told apart.
+
+    Texts are lower-cased words; texts of fewer words than a shingle are one shingle, and texts without words are copies of each
+    other. Equal texts are one node; see joined().
+    """
+    from skyloom.llm.simhash import links as chains
+
+    rows = staged(shingle_sets(docs, shingle), "sets")
+    nodes = rows.groupBy("whole").agg(F.min(F.struct("doc_id", "row_key")).alias("value"), *(F.first(c).alias(c) for c in ("fp", "bands", "size", "shingles")))
+    nodes = staged(nodes.withColumnRenamed("whole", "node"), "nodes")
+    by_fp = staged(nodes.groupBy("fp").agg(F.min("node").alias("node"), F.min_by("size", "node").alias("size")), "fingerprints")
+    near = chains(by_fp)
+    ends = near.select(F.xxhash64("a", "b").alias("bucket"), F.explode(F.array("a", "b")).alias("fp"))
+    buckets = nodes.select(F.explode(F.array_append("bands", F.xxhash64("fp"))).alias("bucket"), "node", "size").union(ends.join(by_fp.hint("merge"), "fp").select("bucket", "node", "size"))
+    buckets = staged(buckets, "buckets")
+    values = nodes.select("node", "value")
+    reached = joined(buckets, nodes.select("node", F.col("shingles").alias("raw")), values, least, window, shard)
     known = values.join(reached.hint("merge"), "node", "left").select("node", F.coalesce("label", "value").alias("first"))
     out = spread_join(rows.select("doc_id", "row_key", F.col("whole").alias("node")), staged(known, "known"), "node")  # copies are one node
     return out.select("doc_id", "row_key", F.col("first.doc_id").alias("component_id"), F.col("first.row_key").alias("component_key"))
