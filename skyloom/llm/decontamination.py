@@ -7,7 +7,8 @@ meet one value in an alignment of neighbouring differences. Over the whole docum
 
 Whether a capitalised word is a name depends on context, and lower-case or upper-case copies show no names. So windows of documents
 come in three forms: names but at sentence starts, every capitalised word a name, and no names; windows of items come with each
-choice for the words at sentence starts. Items under eight words are one window of their own length.
+choice for the words at sentence starts. Items under eight words are one window of their own length. Items none of whose windows
+holds enough words besides the placeholders, such as sums, are met by windows of their exact words.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ WINDOW = 8
 #: Words of a window that are no placeholder, at least; windows of an item that a document must hold (all, if fewer); share of slots that must agree.
 LITERALS = 4
 MATCHED = 6
+#: Words of an item without such windows from which on it is found at any place of a text, by its exact words; shorter ones must be the text.
+EXACT_WORDS = 5
 CONSISTENT = 0.8
 #: Differences of position between an item and a document that lie so near are one alignment: a word more or less within the item.
 NEAR = 3
@@ -89,6 +92,11 @@ def _usable(word: np.ndarray, form: np.ndarray, size: int) -> np.ndarray:
     return literal[size:] - literal[:-size] >= LITERALS
 
 
+def _exact(word: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of windows of the words as they are, numbers and units too."""
+    return mix(grams(word, size) + np.uint64(64 + size))
+
+
 def _slots(word: np.ndarray, form: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     out = np.zeros((len(at), WINDOW), np.uint64)
     out[:, :size] = np.where(form != word, word, np.uint64(0))[at[:, None] + np.arange(size)]
@@ -104,10 +112,14 @@ def _named(form: np.ndarray, names: np.ndarray) -> np.ndarray:
     return np.where(names, _NAME, form)
 
 
-def _of_text(text: str, sizes: tuple[int, ...]) -> list[tuple]:
+def _of_text(text: str, sizes: tuple[int, ...], exact: tuple[int, ...] = ()) -> list[tuple]:
     """Position, hash and slots of the windows of a document, for each form."""
     word, plain, name, maybe = template(text)
     out = [_whole(word)] if 0 < len(word) < WINDOW else []
+    for size in exact:
+        if len(word) >= size:
+            h = _exact(word, size)
+            out.append((np.arange(len(h)), h, (word, word, size)))
     for size in sizes:
         if len(word) < size:
             continue
@@ -123,15 +135,16 @@ def _of_text(text: str, sizes: tuple[int, ...]) -> list[tuple]:
     return out
 
 
-def _of_item(text: str) -> tuple[list[tuple], int, int]:
-    """Position, hash and slots of the windows of an item, the number of windows, and how many of them a document must hold."""
+def _of_item(text: str) -> tuple[list[tuple], int, int, int]:
+    """Position, hash and slots of the windows of an item, the number of windows, how many of them a document must hold, and the words of a window
+    (negative: exact ones)."""
     word, plain, name, maybe = template(text)
     size = min(WINDOW, len(word))
     if not size:
-        return [], 0, 0
+        return [], 0, 0, 0
     forms = [_named(plain, name), plain]
-    if size < WINDOW and not _usable(word, plain, size).any():
-        return [_whole(word)], 1, 1
+    if len(word) < EXACT_WORDS and not _usable(word, plain, size).any():
+        return [_whole(word)], 1, 1, 0
     ok = [_usable(word, f, size) for f in forms]
     found = {(int(i), int(h)): (f, i) for f, u in zip(forms, ok) for i, h in zip(np.flatnonzero(u), _grams(f, size)[u])}
     touched = np.concatenate(([0], np.cumsum(maybe)))
@@ -143,27 +156,27 @@ def _of_item(text: str) -> tuple[list[tuple], int, int]:
             w = slice(i, i + size)
             if (form[w] == word[w]).sum() >= LITERALS:
                 found.setdefault((int(i), int(_grams(form[w], size)[0])), (form, i))
-    if not found:
-        return [], 0, 0
+    if not found:  # its own words, all in their order
+        h = _exact(word, size)
+        return [(np.arange(len(h)), h, np.zeros((len(h), WINDOW), np.uint64))], len(h), len(h), -size
     usual, sure = int(ok[0].sum()), int(_usable(word, _named(plain, name | maybe), size).sum())
     # an item of few windows may miss those that are none once the words at sentence starts are names
     need = MATCHED if usual > MATCHED else max(1, sure)
     out = [(np.array([i]), np.array([h], np.uint64), _slots(word, f, np.array([i]), size)) for (i, h), (f, _) in found.items()]
-    return out, len({i for i, _ in found}), min(need, len({i for i, _ in found}))
+    return out, len({i for i, _ in found}), min(need, len({i for i, _ in found})), size
 
 
 _HITS = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("pos", pa.int64()), ("hash", pa.int64()), ("slots", pa.list_(pa.int64())), ("n", pa.int64()), ("need", pa.int64()), ("size", pa.int64())])
 _HITS_DDL = "doc_id long, row_key long, pos long, hash long, slots array<long>, n long, need long, size long"
 
 
-def _hits(batches, sieve, sizes=()):
+def _hits(batches, sieve, sizes=(), exact=()):
     """Windows of documents that pass the sieve; without one, those of items."""
     bits = None if sieve is None else np.unpackbits(np.frombuffer(sieve.value, np.uint8), bitorder="little").astype(bool)
     for batch in batches:
         cols = [[] for _ in range(8)]
         for d, row, text in zip(batch["doc_id"].to_pylist(), batch["row_key"].to_pylist(), batch["text"]):
-            some, n, need = _of_item(text.as_py()) if bits is None else (_of_text(text.as_py(), sizes), 0, 0)
-            size = min(WINDOW, len(template(text.as_py())[0])) if bits is None else 0
+            some, n, need, size = _of_item(text.as_py()) if bits is None else (_of_text(text.as_py(), sizes, exact), 0, 0, 0)
             for at, h, slots in some:
                 if bits is not None:
                     ok = bits[(h >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)]
@@ -184,7 +197,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select(id_in("item_id").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     items = items.groupBy("text").agg(F.min("doc_id").alias("doc_id")).withColumn("row_key", F.lit(0).cast("long"))
     known = staged(items.mapInArrow(lambda b: _hits(b, None), _HITS_DDL), "benchmark").select(F.col("doc_id").alias("item_id"), F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"), F.col("n").alias("n_windows"), "need", "size")
-    sizes = tuple(sorted({WINDOW} | {r.size for r in known.select("size").distinct().collect() if r.size >= LITERALS}))  # five at most
+    found = {r.size for r in known.select("size").distinct().collect()}  # ten at most
+    sizes, exact = tuple(sorted({WINDOW} | {n for n in found if n > 0})), tuple(sorted(-n for n in found if n < 0))
     bit = F.shiftrightunsigned("hash", 64 - SIEVE_BITS)
     width = 8 * 4096  # bits of a part that bitmap_construct_agg makes
     parts = known.groupBy((bit / width).cast("long").alias("part")).agg(F.bitmap_construct_agg(F.pmod(bit, F.lit(width))).alias("bits"))
@@ -193,7 +207,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         sieve[r.part * 4096 : r.part * 4096 + 4096] = r.bits
     sieve = spark.sparkContext.broadcast(bytes(sieve))
     rows = texts(docs).withColumn("row_key", F.xxhash64("text"))
-    hits = rows.mapInArrow(lambda b: trimmed(_hits(b, sieve, sizes)), _HITS_DDL).drop("n", "need", "size").distinct()
+    hits = rows.mapInArrow(lambda b: trimmed(_hits(b, sieve, sizes, exact)), _HITS_DDL).drop("n", "need", "size").distinct()
     key = ["doc_id", "row_key", "item_id"]
     counts = [F.first(c).alias(c) for c in ("n_windows", "need")]
     both = hits.join(known, "hash").select(*key, "item_pos", "n_windows", "need", (F.col("pos") - F.col("item_pos")).alias("shift"), F.arrays_zip("item_slots", "slots").alias("s"))
@@ -225,8 +239,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, item_ids (those it leaks, ascending), coverage (largest share of an item's windows), consistency (of its slots).
 
     Every row comes back, repeated ones too. Items of equal text count as the smallest item_id among them; items of fewer than
-    eight words must be held whole, and those of fewer than four words that are no number or unit must be the whole text. Longer items
-    of none but numbers and units take no part, and null or empty texts hold nothing.
+    eight words must be held whole. Items none of whose windows holds four words besides numbers, names and units are found by their exact words, all in
+    order, at any place of a text; those of them with fewer than five words must be the whole text. Items without words take no part, null or empty
+    texts hold nothing, and very long ones are taken whole. Without documents the result is empty; without items all rows are clean.
     """
     found = leaks(docs, benchmark)
     slim = texts(docs).select("doc_id", F.xxhash64("text").alias("row_key"))
@@ -235,7 +250,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_unleaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that leak no item, with all their columns."""
+    """The rows of docs that leak no item, with all their columns; see decontaminate. Null and empty texts stay, of repeated rows all, and an empty table is empty."""
     with scratch(docs.sparkSession):
         found = staged(leaks(docs, benchmark).select(F.col("doc_id").alias("id"), "row_key"), "leaks", keep=True)
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from html.parser import HTMLParser
+from math import prod
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,7 +34,7 @@ HINTS = {
     "side": "sidebar side aside widget rail related recommended more popular trending complementary",
     "notice": "cookie cookies consent notice gdpr popup modal overlay alert message warning dialog",
     "ad": "ad ads advert adverts advertisement sponsor sponsored promo promoted promotion banner-ad",
-    "comment": "comment comments reply replies discussion disqus respond responses",
+    "comment": "comment comments reply replies discussion disqus respond responses feedback",
     "form": "form newsletter subscribe signup login search share social sharing",
     "text": "article content main post entry body story text prose page-content",
 }
@@ -48,6 +49,7 @@ LABELLED = [
     '<html y="0"><body><div class="banner notice"><p>This page will be down on Monday for some hours.</p></div><div id="content" y="1"><h1>Name</h1><p>Plain text on a plain page, in a division that says content.</p><dl><dt>Term</dt><dd>What the term means, in a sentence.</dd></dl><div class="share" y="0"><p>Share this</p></div><div class="promo" y="0"><p>Get a month for free if you come today and not tomorrow</p></div></div><div id="sidebar" class="widget"><ul><li><a href="t">Tag</a></li></ul></div><div class="comments"><ol><li><p>First! This is what a reader wrote under the page.</p></li></ol></div></body></html>',
     '<html y="0"><body><header><nav><a href="h">Home</a></nav></header><article y="1"><h1>Report</h1><p>It began with <b>bold</b> words and ended with plain ones, after a while.</p><div><p>A paragraph within a division.</p></div><h3>Small heading</h3><p>The end.</p><section class="comments" y="0"><h2>Replies</h2><article><p>A reply of a reader which is long enough to look like text of a page.</p></article></section></article><aside><div class="ad">Advert</div></aside><footer><ul><li><a href="i">Imprint</a></li></ul><p>More words in the footer of the page that nobody reads.</p></footer></body></html>',
     '<html y="0"><body><div y="1"><h2>Only a division</h2><p>No names anywhere, but long paragraphs of text that plainly are what the page is about.</p><p>A second one of the same kind follows it, as long as the first one was.</p></div><div><a href="1">One</a> | <a href="2">Two</a></div><form><p>Your name</p></form></body></html>',
+    '<html y="0"><body><article y="1"><h1>What to do</h1><p>The text begins here, and goes on for as long as it has to.</p><div class="alert" y="0"><p>This page is out of date and will go away, so please read the new one.</p></div><p>Then it goes on with some more words, and a few after those.</p><div class="note"><p>A remark of the author that belongs to the text of the page.</p></div><div class="warning notice" y="0">We will be closed for the whole of next week, and then open again.</div><p>The end of it.</p><div class="feedback" y="0"><p>I have read this twice and liked it a lot, thank you very much.</p></div><div class="replies" y="0"><p>So did I, and I told all of my friends about it.</p></div></article><div class="popup" id="consent"><p>Please agree to what we do with all of your data.</p></div></body></html>',
     '<article y="1"><p>Few words.</p></article>',
     '<nav y="0"><a href="1">One</a></nav><article y="1"><h1>Name</h1><p>Two words</p><p>Of.</p></article><footer y="0">Us</footer>',
     '<article y="1"><h1>A name</h1><p>So it goes.</p></article><aside y="0"><p>Also here</p></aside>',
@@ -55,6 +57,11 @@ LABELLED = [
 ]
 
 
+_COMMENT_END = re.compile(r"--!?>")
+_TAG_OPEN = re.compile(r"<[a-zA-Z/!?]")
+_TAG = re.compile(r"<([a-zA-Z][^\s/>]*)")
+
+
 class _Tree(HTMLParser):
     """Blocks of a page in document order: tag, hints, parent, label and text; and its text, in segments of one block each."""
 
@@ -64,8 +71,12 @@ class _Tree(HTMLParser):
         self.chars, self.linked = [0], [0]
         self.segments: list[tuple[int, list[str]]] = []
         self.stack: list[tuple[str, int]] = [("#", 0)]
+        # places in the stack: of each open tag, of blocks, and of what _end_open doesn't look behind
+        self.places: dict[str, list[int]] = {}
+        self.blocks, self.walls = [0], [0]
         self.silent = self.links = 0
         self.broken = True
+        self.closing = self.torn = False
 
     def handle_starttag(self, tag, attrs):
         if tag in VOID:
@@ -90,6 +101,11 @@ class _Tree(HTMLParser):
             self.broken = True
         self.silent += tag in SILENT
         self.links += tag == "a"
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        if tag in SCOPES or tag in SILENT:
+            self.walls.append(len(self.stack))
         self.stack.append((tag, node))
 
     def handle_startendtag(self, tag, attrs):
@@ -97,31 +113,28 @@ class _Tree(HTMLParser):
         if tag not in VOID and tag not in BLOCKS:  # HTML knows no other empty elements; foreign ones end here
             self.handle_endtag(tag)
 
+    def _last(self, tag) -> int:
+        return (self.places.get(tag) or [0])[-1]
+
     def _end_open(self, tags):
-        for i in range(len(self.stack) - 1, 0, -1):
-            t = self.stack[i][0]
-            if t in tags:
-                self._cut(i)
-                return self._end_open(tags)
-            if t in SCOPES or t in SILENT:
-                return None
-        return None
+        while (i := max(map(self._last, tags))) and i >= self.walls[-1]:
+            self._cut(i)
 
     def _cut(self, i):
         for t, _ in self.stack[i:]:
             self.silent -= t in SILENT
             self.links -= t == "a"
             self.broken |= t in BLOCKS
+            self.places[t].pop()
+        for some in (self.blocks, self.walls):
+            while some[-1] >= i:
+                some.pop()
         del self.stack[i:]
 
     def handle_endtag(self, tag):
-        for i in range(len(self.stack) - 1, 0, -1):
-            t = self.stack[i][0]
-            if t == tag:
-                return self._cut(i)
-            if tag not in BLOCKS and t in BLOCKS:  # an inline end tag doesn't reach out of its block
-                return None
-        return None
+        i = self._last(tag)
+        if i and (tag in BLOCKS or i > self.blocks[-1]):  # an inline end tag doesn't reach out of its block
+            self._cut(i)
 
     def handle_data(self, data):
         if self.silent:
@@ -138,10 +151,35 @@ class _Tree(HTMLParser):
     def unknown_decl(self, data):
         return None
 
+    def parse_marked_section(self, i, report=1):
+        """What begins with <![ outside of foreign content is a comment up to the next >, whatever stands in it."""
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else -1
+
+    def parse_comment(self, i, report=1):
+        """A comment that nothing ends goes on to the end of the page."""
+        end = _COMMENT_END.search(self.rawdata, i + 4)
+        return end.end() if end else len(self.rawdata) if self.closing else -1
+
+    def parse_starttag(self, i):
+        """A quotation mark that nothing closes ends with its tag; later tags are then read without their attributes."""
+        if not self.torn:
+            end = super().parse_starttag(i)
+            if end >= 0 or not self.closing:
+                return end
+            self.torn = True
+        end = self.rawdata.find(">", i)
+        if name := _TAG.match(self.rawdata, i):
+            self.handle_starttag(name[1].lower(), [])
+        return end + 1 or len(self.rawdata)
+
 
 def tree(html: str) -> _Tree:
     t = _Tree()
-    t.feed(html)
+    # nothing ends a tag that begins after the last >
+    cut = _TAG_OPEN.search(html, html.rfind(">") + 1)
+    t.feed(html[: cut.start()] if cut else html)
+    t.closing = True
     t.close()
     if t.rawdata and not t.silent:
         t.handle_data(t.rawdata)
@@ -157,35 +195,43 @@ class Model:
     """Odds of content (state 1): of each feature, and for a child by its parent's state; counted from labelled pages, add-half smoothed."""
 
     def __init__(self, pages: list[str]):
-        by, total, pairs = (Counter(), Counter()), [0, 0], Counter()
+        by, total, pairs, top = (Counter(), Counter()), [0, 0], Counter(), [0, 0]
         for page in pages:
             t = tree(page)
             for i in range(1, len(t.tag)):
                 y = int(t.y[i])
                 total[y] += 1
                 by[y].update(features(t, i))
-                pairs[int(t.y[t.parent[i]] or 0), y] += 1
+                if t.parent[i]:
+                    pairs[int(t.y[t.parent[i]]), y] += 1
+                else:
+                    top[y] += 1
         self.odds = {f: (by[1][f] + 0.5) / (total[1] + 1) * (total[0] + 1) / (by[0][f] + 0.5) for f in {*by[0], *by[1]}}
+        self.top = (top[1] + 0.5) / (top[0] + 0.5)
         self.psi = [[(pairs[p, y] + 0.5) / (pairs[p, 0] + pairs[p, 1] + 1) for y in (0, 1)] for p in (0, 1)]
 
     def marginals(self, t: _Tree) -> list[float]:
         """Probability of content by node: sum-product, leaves to root and back. Nodes stand after their parents."""
         n, psi = len(t.tag), self.psi
         own = [1.0] * n  # evidence as odds
+        known: dict[tuple, float] = {}
         for i in range(1, n):
-            o = 1.0
-            for f in features(t, i):
-                o *= self.odds.get(f, 1.0)
-            own[i] = o
-        own[0] = 1e-6
+            c, linked = t.chars[i], t.linked[i]
+            key = (t.tag[i], t.hint[i], (linked > 0) + (2 * linked >= c), (c > 0) + (c >= 20) + (c >= 80))
+            if key not in known:
+                known[key] = prod(self.odds.get(f, 1.0) for f in features(t, i))
+            own[i] = known[key]
         below, up = own[:], [1.0] * n
         for i in range(n - 1, 0, -1):
             o = min(max(below[i], 1e-30), 1e30)
             up[i] = (psi[1][0] + psi[1][1] * o) / (psi[0][0] + psi[0][1] * o)
-            p = t.parent[i]
-            below[p] = min(max(below[p] * up[i], 1e-30), 1e30)
+            if p := t.parent[i]:
+                below[p] = min(max(below[p] * up[i], 1e-30), 1e30)
         belief = below[:]
         for i in range(1, n):
+            if not t.parent[i]:  # elements without a parent are trees of their own
+                belief[i] = min(max(below[i] * self.top, 1e-30), 1e30)
+                continue
             rest = belief[t.parent[i]] / up[i]
             belief[i] = min(max(below[i] * (psi[0][1] + psi[1][1] * rest) / (psi[0][0] + psi[1][0] * rest), 1e-30), 1e30)
         return [b / (1 + b) for b in belief]
@@ -204,7 +250,11 @@ def extract(html: str) -> str:
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars (code points). Null and empty pages give the empty text; repeated rows each come back."""
+    """page_id, url, text, n_chars (code points). Null and empty pages give the empty text; repeated rows each come back.
+
+    Every page gives a row, whatever its markup: what cannot be read as markup is a comment or text. Pages are taken whole, in time that grows with
+    their length; an empty table gives an empty result. Other columns play no part.
+    """
     ship(pages.sparkSession)
 
     def of(batches):

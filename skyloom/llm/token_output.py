@@ -7,6 +7,7 @@ so many, with the ids and the place of each document in the payload; a document'
 from __future__ import annotations
 
 import os
+import random
 import re
 import uuid
 import zlib
@@ -26,8 +27,12 @@ CACHE_WORDS = 300_000
 #: What str.split takes for white space and the tokenizer does not.
 _NO_SPACE = "\x1c\x1d\x1e\x1f"
 _SPACE = re.compile(r"[ \t\n\v\f\r]+")
+_AS_IT_IS = re.compile("<\\||[Σİ\u0300-\u036f]")
 #: Marks after a word of letters that the tokenizer makes pieces of their own.
 _MARKS = ".,;:!?|*$%&#)]}"
+#: What a tokenizer is probed with: letters that change their number, marks, joiners, digits, contractions, special tokens, white space of all kinds.
+ODD_WORDS = ["the", "Words", "İ", "ı", "Σ", "σς", "ΑΣ", "ß", "ẞ", "é", "e\u0301", "\u0301", "\u0307", "H", "T", "\u0331", "\u033b", "ǆ", "ﬁ", "Å", "가", "각", "\u1100\u1161", "日本", "ไทย", "हिन्दी", "😀", "\u200d", "\u00ad", "\ufeff", "'s", "don't", "'LL", "1", "23", "½", "²", ",", "...", "!?", "|", ")", "<|endoftext|>", "<|", "|>", "</w>", "_", "-", "a-b", "\x00", "\x7f", "\ue000", "\U0001d400", "ⓐ", "ª", "ᾳ", "ŉ"]
+ODD_SPACES = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", " \u0301"]
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -35,7 +40,7 @@ class WordEncoder:
     """encode(text, add_special_tokens=False) of a tokenizer that drops white space and never joins pieces across it, word by word.
 
     White space ends pieces before any merge, so the ids of a text are those of its words in turn. Words repeat, and are
-    remembered; new ones are encoded many at a time.
+    remembered; new ones are encoded many at a time. A tokenizer that fails a probe of this gets every text whole.
     """
 
     def __init__(self, path: str, cache_words: int):
@@ -51,6 +56,23 @@ class WordEncoder:
         self.cache_words = cache_words
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.by_word = self._probed()
+
+    def _letters(self, core: str) -> bool:
+        """Whether a word of letters is one to the tokenizer too: what it makes of them may hold marks, which cut or join what follows."""
+        normalizer = self.tokenizer.normalizer
+        low = normalizer.normalize_str(core) if normalizer else core
+        return low.isalpha() and (normalizer is None or normalizer.normalize_str(core + ".") == low + ".")
+
+    def _probed(self) -> bool:
+        """Whether this tokenizer does work word by word, as far as odd words can show: alone, joined, and in texts."""
+        rnd = random.Random(1)
+        words = ODD_WORDS + ["".join(rnd.choice(ODD_WORDS) for _ in range(rnd.randrange(2, 5))) for _ in range(400)]
+        whole = words + ["".join(rnd.choice(words) + rnd.choice(ODD_SPACES) for _ in range(rnd.randrange(2, 12))) for _ in range(400)]
+        try:
+            return all(got.tobytes() == self._plain(t) for t, got in zip(whole, self._by_word(whole)))
+        finally:
+            self.known, self.older = {}, {}
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -75,7 +97,7 @@ class WordEncoder:
         known, letters, marked = self.known, set(), []
         for w in words:
             core = w.rstrip(_MARKS)
-            if not core.isalpha():
+            if not (core.isalpha() and (core.isascii() or self._letters(core))):
                 known[w] = self._plain(w)
                 continue
             if core not in known:
@@ -91,8 +113,14 @@ class WordEncoder:
             known[w] = known[core] + known[marks]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        # the tokenizer lowers each character by itself; str.lower does, but for sigma at an end; special tokens are told by their case
-        low = [t if "<|" in t or "Σ" in t else t.lower() for t in texts]
+        if not self.by_word:
+            return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return self._by_word(texts)
+
+    def _by_word(self, texts: list[str]) -> list[np.ndarray]:
+        # the tokenizer lowers each character by itself, after it has joined marks to letters: str.lower does the same but for sigma at an end and
+        # what marks join; special tokens are told by their case
+        low = [t.lower() if t.isascii() and "<|" not in t or not _AS_IT_IS.search(t) else t for t in texts]
         split = [[w for w in _SPACE.split(t) if w] if any(c in t for c in _NO_SPACE) else t.split() for t in low]
         if len(self.known) > self.cache_words:  # words that come again move over from the older ones; the rest of those go
             self.known, self.older = {}, self.known

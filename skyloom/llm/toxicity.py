@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import id_in, id_out, ship, trimmed
+from skyloom.llm.common import id_in, id_out, mix, ship, trimmed
 
 #: Labelled documents of each class that the fit may take, and landmarks: from words that tell toxic documents, and common ones.
 FIT_TOXIC, FIT_CLEAN = 1200, 2000
@@ -36,18 +36,24 @@ _EDGE = ".,;:!?\"'()[]{}|*$%&#<>-_"
 #: Marks of a word's ends, which no word holds after splitting at white space and controls.
 _BEGIN, _END = "\x02", "\x03"
 _BITS = 7
+_WIDTH = 3 * _BITS + 1
 _OFFSETS = [(a, b) for a in range(1, SPAN - 1) for b in range(a + 1, SPAN)]
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Characters as numbers below 128, of each word with its ends marked; and where words begin.
-
-    ASCII characters are themselves; the ends are two control characters, and all others share the rest of these.
-    """
+    """Code points of the characters of each word with its ends marked, and where words begin."""
     text = "".join(f"{_BEGIN}{w}{_END}" for w in words)
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = np.where(c < 128, c, 4 + (c * 7 + 5) % 28)
-    return c.astype(np.int64), np.cumsum([0] + [len(w) + 2 for w in words])
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), np.cumsum([0] + [len(w) + 2 for w in words])
+
+
+def _keys(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """A number of 3 * _BITS + 1 bits for three characters: ASCII ones stand in it as they are; where others are among them, it is a hash of all three."""
+    plain = x << np.uint64(2 * _BITS) | y << np.uint64(_BITS) | z
+    wide = (x | y | z) >= 128
+    if wide.any():
+        hashed = mix((x[wide] << np.uint64(21) | y[wide]) * np.uint64(0x9E3779B97F4A7C15) + z[wide]) >> np.uint64(64 - 3 * _BITS)
+        plain[wide] = hashed | np.uint64(1 << 3 * _BITS)
+    return plain.astype(np.int64)
 
 
 def _subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,7 +66,7 @@ def _subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         if n <= 0:
             continue
         same = word[:n] == word[b:]
-        key = (word[:n] << 3 * _BITS | c[:n] << 2 * _BITS | c[a : a + n] << _BITS | c[b:])[same]
+        key = word[:n][same] << _WIDTH | _keys(c[:n][same], c[a : a + n][same], c[b:][same])
         keys.append(key)
         weights.append(np.full(len(key), DECAY ** (b + 1)))
     if not keys:
@@ -70,7 +76,7 @@ def _subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     key, weight = key[order], weight[order]
     first = np.flatnonzero(np.diff(key, prepend=-1))
     total = np.add.reduceat(weight, first) if len(first) else weight
-    return key[first] >> 3 * _BITS, key[first] & ((1 << 3 * _BITS) - 1), total
+    return key[first] >> _WIDTH, key[first] & ((1 << _WIDTH) - 1), total
 
 
 class Landmarks:
@@ -93,7 +99,7 @@ class Landmarks:
     def row(self) -> np.ndarray:
         """The place of each subsequence among those of the landmarks, -1 for others; made anew where the landmarks arrive."""
         if self._row is None:
-            self._row = np.full(1 << 3 * _BITS, -1, np.int16 if len(self.own) < 1 << 15 else np.int32)
+            self._row = np.full(1 << _WIDTH, -1, np.int16 if len(self.own) < 1 << 15 else np.int32)
             self._row[self.own] = np.arange(len(self.own))
         return self._row
 
