@@ -53,17 +53,21 @@ def truncate_beam(beam: DataFrame, apod_deg: float = 0.0) -> tuple[DataFrame, Da
 def mmode_synthesis(mmodes: DataFrame, times: DataFrame, ref_deg: float = 0.0) -> DataFrame:
     """(time_idx, freq_idx, value) of a drift scan: mmodes (freq_idx, m, re, im) turned by times (time_idx, lst_deg).
 
-    The real signal of modes m >= 0, those above zero standing for their conjugates too. Modes are few beside samples, so the times
-    are exploded over the channels' modes, gathered to one row, and every cell is one expression.
+    The real signal of modes m >= 0, those above zero standing for their conjugates too. A channel's modes are gathered to one row, which meets the
+    times of that channel by its key, in parts; every cell is one expression.
     """
     modes = mmodes.groupBy("freq_idx").agg(F.collect_list(F.struct("m", "re", "im")).alias("modes"))
+    channels = [r[0] for r in mmodes.select("freq_idx").distinct().collect()]  # as many as channels
+    parts = int(times.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     turn = F.radians(F.col("lst_deg") - ref_deg)
 
     def wave(x: Column) -> Column:
         twice = F.when(x["m"] > 0, 2.0).otherwise(1.0)
         return twice * (x["re"] * F.cos(x["m"] * turn) + x["im"] * F.sin(x["m"] * turn))
 
-    met = times.crossJoin(F.broadcast(modes))  # one row for each channel, of as many numbers as modes
+    each = F.explode(F.array(*(F.lit(c) for c in channels)) if channels else F.array().cast("array<int>"))
+    dealt = times.withColumn("freq_idx", each).withColumn("_part", F.pmod(F.xxhash64("time_idx"), F.lit(parts)))
+    met = dealt.join(modes.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), ["freq_idx", "_part"])
     total = F.aggregate(F.transform("modes", wave), F.lit(0.0), lambda a, x: a + x)
     return met.select("time_idx", "freq_idx", total.alias("value"))
 
