@@ -141,3 +141,20 @@ def test_stars_of_one_centre(spark, monkeypatch):
     values = spark.createDataFrame([(i, 1000 - i) for i in range(503)], "node long, value long")
     got = {r.node: r.label for r in components.smallest_reachable(links, values).collect()}
     assert got == {**{i: 1000 - 299 for i in range(300)}, **{i: 1000 - 502 for i in (500, 501, 502)}}
+
+
+def test_components_by_stars_and_by_tasks(spark, monkeypatch):
+    """Few links, links that others imply, and a long chain of links: the labels of a union of sets."""
+    from skyloom.llm import components
+
+    rnd = random.Random(2)
+    pairs = [(i, i + 1) for i in range(300, 400)] + [(rnd.randrange(250), rnd.randrange(250)) for _ in range(150)] + [(a, b) for a in range(500, 530) for b in range(500, 530)]
+    label = {i: i for p in pairs for i in p}
+    for a, b in pairs * 2:
+        least, gone = sorted((label[a], label[b]))
+        label = {k: least if v == gone else v for k, v in label.items()}
+    want = {k: v + 7 for k, v in label.items() if any(k in p and p[0] != p[1] for p in pairs)}
+    links, values = spark.createDataFrame(pairs, "a long, b long").repartition(3), spark.createDataFrame([(i, i + 7) for i in range(600)], "node long, value long")
+    for few in (20_000, 400, 60, 5):
+        monkeypatch.setattr(components, "FEW", few)
+        assert {r.node: r.label for r in components.smallest_reachable(links, values).collect()} == want
