@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.operators import chain, diagnostics, engines, evidence, inference, linear, memory, processing, reduced, sources, transforms, uncertainty
+from skyloom.operators import chain, diagnostics, engines, evidence, inference, linear, memory, processing, reduced, sources, transforms, uncertainty, wide
 from skyloom.operators.base import KEYS
 from skyloom.plans.signal_path import assemble
 from skyloom.plans.space import Bind, Forward, Latent, Normal, ParameterSpace, Uniform
@@ -286,6 +286,44 @@ add(
     f"with {_L} select round(0.5 * ln(16 * (sum(x0 * x0) * sum(x1 * x1) - pow(sum(x0 * x1), 2))), 6) as half_log_det from l",
 )
 
+# --- blocks too wide for a triangle --------------------------------------------------------
+
+
+def _levels(spark, sf_dir) -> wide.WideBlock:
+    """A level for each order and one slope on quantity."""
+    t = table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd")).alias("cell"),
+        F.col("l_orderkey").cast("string").alias("g"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"),
+    )
+    entries = t.select("cell", F.col("g").alias("unknown"), F.lit(1.0).alias("a")).unionByName(t.select("cell", F.lit("slope").alias("unknown"), F.col("x").alias("a")))
+    levels = t.select(F.col("g").alias("unknown")).distinct().select("unknown", F.lit(30.0).alias("mean"), F.lit(10.0).alias("std"))
+    slope = spark.createDataFrame([("slope", 0.5, 5.0)], levels.schema)
+    return wide.WideBlock(entries, t.select("cell", "y", F.lit(2.0).alias("sigma")), levels.unionByName(slope))
+
+
+def _normal(seed: int, name: str, keys: str) -> str:
+    u, v = (MD5.format(text=f"'{seed}:{name}/{k}:' || {keys}") for k in "uv")
+    return f"sqrt(-2 * ln(1 - {u})) * cos(2 * pi() * {v})"
+
+
+_CELL = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d'))"
+#: One slope beside levels of their own: the levels go by elimination.
+_WIDE = f"""with draw as (select unnest([0, 1, 2]) as draw),
+t as (select draw, l_orderkey::varchar as g, l_quantity::double as x, (l_extendedprice / 1000 - 30 - 0.5 * l_quantity) / 2
+  + case when draw = 0 then 0 else {_normal(4, "data", f"draw || ':' || {_CELL}")} end as e from lineitem, draw),
+g as (select draw, g, sum(x) / 4 as b, sum(e) / 2 + case when draw = 0 then 0 else 0.1::double * {_normal(4, "prior", "draw || ':' || g")} end as c, count(*) / 4 + 0.01::double as d from t group by draw, g),
+s as (select draw, sum(x * x) / 4 + 0.04::double as a, sum(x * e) / 2 + case when draw = 0 then 0 else 0.2::double * {_normal(4, "prior", "draw || ':slope'")} end as c from t group by draw),
+k as (select s.draw, (any_value(s.c) - sum(b * g.c / d)) / (any_value(s.a) - sum(b * b / d)) as k from s join g on g.draw = s.draw group by s.draw)"""
+_VALUES = "select draw, g as unknown, round(30 + (c - b * k) / d, 5) as value from g join k using (draw) {where} union all select draw, 'slope', round(0.5 + k, 5) from k {where}"
+
+
+def _solved(spark, sf_dir, draws: int) -> DataFrame:
+    return wide.wide_solve(_levels(spark, sf_dir), draws, seed=4, tol=1e-11).values.select("draw", "unknown", F.round("value", 5).alias("value"))
+
+
+add("wide_solve", lambda s, d: _solved(s, d, 0), f"{_WIDE} {_VALUES.format(where='where draw = 0')}")
+add("wide_draws", lambda s, d: _solved(s, d, 2).where("draw > 0"), f"{_WIDE} {_VALUES.format(where='where draw > 0')}")
+
 # --- plans with unknowns ----------------------------------------------------------------
 
 

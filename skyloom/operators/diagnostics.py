@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from skyloom.errors import ParameterError
 from skyloom.operators.evidence import matrices
 from skyloom.operators.linear import factor_of
-from skyloom.operators.uncertainty import fisher_information
+from skyloom.operators.uncertainty import information_triangle
 from skyloom.plans.space import Forward
 
 
@@ -93,16 +93,21 @@ class JeffreysPrior:
     rank_rtol: float = 1e-8
 
     def information(self, at: np.ndarray | None = None) -> np.ndarray:
-        return fisher_information(self.forward, self.noise, list(self.over), at).value
+        r = self._triangle(at)
+        return r.T @ r
+
+    def _triangle(self, at: np.ndarray | None) -> np.ndarray:
+        return information_triangle(self.forward, self.noise, list(self.over), at)
 
     def log_density(self, at: np.ndarray | None = None) -> float:
-        """Up to a constant. Eigenvalues under the floor count as the floor, so that the density stays finite."""
-        s = np.linalg.eigvalsh(self.information(at))
-        return 0.5 * float(np.log(np.maximum(s, self.rank_rtol**2 * s.max())).sum())
+        """Up to a constant. Singular values of the triangle under the floor count as the floor, so that the density stays finite."""
+        s = np.linalg.svd(self._triangle(at), compute_uv=False)
+        return float(np.log(np.maximum(s, max(self.rank_rtol * s.max(), np.finfo(float).tiny))).sum())
 
     def check_identified(self, at: np.ndarray | None = None) -> None:
-        s = np.linalg.eigvalsh(self.information(at))
-        if s.min() <= self.rank_rtol**2 * s.max():
+        """Singular values of the triangle, not eigenvalues of its square: rounding leaves the smallest of those far above the square of the floor."""
+        s = np.linalg.svd(self._triangle(at), compute_uv=False)
+        if not s.min() > self.rank_rtol * s.max():
             raise ParameterError(f"{list(self.over)} aren't all identified")
 
 

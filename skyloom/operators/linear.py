@@ -140,7 +140,7 @@ class GLSResult:
     turns: int
 
 
-def iterative_gls(rows: DataFrame, columns: Sequence[str] | str, y: str, sigma_of, tol: float = 1e-8, least: int = 1, most: int = 100, prior_std=None, prior_mean=0.0, offset: str | None = None, width: int | None = None) -> GLSResult:
+def iterative_gls(rows: DataFrame, columns: Sequence[str] | str, y: str, sigma_of, tol: float = 1e-8, least: int = 5, most: int = 100, prior_std=None, prior_mean=0.0, offset: str | None = None, width: int | None = None) -> GLSResult:
     """Reweights until the coefficients stay: sigma_of turns a prediction column into the noise column. One job a turn."""
     a = F.col(columns) if isinstance(columns, str) else F.array(*(F.col(c).cast("double") for c in columns))
     base = F.col(offset) if offset else F.lit(0.0)

@@ -50,17 +50,22 @@ def information_rows(rows: DataFrame, a: str, sigma: str, slope: str) -> DataFra
     return rows.select(F.explode(both).alias("_a"), F.col(sigma).alias("_s"))
 
 
-def fisher_information(forward: Forward, noise, names: str | Sequence[str] | None = None, at: Sequence[float] | None = None, flag: Column | None = None, prior: bool = False) -> FlatMatrix:
-    """J'WJ, with what a spread that depends on the signal tells, and, if asked, the precision of normal priors."""
-    space, model = forward.space, noise_model(noise, flag)
+def information_triangle(forward: Forward, noise, names: str | Sequence[str] | None = None, at: Sequence[float] | None = None, flag: Column | None = None) -> np.ndarray:
+    """R with R'R the information of the data: as wide as the latents, whose condition isn't squared."""
+    model = noise_model(noise, flag)
     j, mu = forward.jacobian(names, at)
     rows = forward.cells.select("*", j.alias("_j"), mu.alias("_mu"))
     rows = rows.select("_j", model.std(F.col("_mu")).alias("_sd"), model.log_slope(F.col("_mu")).alias("_l"))
-    places = space.places(names)
-    r, _, _ = matrices(factor_of(information_rows(rows, "_j", "_sd", "_l").withColumn("_y", F.lit(0.0)), "_a", "_y", "_s", width=len(places)))
+    return matrices(factor_of(information_rows(rows, "_j", "_sd", "_l").withColumn("_y", F.lit(0.0)), "_a", "_y", "_s", width=len(forward.space.places(names))))[0]
+
+
+def fisher_information(forward: Forward, noise, names: str | Sequence[str] | None = None, at: Sequence[float] | None = None, flag: Column | None = None, prior: bool = False) -> FlatMatrix:
+    """J'WJ, with what a spread that depends on the signal tells, and, if asked, the precision of normal priors."""
+    space = forward.space
+    r = information_triangle(forward, noise, names, at, flag)
     value = r.T @ r
     if prior:
-        value = value + np.diag(1 / space.gaussian(places)[1] ** 2)
+        value = value + np.diag(1 / space.gaussian(space.places(names))[1] ** 2)
     some = [n for n in space.names if names is None or n in ([names] if isinstance(names, str) else names)]
     return FlatMatrix(space, tuple(some), value)
 
