@@ -12,12 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.errors import ParameterError
 from skyloom.operators.evidence import integrated, log_likelihood, matrices, solved
+from skyloom.sources.stage import Stage, stage
 
 _LOG2PI = float(np.log(2 * np.pi))
 
@@ -159,38 +159,250 @@ def chain_log_likelihood(epochs: DataFrame, transition: Transition, theta: Seque
     return sum(log_likelihood(f, theta) for f in chain_marginal(epochs, transition).toLocalIterator())
 
 
+#: Steps of a chain that a task takes in order at a time.
+RANGE = 4096
+
+
+@dataclass
+class _Info:
+    """What a run of steps tells of its first and its last state, as blocks of an information matrix and vector; of one step, these are one state."""
+
+    ff: np.ndarray
+    fl: np.ndarray | None
+    ll: np.ndarray | None
+    hf: np.ndarray
+    hl: np.ndarray | None
+
+    def then(self, j, h, t: Transition) -> _Info:
+        """And one more step, with information j, h on its own state."""
+        q = np.diag(t.process_std**-2.0)
+        pull = t.phi.T @ q
+        if self.fl is None:
+            return _Info(self.ff + pull @ t.phi, -pull, q + j, self.hf, h)
+        inner = np.linalg.inv(self.ll + pull @ t.phi)
+        gain = self.fl @ inner
+        return _Info(self.ff - gain @ self.fl.T, gain @ pull, q + j - pull.T @ inner @ pull, self.hf - gain @ self.hl, h + pull.T @ inner @ self.hl)
+
+    def ahead(self, mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and covariance of the last state, of those of the first before any of these data."""
+        p = np.linalg.inv(cov)
+        j, h = self.ff + p, self.hf + p @ mean
+        if self.fl is not None:
+            gain = self.fl.T @ np.linalg.inv(j)
+            j, h = self.ll - gain @ self.fl, self.hl - gain @ h
+        cov = np.linalg.inv(j)
+        return cov @ h, cov
+
+    def back(self, j: np.ndarray, h: np.ndarray, t: Transition) -> tuple[np.ndarray, np.ndarray]:
+        """Information on the state before the first, of what later steps tell of the last."""
+        if self.fl is None:
+            jf, hf = self.ff + j, self.hf + h
+        else:
+            gain = self.fl @ np.linalg.inv(self.ll + j)
+            jf, hf = self.ff - gain @ self.fl.T, self.hf - gain @ (self.hl + h)
+        q = np.diag(t.process_std**-2.0)
+        gain = t.phi.T @ q @ np.linalg.inv(q + jf)
+        return t.phi.T @ q @ t.phi - gain @ q @ t.phi, gain @ hf
+
+    def flat(self) -> list[float]:
+        parts = [self.ff, self.hf] if self.fl is None else [self.ff, self.fl, self.ll, self.hf, self.hl]
+        return np.concatenate([x.ravel() for x in parts]).tolist()
+
+    @staticmethod
+    def of(x: np.ndarray, k: int) -> _Info:
+        if len(x) == k * k + k:
+            return _Info(x[: k * k].reshape(k, k), None, None, x[k * k :], None)
+        ff, fl, ll = x[: 3 * k * k].reshape(3, k, k)
+        return _Info(ff, fl, ll, x[3 * k * k : -k], x[-k:])
+
+
+def _scalar_runs(j: np.ndarray, h: np.ndarray, t: Transition) -> list[float]:
+    """A run of steps of a state of one number: what folding them one by one into an _Info gives, as plain numbers."""
+    phi, q = float(t.phi[0, 0]), float(t.process_std[0]) ** -2
+    pull = phi * q
+    j, h = j.tolist(), h.tolist()
+    if len(j) == 1:
+        return [j[0], h[0]]
+    ff, fl, ll, hf, hl = j[0] + pull * phi, -pull, q + j[1], h[0], h[1]
+    for a, b in zip(j[2:], h[2:]):
+        m = ll + pull * phi
+        ff, fl, ll, hf, hl = ff - fl * fl / m, fl * pull / m, q + a - pull * pull / m, hf - fl * hl / m, b + pull * hl / m
+    return [ff, fl, ll, hf, hl]
+
+
+def _cut(batches, by: str, order: str, t: Transition):
+    """Rows sorted by series and order: numbers of their ranges, and after each range a row of what it tells."""
+    from pyspark import TaskContext
+
+    base, number, held = TaskContext.get().partitionId() << 40, 0, None
+    k = t.width
+
+    def told(part: pd.DataFrame) -> pd.DataFrame:
+        j, h = (np.array(part[c].tolist(), float) for c in ("j", "h"))
+        if k == 1:
+            flat = _scalar_runs(j[:, 0], h[:, 0], t)
+        else:
+            info = _Info(j[0].reshape(k, k), None, None, h[0], None)
+            for x, y in zip(j[1:], h[1:]):
+                info = info.then(x.reshape(k, k), y, t)
+            flat = info.flat()
+        return pd.DataFrame({by: part[by].iloc[:1], order: part[order].iloc[:1], "range": part["range"].iloc[:1], "j": [flat], "h": [[]], "whole": True})
+
+    for b in batches:
+        b = b if held is None else pd.concat([held, b], ignore_index=True)
+        held = None
+        if not len(b):
+            continue
+        same = (b[by] == b[by].shift()) | (b[by].isna() & b[by].shift().isna())
+        same.iloc[0] = False
+        starts = np.flatnonzero(~same.to_numpy())
+        for i, (a, z) in enumerate(zip(starts, [*starts[1:], len(b)])):
+            for s in range(a, z, RANGE):
+                part = b.iloc[s : min(z, s + RANGE)]
+                if i == len(starts) - 1 and s + RANGE >= z:
+                    held = part  # it may go on
+                    break
+                part = part.assign(range=base + number, whole=False)
+                number += 1
+                yield part
+                yield told(part)
+    if held is not None:
+        part = held.assign(range=base + number, whole=False)
+        yield part
+        yield told(part)
+
+
+def _messages(batches, by: str, t: Transition, smooth: bool):
+    """What each range tells, sorted by series and order: for each range the belief in its first state from what came before (j: mean and covariance), and
+    what comes after tells of its last (h: information), if asked."""
+    k, at, held = t.width, None, []
+
+    def out() -> pd.DataFrame:
+        infos = [_Info.of(np.asarray(r["j"], float), k) for r in held]
+        mean, cov, before = t.initial_mean, np.diag(t.initial_std**2), []
+        for info in infos:
+            before.append(np.concatenate([mean, cov.ravel()]).tolist())
+            mean, cov = info.ahead(mean, cov)
+            mean, cov = t.phi @ mean, t.phi @ cov @ t.phi.T + np.diag(t.process_std**2)
+        j, h, after = np.zeros((k, k)), np.zeros(k), []
+        for info in reversed(infos) if smooth else ():
+            after.append(np.concatenate([j.ravel(), h]).tolist())
+            j, h = info.back(j, h, t)
+        return pd.DataFrame({"range": [r["range"] for r in held], "j": before, "h": after[::-1] if smooth else [[]] * len(held)})
+
+    for b in batches:
+        for row in b.to_dict("records"):
+            now = None if pd.isna(row[by]) else row[by]
+            if held and now != at:
+                yield out()
+                held = []
+            at = now
+            held.append(row)
+    if held:
+        yield out()
+
+
+def _scalar_states(j, h, mean, cov, last, t: Transition, smooth: bool):
+    phi, q = float(t.phi[0, 0]), float(t.process_std[0]) ** 2
+    m, v, ahead, seen = float(mean[0]), float(cov[0, 0]), [], []
+    for i, (a, b) in enumerate(zip(j[:, 0].tolist(), h[:, 0].tolist())):
+        if i:
+            m, v = phi * m, phi * phi * v + q
+        ahead.append((m, v))
+        m, v = (m + v * b) / (1 + v * a), v / (1 + v * a)
+        seen.append((m, v))
+    if smooth:
+        a, b = float(last[0][0, 0]), float(last[1][0])
+        seen[-1] = m, v = (m + v * b) / (1 + v * a), v / (1 + v * a)
+        for i in range(len(seen) - 2, -1, -1):
+            x, s = seen[i]
+            g = phi * s / ahead[i + 1][1]
+            m, v = x + g * (m - ahead[i + 1][0]), s + g * g * (v - ahead[i + 1][1])
+            seen[i] = m, v
+    return [[m] for m, _ in seen], [[v] for _, v in seen]
+
+
+def _vector_states(j, h, mean, cov, last, t: Transition, smooth: bool):
+    k, ahead, seen = t.width, [], []
+    for i, (a, b) in enumerate(zip(j.reshape(-1, k, k), h)):
+        if i:
+            mean, cov = t.phi @ mean, t.phi @ cov @ t.phi.T + np.diag(t.process_std**2)
+        ahead.append((mean, cov))
+        new = np.linalg.solve(np.eye(k) + cov @ a, cov)
+        mean, cov = mean + new @ (b - a @ mean), (new + new.T) / 2
+        seen.append((mean, cov))
+    if smooth:
+        mean, cov = seen[-1]
+        new = np.linalg.solve(np.eye(k) + cov @ last[0], cov)
+        seen[-1] = mean + new @ (last[1] - last[0] @ mean), (new + new.T) / 2
+        for i in range(len(seen) - 2, -1, -1):
+            (m, s), (am, ac), (nm, nc) = seen[i], ahead[i + 1], seen[i + 1]
+            back = np.linalg.solve(ac, t.phi @ s).T
+            seen[i] = m + back @ (nm - am), s + back @ (nc - ac) @ back.T
+    return [m.tolist() for m, _ in seen], [np.diag(c).tolist() for _, c in seen]
+
+
+def _within(batches, by: str, order: str, t: Transition, smooth: bool):
+    """Rows sorted by range, a range's messages first: the states of its steps."""
+    k, at, held = t.width, None, []
+
+    def out() -> pd.DataFrame:
+        part = pd.concat(held)
+        first, steps = part.iloc[0], part.iloc[1:]
+        x, y = np.asarray(first["j"], float), np.asarray(first["h"], float)
+        j, h = (np.array(steps[c].tolist(), float) for c in ("j", "h"))
+        last = (y[: k * k].reshape(k, k), y[k * k :]) if smooth else None
+        mean, var = (_scalar_states if k == 1 else _vector_states)(j, h, x[:k], x[k:].reshape(k, k), last, t, smooth)
+        return pd.DataFrame({by: steps[by].to_numpy(), order: steps[order].to_numpy(), "mean": mean, "var": var})
+
+    for b in batches:
+        for r, part in b.groupby("range", sort=False):
+            if held and r != at:
+                yield out()
+                held = []
+            at = r
+            held.append(part)
+    if held:
+        yield out()
+
+
+def states(steps: DataFrame, by: str, order: str, transition: Transition, smooth: bool) -> DataFrame:
+    """by, order, mean, var of each step's state, given the data of its series so far or, smoothed, all of them.
+
+    steps: by, order, j and h: information matrix (row by row) and vector of the step's data on its state; zeros where it has none. Series are cut into ranges of at most
+    RANGE steps. What each range tells of its first and last state is one row; these meet by series, once forward and once back, and every range is then
+    solved by itself. So a series of any length is many tasks' work. Orders of a series come once.
+    """
+    spark, t = steps.sparkSession, transition
+    types = {c: steps.schema[c].dataType.simpleString() for c in (by, order)}
+    keys = f"{by} {types[by]}, {order} {types[order]}"
+    with stage(spark) as keep:
+        rows = steps.select(by, order, "j", "h").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), by, order).sortWithinPartitions(by, order)
+        cut = keep(rows.mapInPandas(lambda b: _cut(b, by, order, t), f"{keys}, j array<double>, h array<double>, range long, whole boolean"))
+        told = cut.where("whole").repartition(by).sortWithinPartitions(by, order)
+        messages = told.select(by, "range", "j").mapInPandas(lambda b: _messages(b, by, t, smooth), "range long, j array<double>, h array<double>")
+        both = cut.where("not whole").select(by, order, "range", F.lit(1).alias("kind"), "j", "h").unionByName(messages.withColumn("kind", F.lit(0)), True)
+        found = both.repartition("range").sortWithinPartitions("range", "kind", order).mapInPandas(lambda b: _within(b, by, order, t, smooth), f"{keys}, mean array<double>, var array<double>")
+        return Stage(spark)(found)
+
+
 def smooth(epochs: DataFrame, transition: Transition, theta: Sequence[float]) -> DataFrame:
-    """campaign, seq, mean, var: each epoch's state given theta and all data of its campaign, which one task takes in order."""
-    t, theta = transition, np.asarray(theta, float)
-    k, n = t.width, len(theta)
-    schema = "campaign string, seq long, mean array<double>, var array<double>"
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda x: x["seq"])
-        mean, cov = t.initial_mean, np.diag(t.initial_std**2)
-        ahead, seen = [], []
-        for i, row in enumerate(rows):
-            if i:
-                mean, cov = t.phi @ mean, t.phi @ cov @ t.phi.T + np.diag(t.process_std**2)
-            ahead.append((mean, cov))
-            r, z, _ = matrices(row)
-            a, y = r[:, n:], z - r[:, :n] @ theta
-            # rows of a factor are data of spread one
-            gain = np.linalg.solve(a @ cov @ a.T + np.eye(len(a)), a @ cov).T
-            mean, cov = mean + gain @ (y - a @ mean), cov - gain @ a @ cov
-            seen.append((mean, cov))
-        out = [seen[-1]] if seen else []
-        for i in range(len(rows) - 2, -1, -1):
-            back = np.linalg.solve(ahead[i + 1][1], t.phi @ seen[i][1]).T
-            out.append((seen[i][0] + back @ (out[-1][0] - ahead[i + 1][0]), seen[i][1] + back @ (out[-1][1] - ahead[i + 1][1]) @ back.T))
-        out.reverse()
-        return pa.table({
-            "campaign": pa.array([r["campaign"] for r in rows], pa.string()), "seq": pa.array([r["seq"] for r in rows], pa.int64()),
-            "mean": pa.array([m.tolist() for m, _ in out], pa.list_(pa.float64())), "var": pa.array([np.diag(c).tolist() for _, c in out], pa.list_(pa.float64())),
-        })
-
-    slim = epochs.select(F.col("campaign").cast("string"), F.col("seq").cast("long"), "width", "r", "z", "log_offset")
-    return slim.groupBy("campaign").applyInArrow(run, schema)
+    """campaign, seq, mean, var: each epoch's state given theta and all data of its campaign; see states()."""
+    theta, k = np.asarray(theta, float), transition.width
+    n = len(theta)
+
+    def given(batches):
+        for b in batches:
+            j, h = [], []
+            for width, r, z in zip(b["width"], b["r"], b["z"]):
+                r, z = np.asarray(r, float).reshape(-1, width), np.asarray(z, float)
+                a = r[:, n : n + k]
+                j.append((a.T @ a).ravel().tolist())
+                h.append((a.T @ (z - r[:, :n] @ theta)).tolist())
+            yield pd.DataFrame({"campaign": b["campaign"], "seq": b["seq"], "j": j, "h": h})
+
+    slim = epochs.select(F.col("campaign").cast("string").alias("campaign"), F.col("seq").cast("long").alias("seq"), "width", "r", "z")
+    return states(slim.mapInPandas(given, "campaign string, seq long, j array<double>, h array<double>"), "campaign", "seq", transition, True)
 
 
 class ChainMemory:
@@ -237,34 +449,13 @@ class ChainMemory:
         return mean, inverse @ inverse.T
 
 
-def kalman(series: DataFrame, by: str, order: str, value: str, phi: float, q: float, s0: float, sigma: float, smooth: bool = False, buckets: int = 64) -> DataFrame:
-    """by, order, mean, var: the state of a scalar chain along each series. Filtered on the values so far, or, smoothed, on all.
+def kalman(series: DataFrame, by: str, order: str, value: str, phi: float, q: float, s0: float, sigma: float, smooth: bool = False) -> DataFrame:
+    """by, order, mean, var: the state of a scalar chain along each series. Filtered on the values so far, or, smoothed, on all; see states().
 
-    Series are dealt to buckets, and those of one bucket go forward side by side, a vector for each place; a null or NaN value, or a place
-    that only other series of the bucket have, moves the state on without data.
+    A null or NaN value moves the state on without data. Orders of a series come once.
     """
-    slim = series.select(by, order, F.col(value).cast("double").alias("value"))
-    kinds = [f"{c} {slim.schema[c].dataType.simpleString()}" for c in (by, order)]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index=order, columns=by, values="value").sort_index()
-        y = wide.to_numpy()
-        began = np.cumsum(pdf.assign(one=1).pivot(index=order, columns=by, values="one").sort_index().notna().to_numpy(), axis=0) > 0
-        m, v = np.zeros(y.shape[1]), np.full(y.shape[1], s0 * s0)
-        means, spreads = np.empty_like(y), np.empty_like(y)
-        for i in range(len(y)):
-            if i:
-                m, v = np.where(began[i - 1], phi * m, m), np.where(began[i - 1], phi * phi * v + q * q, v)
-            gain = np.where(np.isnan(y[i]), 0.0, v / (v + sigma * sigma))
-            m, v = m + gain * (np.nan_to_num(y[i]) - m), (1 - gain) * v
-            means[i], spreads[i] = m, v
-        for i in range(len(y) - 2, -1, -1) if smooth else ():
-            ahead = phi * phi * spreads[i] + q * q
-            g = phi * spreads[i] / ahead
-            means[i] += g * (means[i + 1] - phi * means[i])
-            spreads[i] += g * g * (spreads[i + 1] - ahead)
-        place = wide.index.get_indexer(pdf[order]), wide.columns.get_indexer(pdf[by])
-        return pd.DataFrame({by: pdf[by], order: pdf[order], "mean": means[place], "var": spreads[place]})
-
-    dealt = slim.groupBy(F.pmod(F.xxhash64(by), F.lit(buckets)))
-    return dealt.applyInPandas(run, f"{kinds[0]}, {kinds[1]}, mean double, var double")
+    x = F.col(value).cast("double")
+    known = x.isNotNull() & ~F.isnan(x)
+    steps = series.select(by, order, F.array(F.when(known, 1 / sigma**2).otherwise(0.0)).alias("j"), F.array(F.when(known, x / sigma**2).otherwise(0.0)).alias("h"))
+    found = states(steps, by, order, Transition.of(phi, q, s0), smooth)
+    return found.select(by, order, F.col("mean")[0].alias("mean"), F.col("var")[0].alias("var"))

@@ -288,3 +288,45 @@ def test_streaming_memory(spark, rows, tmp_path):
 @pytest.mark.parametrize("name", ["chain_smooth", "identifiability", "jeffreys_prior", "reduced_basis_greedy"])
 def test_registered(name):
     assert name in QUERIES and name in ORACLE_SQL
+
+
+@pytest.mark.parametrize("size", [1, 3, 4096])
+def test_states_by_ranges(spark, monkeypatch, size):
+    """Series of all lengths, cut anywhere: the dense posterior of all states, filtered and smoothed, of numbers and of vectors."""
+    monkeypatch.setattr(chain, "RANGE", size)
+    rng = np.random.default_rng(size)
+    for k, t in ((1, chain.Transition.of(0.9, 0.4, 1.5, 0.3)), (2, chain.Transition.of([[0.9, 0.2], [-0.1, 0.7]], [0.5, 0.3], [1.0, 2.0], [0.4, -1.0]))):
+        rows, want = [], {}
+        for series, n in (("a", 1), ("b", 2), ("c", 17), (None, 5), ("d", 40)):
+            js, hs = [], []
+            for i in range(n):
+                a = rng.normal(size=(2, k)) * (rng.random() < 0.7)
+                js.append(a.T @ a)
+                hs.append(a.T @ rng.normal(size=2))
+                rows.append((series, i * 3, js[-1].ravel().tolist(), hs[-1].tolist(), "x"))
+            big, right = np.zeros((n * k, n * k)), np.zeros(n * k)
+            at = [slice(i * k, i * k + k) for i in range(n)]
+            big[at[0], at[0]] += np.diag(t.initial_std**-2.0)
+            right[at[0]] += t.initial_mean / t.initial_std**2
+            qi = np.diag(t.process_std**-2.0)
+            for i in range(1, n):
+                big[at[i], at[i]] += qi
+                big[at[i - 1], at[i - 1]] += t.phi.T @ qi @ t.phi
+                big[at[i - 1], at[i]] -= t.phi.T @ qi
+                big[at[i], at[i - 1]] -= qi @ t.phi
+            for smooth in (False, True):
+                for i in range(n):
+                    b, y = big.copy(), right.copy()
+                    for j in range(n if smooth else i + 1):
+                        b[at[j], at[j]] += js[j]
+                        y[at[j]] += hs[j]
+                    cov = np.linalg.inv(b)
+                    want[smooth, series, i * 3] = ((cov @ y)[at[i]], np.diag(cov)[at[i]])
+        df = spark.createDataFrame(rows, "s string, o long, j array<double>, h array<double>, whole string").repartition(5)
+        for smooth in (False, True):
+            got = chain.states(df, "s", "o", t, smooth).collect()
+            assert len(got) == 65
+            for r in got:
+                mean, var = want[smooth, r.s, r.o]
+                assert np.allclose(r["mean"], mean, atol=1e-9) and np.allclose(r["var"], var, atol=1e-9)
+        assert chain.states(df.limit(0), "s", "o", t, True).count() == 0
