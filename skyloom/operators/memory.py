@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from skyloom.errors import IngestError, ParameterError
 from skyloom.operators.evidence import combine, log_likelihood, matrices, null, solved
 from skyloom.sources.archive import admit
+from skyloom.sources.stage import stage
 
 
 @dataclass(frozen=True)
@@ -28,11 +29,13 @@ class Memory:
 
     @staticmethod
     def of(factors: DataFrame, names: Sequence[str], prior_mean=0.0, prior_std=None, represents: Mapping[str, str] = ()) -> Memory:
-        """Of epochs that the rules of admission let in."""
-        good = admit(factors, list(names), list(dict(represents)))
-        found = combine(good, None).first()
+        """Of epochs that the rules of admission let in. Factors are computed once: a small table, which the rules and the sum read."""
+        with stage(factors.sparkSession) as keep:
+            good = admit(keep(factors), list(names), list(dict(represents)))
+            found = combine(good, None).first()
+            n = good.count()
         total = found.asDict() if found else null(len(names))
-        return Memory.of_total(total, names, good.count(), prior_mean, prior_std, represents)
+        return Memory.of_total(total, names, n, prior_mean, prior_std, represents)
 
     @staticmethod
     def of_total(total: dict, names: Sequence[str], n_epochs: int, prior_mean=0.0, prior_std=None, represents: Mapping[str, str] = ()) -> Memory:

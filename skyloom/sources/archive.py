@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.errors import IngestError
+from skyloom.sources.stage import stage
 
 VERSION = 1
 
@@ -37,7 +38,8 @@ def admit(factors: DataFrame, names: list[str], represents: list[str] = ()) -> D
 def save_memory(factors: DataFrame, path: str, names: list[str], represents: list[str] = ()) -> None:
     """Write admitted factors, then the manifest: a folder without one is no archive, so a write that broke off is never read."""
     spark = factors.sparkSession
-    admit(factors, names, represents).write.mode("error").parquet(f"{path}/epochs")
+    with stage(spark) as keep:  # factors are computed once
+        admit(keep(factors), names, represents).write.mode("error").parquet(f"{path}/epochs")
     manifest = json.dumps({"version": VERSION, "names": list(names), "represents": list(represents)})
     spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("error").text(f"{path}/manifest")
 

@@ -330,3 +330,27 @@ def test_states_by_ranges(spark, monkeypatch, size):
                 mean, var = want[smooth, r.s, r.o]
                 assert np.allclose(r["mean"], mean, atol=1e-9) and np.allclose(r["var"], var, atol=1e-9)
         assert chain.states(df.limit(0), "s", "o", t, True).count() == 0
+
+
+def test_streaming_chain(spark, tmp_path):
+    """Batches in any order, late epochs between earlier ones and repeated ones: the marginal of the batch operator."""
+    from skyloom.streaming.chain import remember_chain
+
+    t = chain.Transition.of([[0.8, 0.1], [-0.2, 0.7]], 0.5, 1.0, 0.3)
+    f, _ = _chain(spark, 12, 2, 5)
+    far = F.expr("case when seq < 4 then seq - 5 when seq < 9 then seq * 50 else seq * 100000000000 end")  # many leaves and levels
+    f = f.withColumn("seq", far).withColumn("campaign", F.lit("night")).cache()
+    seqs = sorted(r.seq for r in f.select("seq").collect())
+    source, out = f"file://{tmp_path}/in", []
+    stream = None
+    for i, some in enumerate(([7, 2, 11], [0, 1, 2, 7], [3, 4, 5, 6, 8, 9, 10, 0])):
+        part = f.where(F.col("seq").isin([seqs[j] for j in some]))
+        (part.union(part.limit(1)) if i == 0 else part).coalesce(1).write.mode("append").parquet(source)
+        stream = stream or remember_chain(spark.readStream.schema(f.schema).parquet(source), t).writeStream.outputMode("update").option("checkpointLocation", f"file://{tmp_path}/c")
+        stream.foreachBatch(lambda df, i: out.extend(df.collect())).trigger(availableNow=True).start().awaitTermination()
+    last = max(out, key=lambda r: r["n_epochs"])
+    want = chain.chain_marginal(f, t).first()
+    assert (last["n_epochs"], last["n_refused"], last["n_observed"]) == (12, 1 + 2 + 1, want["n_observed"])
+    for x in ([0.4, -1.1], [2.0, 3.0]):
+        assert np.isclose(evidence.log_likelihood(last, x), evidence.log_likelihood(want, x), atol=1e-8)
+    assert sorted(r["n_epochs"] for r in out) == [3, 5, 12]
