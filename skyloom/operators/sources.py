@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.errors import MissingSeedError, ParameterError
+from skyloom.functions import dual
+from skyloom.functions.maths import dot
 from skyloom.functions.random import uniform
 from skyloom.operators.base import KEYS, Param, Source
 from skyloom.operators.projection import forward
@@ -35,7 +37,7 @@ class GlobalSignal(Source):
     params = ("depth", "centre", "width")
 
     def column(self, p):
-        return -p["depth"] * F.exp(-0.5 * F.pow((F.col("freq_hz") - p["centre"]) / p["width"], 2))
+        return -p["depth"] * dual.exp(-0.5 * dual.power((p["centre"] - F.col("freq_hz")) / p["width"], 2))
 
 
 @dataclass(frozen=True)
@@ -53,7 +55,7 @@ class Foreground(Source):
             raise ParameterError("ref_freq must be above zero")
 
     def column(self, p):
-        return p["amplitude"] * F.pow(F.col("freq_hz") / self.ref_freq, -p["spectral_index"])
+        return p["amplitude"] * dual.power(F.col("freq_hz") / self.ref_freq, -p["spectral_index"])
 
 
 @dataclass(frozen=True)
@@ -84,7 +86,7 @@ class Interference(Source):
     def column(self, p):
         if self.seed is None:
             raise MissingSeedError("interference needs a seed")
-        return F.when(uniform(self.seed, "rfi", *KEYS) < self.occupancy, p["amplitude"]).otherwise(0.0)
+        return dual.either(uniform(self.seed, "rfi", *KEYS) < self.occupancy, p["amplitude"], 0.0)
 
 
 @dataclass(frozen=True)
@@ -97,7 +99,7 @@ class GroundPickup(Source):
     params = ("coupling", "t_ground")
 
     def column(self, p):
-        return p["coupling"] * F.coalesce(F.col("t_ambient"), p["t_ground"])
+        return p["coupling"] * dual.coalesce(F.col("t_ambient"), p["t_ground"])
 
 
 @dataclass(frozen=True)
@@ -145,7 +147,7 @@ class BasisTemperature(Source):
 
     def column(self, p):
         outer = F.flatten(F.transform(p["bt"], lambda t: F.transform(p["bf"], lambda f: t * f)))
-        return F.aggregate(F.zip_with(p["c"], outer, lambda c, x: c * x), F.lit(0.0), lambda a, x: a + x)
+        return dual.linear(lambda c: dot(c, outer), p["c"])
 
 
 @dataclass(frozen=True)

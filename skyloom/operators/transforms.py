@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.errors import MissingSeedError, ParameterError
+from skyloom.functions import dual
 from skyloom.functions.maths import dot, sinc
 from skyloom.functions.random import normal
 from skyloom.operators.base import KEYS, Param, Transform
@@ -89,7 +90,7 @@ class NoiseWave(Transform):
     def column(self, x, p):
         k = p["k"]
         waves = p["t_unc"] * k["u"] + p["t_cos"] * k["c"] + p["t_sin"] * k["i"] + p["t_rx"]
-        return F.coalesce(x * k["s"] + waves, F.lit(float("nan")))
+        return dual.coalesce(x * k["s"] + waves, F.lit(float("nan")))
 
 
 @dataclass(frozen=True)
@@ -225,7 +226,7 @@ class PeriodicLines(Transform):
             raise ParameterError("period is one channel or more")
 
     def column(self, x, p):
-        return x + F.when(F.col("freq_idx") % self.period == 0, p["amplitude"]).otherwise(0.0)
+        return x + dual.either(F.col("freq_idx") % self.period == 0, p["amplitude"], 0.0)
 
 
 @dataclass(frozen=True)
@@ -237,8 +238,8 @@ class Digitiser(Transform):
     node = "adc"
 
     def column(self, x, p):
-        y, top = x * self.scale, float(2 ** (self.n_bits - 1))
-        return F.when(F.isnan(y), y).otherwise(F.greatest(F.lit(-top), F.least(F.lit(top), y)))
+        top = float(2 ** (self.n_bits - 1))
+        return dual.clip(x * self.scale, -top, top)
 
 
 @dataclass(frozen=True)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.errors import AmbiguousNodeError, PlanError
+from skyloom.functions import dual
 from skyloom.operators.base import Operator, Stage, Transform
 from skyloom.operators.transforms import Snapshot
 from skyloom.plans.graph import SignalGraph, register_graph
@@ -84,7 +85,7 @@ def select(switch: Column, branches: list[Column]) -> Column:
     """The switch: branch i where it says i, and 0 where it says what no branch is."""
     out = F.lit(0.0)
     for i, b in reversed(list(enumerate(branches))):
-        out = F.when(switch == i, b).otherwise(out)
+        out = dual.either(switch == i, b, out)
     return out
 
 
@@ -167,13 +168,18 @@ class Assembly:
         for i, (node, op) in enumerate((n, o) for n in NODES for o in self.placed.get(n, ())):
             if not isinstance(op, Stage):
                 cells, params[id(op)] = op.attach(cells, f"{i}_{node}")
+        # where a parameter moves (see functions.dual), all columns that operators compute with are duals
+        moving = any(isinstance(c, dual.Dual) for p in params.values() for c in p.values())
+        lift = dual.lift if moving else lambda x: x
+        for op in (o for some in self.placed.values() for o in some if id(o) in params):
+            params[id(op)] |= {n: lift(params[id(op)][n]) for n in op.params if n in params[id(op)]}
         snaps: dict[str, Column] = {}
 
         def through(node: str, x: Column | None) -> Column | None:
             for op in self.placed.get(node, ()):
                 if x is None:
                     raise PlanError(f"no signal reaches {node}")
-                x = op.column(x, params[id(op)])
+                x = lift(op.column(x, params[id(op)]))
                 if isinstance(op, Snapshot):
                     snaps[op.name] = x
             return x
@@ -181,7 +187,7 @@ class Assembly:
         def value(node: str) -> list[Column]:
             kind = NODES[node][0]
             if kind.startswith("source"):
-                return [op.column(params[id(op)]) for op in self.placed.get(node, ())]
+                return [lift(op.column(params[id(op)])) for op in self.placed.get(node, ())]
             branches = [b for n in RECEIVER.feeds(node) for b in value(n)]
             if not branches:
                 return []
@@ -193,7 +199,7 @@ class Assembly:
 
         if self.sourced:
             return cells, value(until)[0], snaps
-        data = F.col("data")
+        data = lift(F.col("data"))
         trunk = [n for n, (kind, _) in NODES.items() if kind == "transform" and n not in PROCESSING]
         for n in trunk[: trunk.index(until) + 1]:
             data = through(n, data)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.errors import ParameterError
+from skyloom.functions.dual import Dual, Point, slope
 from skyloom.functions.random import normal, uniform
 from skyloom.operators.base import KEYS, Param
 from skyloom.plans.signal_path import PROCESSING, Assembly, stages_requiring_seed
@@ -187,18 +188,20 @@ class ParameterSpace:
                 if int(i or 0) >= len(found) or not hasattr(found[int(i or 0)], name):
                     raise ParameterError(f"the plan has no {t}")
 
-    def bind(self, plan: Assembly, theta: Column) -> Assembly:
+    def bind(self, plan: Assembly, theta: Column | Point) -> Assembly:
         """plan with expressions of theta in the place of what is bound."""
+        get = theta.get if isinstance(theta, Point) else lambda i: F.get(theta, i)
+        part = theta.part if isinstance(theta, Point) else lambda start, size: F.slice(theta, start + 1, size)
         for b in self.bindings:
             values = []
             for n in b.names:
                 s = self.spans[n]
                 if b.axis == "array":
-                    values.append(F.slice(theta, s.start + 1, s.stop - s.start))
+                    values.append(part(s.start, s.stop - s.start))
                 elif b.axis == "scalar":
-                    values.append(F.get(theta, F.lit(s.start)))
+                    values.append(get(F.lit(s.start)))
                 else:
-                    values.append(F.get(theta, F.col(f"{b.axis}_idx").cast("int") + s.start))
+                    values.append(get(F.col(f"{b.axis}_idx").cast("int") + s.start))
             x = b.fn(*values) if b.fn else values[0]
             for t in b.targets:
                 node, i, name = _TARGET.match(t).groups()
@@ -242,7 +245,7 @@ class Forward:
         self._bare = cells
         self.cells = space.bind(plan, literal(space.initial)).expression(cells)[0]
 
-    def at(self, theta: Column) -> Column:
+    def at(self, theta: Column | Point) -> Column | Dual:
         """The prediction, a column of self.cells."""
         return self.space.bind(self.plan, theta).expression(self._bare)[1]
 
@@ -261,6 +264,13 @@ class Forward:
         right = right.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
         return left.join(right, ["_block", "_shard"]).select("draw_id", *KEYS, self.at(F.col("theta")).alias("data"))
 
+    def _slopes(self, places: Sequence[int], theta: Sequence[float]) -> Column | None:
+        """The array of derivatives at these places, by duals; None where the plan holds a function that knows columns only."""
+        try:
+            return F.transform(F.array(*map(F.lit, places)), lambda i: slope(self.at(Point(literal(theta), i))))
+        except (TypeError, AttributeError):
+            return None
+
     def design(self, names: str | Sequence[str] | None = None, at: Sequence[float] | None = None) -> tuple[Column, Column]:
         """For latents in which the plan is affine: the array of their coefficients, and what is left when they are all zero."""
         theta = self.space.initial if at is None else np.asarray(at, float)
@@ -268,13 +278,20 @@ class Forward:
         base = theta.copy()
         base[places] = 0.0
         zero = self.at(literal(base))
+        if (exact := self._slopes(places, base)) is not None:
+            return exact, zero
         step = lambda i: self.at(F.transform(literal(base), lambda x, j: F.when(j == i, F.lit(1.0)).otherwise(x)))
         return F.transform(F.array(*map(F.lit, places)), lambda i: step(i) - zero), zero
 
     def jacobian(self, names: str | Sequence[str] | None = None, at: Sequence[float] | None = None, step: float = 1e-5) -> tuple[Column, Column]:
-        """The array of derivatives with respect to these latents, by central differences, and the prediction."""
+        """The array of derivatives with respect to these latents, and the prediction.
+
+        Exact, by duals (see functions.dual); by central differences where a binding or an operator has a function of columns only.
+        """
         theta = self.space.initial if at is None else np.asarray(at, float)
         places = self.space.places(names)
+        if (exact := self._slopes(places, theta)) is not None:
+            return exact, self.at(literal(theta))
         size = step * np.maximum(np.abs(theta[places]), 1e-3)
         moved = lambda s: self.at(F.transform(literal(theta), lambda x, j: F.when(j == s["i"], x + s["h"]).otherwise(x)))
         steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(h)).alias("h")) for i, h in zip(places, size)))
