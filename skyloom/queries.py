@@ -168,18 +168,13 @@ select {K}, case when receiver_input < 3 then round(data * (1 - s2) * (fr * fr +
 )
 
 
-def _free(spark: SparkSession) -> DataFrame:
-    return spark.range(4).select(F.col("id").cast("int").alias("freq_idx"), (0.8 + 0.15 * F.col("id")).alias("value"))
-
-
 def _by_channel(df: DataFrame) -> DataFrame:
     return df.select("freq_idx", F.round("value", 6).alias("value"))
 
 
-_FREE = "b as (select cast(i as int) as freq_idx, 0.8::double + 0.15::double * i as value from range(4) t(i))"
 add(
-    "trn_unit_mean_bandpass", lambda s, d: _by_channel(transforms.unit_mean_bandpass(_free(s))),
-    f"with {_FREE} select freq_idx, round(value, 6) as value from b union all select 4, round(5 - sum(value), 6) from b",
+    "trn_unit_mean_bandpass", lambda s, d: _by_channel(transforms.unit_mean_bandpass(transforms.unit_mean_free(waterfall(s, d).groupBy("freq_idx").agg(F.avg("data").alias("value"))))),
+    f"""with {W}, b as (select freq_idx, avg(data) as value from w group by 1) select freq_idx, round(value / (select avg(value) from b), 6) as value from b""",
 )
 add(
     "trn_unit_mean_free", lambda s, d: _by_channel(transforms.unit_mean_free(waterfall(s, d).groupBy("freq_idx").agg(F.avg("data").alias("value")))),
@@ -387,11 +382,11 @@ add(
 
 def _beam(spark, sf_dir):
     m = _matrix(spark, sf_dir).groupBy("pix").agg(F.sum(F.col("weight") * F.col("weight")).alias("value"))
-    m = m.withColumn("freq_idx", F.explode(F.sequence(F.lit(0), F.lit(1))))
+    m = m.withColumn("freq_idx", F.explode(F.sequence(F.lit(0), F.lit(4))))
     return m.select("freq_idx", "pix", (F.col("pix") * 3.0 - 90).alias("elevation"), (F.col("value") * (1 + F.col("freq_idx") * F.col("pix"))).alias("value"))
 
 
-_BEAM = f"{_MATRIX}, b0 as (select pix, sum(weight * weight) as v from m group by 1), b as (select cast(f as int) as freq_idx, pix, pix * 3.0::double - 90 as e, v * (1 + f * pix) as value from b0, range(2) t(f))"
+_BEAM = f"{_MATRIX}, b0 as (select pix, sum(weight * weight) as v from m group by 1), b as (select cast(f as int) as freq_idx, pix, pix * 3.0::double - 90 as e, v * (1 + f * pix) as value from b0, range(5) t(f))"
 _SOFT = "case when e <= 0 then 0 when e < 30 then pow(sin(pi() / 2 * e / 30), 2) else 1 end"
 add(
     "truncated_beam", lambda s, d: projection.truncate_beam(_beam(s, d), 30.0)[0].select("freq_idx", F.col("pix").cast("long").alias("pix"), F.round("value", 5).alias("value")),
@@ -403,30 +398,41 @@ add(
 )
 add(
     "beam_spill_from_beam",
-    lambda s, d: cells(assemble(transforms.BeamSpill.from_beam(_beam(s, d), 290.0))(waterfall(s, d).where("freq_idx < 2"))),
+    lambda s, d: cells(assemble(transforms.BeamSpill.from_beam(_beam(s, d), 290.0))(waterfall(s, d))),
     f"""with {W}, {_BEAM}, s as (select freq_idx, sum(case when e > 0 then value else 0 end) / sum(value) as s from b group by 1)
 select {K}, round(s * data + (1 - s) * 290, 5) as data from w join s using (freq_idx)""",
 )
 
 
-def _modes(spark):
-    x = spark.range(12).select((F.col("id") / 6).cast("int").alias("freq_idx"), (F.col("id") % 6).cast("int").alias("m"))
-    return x.select("freq_idx", "m", (1.0 / (1 + F.col("m")) + F.col("freq_idx")).alias("re"), (0.3 * F.col("m") - F.col("freq_idx")).alias("im"))
+def _modes(s: SparkSession, d: str) -> DataFrame:
+    """What the channels hold by hours of a turn, as m-modes."""
+    place = F.array_position(F.array(*(F.lit(t) for t in TYPES)), F.col("event_type")).cast("int") - 1
+    sums = table(s, d, "events").groupBy(place.alias("freq_idx"), (hour() % 6).cast("int").alias("m"))
+    return sums.agg((F.sum("value") / 1000).alias("re"), (F.sum("user_id") / 10000).alias("im"))
+
+
+def _turns(s: SparkSession, d: str, step: float, times: Column) -> DataFrame:
+    return table(s, d, "events").select(times.cast("int").alias("time_idx")).distinct().withColumn("lst_deg", F.col("time_idx") * step)
 
 
-def _turns(spark, n=48):
-    return spark.range(n).select(F.col("id").cast("int").alias("time_idx"), (F.col("id") * 360.0 / n).alias("lst_deg"))
+def _by_hour(s: SparkSession, d: str) -> DataFrame:
+    """A day's turn: sums by hour of the day and channel."""
+    place = F.array_position(F.array(*(F.lit(t) for t in TYPES)), F.col("event_type")).cast("int") - 1
+    return table(s, d, "events").groupBy((hour() % 24).cast("int").alias("time_idx"), place.alias("freq_idx")).agg(F.sum("value").alias("value"))
 
 
+_AT = """h as (select cast(date_diff('hour', timestamp '2024-01-01', date_trunc('hour', ts)) as int) as t,
+  cast(list_position(['click','error','purchase','signup','view'], event_type) - 1 as int) as freq_idx, value, user_id from events)"""
 add(
-    "mmode_synthesis", lambda s, d: projection.mmode_synthesis(_modes(s), _turns(s), 10.0).select("time_idx", "freq_idx", F.round("value", 5).alias("value")),
-    """with x as (select cast(f as int) as freq_idx, m, 1.0::double / (1 + m) + f as re, 0.3::double * m - f as im from range(2) a(f), range(6) b(m)),
-t as (select cast(i as int) as time_idx, radians(i * 7.5 - 10) as phi from range(48) t(i))
+    "mmode_synthesis", lambda s, d: projection.mmode_synthesis(_modes(s, d), _turns(s, d, 7.5, hour()), 10.0).select("time_idx", "freq_idx", F.round("value", 5).alias("value")),
+    f"""with {_AT}, x as (select freq_idx, t % 6 as m, sum(value) / 1000 as re, sum(user_id) / 10000 as im from h group by 1, 2),
+t as (select distinct t as time_idx, radians(t * 7.5 - 10) as phi from h)
 select time_idx, freq_idx, round(sum(case when m > 0 then 2 else 1 end * (re * cos(m * phi) + im * sin(m * phi))), 5) as value from x, t group by 1, 2""",
 )
 add(
-    "mmode_analysis", lambda s, d: projection.mmode_analysis(projection.mmode_synthesis(_modes(s), _turns(s)), _turns(s), 5).where("m > 0").select("freq_idx", "m", F.round("re", 6).alias("re"), F.round("im", 6).alias("im")),
-    "select cast(f as int) as freq_idx, cast(m as int) as m, round(1.0::double / (1 + m) + f, 6) as re, round(0.3::double * m - f, 6) as im from range(2) a(f), range(1, 6) b(m)",
+    "mmode_analysis", lambda s, d: projection.mmode_analysis(_by_hour(s, d), _turns(s, d, 15.0, hour() % 24), 5).select("freq_idx", "m", (F.round("re", 5) + 0.0).alias("re"), (F.round("im", 5) + 0.0).alias("im")),
+    f"""with {_AT}, x as (select t % 24 as t, freq_idx, sum(value) as v from h group by 1, 2)
+select freq_idx, cast(m as int) as m, round(avg(v * cos(m * radians(t * 15))), 5) + 0.0 as re, round(avg(v * sin(m * radians(t * 15))), 5) + 0.0 as im from x, range(6) b(m) group by 1, 2""",
 )
 
 
@@ -434,15 +440,17 @@ def _separable():
     return bases.SeparableBasis(bases.basis_matrix("polynomial", 720, 2), bases.basis_matrix("legendre", 5, 2))
 
 
-def _coefficients(spark):
-    return spark.createDataFrame([(0, 0, 3.0), (0, 1, -0.5), (1, 1, 2.0)], "k int, j int, value double")
+def _coefficients(s: SparkSession, d: str) -> DataFrame:
+    parts = table(s, d, "events").groupBy((hour() % 2).cast("int").alias("k"), (F.col("user_id") % 2).cast("int").alias("j"))
+    return parts.agg((F.sum("value") / 1000).alias("value"))
 
 
 _AXES = "(2 * time_idx / 719.0::double - 1) as x, (freq_idx / 2.0::double - 1) as y"
 add(
-    "basis_expand", lambda s, d: _separable().expand(_coefficients(s)).select("time_idx", "freq_idx", F.round("value", 6).alias("value")),
-    f"""with g as (select cast(t as int) as time_idx, cast(f as int) as freq_idx from range(720) a(t), range(5) b(f)), x as (select *, {_AXES} from g)
-select time_idx, freq_idx, round(3 - 0.5 * y + 2 * x * y, 6) as value from x""",
+    "basis_expand", lambda s, d: _separable().expand(_coefficients(s, d)).select("time_idx", "freq_idx", F.round("value", 6).alias("value")),
+    f"""with {_AT}, g as (select cast(t as int) as time_idx, cast(f as int) as freq_idx from range(720) a(t), range(5) b(f)), x as (select *, {_AXES} from g),
+c as (select t % 2 as k, user_id % 2 as j, sum(value) / 1000 as c from h group by 1, 2)
+select time_idx, freq_idx, round(sum(c * case when k = 1 then x else 1 end * case when j = 1 then y else 1 end), 6) as value from x, c group by 1, 2""",
 )
 add(
     "basis_fit", lambda s, d: _separable().fit(waterfall(s, d).groupBy("time_idx", "freq_idx").agg(F.sum("data").alias("value"))).select("k", "j", F.round("value", 5).alias("value")),
