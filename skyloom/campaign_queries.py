@@ -524,3 +524,26 @@ add(
     f"""with {W} select recording_id as epoch, count(*) as n_observed, 2 as width, round((coalesce(var_pop(data) filter (where freq_idx = 0) * 720, 0)
   + var_pop(data) filter (where freq_idx = 1) * 720 + sum(data * data) filter (where freq_idx > 1)) / 4 / 1e5, 6) as chi2 from w group by 1""",
 )
+
+
+def _power_law(spark, sf_dir) -> Forward:
+    space = ParameterSpace([Latent("amp", 180.0)], [Bind("amp", "foregrounds.amplitude")])
+    return Forward(space, assemble(sources.Foreground(180.0, 2.5)), grid(spark, sf_dir))
+
+
+def _certified(spark, sf_dir) -> DataFrame:
+    """Each recording is an epoch; noise in proportion to a power law, whose amplitude may move by five hundredths."""
+    forward, seen = _power_law(spark, sf_dir), waterfall(spark, sf_dir).select(*KEYS, F.col("data").alias("value"), F.col("recording_id").alias("night"))
+    noise, white = inference.Radiometer(1.0, 100.0, 1.0), np.array([18 * (60 / 75 + i / 15) ** -2.5 for i in range(5)])
+    basis = reduced.ReducedBasis(np.ones((1, 5)) / 5**0.5, white, 0.0)
+    found = reduced.compress_certified(forward, seen, "night", basis, noise, {"amp": (171.0, 189.0)}, 1e9)
+    return found.select("epoch", F.round(F.col("frozen_gap") / 1000, 5).alias("frozen_gap"), F.round(F.abs(F.element_at("z", 1)), 4).alias("z"), "n_observed")
+
+
+_GAP = "sum(-0.5 * pow((data - {m}) / s, 2) - ln(s) + 0.5 * pow((data - {m}) / ({k} * s), 2) + ln({k} * s))"
+add(
+    "certified_factors", _certified,
+    f"""with {W}, x as (select recording_id, data, 180 * pow(freq_hz / 75e6, -2.5) as mu, 18 * pow(freq_hz / 75e6, -2.5) as s from w)
+select recording_id as epoch, round(greatest(abs({_GAP.format(m="0.95 * mu", k="0.95::double")}), abs({_GAP.format(m="1.05 * mu", k="1.05::double")})) / 1000, 5) as frozen_gap,
+  round(abs(sum(data / s / sqrt(5))) / sqrt(count(*) / 5), 4) as z, count(*) as n_observed from x group by 1""",
+)

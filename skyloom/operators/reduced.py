@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,10 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.errors import ParameterError
-from skyloom.functions.maths import dot
+from skyloom.functions.maths import dot, finite
+from skyloom.operators.base import KEYS
 from skyloom.operators.evidence import compress, log_likelihood, matrices
+from skyloom.operators.inference import noise_model
 from skyloom.operators.linear import factor_of
-from skyloom.plans.space import Forward, literal
+from skyloom.plans.space import Forward, ParameterSpace, literal
+from skyloom.sources.stage import Stage, stage
 
 _EPS = math.sqrt(np.finfo(float).eps)
 
@@ -185,6 +188,80 @@ def frozen_gap(basis: ReducedBasis, spectra: np.ndarray, noise_of) -> float:
     return max((float(np.abs(noise_of(s) / basis.sigma - 1).max()) for s in np.atleast_2d(spectra)), default=0.0)
 
 
+def support_corners(space: ParameterSpace, at: Sequence[float], support: Mapping[str, tuple[float, float]]) -> list[np.ndarray]:
+    """The centre, and each latent of the support at each of its ends, all of a row's numbers together: two for each latent, not all combinations."""
+    centre = np.asarray(at, float)
+    out = [centre]
+    for name, (low, high) in support.items():
+        if not low < high:
+            raise ParameterError(f"the support of {name} is empty")
+        for end in (low, high):
+            probe = centre.copy()
+            probe[space.places(name)] = end
+            out.append(probe)
+    return out
+
+
+def frozen_gaps(forward: Forward, observed: DataFrame, epoch: str, noise, support: Mapping[str, tuple[float, float]], at: Sequence[float] | None = None) -> DataFrame:
+    """epoch, frozen_gap: what freezing the noise at the centre costs an epoch, in nats: the largest difference between the log likelihood with the noise of the
+    centre and that with the noise of the place itself, over the corners of the support. NaN where one of them is none; one aggregate for all epochs.
+
+    observed: the cells' keys, value, and the epoch's column.
+    """
+    space = forward.space
+    centre = space.initial if at is None else np.asarray(at, float)
+    model = noise_model(noise)
+    rows = forward.cells.join(observed.select(*KEYS, F.col(epoch).cast("string").alias("_epoch"), F.col("value").cast("double").alias("_y")), list(KEYS))
+    frozen, gaps = model.std(forward.at(literal(centre))), []
+    rows = rows.withColumn("_frozen", frozen)
+    log = lambda mu, s: -0.5 * F.pow((F.col("_y") - mu) / s, 2) - F.log(s)
+    for i, probe in enumerate(support_corners(space, centre, support)):
+        mu = forward.at(literal(probe))
+        one = log(mu, F.col("_frozen")) - log(mu, model.std(mu))
+        gaps.append(F.abs(F.coalesce(F.sum(F.when(finite(F.col("_frozen")) & F.col("_y").isNotNull(), one)), F.lit(0.0))).alias(f"_g{i}"))
+    found = rows.groupBy(F.col("_epoch").alias("epoch")).agg(*gaps)
+    return found.select("epoch", F.greatest(*(F.col(f"_g{i}") for i in range(len(gaps))), F.lit(0.0)).alias("frozen_gap"))
+
+
+def outside(basis: ReducedBasis, directions: np.ndarray) -> np.ndarray:
+    """Of each direction (a row over the channels), the share of its whitened length that the basis can't hold."""
+    white = np.atleast_2d(np.asarray(directions, float)) / basis.sigma
+    size = np.linalg.norm(white, axis=1)
+    left = np.linalg.norm(white - white @ basis.members.T @ basis.members, axis=1)
+    return np.where(size > 0, left / np.where(size > 0, size, 1.0), 0.0)
+
+
+def compress_certified(
+    forward: Forward, observed: DataFrame, epoch: str, basis: ReducedBasis, noise, support: Mapping[str, tuple[float, float]], frozen_tolerance: float, *, at: Sequence[float] | None = None,
+    nuisance: Mapping[str, Sequence[float]] = {}, nuisance_std: Mapping[str, float] = {}, nuisance_tolerance: float = 1e-6,
+) -> DataFrame:
+    """Factors of epochs over the basis's coefficients, and frozen_gap: with the noise frozen at the centre, whose cost over the support is measured where the epochs
+    lie. An epoch whose cost is above frozen_tolerance, or no number, is refused.
+
+    nuisance: spectra that each epoch holds in amounts of its own, of spreads nuisance_std, integrated out. One that lies outside of the basis by more
+    than nuisance_tolerance of its length is refused: what the basis can't hold can't be integrated out, and would come back as signal.
+    """
+    if missing := set(nuisance) ^ set(nuisance_std):
+        raise ParameterError(f"a nuisance has a spectrum and a spread: {sorted(missing)}")
+    names = list(nuisance)
+    if names:
+        for name, share in zip(names, outside(basis, [nuisance[n] for n in names])):
+            if not share <= nuisance_tolerance:
+                raise ParameterError(f"{share:.1e} of nuisance {name} lies outside of the basis, more than {nuisance_tolerance}: build the basis with it among its scores")
+    centre = forward.space.initial if at is None else np.asarray(at, float)
+    rows = forward.cells.withColumn("_s", noise_model(noise).std(forward.at(literal(centre)))).join(observed.select(*KEYS, F.col(epoch).alias("_e"), F.col("value").alias("_y")), list(KEYS))
+    more = {}
+    if names:
+        table = F.array(*(literal([nuisance[n][i] for n in names]) for i in range(len(basis.sigma))))
+        rows = rows.withColumns({f"_n{i}": F.get(F.get(table, F.col("freq_idx").cast("int")), F.lit(i)) for i in range(len(names))})
+        more = {"nuisance": [f"_n{i}" for i in range(len(names))], "nuisance_std": [float(nuisance_std[n]) for n in names]}
+    with stage(observed.sparkSession) as keep:
+        gaps = keep(frozen_gaps(forward, observed, epoch, noise, support, at))
+        if bad := gaps.where(~(F.col("frozen_gap") <= frozen_tolerance) | F.isnan("frozen_gap")).orderBy(F.desc("frozen_gap")).head():
+            raise ParameterError(f"epoch {bad.epoch}: freezing the noise costs {bad.frozen_gap:.2g} nats over the support, more than {frozen_tolerance}")
+        return Stage(observed.sparkSession)(compress_reduced(rows, "_e", basis, "freq_idx", "_y", "_s", **more).join(gaps, "epoch"))
+
+
 def compress_epochs(rows: DataFrame, epoch: str, observed: str, sigma: str, *, design: Sequence[str] | str | None = None, basis: ReducedBasis | None = None, channel: str = "freq_idx", **more) -> DataFrame:
     """Factors over the unknowns of a design, or over the coefficients of a basis."""
     if (design is None) == (basis is None):
