@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from skyloom.errors import ParameterError
 from skyloom.functions.maths import dot, finite
 from skyloom.operators.base import KEYS
-from skyloom.operators.evidence import log_likelihood, matrices, rank, solved, triangle
+from skyloom.operators.evidence import log_likelihood, matrices, prior_root, rank, solved, triangle
 from skyloom.operators.inference import Flagged, Homoscedastic, check_same_cells, noise_model, sense_of
 from skyloom.operators.linear import check_linearity, factor_of
 from skyloom.plans.space import Forward, literal
@@ -205,7 +205,7 @@ class SamplingPlan:
             if engine == "conjugate":
                 check_linearity(self.problem.forward, b.members, theta)
         r, _, _ = matrices(self.problem.linearised(theta))
-        full = np.vstack([r, np.diag(1 / self.space.gaussian()[1])])
+        full = np.vstack([r, prior_root(self.space.gaussian()[1], r.shape[1])])
         length = np.linalg.norm(full, axis=0)
         s = np.linalg.svd(full / np.where(length > 0, length, 1.0), compute_uv=False)
         if (s <= rtol * s.max(initial=0.0)).any():
@@ -231,7 +231,7 @@ class SamplingPlan:
             r, z = t[: len(places), : len(places)], t[: len(places), -1]
         else:
             r, z, _ = matrices(self.problem.linearised(theta, b.members))
-        mean, std = self.space.gaussian(places)
+        mean, std = self.space.gaussian(places, theta)
         return solved(r, z, std if np.isfinite(std).any() else None, mean - theta[places])
 
     def _log_posterior(self, theta: np.ndarray) -> float:
@@ -337,7 +337,7 @@ class PriorSensitivity:
 
 
 def _newton(problem: Problem, theta: np.ndarray, places: list[int], names: list[str], priors: bool, most: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    mean, std = problem.space.gaussian(places)
+    mean, std = problem.space.gaussian(places, theta)  # the other latents stay
     for _ in range(most):
         r, z, _ = matrices(problem.linearised(theta, names))
         change, _ = solved(r, z, std if priors else None, mean - theta[places])
@@ -354,8 +354,8 @@ def prior_sensitivity(problem: Problem, names: Sequence[str] | None = None, at:
     some = list(space.names if names is None else [names] if isinstance(names, str) else names)
     places = space.places(some)
     mean, std = space.gaussian(places)
-    if not np.isfinite(std).all():
-        raise ParameterError("latents whose priors are asked about have normal ones")
+    if std.ndim > 1 or not np.isfinite(std).all():
+        raise ParameterError("latents whose priors are asked about have normal ones of their own")
     theta = space.initial if at is None else np.asarray(at, float)
     with_, r = _newton(problem, theta, places, some, True)
     precision = r.T @ r + np.diag(1 / std**2)

@@ -267,12 +267,18 @@ def log_likelihoods(factors: DataFrame, points: Sequence[Sequence[float]]) -> Da
     return rows.select("epoch", "point", (F.col("log_offset") - 0.5 * square).alias("value"))
 
 
+def prior_root(prior_std, width: int) -> np.ndarray:
+    """A square root of a normal prior's precision: of standard deviations (infinite ones tell nothing), or, a matrix, as it is given."""
+    std = np.asarray(prior_std, float)
+    return std if std.ndim == 2 else np.diag(1 / np.broadcast_to(std, width))
+
+
 def solved(r: np.ndarray, z: np.ndarray, prior_std=None, prior_mean=0.0) -> tuple[np.ndarray, np.ndarray]:
-    """Mean of the unknowns and the inverse of their triangle (whose product with its transpose is the covariance)."""
+    """Mean of the unknowns and the inverse of their triangle (whose product with its transpose is the covariance). prior_std: see prior_root."""
     w = len(z)
     if prior_std is not None:
-        std, mean = np.broadcast_to(np.asarray(prior_std, float), w), np.broadcast_to(np.asarray(prior_mean, float), w)
-        u = triangle(np.vstack([np.column_stack([r, z]), np.column_stack([np.diag(1 / std), mean / std])]))
+        root, mean = prior_root(prior_std, w), np.broadcast_to(np.asarray(prior_mean, float), w)
+        u = triangle(np.vstack([np.column_stack([r, z]), np.column_stack([root, root @ mean])]))
         r, z = u[:w, :w], u[:w, w]
     if rank(r) < w:
         raise ParameterError("the data and the prior don't determine all unknowns")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from skyloom.errors import ParameterError
 from skyloom.functions.maths import dot
 from skyloom.operators.base import KEYS
-from skyloom.operators.evidence import compress, matrices, null, solved
+from skyloom.operators.evidence import compress, matrices, null, prior_root, solved
 from skyloom.operators.inference import check_same_cells, noise_model
 from skyloom.plans.space import Forward, literal
 
@@ -81,7 +81,7 @@ def linear_operator(forward: Forward, names: str | Sequence[str], at: Sequence[f
     a, zero = forward.design(names, at)
     space = forward.space
     some = [n for n in space.names if n in ([names] if isinstance(names, str) else names)]
-    mean, std = space.gaussian(space.places(some))
+    mean, std = space.gaussian(space.places(some), at)
     return LinearBlock(forward.cells.select(*KEYS, a.alias("a"), zero.alias("offset")), tuple(some), tuple(space.latent(n).width for n in some), mean, std)
 
 
@@ -123,7 +123,7 @@ def condition(factor: dict, prior_std=None) -> tuple[float, float, float]:
     """Smallest and largest eigenvalue of the information, and their ratio, from the triangle's singular values."""
     r, _, _ = matrices(factor)
     if prior_std is not None:
-        r = np.vstack([r, np.diag(1 / np.broadcast_to(np.asarray(prior_std, float), r.shape[1]))])
+        r = np.vstack([r, prior_root(prior_std, r.shape[1])])
     s = np.linalg.svd(r, compute_uv=False) ** 2
     return float(s[-1]), float(s[0]), float(s[0] / s[-1]) if s[-1] > 0 else float("inf")
 

@@ -16,7 +16,7 @@ from skyloom.errors import ParameterError
 from skyloom.functions.dual import Point, slope
 from skyloom.functions.maths import finite
 from skyloom.operators.engines import Problem
-from skyloom.operators.evidence import matrices
+from skyloom.operators.evidence import matrices, prior_root
 from skyloom.plans.space import Normal, literal
 
 
@@ -92,9 +92,10 @@ class GradientSampler:
         theta = space.initial if at is None else np.array(at, float)
         some = tuple(n for n in space.names if names is None or n in ([names] if isinstance(names, str) else names))
         r, _, _ = matrices(problem.linearised(theta, list(some)))
-        spread = space.gaussian(places)[1]
-        scale = self._scale(r, spread, space, places)
-        mean, inverse = space.gaussian(places)[0], np.where(np.isfinite(spread), spread**-2.0, 0.0)
+        mean, spread = space.gaussian(places, theta)
+        root = prior_root(spread, len(places))
+        scale = self._scale(r, root, space, places)
+        precision = root.T @ root
         rng = np.random.default_rng(self.seed)
 
         def log_density(q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,7 +107,7 @@ class GradientSampler:
             whole[~inside] = theta  # a plan may not be defined there
             value, gradient = value_and_gradient(problem, whole, places)
             value = np.where(inside & np.isfinite(value), value + prior, -np.inf)
-            gradient = np.where(np.isfinite(gradient), gradient, 0.0) - (x - mean) * inverse
+            gradient = np.where(np.isfinite(gradient), gradient, 0.0) - (x - mean) @ precision
             return x, value, np.where(inside[:, None], gradient @ scale, 0.0)
 
         q = self._start(rng, problem, theta, places, scale)
@@ -143,15 +144,15 @@ class GradientSampler:
                 chances.append(chance.mean())
         return Samples(some, np.stack(kept, axis=1), float(np.mean(chances)), float(np.exp(log_average)))
 
-    def _scale(self, r: np.ndarray, spread: np.ndarray, space, places: list[int]) -> np.ndarray:
+    def _scale(self, r: np.ndarray, root: np.ndarray, space, places: list[int]) -> np.ndarray:
         """A root of the inverse of the information at the start, priors included."""
-        wide = np.where(np.isfinite(spread), spread, np.inf)
+        root = root.copy()
         for x in space.latents:  # a prior between limits is as wide as them
             if x.prior is not None and not isinstance(x.prior, Normal):
                 for i in range(*space.spans[x.name].indices(space.width)):
                     if i in places:
-                        wide[places.index(i)] = (x.prior.high - x.prior.low) / 2
-        _, s, v = np.linalg.svd(np.vstack([r, np.diag(1 / wide)]), full_matrices=False)
+                        root[places.index(i), places.index(i)] = 2 / (x.prior.high - x.prior.low)
+        _, s, v = np.linalg.svd(np.vstack([r, root]), full_matrices=False)
         if not s.min(initial=np.inf) > 1e-12 * s.max(initial=0.0):
             raise ParameterError("the start tells nothing of some unknowns: give them priors")
         return v.T / s

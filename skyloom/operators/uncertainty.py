@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from skyloom.errors import ParameterError
 from skyloom.functions.maths import dot
 from skyloom.operators.base import KEYS
-from skyloom.operators.evidence import matrices
+from skyloom.operators.evidence import matrices, prior_root
 from skyloom.operators.inference import noise_model
 from skyloom.operators.linear import factor_of
 from skyloom.plans.space import Forward, ParameterSpace, literal
@@ -65,7 +65,8 @@ def fisher_information(forward: Forward, noise, names: str | Sequence[str] | Non
     r = information_triangle(forward, noise, names, at, flag)
     value = r.T @ r
     if prior:
-        value = value + np.diag(1 / space.gaussian(space.places(names))[1] ** 2)
+        root = prior_root(space.gaussian(space.places(names), at)[1], len(value))
+        value = value + root.T @ root
     some = [n for n in space.names if names is None or n in ([names] if isinstance(names, str) else names)]
     return FlatMatrix(space, tuple(some), value)
 

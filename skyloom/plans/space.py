@@ -112,12 +112,42 @@ class Bind:
         return [self.into] if isinstance(self.into, str) else list(self.into)
 
 
+@dataclass(frozen=True)
+class Joint:
+    """A normal prior of several latents together, side by side: a mean and a covariance. They have none of their own."""
+
+    names: Sequence[str]
+    mean: Sequence[float]
+    cov: Sequence[Sequence[float]]
+
+    def __post_init__(self):
+        cov = np.asarray(self.cov, float)
+        if cov.shape != (np.size(self.mean),) * 2 or not (np.isfinite(cov).all() and np.isfinite(np.asarray(self.mean, float)).all()):
+            raise ParameterError("a joint prior has a mean and a square covariance of finite numbers")
+        if not np.allclose(cov, cov.T, rtol=1e-12, atol=0) or np.linalg.eigvalsh(cov / np.sqrt(np.outer(np.diag(cov), np.diag(cov))))[0] <= 1e-14:
+            raise ParameterError("the covariance of a joint prior is symmetric and above zero in every direction")
+
+    @property
+    def precision(self) -> np.ndarray:
+        return np.linalg.inv(np.asarray(self.cov, float))
+
+    def log_density(self, x: np.ndarray) -> float:
+        d, cov = x - np.asarray(self.mean, float), np.asarray(self.cov, float)
+        return float(-0.5 * d @ np.linalg.solve(cov, d) - 0.5 * np.linalg.slogdet(2 * np.pi * cov)[1])
+
+
 @dataclass(frozen=True)
 class ParameterSpace:
     latents: Sequence[Latent]
     bindings: Sequence[Bind]
+    joints: Sequence[Joint] = ()
 
     def __post_init__(self):
+        shared = [n for j in self.joints for n in j.names]
+        if bad := [n for n in shared if n not in self.names or self.latent(n).prior is not None or shared.count(n) > 1]:
+            raise ParameterError(f"{sorted(set(bad))}: a latent of a joint prior is declared, has no other prior, and is in one")
+        if odd := [list(j.names) for j in self.joints if sum(self.latent(n).width for n in j.names) != np.size(j.mean)]:
+            raise ParameterError(f"the joint prior of {odd[0]} isn't as wide as they are")
         if twice := {n for n in self.names if self.names.count(n) > 1}:
             raise ParameterError(f"latents {sorted(twice)} are declared twice")
         used = [n for b in self.bindings for n in b.names]
@@ -208,26 +238,57 @@ class ParameterSpace:
                 plan = plan.replace_field(node, int(i or 0), name, Param.expression(x))
         return plan
 
+    def _together(self, joint: Joint) -> list[int]:
+        """Places of a joint prior's latents, in its own order."""
+        return [i for n in joint.names for i in range(self.spans[n].start, self.spans[n].stop)]
+
     def log_prior(self, theta: Sequence[float]) -> float:
         """Of the latents that have a prior."""
         theta = np.asarray(theta, float)
-        return float(sum(np.sum(x.prior.log_density(theta[self.spans[x.name]])) for x in self.latents if x.prior))
+        own = sum(np.sum(x.prior.log_density(theta[self.spans[x.name]])) for x in self.latents if x.prior)
+        return float(own + sum(j.log_density(theta[self._together(j)]) for j in self.joints))
 
-    def gaussian(self, places: Sequence[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Mean and standard deviation of each place; infinite where there is no normal prior."""
+    def gaussian(self, places: Sequence[int] | None = None, at: Sequence[float] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and standard deviation of each place; infinite where there is no normal prior.
+
+        Where joint priors reach these places, a square root of their precision stands for the standard deviations, and the mean is that given the other latents
+        at `at`: what a block needs while the others are held.
+        """
         mean, std = np.zeros(self.width), np.full(self.width, np.inf)
         for x in self.latents:
             if isinstance(x.prior, Normal):
                 mean[self.spans[x.name]], std[self.spans[x.name]] = x.prior.mean, x.prior.std
-        keep = range(self.width) if places is None else list(places)
-        return mean[keep], std[keep]
+        keep = list(range(self.width)) if places is None else list(places)
+        reached = [j for j in self.joints if set(self._together(j)) & set(keep)]
+        if not reached:
+            return mean[keep], std[keep]
+        theta, root = self.initial if at is None else np.asarray(at, float), np.diag(1 / std)
+        for j in reached:
+            all_, precision, m = np.array(self._together(j)), j.precision, np.asarray(j.mean, float)
+            mine = np.isin(all_, keep)
+            own = precision[np.ix_(mine, mine)]
+            push = precision[np.ix_(mine, ~mine)] @ (theta[all_[~mine]] - m[~mine])
+            mean[all_[mine]] = m[mine] - np.linalg.solve(own, push)
+            root[np.ix_(all_[mine], all_[mine])] = np.linalg.cholesky(own).T
+        return mean[keep], root[np.ix_(keep, keep)]
 
     def draws(self, spark: SparkSession, n: int, seed: int) -> DataFrame:
         """draw_id, theta: draws of the priors, the same for a seed however they are partitioned."""
-        if open_ := [x.name for x in self.latents if x.prior is None]:
+        together = {name: j for j in self.joints for name in j.names}
+        if open_ := [x.name for x in self.latents if x.prior is None and x.name not in together]:
             raise ParameterError(f"{open_} have no prior to draw from")
-        parts = [x.prior.draw(seed, f"{x.name}/{i}", "draw_id") for x in self.latents for i in range(x.width)]
-        return spark.range(n).select(F.col("id").alias("draw_id")).select("draw_id", F.array(*parts).alias("theta"))
+        parts: dict[int, Column] = {}
+        for x in self.latents:
+            for i in range(x.width if x.prior else 0):
+                parts[self.spans[x.name].start + i] = x.prior.draw(seed, f"{x.name}/{i}", "draw_id")
+        for j in self.joints:
+            free = [normal(seed, f"{n}/{i}", "draw_id") for n in j.names for i in range(self.latent(n).width)]
+            for at, m, row in zip(self._together(j), j.mean, np.linalg.cholesky(np.asarray(j.cov, float))):
+                total = F.lit(float(m))
+                for c, z in zip(row, free):
+                    total = total + float(c) * z if c else total
+                parts[at] = total
+        return spark.range(n).select(F.col("id").alias("draw_id")).select("draw_id", F.array(*(parts[i] for i in range(self.width))).alias("theta"))
 
 
 def literal(theta: Sequence[float]) -> Column:
