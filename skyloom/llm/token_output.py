@@ -27,7 +27,7 @@ CACHE_WORDS = 300_000
 #: What str.split takes for white space and the tokenizer does not.
 _NO_SPACE = "\x1c\x1d\x1e\x1f"
 _SPACE = re.compile(r"[ \t\n\v\f\r]+")
-_AS_IT_IS = re.compile("<\\||[Σİ\u0300-\u036f]")
+_AS_IT_IS = re.compile("[Σİ\u0300-\u036f]")
 #: Marks after a word of letters that the tokenizer makes pieces of their own.
 _MARKS = ".,;:!?|*$%&#)]}"
 #: What a tokenizer is probed with: letters that change their number, marks, joiners, digits, contractions, special tokens, white space of all kinds.
@@ -56,13 +56,20 @@ class WordEncoder:
         self.cache_words = cache_words
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.letters: set[str] = set()  # those that stay letters
         self.by_word = self._probed()
 
     def _letters(self, core: str) -> bool:
-        """Whether a word of letters is one to the tokenizer too: what it makes of them may hold marks, which cut or join what follows."""
+        """Whether a word of letters is one to the tokenizer too: what it makes of some letters holds marks, which cut or join what follows."""
+        if self.letters.issuperset(core):
+            return True
         normalizer = self.tokenizer.normalizer
-        low = normalizer.normalize_str(core) if normalizer else core
-        return low.isalpha() and (normalizer is None or normalizer.normalize_str(core + ".") == low + ".")
+        for c in set(core).difference(self.letters):
+            low = normalizer.normalize_str(c) if normalizer else c
+            if not low.isalpha():
+                return False
+            self.letters.add(c)
+        return True
 
     def _probed(self) -> bool:
         """Whether this tokenizer does work word by word, as far as odd words can show: alone, joined, and in texts."""
@@ -120,7 +127,7 @@ class WordEncoder:
     def _by_word(self, texts: list[str]) -> list[np.ndarray]:
         # the tokenizer lowers each character by itself, after it has joined marks to letters: str.lower does the same but for sigma at an end and
         # what marks join; special tokens are told by their case
-        low = [t.lower() if t.isascii() and "<|" not in t or not _AS_IT_IS.search(t) else t for t in texts]
+        low = [t.lower() if "<|" not in t and (t.isascii() or not _AS_IT_IS.search(t)) else t for t in texts]
         split = [[w for w in _SPACE.split(t) if w] if any(c in t for c in _NO_SPACE) else t.split() for t in low]
         if len(self.known) > self.cache_words:  # words that come again move over from the older ones; the rest of those go
             self.known, self.older = {}, self.known
