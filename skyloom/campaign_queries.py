@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from skyloom.operators import chain, diagnostics, engines, evidence, inference, linear, memory, processing, reduced, sources, transforms, uncertainty, wide
 from skyloom.operators.base import KEYS
 from skyloom.plans.signal_path import assemble
-from skyloom.plans.space import Bind, Forward, Latent, Normal, ParameterSpace, Uniform
+from skyloom.plans.space import Bind, Forward, Joint, Latent, Normal, ParameterSpace, Uniform
 from skyloom.queries import GRID, MD5, K, W, add, grid, table, waterfall
 
 # --- likelihoods ----------------------------------------------------------------
@@ -547,3 +547,24 @@ add(
 select recording_id as epoch, round(greatest(abs({_GAP.format(m="0.95 * mu", k="0.95::double")}), abs({_GAP.format(m="1.05 * mu", k="1.05::double")})) / 1000, 5) as frozen_gap,
   round(abs(sum(data / s / sqrt(5))) / sqrt(count(*) / 5), 4) as z, count(*) as n_observed from x group by 1""",
 )
+
+
+def _joint(spark, sf_dir) -> DataFrame:
+    """A level and a power law under a prior that ties them: mean and variance of both."""
+    space = ParameterSpace(
+        [Latent("sky", 10.0), Latent("amp", 50.0)], [Bind("sky", "uniform_sky.amplitude"), Bind("amp", "foregrounds.amplitude")], [Joint(["sky", "amp"], [10.0, 50.0], [[25.0, -10.0], [-10.0, 100.0]])]
+    )
+    forward = Forward(space, assemble(sources.UniformSky(1.0), sources.Foreground(1.0, 2.5)), grid(spark, sf_dir))
+    block = linear.linear_operator(forward, ["sky", "amp"], check=False)
+    x, cov = linear.solve_block(block, waterfall(spark, sf_dir).select(*KEYS, F.col("data").alias("value")), 2000.0)
+    return spark.createDataFrame([(i, round(float(x[i]), 5), round(float(cov[i, i]), 5)) for i in range(2)], "i int, mean double, var double")
+
+
+add(
+    "joint_prior", _joint,
+    f"""with {W}, x as (select data as y, pow(freq_hz / 75e6, -2.5) as g from w),
+m as (select count(*) / 4e6::double + 100.0::double / 2400 as a, sum(g) / 4e6 + 10.0::double / 2400 as b, sum(g * g) / 4e6 + 25.0::double / 2400 as c,
+  sum(y) / 4e6 + (100 * 10 + 10 * 50)::double / 2400 as p, sum(y * g) / 4e6 + (10 * 10 + 25 * 50)::double / 2400 as q from x)
+select 0 as i, round((c * p - b * q) / (a * c - b * b), 5) as mean, round(c / (a * c - b * b), 5) as var from m
+union all select 1, round((a * q - b * p) / (a * c - b * b), 5), round(a / (a * c - b * b), 5) from m""",
+)
