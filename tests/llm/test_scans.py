@@ -94,13 +94,14 @@ def test_page_marginals():
     m = PageModel(LABELLED)
     t = tree("<body><div class='menu'><a href='x'>one</a></div><article><p>Some words that go on for a while, as they do.</p><p>More</p></article></body>")
     n = len(t.tag)
-    own = [[1.0, 1e-6]] + [[1.0, float(np.prod([m.odds.get(f, 1.0) for f in features(t, i)]))] for i in range(1, n)]
+    own = [[1.0, 1.0]] + [[1.0, float(np.prod([m.odds.get(f, 1.0) for f in features(t, i)]))] for i in range(1, n)]
     total = np.zeros((n, 2))
     for y in itertools.product((0, 1), repeat=n):
-        w = np.prod([own[i][y[i]] * (m.psi[y[t.parent[i]]][y[i]] if i else 1.0) for i in range(n)])
-        for i in range(n):
+        # nodes without a parent (place 0 is none) have odds of their own instead of a potential
+        w = np.prod([own[i][y[i]] * (m.psi[y[t.parent[i]]][y[i]] if t.parent[i] else (1.0, m.top)[y[i]]) for i in range(1, n)])
+        for i in range(1, n):
             total[i, y[i]] += w
-    assert n < 15 and np.allclose(m.marginals(t), total[:, 1] / total.sum(axis=1), rtol=1e-6)
+    assert n < 15 and np.allclose(m.marginals(t)[1:], total[1:, 1] / total[1:].sum(axis=1), rtol=1e-6)
 
 
 def test_html():
