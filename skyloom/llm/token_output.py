@@ -23,7 +23,7 @@ from skyloom.llm.simple8b import decode, encode_many
 END_ID = 1
 BLOCK_IDS = 65_536
 #: Words whose ids a worker remembers: those of late, and as many before them. About 100 bytes each.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 #: What str.split takes for white space and the tokenizer does not.
 _NO_SPACE = "\x1c\x1d\x1e\x1f"
 _SPACE = re.compile(r"[ \t\n\v\f\r]+")
@@ -134,9 +134,9 @@ class WordEncoder:
         # not the view of the keys: a set less a dict costs what the set holds
         new = set().union(*(set(words).difference(self.known) for words in split))
         if new and self.older:
-            again = new.intersection(self.older)
-            self.known.update((w, self.older[w]) for w in again)
-            new -= again
+            again = {w: self.older[w] for w in new if w in self.older}  # not their intersection, which goes through all of the older ones
+            self.known.update(again)
+            new.difference_update(again)
         if new:
             self._add(new)
         get = self.known.__getitem__
