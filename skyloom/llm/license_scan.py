@@ -99,7 +99,8 @@ def license_scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans (label and first and last word of each found).
 
     Base places are those where a phrase's words stand one after the other. score is the largest share of a template found; a base
-    place counts as 0.5 at least. Null and empty texts have no words; repeated rows each come back.
+    place counts as 0.5 at least. Null and empty texts have no words; repeated rows each come back. Texts are taken whole, however long; an empty
+    table gives an empty result.
     """
     spark = docs.sparkSession
     ship(spark)

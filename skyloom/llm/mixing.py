@@ -128,7 +128,8 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: floa
     """doc_id, source, size (words), source_size, target (its source's), copies (times the mix takes it), taken (words).
 
     Null texts have size 0; null sources are one source, last in order. Repeated rows are documents of their own. Reruns agree: the
-    draws come from doc_id, size, text and source; key is their hash but for size. An empty table gives an empty result.
+    draws come from doc_id, size, text and source; key is their hash but for size. An empty table gives an empty result;
+    a text of any length counts whole.
     """
     sized = docs.select(id_in("doc_id").alias("doc_id"), F.col("source").cast("string").alias("source"), words().alias("size"), _row_key().alias("key"))
     sized = staged(sized.withColumn("row_id", F.monotonically_increasing_id()), "sizes")
@@ -157,7 +158,8 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: floa
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """The rows of docs as often as the mix takes them, with all their columns."""
+    """The rows of docs as often as the mix takes them, with all their columns; see mix_sources. Null and empty texts weigh nothing but are drawn like any other; equal
+    rows share their copies in any order; an empty table is empty."""
     turn = Window.partitionBy("_key").orderBy("_key")  # equal rows only: which of them has which number doesn't matter
     with scratch(docs.sparkSession):
         took = mix_sources(docs, weights, share, most).select(F.col("key").alias("_key"), "copies")

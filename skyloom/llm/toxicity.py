@@ -315,7 +315,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the model of toxicity() does not hold for toxic, with all their columns."""
+    """The rows of docs that the model of toxicity() does not hold for toxic, with all their columns.
+
+    Null and empty texts, and rows of a null doc_id, are scored like any other; repeated rows each stay or go; very long texts are scored whole. An empty table is
+    empty, and without labels of both kinds nothing is toxic.
+    """
     ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     return docs.where(_scored(model) < 0.5)
