@@ -9,6 +9,7 @@ values a logistic scale turns into a chance: one likeness may be an accident, tw
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -28,6 +29,8 @@ WORST = 2
 ALIKE = 0.4
 #: Weight of a subsequence: DECAY to the power of the characters it spans, at most SPAN.
 DECAY, SPAN = 0.8, 5
+#: Words times landmarks that are multiplied at a time, and rows of sentences in a step of the machine: the task that fits the model has little memory.
+PRODUCTS, STEP_ROWS = 20_000, 8192
 #: Words that a task remembers.
 CACHE_WORDS = 100_000
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
@@ -106,6 +109,7 @@ class Landmarks:
     def __call__(self, words: list[str], least: float = 0.0) -> np.ndarray:
         """Words by landmarks. Words that can't reach `least` with any, by the sum of each subsequence's largest share, stay zero."""
         out = np.zeros((len(words), len(self.words)), np.float32)
+        step = max(1, PRODUCTS // max(1, len(self.words)))
         for i in range(0, len(words), 4096):
             some = words[i : i + 4096]
             w, u, x = _subsequences(some)
@@ -116,9 +120,11 @@ class Landmarks:
             if least > 0 and len(w):
                 may = np.bincount(w, x * self.most[row], len(some))[w] >= least
                 w, row, x = w[may], row[may], x[may]
-            if len(w):
-                first = np.flatnonzero(np.diff(w, prepend=-1))
-                out[i + w[first]] = np.add.reduceat(self.weight[row] * x[:, None], first, axis=0)
+            first = np.flatnonzero(np.diff(w, prepend=-1))
+            for j in range(0, len(first), step):  # the products of a few words at a time
+                some = first[j : j + step]
+                a, z = some[0], first[j + step] if j + step < len(first) else len(w)
+                out[i + w[some]] = np.add.reduceat(self.weight[row[a:z]] * x[a:z, None], some - a, axis=0)
         return out
 
 
@@ -137,14 +143,19 @@ def plain(word: str) -> str:
 
 def _newton(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Squared-hinge machine with a free offset; y in -1, 1; Newton steps on the active rows."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    reg = np.eye(x.shape[1]) * ridge
+    reg = np.eye(x.shape[1] + 1) * ridge
     reg[-1, -1] = 1e-6
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1] + 1)
     for _ in range(30):
-        on = y * (x @ w) < 1
-        a = x[on] * cost[on, None]
-        new = np.linalg.solve(reg + a.T @ x[on], a.T @ y[on])
+        on = np.flatnonzero(y * (x @ w[:-1] + w[-1]) < 1)
+        left, right = reg.copy(), np.zeros(len(w))
+        for i in range(0, len(on), STEP_ROWS):
+            some = on[i : i + STEP_ROWS]
+            rows = np.hstack([x[some], np.ones((len(some), 1))])
+            a = rows * cost[some, None]
+            left += a.T @ rows
+            right += a.T @ y[some]
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-7):
             break
         w = new
@@ -176,7 +187,9 @@ class Model:
         y = np.array(labels)
         self.rate = float((y * weights[1]).sum() / max(1e-9, ((1 - y) * weights[0] + y * weights[1]).sum())) if len(y) else 0.0
         self.marks = None
-        docs = [[[plain(w) for w in s] for s in sentences(t)] for t in texts]
+        once: dict[str, str] = {}  # each word is held once
+        docs = [[[once.setdefault(p, p) for p in map(plain, s)] for s in sentences(t)] for t in texts]
+        del once
         count = [{}, {}]
         for d, label in zip(docs, labels):
             for w in {w for s in d for w in s if 2 < len(w) <= 40}:
@@ -203,13 +216,19 @@ class Model:
         self.values = np.zeros((0, len(words)), np.float32)
         self.weight = np.zeros(len(words) + 1)
         pooled = [self._pooled(d) for d in self._indexed(docs)]
+        del docs
         seed = np.array([gain[w] if i < len(telling) else 0.0 for i, w in enumerate(words)])
-        clean = np.concatenate([p for p, label in zip(pooled, labels) if not label])
+        clean = [p for p, label in zip(pooled, labels) if not label]
+        n = sum(map(len, clean))
+        x = np.zeros((n + n1, len(words)))
+        np.concatenate(clean, out=x[:n])
+        for i in range(0, n, STEP_ROWS):
+            x[i : min(n, i + STEP_ROWS)] = x[i : min(n, i + STEP_ROWS)] @ self.white
+        side = np.concatenate([-np.ones(n), np.ones(n1)])
         for turn in range(4):
             worst = [p[np.argmax((p * (p >= 0.7)) @ seed if not turn else p @ self.weight[:-1])] for p, label in zip(pooled, labels) if label]
-            x = np.concatenate([clean, np.array(worst)]) @ self.white
-            side = np.concatenate([-np.ones(len(clean)), np.ones(len(worst))])
-            w = _newton(x, side, np.where(side > 0, len(clean) / len(worst), 1.0) / len(clean) * 2000)
+            x[n:] = np.array(worst) @ self.white
+            w = _newton(x, side, np.where(side > 0, n / n1, 1.0) / n * 2000)
             self.weight = np.append(self.white @ w[:-1], w[-1])
         f = np.array([self._worst(p) for p in pooled])
         self.scale = _logistic(f, y, np.where(y > 0, weights[1], weights[0]) * len(y) / np.where(y > 0, weights[1], weights[0]).sum())
@@ -266,8 +285,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(f @ np.array(a) + b, -50, 50)))
 
 
+def _fitted(batches, weights: tuple[float, float]):
+    """doc_id, text, toxic of the documents drawn to one row, the pickled model."""
+    rows = sorted((r for b in batches for r in zip(b["doc_id"], b["text"], b["toxic"])), key=lambda r: r[0])
+    if rows:
+        yield pd.DataFrame({"model": [pickle.dumps(Model([r[1] for r in rows], [int(r[2]) for r in rows], weights))]})
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from at most FIT_TOXIC and FIT_CLEAN labelled documents that are not held out, drawn by a hash of their ids."""
+    """A model from at most FIT_TOXIC and FIT_CLEAN labelled documents that are not held out, drawn by a hash of their ids.
+
+    One task fits it; the driver gets the model alone, and no text.
+    """
     ids = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     ids = ids.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     picked, weights = [], []
@@ -281,9 +310,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     few = F.broadcast(docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int"))  # FIT_TOXIC + FIT_CLEAN rows at most
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # of rows that share an id the first text by code point, so that reruns agree
-    rows = slim.join(few, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect()
-    rows.sort(key=lambda r: r.doc_id)
-    return Model([r.text for r in rows], [r.toxic for r in rows], (weights[0], weights[1]))
+    rows = slim.join(few, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    fitted = rows.repartition(1).mapInPandas(lambda b: trimmed(_fitted(b, (weights[0], weights[1]))), "model binary").first()
+    return pickle.loads(fitted.model) if fitted else Model([], [])
 
 
 def _scored(model) -> Column:

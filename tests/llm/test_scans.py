@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -263,6 +264,25 @@ def test_kernel():
             assert np.isclose(k[i, j], plain_kernel(a, b), atol=1e-5)
 
 
+def test_toxicity_fit_leaves_the_driver_alone(spark, monkeypatch):
+    """One task fits the model; the driver sees no text, and the products of kernel values are small."""
+    from skyloom.llm import toxicity as module
+
+    d, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    with monkeypatch.context() as m:
+        m.setattr(Model, "__init__", lambda *args: pytest.fail("fitted by the driver"))
+        model = module.fit(d, labels)
+    assert model.marks is not None and model.scores(["some words"]).shape == (1,)
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(10)) for _ in range(768)]
+    marks = Landmarks(words)
+    tracemalloc.start()
+    own = marks(words)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(np.diag(own), 1, atol=1e-5) and most < 60e6  # 241 MB in one product
+
+
 def test_toxicity_held_out(spark):
     """Of labelled documents that the fit never sees, nearly all are told apart; the pipeline's stage keeps the same ones."""
     d, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
