@@ -19,6 +19,8 @@ from skyloom.llm.common import partitions, scratch, ship, staged, trimmed
 #: Bytes of text of a block; keys of a range; keys that wait for a merge.
 BLOCK_BYTES = 16 << 20
 RANGE_KEYS = 4_000_000
+#: Keys that are sorted at a time: a sort takes some 60 bytes a key beside its input.
+SORT_KEYS = 400_000
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 _TABLE = bytes.maketrans(_UPPER + b"\t" + _ENDS, _LOWER + b" " + b"\n" * len(_ENDS))
@@ -86,10 +88,8 @@ def _counted(m: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return m[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
-def _keys(tokens: np.ndarray, ids: np.ndarray, longest: int) -> np.ndarray:
-    """ids by word number of the block (zero: none, or an end) to the ids of all runs of two words or more."""
-    g = np.concatenate((ids[tokens], np.zeros(longest, np.uint32)))
-    first = np.flatnonzero((g[:-1] > 0) & (g[1:] > 0))
+def _keys(g: np.ndarray, first: np.ndarray, longest: int) -> np.ndarray:
+    """The ids of the runs of two words or more that begin at the places `first` of g, ids in order of the text (zero: none, or an end)."""
     m = np.zeros((len(first), longest), np.uint32)
     m[:, 0] = g[first]
     for j in range(1, longest):
@@ -97,6 +97,10 @@ def _keys(tokens: np.ndarray, ids: np.ndarray, longest: int) -> np.ndarray:
     return m
 
 
+def _first_two(m: np.ndarray) -> np.ndarray:
+    return m[:, 0].astype(np.uint64) << np.uint64(32) | m[:, 1]
+
+
 def _planes(x: np.ndarray) -> bytes:
     """Bytes of sorted values, the highest of all values first: they pack well."""
     return np.ascontiguousarray(x.astype(">u4").view(np.uint8).reshape(len(x), -1).T).tobytes()
@@ -113,15 +117,30 @@ def _dealt(batches, longest: int, bounds: np.ndarray):
             tokens, codes = np.frombuffer(tokens.as_buffer(), "<u4"), codes.values.to_numpy()
             ids = np.zeros(int(tokens.max(initial=0)) + 1, np.uint32)
             ids[(codes >> 32) + 1] = codes & 0xFFFFFFFF
-            m = _keys(tokens, ids, longest)
-            m, counts = _counted(m, np.ones(len(m), np.int64))
-            of = np.searchsorted(bounds, m[:, 0].astype(np.uint64) << np.uint64(32) | m[:, 1], "right")
-            cut = np.searchsorted(of, np.arange(len(bounds) + 2))
-            rows = [(r, a, z) for r, (a, z) in enumerate(zip(cut[:-1], cut[1:])) if z > a]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r for r, _, _ in rows], pa.int32()), pa.array([z - a for _, a, z in rows], pa.int32()), pa.array([_planes(m[a:z]) for _, a, z in rows], pa.binary()), pa.array([_planes(counts[a:z]) for _, a, z in rows], pa.binary())],
-                ["range", "n", "keys", "counts"],
-            )
+            g = np.concatenate((ids[tokens], np.zeros(longest, np.uint32)))
+            first = np.flatnonzero((g[:-1] > 0) & (g[1:] > 0)).astype(np.uint32)
+            of = np.zeros(len(first), np.int32)
+            for i in range(0, len(first), SORT_KEYS):
+                some = first[i : i + SORT_KEYS]
+                of[i : i + SORT_KEYS] = np.searchsorted(bounds, g[some].astype(np.uint64) << np.uint64(32) | g[some + 1], "right")
+            sizes = np.bincount(of, minlength=len(bounds) + 1)
+            group = (np.cumsum(sizes) - sizes) // SORT_KEYS  # of ranges that are sorted together
+            mine = group[of].astype(np.int32)
+            for k in np.unique(group[sizes > 0]):
+                m = _keys(g, first[mine == k], longest)
+                m, counts = _counted(m, np.ones(len(m), np.uint32))
+                yield _row_of_each(m, counts, bounds)
+
+
+def _row_of_each(m: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+    """A row for each range that sorted keys fall into."""
+    of = np.searchsorted(bounds, _first_two(m), "right")
+    cut = np.searchsorted(of, np.arange(len(bounds) + 2))
+    rows = [(r, a, z) for r, (a, z) in enumerate(zip(cut[:-1], cut[1:])) if z > a]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r for r, _, _ in rows], pa.int32()), pa.array([z - a for _, a, z in rows], pa.int32()), pa.array([_planes(m[a:z]) for _, a, z in rows], pa.binary()), pa.array([_planes(counts[a:z]) for _, a, z in rows], pa.binary())],
+        ["range", "n", "keys", "counts"],
+    )
 
 
 def _phrases(m: np.ndarray, counts: np.ndarray, least: int) -> list[pa.RecordBatch]:
@@ -138,25 +157,38 @@ def _phrases(m: np.ndarray, counts: np.ndarray, least: int) -> list[pa.RecordBat
     return out
 
 
-def _runs(batches, longest: int, least: int):
-    """Rows sorted by range: the phrases of at least `least` occurrences in each."""
-    none = (np.zeros((0, longest), np.uint32), np.zeros(0, np.int64))
-    at, held, wait, load = None, none, [], 0
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]):
+    """Sorted keys and their counts, from parts each sorted, to counted pieces in order; keys of the same first two ids stand in one piece."""
+    n = -(-sum(len(m) for m, _ in parts) // SORT_KEYS)
+    if n <= 1:
+        if parts:
+            yield _counted(*(np.concatenate(x) for x in zip(*parts)))
+        return
+    step = max(1, SORT_KEYS // 200)
+    seen = np.sort(np.concatenate([_first_two(m[::step]) for m, _ in parts]))
+    edges = np.unique(seen[[len(seen) * i // n for i in range(1, n)]])
+    cuts = [np.concatenate(([0], np.searchsorted(_first_two(m), edges), [len(m)])) for m, _ in parts]
+    for i in range(len(edges) + 1):
+        some = [(m[c[i] : c[i + 1]], counts[c[i] : c[i + 1]]) for (m, counts), c in zip(parts, cuts) if c[i + 1] > c[i]]
+        if some:
+            yield _counted(*(np.concatenate(x) for x in zip(*some)))
 
-    def merged():
-        return _counted(*(np.concatenate(x) for x in zip(held, *wait)))
 
+def _runs(batches, longest: int, least: int):
+    """Rows sorted by range: the phrases of at least `least` occurrences in each."""
+    at, held, wait, load = None, [], [], 0
     for b in batches:
         for r, n, keys, counts in zip(b.column("range").to_pylist(), b.column("n").to_pylist(), b.column("keys"), b.column("counts")):
-            if r != at or load > RANGE_KEYS:
-                held, wait, load = merged(), [], 0
-                if r != at:
-                    yield from _phrases(*held, least)
-                    at, held = r, none
+            if r != at:
+                for piece in _merged(held + wait):
+                    yield from _phrases(*piece, least)
+                at, held, wait, load = r, [], [], 0
+            elif load > RANGE_KEYS:
+                held, wait, load = list(_merged(held + wait)), [], 0
             wait.append((_from_planes(keys.as_buffer(), n, longest), _from_planes(counts.as_buffer(), n, 1).ravel().astype(np.int64)))
             load += n
-    held = merged()
-    yield from _phrases(*held, least)
+    for piece in _merged(held + wait):
+        yield from _phrases(*piece, least)
 
 
 def _dictionary(words: DataFrame, least: int) -> DataFrame:

@@ -90,3 +90,30 @@ def test_exact_scores(spark):
     grams = spark.createDataFrame([([1, 2], 3_000_000_007)], "ids array<int>, f long")
     dictionary = spark.createDataFrame([(1, "en", "a", 3_000_000_019), (2, "en", "b", 4_000_000_007)], "id long, lang string, word string, f long")
     assert co._scored(grams, dictionary, 50).first().score == 10**6 * 3_000_000_007**2 // (3_000_000_019 * 4_000_000_007)
+
+
+def test_sorts_of_few_keys(monkeypatch):
+    """Ranges of many keys are sorted in pieces, to the same phrases, in memory in proportion to what is held."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(7)
+    parts, f = [], Counter()
+    for _ in range(40):
+        m, counts = co._counted((rnd.pareto(0.5, (30_000, 3)) + 1).clip(1, 9000).astype(np.uint32), np.ones(30_000, np.int64))
+        parts.append(pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([len(m)], pa.int32()), pa.array([co._planes(m)]), pa.array([co._planes(counts)])], ["range", "n", "keys", "counts"]))
+        for k in (2, 3):
+            at = co._starts(m, k)
+            f.update(dict(zip(map(tuple, m[at, :k].tolist()), np.add.reduceat(counts, at).tolist())))
+    want = {k: v for k, v in f.items() if v >= 10}
+    for size in (400_000, 5000):
+        monkeypatch.setattr(co, "SORT_KEYS", size)
+        tracemalloc.start()
+        out = list(co._runs(iter(parts), 3, 10))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        got = [(tuple(i), n) for b in out for i, n in zip(b.column("ids").to_pylist(), b.column("f").to_pylist())]
+        assert len(got) == len(want) and dict(got) == want
+        assert most < 60 * sum(b.column("n")[0].as_py() for b in parts)  # 68 where all keys are sorted at once
