@@ -104,7 +104,8 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     """
     most = max(least, left.count() // (4 * partitions(left.sparkSession)))
     hot = left.groupBy(key).count().where(F.col("count") > most).select(F.col(key).alias("_hot"))
-    hot = left.sparkSession.createDataFrame(hot.collect(), hot.schema)  # four keys for each partition at most
+    # four keys for each partition at most; from Arrow: rows would start Python workers of another kind beside those of the operators
+    hot = left.sparkSession.createDataFrame(hot.toArrow(), hot.schema)
     few = F.broadcast(right.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left_semi"))
     rest = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left_anti").join(right.hint("merge"), key, how)
     often = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left_semi").join(few, key, how)

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +31,11 @@ ALIKE = 0.4
 #: Weight of a subsequence: DECAY to the power of the characters it spans, at most SPAN.
 DECAY, SPAN = 0.8, 5
 #: Words times landmarks that are multiplied at a time, and rows of sentences in a step of the machine: the task that fits the model has little memory.
-PRODUCTS, STEP_ROWS = 20_000, 8192
-#: Words that a task remembers.
-CACHE_WORDS = 100_000
+PRODUCTS, STEP_ROWS = 20_000, 2048
+#: Words that a task remembers, and words whose kernel values are worked out at a time.
+CACHE_WORDS, STEP_WORDS = 100_000, 1024
+#: Candidates for landmarks that are compared with all others at a time: the table of all of their subsequences would be the largest thing that the fit holds.
+STEP_MARKS = 48
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 _SPACED = re.compile(r"(?<!\S)(?:\w[ .*_-]){3,}\w(?!\S)")
 _EDGE = ".,;:!?\"'()[]{}|*$%&#<>-_"
@@ -110,8 +113,8 @@ class Landmarks:
         """Words by landmarks. Words that can't reach `least` with any, by the sum of each subsequence's largest share, stay zero."""
         out = np.zeros((len(words), len(self.words)), np.float32)
         step = max(1, PRODUCTS // max(1, len(self.words)))
-        for i in range(0, len(words), 4096):
-            some = words[i : i + 4096]
+        for i in range(0, len(words), STEP_WORDS):
+            some = words[i : i + STEP_WORDS]
             w, u, x = _subsequences(some)
             norm = np.sqrt(np.bincount(w, x * x, len(some)))
             row = self.row[u]
@@ -141,6 +144,12 @@ def plain(word: str) -> str:
     return word.strip(_EDGE)
 
 
+def _numbered(text: str, numbers: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a text's words, those of new words added, and how many words each sentence has."""
+    some = sentences(text)
+    return np.fromiter((numbers.setdefault(plain(w), len(numbers)) for s in some for w in s), np.int32), np.array([len(s) for s in some], np.int32)
+
+
 def _newton(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Squared-hinge machine with a free offset; y in -1, 1; Newton steps on the active rows."""
     reg = np.eye(x.shape[1] + 1) * ridge
@@ -187,20 +196,19 @@ class Model:
         y = np.array(labels)
         self.rate = float((y * weights[1]).sum() / max(1e-9, ((1 - y) * weights[0] + y * weights[1]).sum())) if len(y) else 0.0
         self.marks = None
-        once: dict[str, str] = {}  # each word is held once
-        docs = [[[once.setdefault(p, p) for p in map(plain, s)] for s in sentences(t)] for t in texts]
-        del once
-        count = [{}, {}]
-        for d, label in zip(docs, labels):
-            for w in {w for s in d for w in s if 2 < len(w) <= 40}:
-                count[label][w] = count[label].get(w, 0) + 1
+        numbers: dict[str, int] = {}  # each word is held once; of documents only their numbers are
+        docs = [_numbered(t, numbers) for t in texts]
+        held_by = np.zeros((2, len(numbers)), int)
+        for (d, _), label in zip(docs, labels):
+            held_by[label, np.unique(d)] += 1
+        count = [{w: n for w, n in zip(numbers, by.tolist()) if n and 2 < len(w) <= 40} for by in held_by]
         n1, n0 = int(y.sum()), int(len(y) - y.sum())
         if not n1 or not n0:
             return
         gain = {w: c * np.log((c + 0.1) / (n1 + 1) * (n0 + 1) / (count[0].get(w, 0) + 0.1)) for w, c in count[1].items() if c > 1 or n1 < 50}
         best = sorted((w for w in gain if gain[w] > 0), key=lambda w: (-gain[w], w))[: 12 * TELLING]
         telling, held = [], None
-        alike = Landmarks(best)(best) if best else None
+        alike = np.hstack([Landmarks(best[i : i + STEP_MARKS])(best) for i in range(0, len(best), STEP_MARKS)]) if best else None
         for i in range(len(best)):  # the most telling that are not near one taken already
             if len(telling) < TELLING and (held is None or held[i] < 0.75):
                 telling.append(i)
@@ -215,8 +223,8 @@ class Model:
         self.known: dict[str, int] = {}
         self.values = np.zeros((0, len(words)), np.float32)
         self.weight = np.zeros(len(words) + 1)
-        pooled = [self._pooled(d) for d in self._indexed(docs)]
-        del docs
+        pooled = self._pooled_numbers(docs, list(numbers))
+        del docs, numbers, count, held_by
         seed = np.array([gain[w] if i < len(telling) else 0.0 for i, w in enumerate(words)])
         clean = [p for p, label in zip(pooled, labels) if not label]
         n = sum(map(len, clean))
@@ -234,16 +242,16 @@ class Model:
         self.scale = _logistic(f, y, np.where(y > 0, weights[1], weights[0]) * len(y) / np.where(y > 0, weights[1], weights[0]).sum())
         self.forget()
 
-    def _indexed(self, docs: list[list[list[str]]]) -> list[list[list[int]]]:
-        """Words as rows of self.values, those like no landmark left out."""
-        new = list({w for d in docs for s in d for w in s} - self.known.keys())
+    def _learn(self, words: set[str]) -> None:
+        """From now on self.known tells the row of self.values that each word has, -1 for those like no landmark."""
+        new = list(words - self.known.keys())
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known, self.values = {}, self.values[:0]
-            new = list({w for d in docs for s in d for w in s})
+            new = list(words)
         rows = [self.values]
         at = len(self.values)
-        for i in range(0, len(new), 50_000):
-            some = new[i : i + 50_000]
+        for i in range(0, len(new), 8 * STEP_WORDS):
+            some = new[i : i + 8 * STEP_WORDS]
             place: dict[str, int] = {}
             form = [place.setdefault(plain(w), len(place)) for w in some]
             k = self.marks(list(place), ALIKE)
@@ -255,16 +263,36 @@ class Model:
             self.known.update(zip(some, index[form].tolist()))
         if new:
             self.values = np.concatenate(rows)
+
+    def _indexed(self, docs: list[list[list[str]]]) -> list[list[list[int]]]:
+        """Words as rows of self.values, those like no landmark left out."""
+        self._learn({w for d in docs for s in d for w in s})
         get = self.known.__getitem__
         return [[[i for i in map(get, s) if i >= 0] for s in d] for d in docs]
 
     def _pooled(self, doc: list[list[int]]) -> np.ndarray:
         """Sentences by landmarks; one empty sentence stands for those that are like none."""
         some = [s for s in doc if s]
-        out = np.zeros((len(some) + 1, self.values.shape[1]), np.float32)
-        if some:
-            flat = np.concatenate(some)
-            out[1:] = np.maximum.reduceat(self.values[flat], np.cumsum([0] + [len(s) for s in some[:-1]]), axis=0)
+        return self._largest(np.concatenate(some) if some else (), np.cumsum([0] + [len(s) for s in some[:-1]]) if some else ())
+
+    def _pooled_numbers(self, docs: list[tuple[np.ndarray, np.ndarray]], words: list[str]) -> list[np.ndarray]:
+        """_pooled() of documents whose words are numbers, places in `words`."""
+        self._learn(set(words))
+        row = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        self.known = {}
+        out = []
+        for numbers, sizes in docs:
+            rows = row[numbers]
+            near = rows >= 0
+            sentence = np.repeat(np.arange(len(sizes)), sizes)[near]
+            out.append(self._largest(rows[near], np.flatnonzero(np.diff(sentence, prepend=-1))))
+        return out
+
+    def _largest(self, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Of rows of self.values, an empty sentence, and the largest values in each that begins at a place of `first`."""
+        out = np.zeros((len(first) + 1, self.values.shape[1]), np.float32)
+        if len(first):
+            out[1:] = np.maximum.reduceat(self.values[rows], first, axis=0)
         return out
 
     def _worst(self, pooled: np.ndarray) -> np.ndarray:
@@ -307,7 +335,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         picked += [(r.doc_id, y) for r in rows]
     if not picked:
         return Model([], [])
-    few = F.broadcast(docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int"))  # FIT_TOXIC + FIT_CLEAN rows at most
+    ids, toxic = zip(*picked)
+    few = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(ids, pa.int64()), "toxic": pa.array(toxic, pa.int32())})))  # FIT_TOXIC + FIT_CLEAN rows at most; from Arrow: rows would start Python workers of another kind beside those of the operators
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # of rows that share an id the first text by code point, so that reruns agree
     rows = slim.join(few, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))

@@ -283,6 +283,37 @@ def test_toxicity_fit_leaves_the_driver_alone(spark, monkeypatch):
     assert np.allclose(np.diag(own), 1, atol=1e-5) and most < 60e6  # 241 MB in one product
 
 
+def test_toxicity_fit_holds_little():
+    """Neither all subsequences of all candidates at once, nor the documents as lists of words."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(10))
+    bad, fair = [word() for _ in range(800)], [word() for _ in range(2000)]
+    text = lambda some, n: " ".join(rnd.choice(some) for _ in range(n))
+    texts, labels = [f"{text(fair, 1000)}. {text(bad, 20)}" for _ in range(400)] + [text(fair, 1000) for _ in range(400)], [1] * 400 + [0] * 400
+    tracemalloc.start()
+    model = Model(texts, labels)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ((model.scores(texts) >= 0.5) == np.array(labels)).mean() > 0.9 and most < 25e6
+
+
+def test_small_tables_start_no_workers(spark, tmp_path, monkeypatch):
+    """Rows given to createDataFrame go through Python workers of another kind, which stay in each executor; Arrow tables don't."""
+    import pyarrow as pa
+
+    from skyloom.llm import toxicity as module
+    from skyloom.llm.common import spread_join
+
+    spark.range(3000).selectExpr("id % 2 * id as key", "id").write.parquet(f"{tmp_path}/left")
+    left, right = spark.read.parquet(f"{tmp_path}/left"), spark.range(3000).selectExpr("id as key", "id + 7 as value")
+    d, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    kinds, plain = [], type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **b: kinds.append(type(data)) or plain(self, data, *a, **b))
+    got = {(r.key, r.id, r.value) for r in spread_join(left, right, "key").collect()}
+    assert got == {(i % 2 * i, i, i % 2 * i + 7) for i in range(3000)}
+    assert module.fit(d, labels).marks is not None and kinds == [pa.Table, pa.Table]
+
+
 def test_toxicity_held_out(spark):
     """Of labelled documents that the fit never sees, nearly all are told apart; the pipeline's stage keeps the same ones."""
     d, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
