@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyloom import errors
+from skyloom import campaign_queries, errors
 from skyloom.operators import diagnostics, linear, wide
+from skyloom.sources.stage import Stage
+from tests.conftest import SF
 
 
 def problem(spark, rng, cells=60, unknowns=9):
@@ -87,6 +89,50 @@ def test_fifty_thousand_unknowns(spark):
     assert len(got) == 3 and all(abs(v - level[u]) < 1e-7 for u, v in got.items())
 
 
+def test_cells_of_many_unknowns(spark):
+    """Cells of rare and frequent unknowns, twice the same, and ones without a prior's row: both forms of a block give the dense solution and the same draws."""
+    rng = np.random.default_rng(8)
+    cells, rare = 300, 24
+    x = np.zeros((cells, rare + 1))
+    listed = []
+    for c in range(cells):
+        mine = [(f"u{u:02}", float(a)) for u, a in zip(rng.choice(rare, 3, replace=False), rng.normal(size=3))]
+        mine += [(mine[0][0], 0.5), ("zz", float(rng.normal())), ("absent", 3.0)] + ([("alien", 2.0)] if c % 9 == 0 else []) + ([("u07", None)] if c % 7 == 0 else [])
+        for u, a in mine:
+            if u[0] in "uz" and a is not None:
+                x[c, rare if u == "zz" else int(u[1:])] += a
+        listed.append(mine)
+    y, sigma = 5 + rng.normal(size=cells), rng.uniform(0.2, 2, cells)
+    gone = np.arange(cells) % 11 == 0
+    mean, std = rng.normal(size=rare + 1), rng.uniform(0.3, 3, rare + 1)
+    data = [(c, float(y[c]), float("inf") if gone[c] else float(sigma[c])) for c in range(cells)]
+    prior = spark.createDataFrame([("zz" if u == rare else f"u{u:02}", float(mean[u]), float(std[u])) for u in range(rare + 1)], "unknown string, mean double, std double")
+    apart = wide.WideBlock(
+        spark.createDataFrame([(c, u, a) for c in range(cells) for u, a in listed[c]], "cell long, unknown string, a double").repartition(3),
+        spark.createDataFrame(data, "cell long, y double, sigma double"), prior,
+    )
+    rows = wide.WideRows(spark.createDataFrame([(*d, m) for d, m in zip(data, listed)], "cell long, y double, sigma double, entries array<struct<unknown string, a double>>").repartition(5), prior)
+    w = np.where(gone, 0.0, 1 / sigma)[:, None]
+    m = (x * w).T @ (x * w) + np.diag(1 / std**2)
+    want = np.linalg.solve(m, (x * w).T @ (y * w[:, 0]) + mean / std**2)
+    a, b = (wide.wide_solve(block, draws=5, seed=3) for block in (apart, rows))
+    assert np.allclose(values(a), want, atol=1e-6) and np.allclose(values(b), want, atol=1e-6)
+    for draw in range(1, 6):
+        assert np.allclose(values(a, draw), values(b, draw), atol=1e-6) and np.abs(values(a, draw) - want).max() > 0.1
+    d = np.sqrt(np.diag(m))
+    e = np.linalg.eigvalsh(m / d[:, None] / d)
+    top, _ = wide.extreme_eigenvalues(rows, 3)
+    assert 0.5 * e[-1] < top <= e[-1] * (1 + 1e-9)
+
+
+def test_turns_shuffle_nothing(spark, monkeypatch):
+    """Where cells share frequent unknowns only, data are shuffled once, before the turns: their disk doesn't grow with turns, cells or draws."""
+    plans, write = [], Stage.__call__
+    monkeypatch.setattr(Stage, "__call__", lambda self, df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(self, df))
+    found = wide.wide_solve(campaign_queries._levels(spark, SF), 2, seed=4, tol=1e-11)
+    assert len(plans) == found.turns + 2 and ["Exchange" in p for p in plans] == [True] + [False] * (found.turns + 1)
+
+
 def test_singular_designs_are_refused():
     """Exactly singular designs of all scales, whatever rounding makes of them."""
     rng = np.random.default_rng(9)
