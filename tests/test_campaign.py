@@ -354,3 +354,16 @@ def test_streaming_chain(spark, tmp_path):
     for x in ([0.4, -1.1], [2.0, 3.0]):
         assert np.isclose(evidence.log_likelihood(last, x), evidence.log_likelihood(want, x), atol=1e-8)
     assert sorted(r["n_epochs"] for r in out) == [3, 5, 12]
+
+
+@pytest.mark.parametrize("name", ["joint_prior"])
+def test_fits_broadcast_no_cells(spark, name):
+    """Cells are exploded from a small table, whose size is all that the planner knows of them; they meet what was observed by merge all the same."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    before = store.executionsCount()
+    assert QUERIES[name](spark, SF).count() > 0
+    bus.waitUntilEmpty()
+    found = store.executionsList(int(before), 1000)
+    plans = [found.apply(i).physicalPlanDescription() for i in range(found.size())]
+    assert any("SortMergeJoin Inner" in p or "SortMergeJoin(" in p for p in plans) and not any("BroadcastHashJoin Inner" in p for p in plans)
