@@ -356,7 +356,7 @@ def test_streaming_chain(spark, tmp_path):
     assert sorted(r["n_epochs"] for r in out) == [3, 5, 12]
 
 
-@pytest.mark.parametrize("name", ["linear_block_solve", "sampling_plan", "gradient_fit", "adam_fit", "plan_log_likelihood", "joint_prior"])
+@pytest.mark.parametrize("name", ["linear_block_solve", "sampling_plan", "gradient_fit", "adam_fit", "prior_sensitivity", "plan_log_likelihood", "joint_prior"])
 def test_fits_broadcast_no_cells(spark, name):
     """Cells are exploded from a small table, whose size is all that the planner knows of them; they meet what was observed by merge all the same."""
     store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
