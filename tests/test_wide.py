@@ -125,11 +125,12 @@ def test_cells_of_many_unknowns(spark):
     assert 0.5 * e[-1] < top <= e[-1] * (1 + 1e-9)
 
 
-def test_turns_shuffle_nothing(spark, monkeypatch):
+@pytest.mark.parametrize("draws", [0, 2])
+def test_turns_shuffle_nothing(spark, monkeypatch, draws):
     """Where cells share frequent unknowns only, data are shuffled once, before the turns: their disk doesn't grow with turns, cells or draws."""
     plans, write = [], Stage.__call__
     monkeypatch.setattr(Stage, "__call__", lambda self, df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(self, df))
-    found = wide.wide_solve(campaign_queries._levels(spark, SF), 2, seed=4, tol=1e-11)
+    found = wide.wide_solve(campaign_queries._levels(spark, SF), draws, seed=4, tol=1e-11)
     assert len(plans) == found.turns + 2 and ["Exchange" in p for p in plans] == [True] + [False] * (found.turns + 1)
 
 
